@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.llm import decontaminate, language_id, mixing, near_dedup, token_output
-from rillstone.llm.common import read_table
+from rillstone.llm import decontaminate, exact_dedup, html_extract, language_id, line_dedup, mixing, near_dedup, quality, secrets, token_output
+from rillstone.llm.common import encode, map_rows, read_table
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +34,31 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), with_text=True)
+
+    def digest(x: dict) -> Iterator[dict]:
+        kept = (line_dedup.kept_lines(t, k) for t, k in zip(x["text"], x["keep"], strict=True))
+        yield {c: x[c] for c in ("doc_id", "n_lines", "n_dropped")} | {
+            "kept_sha256": [hashlib.sha256(encode(t)).hexdigest() for t in kept]
+        }
+
+    out = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
+    return map_rows(found, digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string", out)
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"), largest=True)
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -35,7 +68,65 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op2_token_output, op3_decontamination, op4_mixing, op9_near_dedup, op10_language_id)
+    f.__name__: f
+    for f in (
+        op1_secret_scan,
+        op2_token_output,
+        op3_decontamination,
+        op4_mixing,
+        op5_html_extraction,
+        op6_quality,
+        op7_line_dedup,
+        op8_exact_dedup,
+        op9_near_dedup,
+        op10_language_id,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL = {
+    "op3_decontamination": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        i AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s:s + 9], ' ') AS k
+               FROM i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(s) WHERE len(w) > 0),
+        dw AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS k
+               FROM d, (SELECT DISTINCT n FROM iw), unnest(range(1, len(w) - n + 2)) AS t(s)),
+        hit AS (SELECT doc_id, item_id, s, n FROM dw JOIN iw USING (n, k)),
+        places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(s, s + n)) AS t(p) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+                  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op4_mixing": """
+        WITH RECURSIVE n AS (SELECT source, count(*)::DOUBLE AS n, sqrt(count(*)::DOUBLE) AS w FROM documents GROUP BY source),
+        t AS (SELECT sum(n) AS a, sum(w) AS w FROM n),
+        r AS (SELECT source, n.w / t.w * t.a * 1.0 / n.n AS rate FROM n, t),
+        m AS (SELECT source, greatest(ceil(rate / 32.0), 1)::INT AS pieces, rate / greatest(ceil(rate / 32.0), 1) AS mean FROM r),
+        c AS (SELECT source, 0 AS k, exp(-mean) AS p, exp(-mean) AS cdf, mean FROM m
+              UNION ALL
+              SELECT source, k + 1, p * mean / (k + 1), cdf + p * mean / (k + 1), mean FROM c
+              WHERE k < ceil(mean + 12 * sqrt(mean) + 24)),
+        u AS (SELECT doc_id, d.source, j,
+                     ('0x' || md5('1|' || doc_id || '|' || j)[1:13])::BIGINT / 4503599627370496.0 AS u
+              FROM documents d JOIN m USING (source), unnest(range(1, pieces + 1)) AS t(j)),
+        x AS (SELECT doc_id, count(*) FILTER (WHERE cdf <= u) AS copies FROM u JOIN c USING (source) GROUP BY doc_id)
+        SELECT d.*, copy_no::INT AS copy_no, md5('order|1|' || doc_id || '|' || copy_no) AS shuffle_key
+        FROM documents d JOIN x USING (doc_id), unnest(range(1, copies + 1)) AS t(copy_no)""",
+    "op7_line_dedup": rf"""
+        WITH l AS (SELECT doc_id, pos, line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)),
+        k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        f AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+        s AS (SELECT k.*, f.key IS NULL OR doc_id = top AS kept FROM k LEFT JOIN f ON k.key = f.key)
+        SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE NOT kept)::BIGINT AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE kept), '')) AS kept_sha256
+        FROM s GROUP BY doc_id""",
+    "op8_exact_dedup": rf"""
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id = max(doc_id) OVER w AS kept, sha256({_LOWER}) AS text_sha256
+        FROM documents WINDOW w AS (PARTITION BY {_LOWER})""",
+}
