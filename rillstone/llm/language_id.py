@@ -8,6 +8,7 @@ expected piece counts by forward-backward over the distinct words of each langua
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import uuid
@@ -35,97 +36,141 @@ def vocabulary_path(path: str | None = None) -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def load_pieces(path: str | None = None) -> dict[str, int]:
+def load_pieces(path: str | None = None) -> list[str]:
     """The vocabulary's ordinary pieces; a word starts with U+2581 there. Byte and control pieces are left out."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(path))
     n = sp.get_piece_size()
-    return {
-        sp.id_to_piece(i): i
-        for i in range(n)
-        if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))
-    }
+    return [sp.id_to_piece(i) for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
 
 
 def spelled(word: bytes) -> str:
     return "▁" + word.decode("utf-8", "replace")
 
 
-def forward(s: str, prob: dict[str, list[float]], longest: int, unknown: list[float]) -> list[float]:
-    """For each language, ln of the sum over all segmentations of s of the product of its pieces' probabilities."""
-    k, n = len(unknown), len(s)
-    sums = [[1.0] * k]
-    scale = [0.0] * k
-    for i in range(1, n + 1):
-        total = [0.0] * k
-        for j in range(max(0, i - longest), i):
-            p = prob.get(s[j:i])
-            if p is None:
-                if j < i - 1:
-                    continue
-                p = unknown
-            row = sums[j]
-            for x in range(k):
-                total[x] += row[x] * p[x]
-        sums.append(total)
-        if i % 16 == 0 or i == n:  # rescale what later positions can still reach
-            for x in range(k):
-                m = max(r[x] for r in sums[max(0, i - longest) :])
-                scale[x] += math.log(m)
-                for r in sums[max(0, i - longest) :]:
-                    r[x] /= m
-    return [scale[x] + math.log(sums[n][x]) if sums[n][x] > 0 else scale[x] - 700.0 for x in range(k)]
-
-
-def expected_counts(s: str, n: float, prob: dict[str, float], longest: int, unknown: float, into: Counter) -> None:
-    """Add n times the expected number of uses of each piece over all segmentations of s."""
-    length = len(s)
-    arcs = []
-    ahead = [0.0] * (length + 1)
-    ahead[0] = 1.0
-    for i in range(1, length + 1):
-        for j in range(max(0, i - longest), i):
-            p = prob.get(s[j:i])
-            if p is None:
-                if j < i - 1:
-                    continue
-                p = unknown
-            arcs.append((j, i, p))
-            ahead[i] += ahead[j] * p
-    whole = ahead[length]
-    if whole <= 1e-290:
-        return
-    back = [0.0] * (length + 1)
-    back[length] = n / whole
-    for j, i, p in reversed(arcs):
-        if back[i]:
-            back[j] += back[i] * p
-            if (piece := s[j:i]) in prob:
-                into[piece] += ahead[j] * p * back[i]
+#: Words of more characters are cut into stretches of this many, between which no piece reaches.
+STRETCH = 40
+#: Sums are carried times this to the number of characters, so that stretches neither vanish nor overflow.
+GAIN = 1e5
+_STEP, _SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+
+
+class PieceIndex:
+    """Numbers of pieces by a hash of their characters, for arrays of hashes at once."""
+
+    def __init__(self, pieces: list[str], bits: int = 20):
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.ids = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        for i, p in enumerate(pieces):
+            h = np.uint64(0)
+            with np.errstate(over="ignore"):
+                for c in p:
+                    h = h * _STEP + np.uint64(ord(c) + 1)
+                at = int(h * _SPREAD >> self.shift)
+            while self.ids[at] >= 0:
+                at = at + 1 & self.mask
+            self.keys[at], self.ids[at] = h, i
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The piece with each hash, or -1."""
+        at = (h * _SPREAD >> self.shift).astype(np.int64)
+        found = np.where(self.keys[at] == h, self.ids[at], -1)
+        open_ = np.flatnonzero((found < 0) & (self.ids[at] >= 0))
+        while len(open_):
+            at[open_] = at[open_] + 1 & self.mask
+            here = at[open_]
+            found[open_] = np.where(self.keys[here] == h[open_], self.ids[here], -1)
+            open_ = open_[(found[open_] < 0) & (self.ids[here] >= 0)]
+        return found
+
+
+def stretches(words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, numbers of the words, code points): all stretches, those of one length together, a row each."""
+    by: dict[int, tuple[list[int], list[str]]] = defaultdict(lambda: ([], []))
+    for k, w in enumerate(words):
+        for i in range(0, len(w), STRETCH):
+            part = w[i : i + STRETCH]
+            rows, parts = by[len(part)]
+            rows.append(k)
+            parts.append(part)
+    for n, (rows, parts) in by.items():
+        for i in range(0, len(rows), 4096):
+            codes = np.frombuffer("".join(parts[i : i + 4096]).encode("utf-32-le", "surrogatepass"), "<u4")
+            yield n, np.array(rows[i : i + 4096]), codes.reshape(-1, n)
+
+
+def arcs(codes: np.ndarray, index: PieceIndex, longest: int) -> dict[tuple[int, int], np.ndarray]:
+    """(start, end) -> the piece that stands there in each row, or -1."""
+    found, n = {}, codes.shape[1]
+    c = codes.astype(np.uint64) + np.uint64(1)
+    h = np.zeros_like(c)
+    for size in range(1, min(longest, n) + 1):
+        h = h[:, : n - size + 1] * _STEP + c[:, size - 1 :]
+        ids = index.find(h.ravel()).reshape(h.shape)
+        for j in range(n - size + 1):
+            if size == 1 or (ids[:, j] >= 0).any():
+                found[j, j + size] = ids[:, j]
+    return found
+
+
+def forward(words: list[str], model: LanguageModel) -> np.ndarray:
+    """ln of the sum over all segmentations of each word of the product of its pieces' probabilities, a column a language."""
+    out = np.zeros((len(words), len(model.languages)))
+    for n, rows, codes in stretches(words):
+        sums = np.zeros((n + 1, len(rows), len(model.languages)))
+        sums[0] = 1.0
+        spans = arcs(codes, model.index, model.longest)
+        for (j, i), ids in sorted(spans.items(), key=lambda x: x[0][1]):
+            if i == j + 1:  # a character that is no piece is an unknown one
+                sums[i] += sums[j] * np.where(ids[:, None] >= 0, model.prob[ids], model.unknown) * GAIN
+            else:
+                on = np.flatnonzero(ids >= 0)
+                sums[i, on] += sums[j, on] * model.prob[ids[on]] * GAIN ** (i - j)
+        np.add.at(out, rows, np.log(sums[n]) - n * math.log(GAIN))
+    return out
+
+
+def expected_counts(words: list[str], lang: np.ndarray, n_words: np.ndarray, model: LanguageModel) -> np.ndarray:
+    """Expected number of uses of each piece (a row) by each language (a column) over all segmentations of its words."""
+    total = np.zeros((len(model.prob), len(model.languages)))
+    for n, rows, codes in stretches(words):
+        of, times = lang[rows], n_words[rows]
+        spans = sorted(arcs(codes, model.index, model.longest).items(), key=lambda x: x[0][1])
+        prob = {k: np.where(ids >= 0, model.prob[ids, of], model.unknown[of] if k[1] == k[0] + 1 else 0.0) * GAIN ** (k[1] - k[0]) for k, ids in spans}
+        ahead, back = np.zeros((n + 1, len(rows))), np.zeros((n + 1, len(rows)))
+        ahead[0] = 1.0
+        for (j, i), _ in spans:
+            ahead[i] += ahead[j] * prob[j, i]
+        back[n] = times / ahead[n]
+        for (j, i), ids in reversed(spans):
+            use = prob[j, i] * back[i]
+            back[j] += use
+            np.add.at(total, (ids[ids >= 0], of[ids >= 0]), (ahead[j] * use)[ids >= 0])
+    return total
 
 
 class LanguageModel:
-    """Piece probabilities by language, and the scores of texts under them."""
+    """Piece probabilities by language."""
 
-    def __init__(self, languages: list[str], priors: list[float], counts: dict[str, dict[str, float]], pieces: dict):
-        """counts: language -> piece -> expected number of uses."""
+    FLOOR = 0.1
+
+    def __init__(self, languages: list[str], priors: list[float], counts: np.ndarray, pieces: list[str]):
+        """counts: expected uses of each piece (a row) by each language (a column)."""
         self.name = uuid.uuid4().hex
-        self.languages = languages
-        self.log_prior = np.log(np.array(priors) / max(sum(priors), 1e-9)) if languages else np.empty(0)
+        self.languages, self.pieces = languages, pieces
+        self.log_prior = np.log(np.array(priors, float) / max(sum(priors), 1e-9))
         self.longest = max(map(len, pieces), default=1)
-        size = len(pieces)
-        floor = 0.1
-        totals = {x: sum(counts.get(x, {}).values()) + floor * size for x in languages}
-        seen = {p for c in counts.values() for p in c}
-        base = [floor / totals[x] for x in languages]
-        self.base = base
-        self.unknown = [b * UNKNOWN for b in base]
-        self.prob = {p: [(counts.get(x, {}).get(p, 0.0) + floor) / totals[x] for x in languages] for p in seen}
-        self.plain = [p for p in pieces if p not in seen]
+        total = counts.sum(0) + self.FLOOR * len(pieces)
+        self.prob = (counts + self.FLOOR) / total
+        self.unknown = self.FLOOR / total * UNKNOWN
+
+    @functools.cached_property
+    def index(self) -> PieceIndex:
+        return PieceIndex(self.pieces)
 
-    def table(self) -> dict[str, list[float]]:
-        return self.prob | dict.fromkeys(self.plain, self.base)
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "index"}
 
 
 def has_letter(text: str | None) -> bool:
@@ -175,52 +220,53 @@ def fit(
     if len(priors) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(priors)
-    counts: dict[str, dict[str, float]] = {}
-    for _ in range(rounds):
-        model = LanguageModel(languages, [priors[x] for x in languages], counts, pieces)
-        spread = docs.sparkSession.sparkContext.broadcast(model)
+    counts = np.zeros((len(pieces), len(languages)))
+    for _ in range(rounds if languages else 0):
+        spread = docs.sparkSession.sparkContext.broadcast(LanguageModel(languages, [priors[x] for x in languages], counts, pieces))
 
         def expect(x: dict, spread=spread) -> Iterator[dict]:
             m = spread.value
-            table, into = m.table(), defaultdict(Counter)
-            views: dict[str, dict[str, float]] = {}
-            for lang, word, n in zip(x["lang"], x["word"], x["n"], strict=True):
-                k = m.languages.index(lang)
-                if lang not in views:
-                    views[lang] = {p: v[k] for p, v in table.items()}
-                expected_counts(spelled(word), n, views[lang], m.longest, m.unknown[k], into[lang])
-            for lang, c in into.items():
-                yield {"lang": [lang] * len(c), "piece": [*c], "n": [*c.values()]}
-
-        out = pa.schema([("lang", pa.string()), ("piece", pa.string()), ("n", pa.float64())])
-        found = map_rows(words, expect, "lang string, piece string, n double", out)
+            at = {v: k for k, v in enumerate(m.languages)}
+            lang = np.array([at[v] for v in x["lang"]], np.int64)
+            found = expected_counts([*map(spelled, x["word"])], lang, np.array(x["n"], float), m)
+            piece, k = np.nonzero(found > 1e-6)
+            yield {"piece": piece, "lang": k, "n": found[piece, k]}
+
+        out = pa.schema([("piece", pa.int32()), ("lang", pa.int32()), ("n", pa.float64())])
+        found = map_rows(words, expect, "piece int, lang int, n double", out)
+        counts = np.zeros_like(counts)
         # at most vocabulary x MAX_LANGUAGES rows, whatever the corpus
-        counts = defaultdict(dict)
-        for r in found.groupBy("lang", "piece").agg(F.sum("n").alias("n")).filter("n > 1e-4").toLocalIterator():
-            counts[r["lang"]][r["piece"]] = r["n"]
+        for piece, k, n in found.groupBy("piece", "lang").agg(F.sum("n").alias("n")).toLocalIterator():
+            counts[piece, k] = n
     return LanguageModel(languages, [priors[x] for x in languages], counts, pieces)
 
 
 class WordScores:
     """Log-likelihoods of words, each computed once per worker while they fit in memory."""
 
-    LIMIT = 400_000
+    LIMIT = 1_000_000
 
     def __init__(self, model: LanguageModel):
-        self.model, self.table = model, model.table()
+        self.model = model
         self.rows = np.empty((1024, len(model.languages)))
         self.at: dict[bytes, int] = {}
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.at) > self.LIMIT:
+    def meet(self, words: set[bytes]) -> None:
+        """Score words not met yet; before that, forget all where they would be too many."""
+        new = [w for w in words if w not in self.at]
+        if len(self.at) + len(new) > self.LIMIT:
             self.at.clear()
-        at, m = self.at, self.model
-        for w in {w for w in words if w not in at}:
-            if len(at) == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-            self.rows[len(at)] = forward(spelled(w), self.table, m.longest, m.unknown)
-            at[w] = len(at)
-        return self.rows[np.fromiter(map(at.__getitem__, words), np.int64, len(words))].sum(0)
+            new = [*words]
+        n = len(self.at)
+        if n + len(new) > len(self.rows):
+            grown = np.empty((max(2 * len(self.rows), n + len(new)), self.rows.shape[1]))
+            grown[:n] = self.rows[:n]
+            self.rows = grown
+        self.rows[n : n + len(new)] = forward([*map(spelled, new)], self.model)
+        self.at.update((w, n + k) for k, w in enumerate(new))
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(0)
 
 
 _scores: dict[str, WordScores] = {}
@@ -245,8 +291,11 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep:
         scores = _scores[m.name]
         for b in batches:
             langs, sure = [], []
-            for text in b.column(b.num_columns - 1).to_pylist():
-                words = words_of(text) if m.languages and has_letter(text) else []
+            texts = b.column(b.num_columns - 1).to_pylist()
+            each = [words_of(t) if m.languages and has_letter(t) else [] for t in texts]
+            for k, words in enumerate(each):
+                if k % 512 == 0:  # new words are scored many at a time
+                    scores.meet(set().union(*each[k : k + 512]))
                 if not words:
                     langs.append("und")
                     sure.append(0.0)
