@@ -66,7 +66,7 @@ class Parser:
             m = _TOKEN.match(text, at)
             if not m:
                 raise ExpressionError(f"unexpected {text[at:].lstrip()[0]!r}", at + len(text[at:]) - len(text[at:].lstrip()))
-            self.tokens.append((m.lastgroup, m[m.lastgroup], m.start(m.lastgroup)))
+            self.tokens.append((m.lastgroup, m[m.lastgroup], m.start(m.lastgroup) - (m.lastgroup == "str")))
             at = m.end()
         self.tokens.append(("end", "", len(text)))
         self.i = 0

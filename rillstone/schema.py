@@ -6,6 +6,7 @@ a row per attribute value, is derived where an operator is the same for every at
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from enum import Enum
 
@@ -110,12 +111,24 @@ def as_text(c: Column, kind: Kind) -> Column:
     return c.cast("string")
 
 
+def from_text(c: Column, kind: Kind) -> Column:
+    """The inverse of as_text."""
+    if kind is Kind.DATETIME:
+        return F.timestamp_micros(c.cast("bigint"))
+    return F.unbase64(c) if kind is Kind.BINARY else c.cast(kind.spark)
+
+
+def each_value(values: Column, fn: Callable[[Column, Kind], Column], kind: Kind) -> Column:
+    """fn of each value of a list. (Spark would take a second parameter of a lambda as the value's place.)"""
+    return F.transform(values, lambda v: fn(v, kind))
+
+
 def to_eav(df: DataFrame, key: list[str], attributes: list[Attribute]) -> DataFrame:
     """key, attr, kind, value (text): a row per value, none for a missing one. One pass over df, no shuffle."""
     rows = []
     for a in attributes:
         c = F.col(a.name) if a.many else F.array(F.col(a.name))
-        texts = F.array_distinct(F.transform(F.filter(c, lambda v: v.isNotNull()), lambda v, k=a.kind: as_text(v, k)))
+        texts = F.array_distinct(each_value(F.filter(c, lambda v: v.isNotNull()), as_text, a.kind))
         rows.append(F.struct(F.lit(a.name).alias("attr"), F.lit(a.kind.name).alias("kind"), F.coalesce(texts, F.array().cast("array<string>")).alias("values")))
     each = df.select(*key, F.inline(F.array(*rows)))
     return each.select(*key, "attr", "kind", F.explode("values").alias("value"))
@@ -126,10 +139,8 @@ def from_eav(eav: DataFrame, key: list[str], attributes: list[Attribute]) -> Dat
     cols = []
     for a in attributes:
         own = F.when(F.col("attr") == a.name, F.col("value"))
-        back = lambda c, k=a.kind: (
-            F.timestamp_micros(c.cast("bigint")) if k is Kind.DATETIME else F.unbase64(c) if k is Kind.BINARY else c.cast(k.spark)
-        )
-        cols.append((F.sort_array(F.transform(F.collect_set(own), back)) if a.many else back(F.min(own))).alias(a.name))
+        value = F.sort_array(each_value(F.collect_set(own), from_text, a.kind)) if a.many else from_text(F.min(own), a.kind)
+        cols.append(value.alias(a.name))
     return eav.groupBy(*key).agg(*cols)
 
 

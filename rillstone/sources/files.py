@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillstone.functions.scalars import trim
-from rillstone.schema import Attribute, Kind, ObjectType, parsed
+from rillstone.schema import Attribute, Kind, ObjectType, each_value, parsed
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,7 @@ def typed(df: DataFrame, t: ObjectType, delimiter: str = "|") -> DataFrame:
         raw = F.nullif(F.col(f"`{name}`"), F.lit("")) if name else F.lit(None).cast("string")
         if a.many:
             parts = F.coalesce(split_values(raw, delimiter), F.array().cast("array<string>"))
-            value = F.transform(parts, lambda x, k=a.kind: parsed(x, k))
+            value = each_value(parts, parsed, a.kind)
             out.append(F.array_distinct(F.filter(value, lambda v: v.isNotNull())).alias(a.name))
             bad = F.exists(value, lambda v: v.isNull())
         else:
