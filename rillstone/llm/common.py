@@ -107,17 +107,18 @@ def map_rows(
 
 
 def with_group_min(df: DataFrame, keys: list[str], value: str, salt_by: str, least: int = 1) -> DataFrame:
-    """df's rows with `group_min`, the least `value` among rows with equal keys, and `group_rows`, their number.
+    """df's rows with `group_min` and `group_max`, the least and greatest `value` among rows with equal keys, and
+    `group_rows`, their number.
 
     Only groups of at least `least` rows come back. A key may hold any share of the rows: rows first meet
     by key and salt, only one row per salt goes to the key's task, and its answer returns by key and salt.
     Rows with a null key or value are left out.
     """
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
-    part = salted.groupBy(*keys, "_salt").agg(F.min(value).alias("_min"), F.count(value).alias("_n"))
+    part = salted.groupBy(*keys, "_salt").agg(F.min(value).alias("_min"), F.max(value).alias("_max"), F.count(value).alias("_n"))
     whole = (
         part.groupBy(*keys)
-        .agg(F.min("_min").alias("group_min"), F.sum("_n").alias("group_rows"))
+        .agg(F.min("_min").alias("group_min"), F.max("_max").alias("group_max"), F.sum("_n").alias("group_rows"))
         .filter(F.col("group_rows") >= least)
     )
     answers = part.select(*keys, "_salt").join(whole, keys)
