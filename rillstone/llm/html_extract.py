@@ -46,6 +46,7 @@ _APART_WORDS = frozenset(
     " pager pagination popup promo promoted promotion related recommended replies share sharing sidebar signup skip social sponsor"
     " sponsored subscribe subscription tags toolbar widget".split()
 )
+_ABOUT = frozenset("has with without no".split())
 _APART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -63,8 +64,12 @@ def apart(name: str, attrs: str) -> bool:
             return True
         if key in ("hidden", "aria-hidden") and value.lower() in ("", "true", "hidden"):
             return True
-        if key in ("class", "id") and any(w.lower() in _APART_WORDS for w in _WORDS.findall(value)):
-            return True
+        if key in ("class", "id"):
+            for part in value.split():
+                words = [w.lower() for w in _WORDS.findall(part)]
+                # has-sidebar says what else the page has
+                if not _ABOUT.intersection(words) and _APART_WORDS.intersection(words):
+                    return True
     return re.search(r"(?:^|\s)hidden(?:\s|/?$)", attrs) is not None
 
 

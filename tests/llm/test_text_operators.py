@@ -191,6 +191,7 @@ PAGES = [
     ("<html><body><nav>Menu</nav><article><h1>A &amp; B</h1><p>Some  long\n text&nbsp;here.<script>if (a<b) x();</script><p>More <b>of</b> it, and more.</article><footer>f</footer></body></html>", "A & B\nSome long text here.\nMore of it, and more."),
     ("<body><div class='site-header'>Top</div><div id=main><p>First words of the story are here.</p><div class='advert'>Buy</div><p>Then the rest of the story.</p><form>Name <input></form></div><div id=comments><p>I like this story very much indeed</p></div></body>", "First words of the story are here.\nThen the rest of the story."),
     ("just words", "just words"),
+    ("<body><div class='page has-sidebar'><p>All of the story is in here.</p></div><div class='sidebar'>More</div></body>", "All of the story is in here."),
     ("", ""),
     (None, ""),
     ("<nav><a href=x>only a menu</a></nav>", ""),
