@@ -766,3 +766,108 @@ def reconciliation_run(spark, d):
     rule = pipeline.ImportRule(1, supplier, flows, (match.MatchRule(1, "bucket", "bucket", Kind.LONG),))
     run = pipeline.full_run({1: s}, {1: s}, c, [rule], person, NOW)
     return run.outcomes.select(F.col("external_id").cast("long").alias("external_id"), "outcome")
+
+
+# --- more joins, sinks and counts -------------------------------------------------------------------------------
+
+
+@query_for("""SELECT o_orderkey, s_suppkey AS staged_id FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey""")
+def import_match(spark, d):
+    staged = table(spark, d, "supplier").select(F.col("s_suppkey").alias("o_custkey"), F.col("s_suppkey").alias("id"))
+    return match.import_match(table(spark, d, "orders"), staged, ["o_custkey"]).select("o_orderkey", "staged_id")
+
+
+@query_for("""WITH m AS (SELECT s_suppkey, s_nationkey AS cid, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier)
+    SELECT s_suppkey, CASE WHEN n > 1 OR cid < 5 THEN 'already_joined' ELSE 'joined' END AS outcome FROM m""")
+def claim_once(spark, d):
+    m = table(spark, d, "supplier").select("s_suppkey", F.lit("joined").alias("outcome"), F.lit(1).alias("rule"), F.col("s_nationkey").alias("cid"))
+    held = table(spark, d, "nation").filter("n_nationkey < 8").select((F.col("n_nationkey") + 1_000_000).alias("s_suppkey"), F.col("n_nationkey").alias("cid"))
+    return match.claim_once(m, held, held.filter("cid >= 5").select("s_suppkey"), "s_suppkey", "cid").select("s_suppkey", "outcome")
+
+
+@query_for("""SELECT DISTINCT o_orderkey AS owner, o_custkey AS ref, o_orderkey % 2 = 0 AS held FROM orders WHERE o_custkey % 10 = 1""")
+def reference_recall(spark, d):
+    refs = table(spark, d, "orders").select(F.col("o_orderkey").alias("owner"), F.lit("customer").alias("attr"), F.col("o_custkey").alias("ref"))
+    gone = table(spark, d, "customer").filter("c_custkey % 10 = 1").select(F.col("c_custkey").alias("id"))
+    return match.referencing(gone, refs, refs.filter("owner % 2 = 0")).select("owner", "ref", "held").distinct()
+
+
+@query_for("""SELECT event_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)""")
+def purged_references(spark, d):
+    changes = table(spark, d, "events").select("event_id", F.concat(F.lit("CN="), "user_id").alias("reference"))
+    gone = table(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.concat(F.lit("cn="), "c_custkey").alias("external_id"))
+    return outbound.purge_references(changes, gone).select("event_id")
+
+
+@query_for("""SELECT o_orderkey AS staged_id, CASE WHEN o_orderpriority[1:1] IN ('1', '2') THEN 'delete' ELSE 'disconnect' END AS action,
+    CASE WHEN o_orderpriority[1:1] NOT IN ('1', '2') THEN 'none' WHEN o_orderkey % 3 = 0 THEN 'reuse' WHEN o_orderkey % 3 = 1 THEN 'replace' ELSE 'new' END AS export
+    FROM orders WHERE o_custkey % 5 = 0""")
+def deletion_exports(spark, d):
+    o = table(spark, d, "orders")
+    connectors = o.select(F.col("o_orderkey").alias("staged_id"), F.col("o_custkey").alias("target_id"), F.left("o_orderpriority", F.lit(1)).alias("system"), F.lit("user").alias("type"))
+    gone = table(spark, d, "customer").filter("c_custkey % 5 = 0").select(F.col("c_custkey").alias("target_id"))
+    rules = spark.createDataFrame([("1", "user", "delete"), ("1", "user", "disconnect"), ("2", "user", "delete"), ("3", "user", "disconnect")], "system string, type string, on_delete string")
+    pending = o.filter("o_orderkey % 3 < 2").select(F.col("o_orderkey").alias("staged_id"), F.when(F.col("o_orderkey") % 3 == 0, "delete").otherwise("update").alias("change"))
+    return lifecycle.deletion_exports(gone, connectors, rules, pending).select("staged_id", "action", "export")
+
+
+@query_for("""SELECT event_type, (count(*) + count(*) FILTER (WHERE event_id % 2 = 0))::BIGINT AS n FROM events GROUP BY 1""")
+def added_counters(spark, d):
+    e = table(spark, d, "events")
+    count = lambda df: df.groupBy("event_type").agg(F.count("*").alias("n"))
+    return summarise.add_counters(count(e), count(e.filter("event_id % 2 = 0")), ["event_type"], ["n"])
+
+
+@query_for("""SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL""")
+def distinct_options(spark, d):
+    return summarise.options(table(spark, d, "events"), "event_type")
+
+
+@query_for("""SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 1 THEN upper(s_name) ELSE s_name END AS s_name FROM supplier WHERE s_suppkey % 4 <> 2
+    UNION ALL SELECT (SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY n_name), n_name FROM nation""")
+def applied_statements(spark, d):
+    t = table(spark, d, "supplier").select("s_suppkey", "s_name")
+    m = F.col("s_suppkey") % 4
+    changes = t.filter(m.isin(1, 2)).select("s_suppkey", F.when(m == 1, "update").otherwise("delete").alias("op"), F.upper("s_name").alias("s_name"))
+    new = table(spark, d, "nation").select(F.lit(None).cast("long").alias("s_suppkey"), F.lit("insert").alias("op"), F.col("n_name").alias("s_name"))
+    return files.apply_dml(t, changes.union(new), "s_suppkey", generated="s_name")[0]
+
+
+@query_for("""SELECT o_orderkey, CASE WHEN o_custkey % 6 = 0 THEN 'type_conflict' WHEN o_custkey % 5 = 0 AND o_custkey % 2 = 0 THEN 'recall_skipped' WHEN o_custkey % 7 = 0 THEN 'reuse_pending'
+    WHEN o_custkey % 2 = 0 THEN CASE WHEN o_orderstatus = 'F' THEN 'provision' ELSE 'declined' END WHEN o_orderstatus = 'P' THEN 'irrelevant' ELSE 'update' END AS decision FROM orders""")
+def staging_decisions(spark, d):
+    k, s = F.col("o_custkey"), F.col("o_orderstatus")
+    rows = table(spark, d, "orders").select(
+        "o_orderkey", (k % 6 == 0).alias("type_conflict"), (k % 5 == 0).alias("recall"), (k % 2 != 0).alias("has_target"), (k % 7 == 0).alias("pending_create"), (s == "F").alias("provisions"), (s != "P").alias("relevant")
+    )
+    return rows.select("o_orderkey", outbound.staging_decision().alias("decision"))
+
+
+@query_for("""SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 WHEN c_mktsegment = 'MACHINERY' THEN 3 END AS rule, CASE WHEN c_mktsegment = 'BUILDING' THEN 'remain' ELSE 'disconnect' END AS action FROM customer""")
+def projection_rules(spark, d):
+    rules = [
+        {"id": 1, "type": "BUILDING", "active": True, "projects": True, "out_of_scope": "remain"},
+        {"id": 2, "type": "MACHINERY", "active": False, "projects": True, "out_of_scope": "remain"},
+        {"id": 3, "type": "MACHINERY", "active": True, "projects": True},
+        {"id": 4, "type": "FURNITURE", "active": True, "projects": False},
+    ]
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("type"))
+    return rows.select("c_custkey", lifecycle.projecting_rule(rules).alias("rule"), lifecycle.out_of_scope_action(rules).alias("action"))
+
+
+@query_for("""SELECT event_type, count(*) AS n, min(ts) AS oldest FROM events WHERE ts <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1""")
+def due_queue(spark, d):
+    return lifecycle.due(table(spark, d, "events"), "ts", datetime(2024, 1, 20), "event_type")
+
+
+@query_for("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
+def windowed_counts(spark, d):
+    rows = stream.windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
+    return rows.select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+@query_for("""SELECT p_partkey, p_name, p_size, p_retailprice::DECIMAL(38,10)::DOUBLE AS price FROM part""")
+def csv_columns_typed(spark, d):
+    text = table(spark, d, "part").select(*(F.col(c).cast("string").alias(c.upper()) for c in ("p_partkey", "p_name", "p_size", "p_retailprice")))
+    t = ObjectType("part", tuple(PART.attribute(n) for n in ("p_partkey", "p_name", "p_size", "p_retailprice")), "p_partkey")
+    return files.import_file(text, t)[0].select("p_partkey", "p_name", "p_size", F.col("p_retailprice").cast("double").alias("price"))
