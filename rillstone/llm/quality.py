@@ -217,14 +217,15 @@ def classify_quality(
     score is null, and it rejects nothing. Null texts are empty; rows that share an id share its label.
     """
     meta = [c for c in meta_cols if c in docs.columns]
-    rows = stored(featured(docs, id_col, text_col, meta), work_dir(docs.sparkSession), "features")
     named = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-    named = named.agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    pool = rows.join(named.select("doc_id"), "doc_id", "left_anti")
+    named = named.agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")).withColumn("named", F.lit(True))
+    # one join; what the rounds read is this table
+    rows = stored(featured(docs, id_col, text_col, meta).join(named, "doc_id", "left"), work_dir(docs.sparkSession), "features")
+    pool = rows.filter("named is null").select("doc_id", "text", "meta")
     share = min(1.0, max_labelled / max(named.count(), 1))
-    sample = named.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-    sample = rows.join(sample, "doc_id").select("doc_id", "text", "meta", "quality", "toxic")
-    sample = sample.orderBy(F.xxhash64("doc_id"), "text").limit(2 * max_labelled).collect()
+    sample = rows.filter("named").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    sample = sample.orderBy(F.xxhash64("doc_id"), "text").limit(2 * max_labelled)
+    sample = sample.select("text", "meta", "quality", "toxic").collect()
     models = {}
     for target in ("quality", "toxic"):
         known = [(r["text"], r["meta"], int(r[target] > 0)) for r in sample if r[target] is not None]
@@ -245,4 +246,4 @@ def classify_quality(
     names = ("text_score", "meta_score", "quality", "toxicity")
     out = pa.schema([("doc_id", pa.int64()), *((n, pa.float64()) for n in names), ("keep", pa.bool_())])
     schema = "doc_id long, " + ", ".join(f"{n} double" for n in names) + ", keep boolean"
-    return map_rows(rows, run, schema, out)
+    return map_rows(rows.select("doc_id", "text", "meta"), run, schema, out)
