@@ -103,30 +103,50 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_logistic(x: Rows, y: np.ndarray, size: int, steps: int = 80, l2: float = 2e-4) -> Logistic:
-    """Full-batch Adam; both classes weigh the same."""
-    n = len(y)
+def evidence(x: Rows, y: np.ndarray, size: int) -> np.ndarray:
+    """Log-odds of each feature between the classes, less twice their standard error; 0 for what may be chance."""
+    row = np.repeat(y, x.size)
+    one, none = (np.bincount(x.at[row == c], minlength=size) for c in (1, 0))
+    odds = np.log((one + 1) / (y.sum() + 2)) - np.log((none + 1) / ((1 - y).sum() + 2))
+    return np.sign(odds) * np.maximum(np.abs(odds) - 2 * np.sqrt(1 / (one + 1) + 1 / (none + 1)), 0)
+
+
+def fit_logistic(x: Rows, y: np.ndarray, size: int, steps: int = 120, l2: float = 1e-3) -> Logistic:
+    """Full-batch Adam over features scaled by their evidence; both classes weigh the same."""
+    n, scale = len(y), evidence(x, y, size)
     weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max(n - y.sum(), 1))
     row = np.repeat(np.arange(n), x.size)
-    p, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
+    p, m, v = np.r_[np.full(size, 0.2), 0.0], np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
-        g = (sigmoid(x.dot(p[:-1]) + p[-1]) - y) * weight
-        grad = np.r_[np.bincount(x.at, g[row], size) + l2 * p[:-1], g.sum()]
+        g = (sigmoid(x.dot(p[:-1] * scale) + p[-1]) - y) * weight
+        grad = np.r_[np.bincount(x.at, g[row], size) * scale + l2 * p[:-1], g.sum()]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        p -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Logistic(p[:-1], float(p[-1]))
+        p -= 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return Logistic(p[:-1] * scale, float(p[-1]))
 
 
-def fit_line(x: np.ndarray, y: np.ndarray, steps: int = 300) -> np.ndarray:
-    """Coefficients (one a column, then a bias) of a logistic regression on few columns, by damped Newton steps."""
-    z = np.c_[x, np.ones(len(y))]
+def fit_line(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
+    """Coefficients (one a column, then a bias) of a logistic regression on few columns, by Newton steps that are
+    halved until they help."""
+    mean, std = x.mean(0), x.std(0) + 1e-6
+    z = np.c_[(x - mean) / std, np.ones(len(y))]
     p = np.zeros(z.shape[1])
-    p[:-1] = 1.0 / x.shape[1]
-    for _ in range(min(steps, 25)):
+
+    def loss(p: np.ndarray) -> float:
+        s = z @ p
+        return float(np.logaddexp(0, np.where(y > 0, -s, s)).sum() + 0.5 * p[:-1] @ p[:-1])
+
+    ridge = np.diag(np.r_[np.ones(len(p) - 1), 1e-6])
+    for _ in range(steps):
         q = sigmoid(z @ p)
-        step = np.linalg.solve((z * (q * (1 - q))[:, None]).T @ z + 1e-2 * np.eye(len(p)), z.T @ (q - y) + 1e-2 * p)
-        p -= np.clip(step, -2, 2)
-    return p
+        step = np.linalg.solve((z * (q * (1 - q))[:, None]).T @ z + ridge, z.T @ (q - y) + ridge @ p)
+        size = 1.0
+        while size > 1e-4 and loss(p - size * step) > loss(p):
+            size /= 2
+        if size <= 1e-4 or np.abs(step).max() < 1e-6:
+            break
+        p = p - size * step
+    return np.r_[p[:-1] / std, p[-1] - (p[:-1] * mean / std).sum()]
 
 
 @dataclass
