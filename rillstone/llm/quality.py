@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from rillstone.llm.common import WordHashes, encode, map_rows, stored, words_of, work_dir
 
-WORDS, SHAPES, META = 1 << 14, 256, 1 << 11
+WORDS, SHAPES, META = 60_000, 256, 1 << 11
 VIEWS = {"text": WORDS + SHAPES, "meta": META}
 _hashes = WordHashes()
 _UPPER = bytes(range(65, 91))
@@ -37,7 +37,7 @@ def text_features(text: str | None) -> np.ndarray:
     """Hashed words, and levels of a dozen ratios that tell prose from noise."""
     data, words = encode(text), words_of(text)
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    found = np.unique((h >> np.uint64(50)).astype(np.uint16))
+    found = np.unique((h % np.uint64(WORDS)).astype(np.uint16))
     n = max(len(data), 1)
     share = lambda which: (len(data) - len(data.translate(None, which))) / n
     lines = data.split(b"\n")
