@@ -168,7 +168,9 @@ def to_file_time(c: Column, kind: str = "timestamp") -> Column:
 def from_file_time(c: Column) -> Column:
     """The inverse; null for 0, negative, unreadable and out-of-range numbers."""
     n = c.try_cast("bigint")
-    return F.when((n > 0) & (n <= FILETIME_END), F.timestamp_micros(F.expr("0") + F.floor((n - F.lit(FILETIME_EPOCH)) / 10).cast("bigint")))
+    ticks = n - F.lit(FILETIME_EPOCH)
+    micros = F.call_function("div", ticks - F.pmod(ticks, F.lit(10)), F.lit(10))
+    return F.when((n > 0) & (n <= FILETIME_END), F.timestamp_micros(micros))
 
 
 def to_string(c: Column, kind: str = "string") -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import operator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -157,7 +156,3 @@ def apply_dml(table: DataFrame, changes: DataFrame, key: str, generated: str | N
     updated = updated.join(changes.filter("op = 'delete'").select(key), key, "left_anti")
     after = table.join(touched, key, "left_anti").select(*names).unionByName(updated.select(*names)).unionByName(inserts.select(*names))
     return after, inserts.select(*dict.fromkeys([key, *([generated] if generated else [])]))
-
-
-def any_of(columns: list[Column]) -> Column:
-    return functools.reduce(operator.or_, columns, F.lit(False))

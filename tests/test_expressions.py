@@ -42,6 +42,8 @@ CASES = [
     ('FormatDate(cs["When"], "dddd dd/MM/yyyy hh:mm tt \'at\' HH")', "Thursday 29/02/2024 01:05 PM at 13"),
     ('ToFileTime(cs["When"]) > 0 && Eq(FromFileTime(132223104000000000), "2020-01-01 00:00:00")', True),
     ("FromFileTime(0)", None),
+    ('ToFileTime(FromFileTime(132223104000000019)) - 132223104000000000', 10),
+    ('ToFileTime(FromFileTime(1)) + 1', 1),
     ('ToFileTime("no date")', None),
     ('ToFileTime("1600-01-01")', None),
     ('ToInt("x") + ToInt(" 12 ")', 12),
