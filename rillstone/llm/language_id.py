@@ -25,6 +25,8 @@ from rillstone.llm.common import map_rows, stored, words_of, work_dir
 #: What a character that is no piece counts against the floor of the seen ones.
 UNKNOWN = 1e-2
 MAX_LANGUAGES = 512
+#: Hashes of rows are compared modulo this.
+HASHES = 1 << 40
 _ASCII_LETTER = re.compile(r"[A-Za-z]")
 
 
@@ -194,6 +196,26 @@ def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return rows.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def largest_share(sizes: list[int], room: int) -> int:
+    """The most rows that every class may give so that all give at most `room`: rare classes give all they have."""
+    left = max(room, len(sizes))  # a row of each class at least
+    for k, n in enumerate(sorted(sizes)):
+        if n > (most := left // (len(sizes) - k)):
+            return most
+        left -= n
+    return max(sizes, default=0)
+
+
+def learning_sample(docs: DataFrame, sizes: dict[str, int], lang_col: str, order_by: str, max_docs: int) -> DataFrame:
+    """Of each language about equally many rows, those whose hash of `order_by` is least; of rare ones all."""
+    most = largest_share([*sizes.values()], max_docs)
+    bounds = [F.lit(x) for lang, n in sizes.items() if n > most for x in (lang, math.ceil(HASHES * most / n))]
+    if not bounds:
+        return docs
+    bound = F.coalesce(F.create_map(*bounds)[F.col(lang_col)], F.lit(HASHES))
+    return docs.filter(F.pmod(F.xxhash64(order_by), F.lit(HASHES)) < bound)
+
+
 def fit(
     docs: DataFrame,
     text_col: str = "text",
@@ -205,20 +227,20 @@ def fit(
 ) -> LanguageModel:
     """Fit piece probabilities on a bounded sample of labelled rows.
 
-    max_docs bounds the sample: about that many rows, those whose hash of `order_by` is least. rounds:
+    max_docs bounds the sample. Languages and priors come from a count of all labelled rows; each language has the
+    same share of the sample, a rarer one all its rows, so none is lost as the corpus grows. Within a language the
+    rows whose hash of `order_by` is least are learnt from. More than MAX_LANGUAGES languages are an error. rounds:
     expectation-maximisation steps, from uniform probabilities. Rows with a null language are not learnt from;
     with no labelled row the model has no language and answers `und`.
     """
     docs = docs.filter(F.col(lang_col).isNotNull())
-    total = docs.count()
-    share = F.pmod(F.xxhash64(order_by), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, max_docs / max(total, 1)))
-    sample = docs.filter(share)
+    priors = {r[0]: r[1] for r in docs.groupBy(lang_col).count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(priors) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sample = learning_sample(docs, priors, lang_col, order_by, max_docs)
     at = work_dir(docs.sparkSession)
     words = stored(word_counts(sample, text_col, lang_col), at, "words")
     pieces = load_pieces(vocabulary)
-    priors = {r[0]: r[1] for r in sample.groupBy(lang_col).count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(priors) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(priors)
     counts = np.zeros((len(pieces), len(languages)))
     for _ in range(rounds if languages else 0):

@@ -401,6 +401,19 @@ def test_language(spark, docs, none):
     assert {r["lang_pred"] for r in language_id.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_rare_language_is_learnt(spark):
+    rng = np.random.default_rng(0)
+    kinds = {"aa": ["the", "and", "house", "river"], "bb": ["und", "der", "haus", "fluss"], "cc": ["casa", "rio", "muy", "donde"]}
+    rows = [(i, " ".join(rng.choice(kinds[k], 12)), k) for i in range(6000) for k in ["cc" if i % 600 == 7 else ["aa", "bb"][i % 2]]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, max_docs=60)
+    assert model.languages == ["aa", "bb", "cc"] and np.allclose(np.exp(model.log_prior), [3000 / 6000, 2990 / 6000, 10 / 6000])
+    assert all(r["lang_pred"] == r["lang"] for r in language_id.predict(df, model).collect())
+    sample = {r[0]: r[1] for r in language_id.learning_sample(df, {"aa": 3000, "bb": 2990, "cc": 10}, "lang", "doc_id", 60).groupBy("lang").count().collect()}
+    assert sample["cc"] == 10 and 5 <= sample["aa"] <= 50 and 5 <= sample["bb"] <= 50
+    assert [language_id.largest_share(*x) for x in (([5, 100, 100], 25), ([1, 2], 9), ([4, 4], 1), ([], 5))] == [10, 2, 1, 0]
+
+
 # --- the queries ---
 
 
