@@ -453,3 +453,13 @@ def test_pipeline(spark, tmp_path, docs):
     assert {r["doc_id"] for r in near.collect()} - {r["doc_id"] for r in clean.collect()} == {1, 2, 3, 4, 5}
     out = corpus_pipeline.run(spark, d)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
+
+
+def test_pipeline_keeps_texts_without_labels(spark, docs):
+    import corpus_pipeline
+
+    ids = sorted(r[0] for r in ROWS if r[0] not in (6, 7, 8))
+    for lang in (None, "und"):
+        df = docs.withColumn("lang", F.lit(lang).cast("string"))
+        kept = corpus_pipeline.identify_language(spark, df, "")
+        assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == ids
