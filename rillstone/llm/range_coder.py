@@ -1,9 +1,9 @@
 """Adaptive context-mixing range coder for blocks of token ids.
 
 Every block is coded from fresh state. At each place, order-2 and order-1 contexts each predict the id that
-followed them last, and the order-0 context predicts the last few distinct ids of the block. A coded symbol says
-which prediction was right, or that none was; its frequencies mix the adaptive counts kept for the order-2
-state and for the order-1 and order-0 states. An id that nothing predicted follows with equal chances over the vocabulary.
+followed them last. A coded symbol says which prediction was right, or that none was; its frequencies mix the
+adaptive counts kept for the order-2 state and for the order-1 state. An id that neither predicted follows by order
+0: its high part, then its low byte given that, by adaptive counts of the block's ids that were coded so.
 
 The blocks of a chunk are coded in step, one numpy lane per block, by a carry-less range coder with 64-bit low
 and range that emits 16-bit words.
@@ -17,27 +17,63 @@ import zlib
 import numpy as np
 
 MAGIC = b"RSTK"
-VERSION = 1
-RECENT = 4
-SYMBOLS = RECENT + 3
+VERSION = 2
+SYMBOLS = 3
 ESCAPE = SYMBOLS - 1
 STEP = 24
-SLOTS = 1 << 9
+SLOTS = 1 << 12
+LONGEST, SHORTEST, LANES = 1 << 14, 1 << 12, 256
 U = np.uint64
 _TOP, _SMALL, _LOW, _W, _CUT = U(1 << 48), U(1 << 40), U((1 << 40) - 1), U(16), U(11)
 
 
+class Counts:
+    """Adaptive counts of symbols, a row for each context; sums over every 16 symbols keep the search short."""
+
+    def __init__(self, start: np.ndarray, lanes: int):
+        """start: the first counts of a lane's contexts, a row each."""
+        contexts, n = start.shape
+        self.groups = -(-n // 16)
+        cells = np.zeros((contexts, self.groups * 16), np.int32)
+        cells[:, :n] = start
+        self.cells = np.tile(cells.reshape(-1, 16), (lanes, 1))
+        self.sums = np.tile(cells.reshape(contexts, -1, 16).sum(2, dtype=np.int32), (lanes, 1))
+
+    def total(self, at: np.ndarray) -> np.ndarray:
+        self.over = self.sums.take(at, 0).cumsum(1, dtype=np.int32)
+        return self.over[:, -1]
+
+    def span(self, at: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cumulative frequency and frequency of symbols, after total(); they are counted then."""
+        g, k, rows = s >> 4, s & 15, np.arange(len(s))
+        cell = at * self.groups + g
+        freq = self.cells.ravel().take(cell * 16 + k)
+        ahead = self.cells.take(cell, 0).cumsum(1, dtype=np.int32)[rows, k] - freq
+        lo = self.over[rows, g] - self.sums.ravel().take(cell) + ahead
+        self.cells.ravel()[cell * 16 + k] += STEP
+        self.sums.ravel()[cell] += STEP
+        return lo.astype(U), freq.astype(U)
+
+    def find(self, at: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The symbols at cumulative frequencies, after total()."""
+        g, rows = (self.over <= v[:, None]).sum(1), np.arange(len(v))
+        cell = at * self.groups + g
+        v = v - self.over[rows, g] + self.sums.ravel().take(cell)
+        return g * 16 + (self.cells.take(cell, 0).cumsum(1, dtype=np.int32) <= v[:, None]).sum(1)
+
+
 class Model:
     """Adaptive state of some lanes; what it predicts depends only on the ids it was told."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, vocabulary: int):
         self.n = lanes
+        self.parts = -(-vocabulary // 256)
+        known = (np.arange(self.parts * 256) < vocabulary).astype(np.int32).reshape(-1, 256)
+        self.high, self.low = Counts(np.ones((1, self.parts), np.int32), lanes), Counts(known, lanes)
         self.rows = np.arange(lanes)
         # the id that followed a context last, times 4, plus how sure that is (0 to 3); -4: none yet
         self.one, self.two = (np.full(lanes * SLOTS, -4, np.int32) for _ in range(2))
         self.base = self.rows * SLOTS
-        self.recent = np.full(lanes * RECENT, -1, np.int32)  # a ring of distinct ids for each lane
-        self.next = np.zeros(lanes, np.int64)
         start = np.ones(SYMBOLS, np.int32)
         start[0], start[1], start[ESCAPE] = 8, 4, 16
         # counts by how sure order 2 is and whether order 1 agrees, and by how sure order 1 is and what held last
@@ -48,7 +84,7 @@ class Model:
         """Only the first lanes go on."""
         if lanes < self.n:
             self.n = lanes
-            for k in ("rows", "base", "next", "last", "before", "outcome"):
+            for k in ("rows", "base", "last", "before", "outcome"):
                 setattr(self, k, getattr(self, k)[:lanes])
 
     def look(self) -> np.ndarray:
@@ -65,22 +101,15 @@ class Model:
         mixed += self.f1.take(self.a1, 0)
         return mixed.cumsum(1, dtype=np.int32)
 
-    def ring(self) -> np.ndarray:
-        return self.recent.reshape(-1, RECENT)[: self.n]
-
     def symbol(self, ids: np.ndarray) -> np.ndarray:
-        same = self.ring() == ids[:, None]
-        s = np.where(same.any(1), same.argmax(1) + 2, ESCAPE)
+        s = np.full(len(ids), ESCAPE)
         s[self.c1 == ids] = 1
         s[self.c2 == ids] = 0
         return s
 
     def guess(self, s: np.ndarray) -> np.ndarray:
         """The ids that symbols name; -1 for escapes."""
-        ids = self.recent.take(self.rows * RECENT + np.clip(s - 2, 0, RECENT - 1))
-        ids = np.where(s == 1, self.c1, np.where(s == 0, self.c2, ids)).astype(np.int64)
-        ids[s == ESCAPE] = -1
-        return ids
+        return np.where(s == 1, self.c1, np.where(s == 0, self.c2, -1)).astype(np.int64)
 
     def learn(self, ids: np.ndarray, s: np.ndarray) -> None:
         self.f2.ravel()[self.a2 * SYMBOLS + s] += STEP
@@ -90,9 +119,6 @@ class Model:
             # a right guess is surer; a wrong one is less sure, and replaced once it is not sure at all
             old = (c << 2) + k
             slot[at] = np.where(c == ids, old + (k < 3), np.where(k > 0, old - 1, new))
-        fresh = np.flatnonzero((self.ring() != ids[:, None]).all(1))
-        self.recent[fresh * RECENT + self.next[fresh]] = ids[fresh]
-        self.next[fresh] = (self.next[fresh] + 1) % RECENT
         self.outcome = (s > 0) + (s == ESCAPE).astype(np.int64)
         self.before, self.last = self.last, ids
 
@@ -175,7 +201,7 @@ class Decoder:
 
 def block_length(tokens: int) -> int:
     """Short streams get shorter blocks, so that many lanes still go in step."""
-    return int(min(256, max(128, tokens // 4096)))
+    return int(min(LONGEST, max(SHORTEST, tokens // LANES)))
 
 
 def encode_ids(ids: np.ndarray, vocabulary: int, length: int | None = None) -> bytes:
@@ -192,7 +218,7 @@ def encode_ids(ids: np.ndarray, vocabulary: int, length: int | None = None) -> b
     full[: len(ids)] = ids
     full, rest = full.reshape(lanes, length), len(ids) - (lanes - 1) * length
     columns = np.ascontiguousarray(full.T)
-    m, e, one = Model(lanes), Encoder(lanes, 3 * length + 8), U(1)
+    m, e = Model(lanes, vocabulary), Encoder(lanes, 4 * length + 8)
     for t in range(length):
         if t == rest:
             m.shrink(lanes - 1)
@@ -206,7 +232,10 @@ def encode_ids(ids: np.ndarray, vocabulary: int, length: int | None = None) -> b
         lo = np.where(s > 0, cum.take(np.maximum(at - 1, 0)), 0)
         e.put(m.rows, lo.astype(U), (hi - lo).astype(U), cum[:, -1])
         if len(new := np.flatnonzero(s == ESCAPE)):
-            e.put(new, x[new].astype(U), one, vocabulary)
+            high, at = x[new] >> 8, new * m.parts + (x[new] >> 8)
+            for counts, rows, part in ((m.high, new, high), (m.low, at, x[new] & 255)):
+                total = counts.total(rows)
+                e.put(new, *counts.span(rows, part), total)
         m.learn(x, s)
     parts = e.end()
     sums = [zlib.crc32(ids[k * length : (k + 1) * length].astype("<u4").tobytes()) for k in range(lanes)]
@@ -229,7 +258,7 @@ def decode_ids(data: bytes) -> np.ndarray:
         parts.append(data[at : at + b])
         at += b
     columns, rest = np.zeros((length, lanes), np.int64), n - (lanes - 1) * length
-    m, d, one = Model(lanes), Decoder(parts), U(1)
+    m, d = Model(lanes, vocabulary), Decoder(parts)
     for t in range(length):
         if t == rest:
             m.shrink(lanes - 1)
@@ -244,9 +273,12 @@ def decode_ids(data: bytes) -> np.ndarray:
         d.take(m.rows, lo.astype(U), (hi - lo).astype(U))
         x = m.guess(s)
         if len(new := np.flatnonzero(s == ESCAPE)):
-            got = d.value(new, vocabulary)
-            d.take(new, got.astype(U), one)
-            x[new] = got
+            part = np.zeros(len(new), np.int64)
+            for counts in (m.high, m.low):
+                high, rows = part, new if counts is m.high else new * m.parts + part
+                part = counts.find(rows, d.value(new, counts.total(rows)))
+                d.take(new, *counts.span(rows, part))
+            x[new] = high * 256 + part
         columns[t, : m.n] = x
         m.learn(x, s)
     ids = columns.T.ravel()[:n]

@@ -22,7 +22,7 @@ from rillstone.llm.common import map_rows, work_dir
 from rillstone.llm.range_coder import decode_ids, encode_ids
 
 #: A chunk is closed when it has this many ids; a document is never cut.
-CHUNK_IDS = 1 << 20
+CHUNK_IDS = 1 << 22
 #: Places where the byte-level pre-tokenizer always parts tokens: before one space between two other characters than
 #: white space, around one line feed between such, and where letters or digits end before a mark (not an apostrophe).
 _PARTS = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<=[^\W_])(?=[!-&(-/:-@\[-^`{-~])")

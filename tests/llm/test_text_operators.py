@@ -104,6 +104,15 @@ def test_range_coder_learns_and_checks():
         range_coder.encode_ids(np.array([7]), 7)
 
 
+def test_range_coder_models_id_frequencies():
+    rng = np.random.default_rng(0)
+    ids = np.minimum(rng.zipf(1.3, 100_000), 50_256)
+    data = range_coder.encode_ids(ids, 50_257)  # blocks as in production
+    share = np.bincount(ids)[ids] / len(ids)
+    assert (range_coder.decode_ids(data) == ids).all() and len(data) * 8 / len(ids) < 1.25 * -np.log2(share).mean()
+    assert [range_coder.block_length(n) for n in (0, 100_000, 1 << 21, 1 << 22, 1 << 30)] == [4096, 4096, 8192, 16_384, 16_384]
+
+
 ODD = ["a  b", "a\n b", " ", "\n\n a", "tab\ty", "<|endoftext|> a", "x <|endoftext|>.y", "it's 'll.'s", "1 2  33,4", "x  y", "a\x85 b", "don't.", "a\r\nb", "ñ é", "²!"]
 
 
