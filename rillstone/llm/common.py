@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -20,6 +22,9 @@ _WORD_BYTES = bytes(
 )
 _LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
+#: Rows of an Arrow batch that are turned to Python objects at once.
+SLICE = 256
+
 #: Salts over which the rows of one key are spread before they meet.
 SALTS = 64
 
@@ -76,14 +81,34 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_memory: dict[str, object] = {}
+
+
+def remembered(name: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task under a name. It keeps one thing: that of another operator goes first."""
+    if name not in _memory:
+        _memory.clear()
+        _hashes.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _memory[name] = make()
+    return _memory[name]
+
+
 @functools.cache
 def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="rillstone-")
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder in the shared folder that the session names; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """A new folder in the shared folder that the session names in spark.checkpoint.dir.
+
+    Where none is set, a temporary one, under a local master only: executors elsewhere couldn't read each other's files.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or _own_dir()
     return f"{root.rstrip('/')}/rillstone-{uuid.uuid4().hex}"
 
 
@@ -94,14 +119,16 @@ def stored(df: DataFrame, at: str, name: str) -> DataFrame:
 
 
 def map_rows(
-    df: DataFrame, fn: Callable[[dict[str, list]], Iterable[dict]], schema: str, arrow: pa.Schema
+    df: DataFrame, fn: Callable[[dict[str, list]], Iterable[dict]], schema: str, arrow: pa.Schema, rows: int = 10_000
 ) -> DataFrame:
-    """mapInArrow over whole partitions: fn takes the columns of a batch and yields columns of result batches."""
+    """mapInArrow over whole partitions: fn takes the columns of `rows` rows and yields columns of result batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for out in fn({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}):
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        for whole in batches:
+            for i in range(0, whole.num_rows, rows):
+                b = whole.slice(i, rows)
+                for out in fn({n: b.column(k).to_pylist() for k, n in enumerate(b.schema.names)}):
+                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

@@ -15,10 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillstone.llm.common import map_rows, stored, words_of, work_dir
+from rillstone.llm.common import SLICE, encode, map_rows, stored, words_of, work_dir
 
 #: A segment is closed when it has this many words; a longer document is a segment by itself.
 SEGMENT_WORDS = 400_000
@@ -27,11 +27,12 @@ BLOCK_WORDS = 1_000_000
 #: Candidate positions examined at once.
 CHUNK = 1 << 20
 
-_INDEX = "segment string, ids array<long>, sizes array<long>, terms array<binary>, counts array<int>, postings binary"
+_INDEX = "segment string, ids array<long>, digests array<binary>, sizes array<long>, terms array<binary>, counts array<int>, postings binary"
 _INDEX_ARROW = pa.schema(
     [
         ("segment", pa.string()),
         ("ids", pa.list_(pa.int64())),
+        ("digests", pa.list_(pa.binary())),
         ("sizes", pa.list_(pa.int64())),
         ("terms", pa.list_(pa.binary())),
         ("counts", pa.list_(pa.int32())),
@@ -51,7 +52,7 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
 
 
-def segment_of(ids: list, words: list[list[bytes]]) -> dict:
+def segment_of(name: str, ids: list, words: list[list[bytes]], digests: list[bytes]) -> dict:
     """The columns of one index row."""
     names: dict[bytes, int] = {}
     sizes = [len(w) for w in words]
@@ -62,10 +63,10 @@ def segment_of(ids: list, words: list[list[bytes]]) -> dict:
     deltas = np.diff(at[order], prepend=0)
     first = np.cumsum(counts) - counts
     deltas[first] = at[order][first]
-    name = hashlib.blake2b(repr((ids, sizes)).encode() + pack(deltas), digest_size=16).hexdigest()
     return {
         "segment": [name],
         "ids": [ids],
+        "digests": [digests],
         "sizes": [sizes],
         "terms": [[*names]],
         "counts": [counts.astype(np.int32)],
@@ -74,21 +75,46 @@ def segment_of(ids: list, words: list[list[bytes]]) -> dict:
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The index of docs' whole texts, a row per segment. A document without words is in it with size 0."""
+    """The index of docs' whole texts, a row per segment. A document without words is in it with size 0.
 
-    def run(x: dict) -> Iterator[dict]:
-        ids, words, size = [], [], 0
-        for i, t in zip(x["i"], x["t"], strict=True):
-            ids.append(i)
-            words.append(words_of(t))
-            size += len(words[-1]) + 1
-            if size >= SEGMENT_WORDS:
-                yield segment_of(ids, words)
-                ids, words, size = [], [], 0
+    A segment is named by its task and its place there, so segments are distinct also where rows repeat.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, seq = TaskContext.get().partitionId(), 0
+        ids, words, digests, size = [], [], [], 0
+
+        def closed() -> pa.RecordBatch:
+            row = segment_of(f"{part}-{seq}", ids, words, digests)
+            return pa.RecordBatch.from_arrays([pa.array(row[f.name], f.type) for f in _INDEX_ARROW], schema=_INDEX_ARROW)
+
+        for whole in batches:
+            for k in range(0, whole.num_rows, SLICE):
+                b = whole.slice(k, SLICE)
+                for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    ids.append(i)
+                    words.append(words_of(t))
+                    digests.append(text_digest(t))
+                    size += len(words[-1]) + 1
+                    if size >= SEGMENT_WORDS:
+                        yield closed()
+                        seq, ids, words, digests, size = seq + 1, [], [], [], 0
         if ids:
-            yield segment_of(ids, words)
+            yield closed()
+
+    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(run, _INDEX)
+
+
+def text_digest(text: str | None) -> bytes:
+    """The md5 of a text; null is empty."""
+    return hashlib.md5(encode(text), usedforsecurity=False).digest()
+
 
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")), run, _INDEX, _INDEX_ARROW)
+def digest_of(text_col: str) -> Column:
+    """text_digest as a column."""
+    return F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")))
 
 
 @dataclass
@@ -201,12 +227,13 @@ class Segment:
         return np.searchsorted(self.base, at, "right") - 1
 
 
-_MATCH = "segment string, ord int, doc_id long, n_words long, starts array<long>, ends array<long>, items array<long>"
+_MATCH = "segment string, ord int, doc_id long, digest binary, n_words long, starts array<long>, ends array<long>, items array<long>"
 _MATCH_ARROW = pa.schema(
     [
         ("segment", pa.string()),
         ("ord", pa.int32()),
         ("doc_id", pa.int64()),
+        ("digest", pa.binary()),
         ("n_words", pa.int64()),
         ("starts", pa.list_(pa.int64())),
         ("ends", pa.list_(pa.int64())),
@@ -223,8 +250,8 @@ def _match_block(index: DataFrame, block: Block) -> DataFrame:
 
     def run(x: dict) -> Iterator[dict]:
         b = spread.value
-        for row in zip(*(x[k] for k in ("segment", "ids", "sizes", "terms", "counts", "postings")), strict=True):
-            seg = Segment(*row[1:], b.vocabulary)
+        for row in zip(*(x[k] for k in ("segment", "digests", "ids", "sizes", "terms", "counts", "postings")), strict=True):
+            seg = Segment(*row[2:], b.vocabulary)
             window, start = seg.phrases(b)
             doc = seg.doc_of(start)
             order = np.lexsort((start, doc))
@@ -238,7 +265,7 @@ def _match_block(index: DataFrame, block: Block) -> DataFrame:
                 out["ends"].append(last)
                 out["items"].append(sorted({b.items[i] for i in np.unique(b.item[w])}))
             ords = [*range(len(seg.ids))]
-            yield {"segment": [row[0]] * len(ords), "ord": ords, "doc_id": seg.ids, "n_words": seg.sizes} | out
+            yield {"segment": [row[0]] * len(ords), "ord": ords, "doc_id": seg.ids, "digest": row[1], "n_words": seg.sizes} | out
 
     return map_rows(index, run, _MATCH, _MATCH_ARROW)
 
@@ -267,9 +294,9 @@ def matches(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_co
         many = k > 0
     if found is None:
         none = F.array().cast("array<long>")
-        docs = index.select("segment", F.posexplode(F.arrays_zip("ids", "sizes")).alias("ord", "d"))
+        docs = index.select("segment", F.posexplode(F.arrays_zip("ids", "digests", "sizes")).alias("ord", "d"))
         return docs.select(
-            "segment", "ord", F.col("d.ids").alias("doc_id"), F.col("d.sizes").alias("n_words"),
+            "segment", "ord", F.col("d.ids").alias("doc_id"), F.col("d.digests").alias("digest"), F.col("d.sizes").alias("n_words"),
             none.alias("starts"), none.alias("ends"), none.alias("items"),
         )
     if not many:
@@ -284,9 +311,9 @@ def matches(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_co
             out["starts"].append(first)
             out["ends"].append(last)
             out["items"].append(sorted({y for z in i for y in z}))
-        yield {k: x[k] for k in ("segment", "ord", "doc_id", "n_words")} | out
+        yield {k: x[k] for k in keys} | out
 
-    keys = ["segment", "ord", "doc_id", "n_words"]
+    keys = ["segment", "ord", "doc_id", "digest", "n_words"]
     by = found.groupBy(*keys).agg(*(F.collect_list(c).alias(c) for c in ("starts", "ends", "items")))
     return map_rows(by, unite, _MATCH, _MATCH_ARROW)
 
@@ -294,7 +321,9 @@ def matches(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_co
 def proximity(index: DataFrame, queries: list[tuple[str, list[str]]], within: int) -> DataFrame:
     """(query, doc_id, start, end): least spans of at most `within` words that hold all words of a query, in any order.
 
-    queries: (name, words), broadcast. A span is least when no shorter span inside it holds all the words.
+    queries: (name, words), broadcast. A span is least when no shorter span inside it holds all the words. A word that
+    repeats counts once; a query without words finds nothing; documents without words, repeated ones and null ids are
+    treated like all others; an empty index gives no rows.
     """
     asked = [(name, sorted({w for t in words for w in words_of(t)})) for name, words in queries]
     spread = index.sparkSession.sparkContext.broadcast(asked)
@@ -337,11 +366,13 @@ def proximity(index: DataFrame, queries: list[tuple[str, list[str]]], within: in
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """A row per document: n_words, n_hit (words inside an occurrence of a window), n_items, items, contaminated.
+    """A row per document: doc_id, digest, n_words, n_hit (words inside an occurrence of a window), n_items, items, contaminated.
 
-    Null and wordless texts have no words and are clean; a benchmark item without words or id names nothing.
-    Repeated rows each get their row; items of equal text are all named.
+    digest is the text's md5, by which a verdict finds its rows also where ids are null or shared. Null, empty and
+    wordless texts have no words and are clean; a benchmark item without words or id names nothing. Repeated rows
+    each get their row, however many blocks the benchmark takes; items of equal text are all named. Texts are indexed
+    whole; an empty table gives no rows, an empty benchmark no hits. Only the id and the text of docs are read.
     """
     found = matches(build_index(docs), benchmark, window=window)
     hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
-    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", (hit > 0).alias("contaminated"))
+    return found.select("doc_id", "digest", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", (hit > 0).alias("contaminated"))

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rillstone.llm.common import map_rows, stored, words_of, work_dir
+from rillstone.llm.common import SLICE, map_rows, remembered, stored, words_of, work_dir
 
 #: What a character that is no piece counts against the floor of the seen ones.
 UNKNOWN = 1e-2
@@ -51,10 +52,12 @@ def spelled(word: bytes) -> str:
     return "▁" + word.decode("utf-8", "replace")
 
 
-#: Words of more characters are cut into stretches of this many, between which no piece reaches.
-STRETCH = 40
-#: Sums are carried times this to the number of characters, so that stretches neither vanish nor overflow.
+#: Words of up to this many characters are summed as they are, times GAIN to the number of characters so that sums
+#: neither vanish nor overflow; longer ones by logarithms of the sums.
+PLAIN = 40
 GAIN = 1e5
+#: Characters of long words that are summed in step.
+CELLS = 1 << 18
 _STEP, _SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,21 +90,40 @@ class PieceIndex:
         return found
 
 
-def stretches(words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, numbers of the words, code points): all stretches, those of one length together, a row each."""
-    by: dict[int, tuple[list[int], list[str]]] = defaultdict(lambda: ([], []))
+def by_length(words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, numbers of the words, code points) of the words up to PLAIN, those of one length together, a row each."""
+    by: dict[int, list[int]] = defaultdict(list)
     for k, w in enumerate(words):
-        for i in range(0, len(w), STRETCH):
-            part = w[i : i + STRETCH]
-            rows, parts = by[len(part)]
-            rows.append(k)
-            parts.append(part)
-    for n, (rows, parts) in by.items():
+        if len(w) <= PLAIN:
+            by[len(w)].append(k)
+    for n, rows in by.items():
         for i in range(0, len(rows), 4096):
-            codes = np.frombuffer("".join(parts[i : i + 4096]).encode("utf-32-le", "surrogatepass"), "<u4")
+            codes = np.frombuffer("".join(words[k] for k in rows[i : i + 4096]).encode("utf-32-le", "surrogatepass"), "<u4")
             yield n, np.array(rows[i : i + 4096]), codes.reshape(-1, n)
 
 
+def long_words(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(numbers of the words, lengths, code points, 0 behind the end) of the words beyond PLAIN, of like lengths together."""
+    rows = sorted((k for k, w in enumerate(words) if len(w) > PLAIN), key=lambda k: -len(words[k]))
+    while rows:
+        n = len(words[rows[0]])
+        some, rows = rows[: max(1, CELLS // n)], rows[max(1, CELLS // n) :]
+        codes = np.zeros((len(some), n), np.uint32)
+        for k, w in enumerate(some):
+            codes[k, : len(words[w])] = np.frombuffer(words[w].encode("utf-32-le", "surrogatepass"), "<u4")
+        yield np.array(some), np.array([len(words[k]) for k in some]), codes
+
+
+def ends(codes: np.ndarray, model: LanguageModel) -> Iterator[np.ndarray]:
+    """For each place, the pieces that end there, a row for each length from 1 on: -1 is none, or an unknown character."""
+    h = np.zeros((model.longest + 1, len(codes)), np.uint64)
+    for i in range(codes.shape[1]):
+        h[1:] = h[:-1] * _STEP + (codes[:, i].astype(np.uint64) + np.uint64(1))
+        ids = model.index.find(h[1:].ravel()).reshape(model.longest, -1)
+        ids[i + 1 :] = -1
+        yield ids
+
+
 def arcs(codes: np.ndarray, index: PieceIndex, longest: int) -> dict[tuple[int, int], np.ndarray]:
     """(start, end) -> the piece that stands there in each row, or -1."""
     found, n = {}, codes.shape[1]
@@ -119,7 +141,7 @@ def arcs(codes: np.ndarray, index: PieceIndex, longest: int) -> dict[tuple[int,
 def forward(words: list[str], model: LanguageModel) -> np.ndarray:
     """ln of the sum over all segmentations of each word of the product of its pieces' probabilities, a column a language."""
     out = np.zeros((len(words), len(model.languages)))
-    for n, rows, codes in stretches(words):
+    for n, rows, codes in by_length(words):
         sums = np.zeros((n + 1, len(rows), len(model.languages)))
         sums[0] = 1.0
         spans = arcs(codes, model.index, model.longest)
@@ -129,14 +151,26 @@ def forward(words: list[str], model: LanguageModel) -> np.ndarray:
             else:
                 on = np.flatnonzero(ids >= 0)
                 sums[i, on] += sums[j, on] * model.prob[ids[on]] * GAIN ** (i - j)
-        np.add.at(out, rows, np.log(sums[n]) - n * math.log(GAIN))
+        out[rows] = np.log(sums[n]) - n * math.log(GAIN)
+    for rows, sizes, codes in long_words(words):
+        # ln of the sums of the last places, the latest first
+        ring = np.full((model.longest, len(rows), len(model.languages)), -np.inf)
+        ring[0] = 0.0
+        for i, ids in enumerate(ends(codes, model)):
+            prob = np.where(ids[:, :, None] >= 0, model.prob[ids], 0.0)
+            prob[0] = np.where(ids[0, :, None] >= 0, prob[0], model.unknown)
+            new = ring[0] + np.log((np.exp(ring - ring[0]) * prob).sum(0))
+            ring = np.roll(ring, 1, 0)
+            ring[0] = new
+            done = sizes == i + 1
+            out[rows[done]] = new[done]
     return out
 
 
 def expected_counts(words: list[str], lang: np.ndarray, n_words: np.ndarray, model: LanguageModel) -> np.ndarray:
     """Expected number of uses of each piece (a row) by each language (a column) over all segmentations of its words."""
     total = np.zeros((len(model.prob), len(model.languages)))
-    for n, rows, codes in stretches(words):
+    for n, rows, codes in by_length(words):
         of, times = lang[rows], n_words[rows]
         spans = sorted(arcs(codes, model.index, model.longest).items(), key=lambda x: x[0][1])
         prob = {k: np.where(ids >= 0, model.prob[ids, of], model.unknown[of] if k[1] == k[0] + 1 else 0.0) * GAIN ** (k[1] - k[0]) for k, ids in spans}
@@ -149,6 +183,26 @@ def expected_counts(words: list[str], lang: np.ndarray, n_words: np.ndarray, mod
             use = prob[j, i] * back[i]
             back[j] += use
             np.add.at(total, (ids[ids >= 0], of[ids >= 0]), (ahead[j] * use)[ids >= 0])
+    for rows, sizes, codes in long_words(words):
+        of, times, n = lang[rows], n_words[rows], codes.shape[1]
+        found = np.array([*ends(codes, model)])
+        with np.errstate(divide="ignore"):
+            log = np.where(found >= 0, np.log(model.prob[found, of]), -np.inf)
+        log[:, 0] = np.where(found[:, 0] >= 0, log[:, 0], np.log(model.unknown[of]))
+        ahead, back = np.full((n + 1, len(rows)), -np.inf), np.full((n + 1, len(rows)), -np.inf)
+        ahead[0] = 0.0
+        for i in range(1, n + 1):
+            m = min(i, model.longest)
+            ahead[i] = np.logaddexp.reduce(ahead[i - m : i][::-1] + log[i - 1, :m], 0)
+        back[sizes, np.arange(len(rows))] = 0.0
+        whole = ahead[sizes, np.arange(len(rows))]
+        for i in range(n, 0, -1):
+            m = min(i, model.longest)
+            on = log[i - 1, :m] + back[i]
+            use = np.exp(ahead[i - m : i][::-1] + on - whole) * times
+            hit = (found[i - 1, :m] >= 0) & (sizes >= i)
+            np.add.at(total, (found[i - 1, :m][hit], np.broadcast_to(of, hit.shape)[hit]), use[hit])
+            back[i - m : i] = np.logaddexp(back[i - m : i], on[::-1])
     return total
 
 
@@ -184,8 +238,10 @@ def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array([has_letter(t) for t in b.column(at).to_pylist()], pa.bool_()))
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                b = whole.slice(i, SLICE)
+                yield b.filter(pa.array([has_letter(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -277,17 +333,18 @@ def fit(
 class WordScores:
     """Log-likelihoods of words, each computed once per worker while they fit in memory."""
 
-    LIMIT = 1_000_000
+    LIMIT = 250_000
 
     def __init__(self, model: LanguageModel):
         self.model = model
-        self.rows = np.empty((1024, len(model.languages)))
+        self.rows = np.empty((4096, len(model.languages)))
         self.at: dict[bytes, int] = {}
+        self.limit = min(self.LIMIT, 64_000_000 // (8 * max(len(model.languages), 1)))
 
     def meet(self, words: set[bytes]) -> None:
         """Score words not met yet; before that, forget all where they would be too many."""
         new = [w for w in words if w not in self.at]
-        if len(self.at) + len(new) > self.LIMIT:
+        if len(self.at) + len(new) > self.limit:
             self.at.clear()
             new = [*words]
         n = len(self.at)
@@ -295,53 +352,64 @@ class WordScores:
             grown = np.empty((max(2 * len(self.rows), n + len(new)), self.rows.shape[1]))
             grown[:n] = self.rows[:n]
             self.rows = grown
-        self.rows[n : n + len(new)] = forward([*map(spelled, new)], self.model)
+        for i in range(0, len(new), 16_384):
+            some = new[i : i + 16_384]
+            self.rows[n + i : n + i + len(some)] = forward([*map(spelled, some)], self.model)
         self.at.update((w, n + k) for k, w in enumerate(new))
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(0)
 
 
-_scores: dict[str, WordScores] = {}
-
-
-def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """keep's columns, lang_pred and score, a row per row of docs.
-
-    A text that is null or has no letter, or any text under a model without languages, is `und` with score 0.
-    The score is the posterior probability of the language given. Ties go to the first language in order.
+def judged(texts: list[str | None], scores: WordScores) -> tuple[list[str], list[float]]:
+    """The language and score of each text."""
+    m, langs, sure = scores.model, [], []
+    each = [words_of(t) if m.languages and has_letter(t) else [] for t in texts]
+    scores.meet(set().union(*each))
+    for words in each:
+        if not words:
+            langs.append("und")
+            sure.append(0.0)
+            continue
+        x = scores.of(words) + m.log_prior
+        best = int(x.argmax())
+        langs.append(m.languages[best])
+        sure.append(float(1 / np.exp(x - x[best]).sum()))
+    return langs, sure
+
+
+def predict(
+    docs: DataFrame,
+    model: LanguageModel,
+    text_col: str = "text",
+    keep: list[str] | None = None,
+    names: tuple[str, str] = ("lang_pred", "score"),
+) -> DataFrame:
+    """keep's columns, then the language and its score (called `names`), a row per row of docs.
+
+    A text that is null, empty or has no letter, or any text under a model without languages, is `und` with score 0.
+    The score is the posterior probability of the language given. Ties go to the first language in order; equal texts
+    have equal answers; an empty table gives none. Long texts and long words are summed whole. Where docs has columns
+    with these names itself and they are kept, choose others by `names`.
     """
     keep = docs.columns if keep is None else keep
     spread = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*keep, F.col(text_col).alias("_text"))
-    fields = [f for f in source.schema.fields if f.name != "_text"]
+    at, extra = [*keep, text_col].index(text_col), [] if text_col in keep else [F.col(f"`{text_col}`")]
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], *extra)
+    fields = source.schema.fields[: len(keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = spread.value
-        if m.name not in _scores:  # a worker's memo serves its later tasks too
-            _scores.clear()
-            _scores[m.name] = WordScores(m)
-        scores = _scores[m.name]
-        for b in batches:
-            langs, sure = [], []
-            texts = b.column(b.num_columns - 1).to_pylist()
-            each = [words_of(t) if m.languages and has_letter(t) else [] for t in texts]
-            for k, words in enumerate(each):
-                if k % 512 == 0:  # new words are scored many at a time
-                    scores.meet(set().union(*each[k : k + 512]))
-                if not words:
-                    langs.append("und")
-                    sure.append(0.0)
-                    continue
-                x = scores.of(words) + m.log_prior
-                best = int(x.argmax())
-                langs.append(m.languages[best])
-                sure.append(float(1 / np.exp(x - x[best]).sum()))
-            cols = b.columns[:-1] + [pa.array(langs, pa.string()), pa.array(sure, pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields] + ["lang_pred", "score"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return source.mapInArrow(run, (schema + ", " if schema else "") + "lang_pred string, score double")
+        scores = remembered(m.name, lambda: WordScores(m))
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):  # only a slice's words are held at once
+                b = whole.slice(i, SLICE)
+                langs, sure = judged(b.column(at).to_pylist(), scores)
+                cols = b.columns[: len(fields)] + [pa.array(langs, pa.string()), pa.array(sure, pa.float64())]
+                yield pa.RecordBatch.from_arrays(cols, names=[*(f.name for f in fields), *names])
+
+    schema = T.StructType([*fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return source.mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
@@ -353,4 +421,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", **fitting) -> DataFrame:
     """Learn from the rows of docs that are not held out, and predict all: id, held_out, lang_pred, score."""
     model = fit(docs.filter(~held_out(id_col)), order_by=id_col, **fitting)
     flagged = docs.select(id_col, "text", held_out(id_col).alias("held_out"))
-    return predict(flagged, model, keep=[id_col, "held_out"])
+    return predict(flagged, model, keep=[id_col, "held_out"])  # no other column goes to Python

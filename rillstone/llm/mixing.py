@@ -33,7 +33,7 @@ def source_rates(
     target is the source's number of documents to the power of `temperature`. The expected number of copies in
     all is epochs times the number of documents. A null source is a source like any other, named only by None.
     """
-    sizes = docs.groupBy(F.col(source_col).alias("_source")).agg(F.count("*").cast("double").alias("_n"))
+    sizes = docs.select(F.col(source_col).alias("_source")).groupBy("_source").agg(F.count("*").cast("double").alias("_n"))
     if weights is None:
         sizes = sizes.withColumn("_w", F.pow("_n", F.lit(float(temperature))))
     else:
@@ -70,26 +70,30 @@ def mix_sources(
     """docs' rows, each as often as its Poisson number says, with copy_no (from 1) and shuffle_key, in random order.
 
     Partitions hold random shares of the copies, ascending by shuffle_key (an md5). Rows with equal ids have equal
-    numbers; a null id counts as one id. Columns of docs named copy_no or shuffle_key are replaced. An empty table,
-    or weights that name no source of it, give no rows.
+    numbers; a null id counts as one id. Columns of docs named copy_no or shuffle_key are replaced; all others stay as
+    they are, whatever their names. An empty table, or weights that name no source of it, give no rows. Texts are not
+    looked at, so null, empty and long ones are rows like any others.
     """
+    # docs' own columns go by number meanwhile, so that no name of theirs meets one used here
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    own, source = F.col(f"c{docs.columns.index(id_col)}"), F.col(f"c{docs.columns.index(source_col)}")
+    columns = [f"c{i}" for i, c in enumerate(docs.columns) if c not in ("copy_no", "shuffle_key")]
     rates = source_rates(docs, weights, temperature, epochs, source_col)
-    columns = [c for c in docs.columns if c not in ("copy_no", "shuffle_key")]
-    rows = docs.select(*columns, F.col(source_col).alias("_of"), F.lit(seed).alias("_seed"))
     if rates.count() <= BROADCAST_SOURCES:
-        rows = rows.join(F.broadcast(rates), F.col("_of").eqNullSafe(F.col("_source")))
+        rows = plain.join(F.broadcast(rates), source.eqNullSafe(F.col("_source")))
     else:  # a source may hold any share of the rows: spread each over salts
-        salt = F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")
+        salt = F.pmod(F.xxhash64(own), F.lit(SALTS)).cast("int")
         spread = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("_at", salt).join(spread, F.col("_of").eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("_salt")))
+        rows = plain.withColumn("_at", salt).join(spread, source.eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("_salt")))
 
     def drawn(k: Column) -> Column:
-        u = uniform(F.col("_seed"), F.col(id_col), k)
+        u = uniform(F.lit(seed), own, k)
         return F.size(F.filter("_cdf", lambda c: c <= u))
 
     copies = F.aggregate(F.sequence(F.lit(1), F.col("_pieces")), F.lit(0), lambda acc, k: acc + drawn(k))
     rows = rows.withColumn("_copies", copies).filter(F.col("_copies") > 0)
-    rows = rows.select(*columns, "_seed", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy_no"))
-    key = F.concat_ws("|", F.lit("order"), "_seed", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "copy_no")
-    rows = rows.withColumn("shuffle_key", F.md5(key.cast("binary"))).drop("_seed")
-    return rows.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    rows = rows.select(*columns, own.alias("_id"), F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy_no"))
+    key = F.concat_ws("|", F.lit("order"), F.lit(seed), F.coalesce(F.col("_id").cast("string"), F.lit("null")), "copy_no")
+    rows = rows.withColumn("shuffle_key", F.md5(key.cast("binary"))).drop("_id")
+    rows = rows.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return rows.toDF(*(docs.columns[int(c[1:])] for c in columns), "copy_no", "shuffle_key")

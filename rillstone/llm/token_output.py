@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.llm.common import map_rows, work_dir
+from rillstone.llm.common import map_rows, remembered, work_dir
 from rillstone.llm.range_coder import decode_ids, encode_ids
 
 #: A chunk is closed when it has this many ids; a document is never cut.
@@ -53,7 +53,7 @@ class Ids:
     """Ids of texts by a byte-level BPE of the tokenizers library. Pieces of texts are encoded once per worker and
     remembered while they fit."""
 
-    LIMIT = 800_000
+    LIMIT = 300_000
 
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
@@ -84,15 +84,10 @@ class Ids:
                 yield np.concatenate([np.frombuffer(b"".join(map(get, parts)), "<u4"), self.end])
 
 
-_workers: dict[tuple, Ids] = {}
-
-
 def worker_ids(path: str, end: int) -> Ids:
     """This worker's tokenizer, which keeps what it remembers for later tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if (path, end) not in _workers:
-        _workers[path, end] = Ids(path, end)
-    return _workers[path, end]
+    return remembered(f"ids {end} {path}", lambda: Ids(path, end))
 
 
 def chunk_bytes(docs: list[int | None], sizes: list[int], ids: np.ndarray, vocabulary: int) -> bytes:

@@ -164,6 +164,11 @@ def test_decontamination(spark, docs, monkeypatch):
         monkeypatch.setattr(decontaminate, "BLOCK_WORDS", size)
         got = sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.decontaminate(d, b).collect())
         assert got == want
+        # repeated rows in several partitions keep their rows; rows without an id or that share one have their own verdicts
+        odd = [(1, texts[0][1]), (1, texts[0][1]), (1, "clean"), (None, texts[1][1]), (None, "clean too"), (1, texts[0][1])]
+        rows = decontaminate.decontaminate(spark.createDataFrame(odd, "doc_id long, text string").repartition(3), b).collect()
+        clean = {hashlib.md5(t.encode()).digest() for t in ("clean", "clean too")}
+        assert len(rows) == len(odd) and all(r["contaminated"] != (bytes(r["digest"]) in clean) for r in rows)
     assert decontaminate.decontaminate(docs, b.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.decontaminate(docs, b).count() == len(ROWS) and decontaminate.decontaminate(docs.limit(0), b).count() == 0
 
@@ -369,31 +374,37 @@ def test_weighted_samples_agree_as_jaccard():
 
 
 def slow_forward(s, m):
-    probs = {p: m.prob[i] for i, p in enumerate(m.pieces)}
-    total = 0.0
-    for at in range(0, len(s), language_id.STRETCH):
-        t = s[at : at + language_id.STRETCH]
-        sums = [np.ones(len(m.languages))]
-        for i in range(1, len(t) + 1):
-            now = np.zeros(len(m.languages))
-            for j in range(i):
-                p = probs.get(t[j:i], m.unknown if j == i - 1 else None)
-                if p is not None:
-                    now = now + sums[j] * p
-            sums.append(now)
-        total = total + np.log(sums[-1])
-    return total
+    probs = {p: np.log(m.prob[i]) for i, p in enumerate(m.pieces)}
+    sums = [np.zeros(len(m.languages))]
+    for i in range(1, len(s) + 1):
+        now = np.full(len(m.languages), -np.inf)
+        for j in range(i):
+            p = probs.get(s[j:i], np.log(m.unknown) if j == i - 1 else None)
+            if p is not None:
+                now = np.logaddexp(now, sums[j] + p)
+        sums.append(now)
+    return sums[-1]
 
 
 def test_forward_sums_all_segmentations():
     pieces = ["a", "b", "ab", "aba", "▁", "▁a", "bb"]
     m = language_id.LanguageModel(["x", "y"], [1, 1], np.random.default_rng(0).random((7, 2)), pieces)
-    words = ["▁abab", "▁", "▁zab", "▁" + "ab" * 70, "▁é"]
+    words = ["▁abab", "▁", "▁zab", "▁" + "ab" * 100, "▁é", "▁" + "ab" * 20 + "zé" + "bba" * 30]
     got = language_id.forward(words, m)
     assert np.allclose(got, [slow_forward(w, m) for w in words])
     uses = language_id.expected_counts(words[:2], np.array([0, 1]), np.array([2.0, 1.0]), m)
     lengths = np.array([len(p) for p in pieces])
     assert np.isclose(uses[:, 0] @ lengths, 10) and np.isclose(uses[:, 1] @ lengths, 1)
+    # long words, alone and together, by the same rule: the derivative of the log-likelihood by a piece's logarithm
+    for some in ([3], [3, 5], [0, 3, 5]):
+        n = np.array([2.0, 1.0, 3.0])[: len(some)]
+        uses = language_id.expected_counts([words[k] for k in some], np.zeros(len(some), int), n, m)[:, 0]
+        for i in range(len(pieces)):
+            up = language_id.LanguageModel(["x", "y"], [1, 1], np.zeros((7, 2)), pieces)
+            up.prob, up.unknown = m.prob.copy(), m.unknown
+            up.prob[i] *= np.exp(1e-6)
+            change = n @ (language_id.forward([words[k] for k in some], up) - language_id.forward([words[k] for k in some], m))[:, 0]
+            assert np.isclose(uses[i], change / 1e-6, rtol=1e-3, atol=1e-3)
 
 
 def test_language(spark, docs, none):
@@ -472,3 +483,35 @@ def test_pipeline_keeps_texts_without_labels(spark, docs):
         df = docs.withColumn("lang", F.lit(lang).cast("string"))
         kept = corpus_pipeline.identify_language(spark, df, "")
         assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == ids
+
+
+CLASHES = ["score", "lang_pred", "_text", "_mean", "_source", "_of", "_cdf", "_copies", "_gone", "_id", "copy_no", "c0", "c1", "id", "t", "key", "bands", "class_id", "digest"]
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Columns of any name, rows without an id or that share one, repeated rows, empty tables."""
+    import corpus_pipeline
+
+    bench = "one two three four five six seven eight nine ten eleven"
+    as_table(spark, tmp_path, spark.createDataFrame([(1, bench)], "item_id long, text string"), "benchmark")
+    d = str(tmp_path)
+    long = [" ".join(f"v{i}w{k}" for k in range(40)) for i in range(4)]
+    rows = [(1, long[0]), (1, long[0]), (1, f"{long[1]} {bench}"), (None, f"x {bench}"), (None, long[2]), (None, long[2]), (2, long[3]), (None, long[3]), (3, None), (4, "")]
+    df = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in CLASHES:
+        df = df.withColumn(c, F.lit("mine"))
+    stages = dict(corpus_pipeline.STAGES)
+
+    def after(name, docs):
+        got = stages[name](spark, docs, d)
+        assert got.columns == docs.columns
+        return Counter((r["doc_id"], r["text"]) for r in got.collect())
+
+    assert after("language_id", df) == Counter(r for r in rows if r[1])
+    kept = after("near_dedup", df)
+    assert Counter(rows) - kept == Counter({(None, long[3]): 1}) and not kept - Counter(rows)
+    assert after("decontamination", df) == Counter(r for r in rows if bench not in (r[1] or ""))
+    assert set(after("mixing", df)) <= set(rows)
+    assert stages["token_output"](spark, df, d).count() == len(rows)
+    for name in stages:
+        assert stages[name](spark, df.limit(0), d).count() == 0
