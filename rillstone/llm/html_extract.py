@@ -1,9 +1,10 @@
 """Main text of web pages by the maximum-scoring run of words and tags.
 
-A page is a sequence of words and tags. Each has the log-odds of its class in main text, learnt from labelled
-pages: words score by where they stand, tags by their names, and tags are charged besides. One linear scan finds
-the contiguous run with the greatest sum; the element that holds it, without what is never main text, is the
-page's text.
+A page is a sequence of words and tags. A word scores by the features of its block: the elements around it, words of
+their classes, ids and roles, links, length and punctuation, and whether the page has its main text marked elsewhere.
+Tags score negative by their names. All weights are learnt from labelled pages (html_templates): those of features by
+logistic regression, those of tags by counts. One linear scan finds the contiguous run with the greatest sum: it is
+the main text, less the elements in it that score negative as a whole.
 """
 
 from __future__ import annotations
@@ -12,14 +13,17 @@ import functools
 import html as entities
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillstone.llm.common import map_rows
+from rillstone.llm.common import SLICE, map_rows
+from rillstone.llm.html_templates import labelled_pages
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)
@@ -30,7 +34,7 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 # Element names of HTML
-RAW = frozenset("script style template noscript textarea title iframe svg math object select".split())
+RAW = frozenset("script style template noscript textarea title iframe svg select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
@@ -38,54 +42,60 @@ BLOCK = frozenset(
     " thead tr ul".split()
 )
 CLOSES_P = BLOCK - {"body", "html", "head"}
-#: Never main text, whatever their names or classes.
-APART = frozenset("nav header footer aside form menu dialog button label fieldset input option".split())
-_APART_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies"
-    " copyright disclaimer disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notification"
-    " pager pagination popup promo promoted promotion related recommended replies share sharing sidebar signup skip social sponsor"
-    " sponsored subscribe subscription tags toolbar widget".split()
-)
-_ABOUT = frozenset("has with without no".split())
-_APART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+#: Elements whose text is a block of its own; the features of classes of these and of other block elements are apart.
+LEAVES = frozenset("address blockquote caption center dd dt figcaption h1 h2 h3 h4 h5 h6 legend li p pre summary td th".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @functools.lru_cache(4096)
-def apart(name: str, attrs: str) -> bool:
-    """Whether an element is a menu, header, footer, sidebar, notice, advert, form or comment by name, role, class or id."""
-    if name in APART:
-        return True
-    if name in ("html", "body", "main", "article") or not attrs:
-        return False
+def own_features(name: str, attrs: str) -> frozenset[str]:
+    """Features of an element's tag: its name, words of its class, id and role, and whether it is hidden."""
+    if name not in BLOCK and name not in ("button", "label", "dialog"):
+        return frozenset()
+    kind = "leaf" if name in LEAVES else "box"
+    found = {name}
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key == "role" and value.lower().strip() in _APART_ROLES:
-            return True
-        if key in ("hidden", "aria-hidden") and value.lower() in ("", "true", "hidden"):
-            return True
-        if key in ("class", "id"):
-            for part in value.split():
-                words = [w.lower() for w in _WORDS.findall(part)]
-                # has-sidebar says what else the page has
-                if not _ABOUT.intersection(words) and _APART_WORDS.intersection(words):
-                    return True
-    return re.search(r"(?:^|\s)hidden(?:\s|/?$)", attrs) is not None
+        if key in ("class", "id", "role"):
+            found.update(f"{kind} {w.lower()}" for w in _WORDS.findall(value))
+        elif key == "style" and re.search(r"display\s*:\s*none", value, re.I) or key == "aria-hidden" and value.lower() == "true":
+            found.add("hidden")
+    if re.search(r"(?:^|\s)hidden(?:\s|=|/?$)", attrs):
+        found.add("hidden")
+    return frozenset(found)
 
 
 class Element:
-    __slots__ = ("name", "parent", "apart", "link", "depth")
+    __slots__ = ("name", "parent", "features", "link", "main", "out")
 
-    def __init__(self, name: str, parent: Element | None, is_apart: bool):
-        self.name, self.parent, self.depth = name, parent, parent.depth + 1 if parent else 0
-        self.apart = is_apart or bool(parent and parent.apart)
+    def __init__(self, name: str, parent: Element | None, attrs: str):
+        self.name, self.parent, self.out = name, parent, None
+        own = own_features(name, attrs)
+        self.features = united(parent.features, own) if parent else own
         self.link = name == "a" or bool(parent and parent.link)
+        self.main = bool({"article", "main", "box main"} & own) or bool(parent and parent.main)
+
+
+    def line(self) -> list[Element]:
+        """The block elements from here out: few, however deep inline elements are."""
+        if self.out is None:
+            x, self.out = self, []
+            while x is not None:
+                if x.name in BLOCK or x.parent is None:
+                    self.out.append(x)
+                x = x.parent
+        return self.out
+
+
+@functools.lru_cache(65_536)
+def united(a: frozenset[str], b: frozenset[str]) -> frozenset[str]:
+    return a | b if b - a else a
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, Element]]:
     """(kind, value, element): kind is `text` (decoded), `open` or `close` (a tag's name). Content of scripts, styles
     and the like, comments and declarations are left out; unclosed elements end where HTML ends them, or at the end."""
-    here = root = Element("", None, False)
+    here = root = Element("", None, "")
     at, opened = 0, Counter()
     while at < len(page):
         m = _TOKEN.match(page, at)
@@ -123,56 +133,120 @@ def tokens(page: str) -> Iterator[tuple[str, str, Element]]:
                         opened[here.name] -= 1
                         here = here.parent
                 x = x.parent
-        x = Element(name, here, apart(name, attrs))
+        x = Element(name, here, attrs)
         yield "open", name, x
         if name not in VOID and not attrs.endswith("/"):
             here = x
             opened[name] += 1
 
 
-def kind_of(kind: str, value: str, x: Element) -> str:
-    """The class of a token that the weights know."""
-    if kind == "text":
-        return "word apart" if x.apart else "word linked" if x.link else "word"
-    return f"tag {value}" if not x.apart else "tag apart"
-
-
-#: Pages with their main text in <x-main>, from which the weights are learnt.
-LABELLED = (
-    "<html><head><title>A b</title></head><body><nav><ul><li><a href=/>Home</a></li><li><a href=/n>News today</a></li></ul></nav>"
-    "<article><x-main><h1>Rain over the hills</h1><p>It rained all day over the hills and the river rose by a foot before the"
-    " evening came.</p><p>People moved their cattle up and <b>waited</b> for the water to fall.</p></x-main></article>"
-    "<footer>All rights reserved. <a href=/c>Contact us</a></footer></body></html>",
-    "<html><body><div class=header><a href=/>Site name</a></div><div class=content><x-main><h2>How to bake bread</h2><p>Mix the"
-    " flour with water, salt and yeast; then let it stand in a warm place for one hour or more.</p><ul><li>Heat the oven well"
-    " before the loaf goes in.</li><li>Let it cool on a rack.</li></ul><p>Eat it the same day.</p></x-main></div><div class=ad>Buy"
-    " cheap flour now</div><form><label>Name</label><input><button>Send</button></form></body></html>",
-    "<html><body><table><tr><td><a href=1>One</a><br><a href=2>Two</a><br><a href=3>Three</a></td><td><x-main><p>The council"
-    " met on Monday and spoke of the new bridge, which is to be built next year with money from the state.</p><blockquote>We"
-    " have waited long enough, said the mayor.</blockquote></x-main></td></tr></table><div id=comments><p>First!</p><p>I do not"
-    " agree at all.</p></div></body></html>",
-    "<body><header><h1>The Daily</h1></header><main><x-main><p>A short notice of a long day.<br>It ended well.</p></x-main></main>"
-    "<aside><h3>Related</h3><ul><li><a href=4>Other things to read</a></li></ul></aside><footer><p>Imprint, terms, privacy</p>"
-    "</footer></body>",
-)
+@dataclass
+class Block:
+    """Text between two block tags: the innermost block element around it, its words, and how many are links."""
+
+    at: Element
+    text: str
+    n: int
+    links: int
+
+    def features(self, marked: bool) -> Iterable[str]:
+        """Names of what is true of the block; marked: the page marks its main text."""
+        share = self.links / self.n
+        yield f"words {min(self.n, 40).bit_length()}"
+        yield "linked all" if share > 0.8 else "linked half" if share > 0.3 else "linked little"
+        if self.text[-1] in ".!?:;,\u2026\u3002\"'\u201d)":
+            yield "ends"
+        yield f"at {self.at.name}"
+        if marked:
+            yield f"inside {self.at.name}" if self.at.main else "outside"
+        yield from self.at.features
+
+
+def parts(page: str) -> list[str | tuple[Block, list[Element]]]:
+    """The page in order: names of tags, and blocks with the elements that hold their text."""
+    out: list = []
+    words: list[tuple[str, Element]] = []
+
+    def flush() -> None:
+        text = " ".join("".join(w for w, _ in words).split())
+        if text:
+            x = next(e for w, e in words if w.strip())
+            while x.parent is not None and x.name not in BLOCK and x.name not in ("button", "label"):
+                x = x.parent
+            links = sum(len(w.split()) for w, e in words if e.link)
+            out.append(Block(x, text, max(len(text.split()), 1), links))
+        words.clear()
+
+    for kind, value, x in tokens(page):
+        if kind == "text":
+            words.append((value, x))
+        elif value in BLOCK or value in ("button", "label"):
+            flush()
+            out.append(value)
+        elif value == "br":
+            words.append((" ", x))
+    flush()
+    return out
+
+
+#: Inside the run, and next to its ends, words count as something else when they score below minus this.
+CLEAR = 0.0
+
+
+@dataclass
+class Weights:
+    """What a word scores by its block's features, and a tag by its name."""
+
+    bias: float
+    feature: dict[str, float]
+    tag: dict[str, float]
+    other_tag: float
+
+    def of(self, block: Block, marked: bool) -> float:
+        get = self.feature.get
+        return self.bias + sum(get(f, 0.0) for f in block.features(marked))
+
+
+def fit(pages: Iterable[tuple[str, set[str]]], decay: float = 0.25, rounds: int = 6, least: int = 8) -> Weights:
+    """Weights from (page, texts of the blocks of its main text), by Newton's steps.
+
+    decay: the ridge on the weights; least: blocks that must have a feature for it to count.
+    """
+    rows, label, weight, tags = [], [], [], {True: Counter(), False: Counter()}
+    for page, main in pages:
+        seen = parts(page)
+        marked = any(isinstance(x, Block) and x.at.main for x in seen)
+        last = False
+        for x in seen:
+            if isinstance(x, Block):
+                last = x.text in main
+                rows.append([*x.features(marked)])
+                label.append(last)
+                weight.append((2 + min(x.n, 8)) / 10)
+            else:
+                tags[last][x] += 1
+    often = Counter(f for r in rows for f in r)
+    names = {f: k for k, f in enumerate(sorted(f for f, n in often.items() if n >= least))}
+    x = np.zeros((len(rows), len(names) + 1))
+    x[:, -1] = 1.0
+    for k, r in enumerate(rows):
+        x[k, [names[f] for f in r if f in names]] = 1.0
+    y, w, ridge = np.array(label, float), np.array(weight), np.full(len(names) + 1, decay)
+    ridge[-1] = 1e-3
+    beta = np.zeros(len(ridge))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        curve = w * np.maximum(p * (1 - p), 1e-4)
+        beta += np.linalg.solve((x * curve[:, None]).T @ x + np.diag(ridge), x.T @ (w * (y - p)) - ridge * beta)
+    n, m = sum(tags[True].values()) + 1, sum(tags[False].values()) + 1
+    odds = {t: min(math.log((tags[True][t] + 0.5) / n) - math.log((tags[False][t] + 0.5) / m), 0.0) - 0.1 for t in {*tags[True], *tags[False]}}
+    return Weights(float(beta[-1]), {f: float(beta[k]) for f, k in names.items()}, odds, -0.1)
 
 
 @functools.cache
-def weights(charge: float = 0.4) -> dict[str, float]:
-    """Log-odds of token classes in main text against elsewhere, smoothed; a tag has 0 at most, less `charge`."""
-    inside, outside = Counter(), Counter()
-    for page in LABELLED:
-        main = False
-        for kind, value, x in tokens(page):
-            if value == "x-main":
-                main = kind == "open"
-                continue
-            into = inside if main else outside
-            into[kind_of(kind, value, x)] += len(value.split()) if kind == "text" else 1
-    n, m = sum(inside.values()), sum(outside.values())
-    names = {*inside, *outside}
-    odds = {k: math.log((inside[k] + 0.5) / (n + 1)) - math.log((outside[k] + 0.5) / (m + 1)) for k in names}
-    return {k: min(v, 0.0) - charge if k.startswith("tag") else v for k, v in odds.items()} | {"tag": -charge}
+def weights() -> Weights:
+    """Learnt from the labelled pages of html_templates."""
+    return fit(labelled_pages())
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -187,77 +261,58 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return found
 
 
-def elements(seen: list[tuple[str, str, Element]]) -> list[Element]:
-    """All elements of a page, parents before children."""
-    found = [x for kind, _, x in seen if kind == "open"]
-    root = seen[0][2] if seen else None
-    while root is not None and root.parent is not None:
-        root = root.parent
-    return ([root] if root is not None else []) + found
+def main_text(page: str | None, w: Weights | None = None, scan: bool = True) -> str:
+    """The main text: blocks joined by a line feed, white space inside a block one space. Empty if there is none.
 
-
-def main_text(page: str | None) -> str:
-    """The main text: blocks joined by a line feed, white space inside a block one space. Empty if there is none."""
+    scan: whether the run is sought; without it all of the page is the run (to see what the scan does).
+    """
     if not page:
         return ""
-    w = weights()
-    seen = [*tokens(page)]
-    scores = []
-    for kind, value, x in seen:
-        k = kind_of(kind, value, x)
-        scores.append(w.get(k, w["tag"]) * (len(value.split()) if kind == "text" else 1))
-    start, end = best_run(scores)
-    inside = [x for kind, value, x in seen[start:end] if kind == "text" and not x.apart and value.strip()]
-    if not inside:
+    w = w or weights()
+    seen = parts(page)
+    marked = any(isinstance(x, Block) and x.at.main for x in seen)
+    each = [w.of(x, marked) if isinstance(x, Block) else w.tag.get(x, w.other_tag) for x in seen]
+    # a word counts from -1 to 1, so that a long advert doesn't outweigh what follows it; a tag a tenth of its odds
+    start, end = best_run([math.tanh(s / 2) * x.n if isinstance(x, Block) else s / 10 for x, s in zip(seen, each, strict=True)]) if scan else (0, len(each))
+    blocks = [(x, score * x.n) for x, score in zip(seen, each, strict=True) if isinstance(x, Block)]
+    first = sum(isinstance(x, Block) for x in seen[:start])
+    last = first + sum(isinstance(x, Block) for x in seen[start:end])
+    if first == last:
         return ""
-    # the innermost element that holds the run's ends holds all of it
-    top, last = inside[0], inside[-1]
-    while top is not last:
-        if top.depth < last.depth:
-            last = last.parent
-        else:
-            top = top.parent
-    # then out, to its article, or as long as that adds more words than links
-    total: dict[Element, float] = {}
-    for score, (kind, _, x) in zip(reversed(scores), reversed(seen), strict=True):
-        if kind == "text" and not x.apart:
-            total[x] = total.get(x, 0.0) + score
-    for x in sorted(elements(seen), key=lambda x: -x.depth):
-        if x.parent is not None:
-            total[x.parent] = total.get(x.parent, 0.0) + total.get(x, 0.0)
-    while top.parent is not None and top.name not in ("article", "main") and total.get(top.parent, 0.0) >= total.get(top, 0.0):
-        top = top.parent
-    within = {top}
-    for x in elements(seen):
-        if x.parent in within:
-            within.add(x)
-    blocks: list[str] = []
-    words: list[str] = []
-
-    def flush() -> None:
-        if text := " ".join("".join(words).split()):
-            blocks.append(text)
-        words.clear()
-
-    for kind, value, x in seen:
-        if kind == "text":
-            if not x.apart and x in within:
-                words.append(value)
-        elif value in BLOCK:
-            flush()
-        elif value == "br":
-            words.append(" ")
-    flush()
-    return "\n".join(blocks)
+    # the run's ends take in what is next to them in the same element and not clearly something else
+    while first and beside(blocks[first][0], *blocks[first - 1]):
+        first -= 1
+    while last < len(blocks) and beside(blocks[last - 1][0], *blocks[last]):
+        last += 1
+    run = [x for x, _ in blocks[first:last]]
+    # elements whose words are clearly something else are no part of it, unless they hold all of the run
+    total: dict[Element, float] = defaultdict(float)
+    for x, score in blocks:
+        for at in x.at.line():
+            total[at] += score + CLEAR * x.n
+    whole = set(run[0].at.line())
+    for x in run:
+        whole.intersection_update(x.at.line())
+    return "\n".join(x.text for x in run if all(total[at] >= 0 or at in whole for at in x.at.line()))
+
+
+def beside(edge: Block, x: Block, score: float) -> bool:
+    return x.at.parent is edge.at.parent and x.at.parent is not None and score > -CLEAR * x.n
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text and n_chars (code points), a row per row of pages; null or empty pages have the empty text."""
+    """page_id, url, text and n_chars (code points), a row per row of pages.
+
+    Null and empty pages, and those without a word that scores above 0, have the empty text. Long pages are read whole;
+    repeated rows have equal answers; an empty table gives none. Only the three columns are read, so others may have
+    any name. The weights are learnt on the driver, once, from the labelled pages that this package makes.
+    """
+    spread = pages.sparkSession.sparkContext.broadcast(weights())
 
     def run(x: dict) -> Iterator[dict]:
-        text = [main_text(h) for h in x["html"]]
+        text = [main_text(h, spread.value) for h in x["html"]]
         yield {"page_id": x["page_id"], "url": x["url"], "text": text, "n_chars": [len(t) for t in text]}
 
     out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return map_rows(source, run, "page_id long, url string, text string, n_chars long", out)
+    return map_rows(source, run, "page_id long, url string, text string, n_chars long", out, SLICE)
