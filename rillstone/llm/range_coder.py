@@ -1,243 +1,354 @@
 """Adaptive context-mixing range coder for blocks of token ids.
 
-Every block is coded from fresh state. At each place, order-2 and order-1 contexts each predict the id that
-followed them last. A coded symbol says which prediction was right, or that none was; its frequencies mix the
-adaptive counts kept for the order-2 state and for the order-1 state. An id that neither predicted follows by order
-0: its high part, then its low byte given that, by adaptive counts of the block's ids that were coded so.
-
-The blocks of a chunk are coded in step, one numpy lane per block, by a carry-less range coder with 64-bit low
-and range that emits 16-bit words.
+Every block is coded from fresh state, an id in one step. Its probability mixes three predictions: the id that
+followed the last two ids here before (order 2), the id that followed the last one (order 1), and the counts of the
+block's ids so far (order 0). How much each weighs is counted by context: whether the latest predictions held, whether
+both orders agree, and whether order 2 knows its context. An id that the counts don't have yet follows by a fixed
+distribution over the vocabulary. Predictions of orders 1 and 2 change with every id; counts and weights are taken
+anew at places whose distance grows with the block, so that they are plain sorted tables in between.
+
+The blocks of a chunk are coded in step, one numpy lane per block, by a range coder with 48-bit low and range in
+floats, whose whole numbers are exact, that emits 16-bit words; carries are added to the words at the end.
 """
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
 MAGIC = b"RSTK"
-VERSION = 2
-SYMBOLS = 3
-ESCAPE = SYMBOLS - 1
-STEP = 24
+VERSION = 3
+#: Ids of a block.
+LENGTH = 1 << 14
 SLOTS = 1 << 12
-LONGEST, SHORTEST, LANES = 1 << 14, 1 << 12, 256
-U = np.uint64
-_TOP, _SMALL, _LOW, _W, _CUT = U(1 << 48), U(1 << 40), U((1 << 40) - 1), U(16), U(11)
-
-
-class Counts:
-    """Adaptive counts of symbols, a row for each context; sums over every 16 symbols keep the search short."""
-
-    def __init__(self, start: np.ndarray, lanes: int):
-        """start: the first counts of a lane's contexts, a row each."""
-        contexts, n = start.shape
-        self.groups = -(-n // 16)
-        cells = np.zeros((contexts, self.groups * 16), np.int32)
-        cells[:, :n] = start
-        self.cells = np.tile(cells.reshape(-1, 16), (lanes, 1))
-        self.sums = np.tile(cells.reshape(contexts, -1, 16).sum(2, dtype=np.int32), (lanes, 1))
-
-    def total(self, at: np.ndarray) -> np.ndarray:
-        self.over = self.sums.take(at, 0).cumsum(1, dtype=np.int32)
-        return self.over[:, -1]
-
-    def span(self, at: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cumulative frequency and frequency of symbols, after total(); they are counted then."""
-        g, k, rows = s >> 4, s & 15, np.arange(len(s))
-        cell = at * self.groups + g
-        freq = self.cells.ravel().take(cell * 16 + k)
-        ahead = self.cells.take(cell, 0).cumsum(1, dtype=np.int32)[rows, k] - freq
-        lo = self.over[rows, g] - self.sums.ravel().take(cell) + ahead
-        self.cells.ravel()[cell * 16 + k] += STEP
-        self.sums.ravel()[cell] += STEP
-        return lo.astype(U), freq.astype(U)
-
-    def find(self, at: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """The symbols at cumulative frequencies, after total()."""
-        g, rows = (self.over <= v[:, None]).sum(1), np.arange(len(v))
-        cell = at * self.groups + g
-        v = v - self.over[rows, g] + self.sums.ravel().take(cell)
-        return g * 16 + (self.cells.take(cell, 0).cumsum(1, dtype=np.int32) <= v[:, None]).sum(1)
+CONTEXTS = 32
+#: Steps whose predictions the encoder makes at once.
+SLAB = 64
+#: Order 0 counts the latest WINDOW ids, the latest STEP of them twice, and is taken anew after STEP ids at most.
+WINDOW, STEP = 1 << 11, 1 << 9
+_TOP, _LOW, _WORD = float(1 << 48), float(1 << 32), float(1 << 16)
+#: Counts of how often order 2, order 1 and neither were right, before any id is seen.
+_PRIOR = (0.4, 0.2, 2.0)
+_MOST = float(1 << 20)
+
+
+def places(length: int) -> list[int]:
+    """Where counts and weights are taken anew: 0, 16, and then half as much further each time, up to STEP ids."""
+    at, n = [0], 16
+    while n < length:
+        at.append(n)
+        n += min(n // 2, STEP)
+    return at
+
+
+def latest(columns: np.ndarray, t: int) -> np.ndarray:
+    """The ids that order 0 counts at step t, a row a lane."""
+    return np.ascontiguousarray(np.vstack([columns[max(0, t - WINDOW) : t], columns[max(0, t - STEP) : t]]).T, np.int32)
+
+
+@functools.cache
+def fixed_shares(vocabulary: int) -> tuple[np.ndarray, float]:
+    """Cumulative shares of ids that a block has not seen yet (tokenizers give low ids to common tokens), and their sum."""
+    share = np.floor(float(1 << 18) / (np.arange(vocabulary) + 512.0)) + 1
+    cum = np.r_[0.0, np.cumsum(share)]
+    return cum, float(cum[-1])
 
 
 class Model:
     """Adaptive state of some lanes; what it predicts depends only on the ids it was told."""
 
-    def __init__(self, lanes: int, vocabulary: int):
+    def __init__(self, lanes: int):
         self.n = lanes
-        self.parts = -(-vocabulary // 256)
-        known = (np.arange(self.parts * 256) < vocabulary).astype(np.int32).reshape(-1, 256)
-        self.high, self.low = Counts(np.ones((1, self.parts), np.int32), lanes), Counts(known, lanes)
-        self.rows = np.arange(lanes)
-        # the id that followed a context last, times 4, plus how sure that is (0 to 3); -4: none yet
-        self.one, self.two = (np.full(lanes * SLOTS, -4, np.int32) for _ in range(2))
-        self.base = self.rows * SLOTS
-        start = np.ones(SYMBOLS, np.int32)
-        start[0], start[1], start[ESCAPE] = 8, 4, 16
-        # counts by how sure order 2 is and whether order 1 agrees, and by how sure order 1 is and what held last
-        self.f2, self.f1 = np.tile(start, (lanes * 8, 1)), np.tile(start, (lanes * 12, 1))
-        self.last, self.before, self.outcome = (np.zeros(lanes, np.int64) for _ in range(3))
+        self.one, self.two = (np.full(lanes * SLOTS, -1, np.int32) for _ in range(2))
+        self.tally = np.tile(np.array(_PRIOR), (lanes * CONTEXTS, 1))
+        self.last, self.before, self.held = (np.zeros(lanes, np.int64) for _ in range(3))
+        self.lane = np.arange(lanes)
 
     def shrink(self, lanes: int) -> None:
         """Only the first lanes go on."""
-        if lanes < self.n:
-            self.n = lanes
-            for k in ("rows", "base", "last", "before", "outcome"):
-                setattr(self, k, getattr(self, k)[:lanes])
-
-    def look(self) -> np.ndarray:
-        """Cumulative frequencies of the symbols, a row per lane."""
-        h = self.last * 40503
-        self.i1 = (h >> 3 & SLOTS - 1) + self.base
-        self.i2 = (h + self.before * 30011 >> 2 & SLOTS - 1) + self.base
-        one, two = self.one.take(self.i1), self.two.take(self.i2)
-        self.c1, self.c2, self.k1, self.k2 = one >> 2, two >> 2, one & 3, two & 3
-        self.a2 = self.rows * 8 + self.k2 * 2 + (self.c1 == self.c2)
-        self.a1 = self.rows * 12 + self.k1 * 3 + self.outcome
-        mixed = self.f2.take(self.a2, 0)
-        mixed += mixed
-        mixed += self.f1.take(self.a1, 0)
-        return mixed.cumsum(1, dtype=np.int32)
-
-    def symbol(self, ids: np.ndarray) -> np.ndarray:
-        s = np.full(len(ids), ESCAPE)
-        s[self.c1 == ids] = 1
-        s[self.c2 == ids] = 0
-        return s
-
-    def guess(self, s: np.ndarray) -> np.ndarray:
-        """The ids that symbols name; -1 for escapes."""
-        return np.where(s == 1, self.c1, np.where(s == 0, self.c2, -1)).astype(np.int64)
-
-    def learn(self, ids: np.ndarray, s: np.ndarray) -> None:
-        self.f2.ravel()[self.a2 * SYMBOLS + s] += STEP
-        self.f1.ravel()[self.a1 * SYMBOLS + s] += STEP
-        new = ids << 2
-        for slot, at, c, k in ((self.one, self.i1, self.c1, self.k1), (self.two, self.i2, self.c2, self.k2)):
-            # a right guess is surer; a wrong one is less sure, and replaced once it is not sure at all
-            old = (c << 2) + k
-            slot[at] = np.where(c == ids, old + (k < 3), np.where(k > 0, old - 1, new))
-        self.outcome = (s > 0) + (s == ESCAPE).astype(np.int64)
-        self.before, self.last = self.last, ids
-
-
-def shares(span: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """span // total but for its last 11 bits, exactly, by floats: both operands have at most 53 bits."""
-    return ((span >> _CUT).astype(np.float64) / total).astype(U)
+        self.n = lanes
+        self.lane, self.last, self.before, self.held = (x[:lanes].copy() for x in (self.lane, self.last, self.before, self.held))
+
+    def renew(self, seen: np.ndarray) -> None:
+        """Counts of the ids seen (a row a lane), sorted so that a place in a row is a cumulative frequency; weights."""
+        n = self.size = seen.shape[1]
+        self.sorted = np.sort(seen, axis=1)
+        new = np.ones(self.sorted.shape, bool)
+        new[:, 1:] = self.sorted[:, 1:] != self.sorted[:, :-1]
+        self.first = np.flatnonzero(new)
+        self.times = np.diff(self.first, append=new.size)
+        distinct = new.sum(1) if n else np.zeros(self.n)
+        self.escape = distinct + 1.0
+        base = self.base = n + self.escape
+        hit = self.tally[: self.n * CONTEXTS].reshape(self.n, CONTEXTS, 3)
+        scale = base[:, None, None] / hit[:, :, 2:]
+        weights = np.minimum(np.floor(hit[:, :, :2] * scale) + 1, _MOST)
+        self.w2, self.w1 = np.ascontiguousarray(weights[:, :, 0]).ravel(), np.ascontiguousarray(weights[:, :, 1]).ravel()
+
+    def learn(self, outcomes: np.ndarray) -> None:
+        """outcomes: (lane x CONTEXTS + context) x 3 + what was right."""
+        lanes = self.n * CONTEXTS
+        self.tally[:lanes] += np.bincount(outcomes.ravel(), minlength=lanes * 3).reshape(-1, 3)
+
+
+def spots(last: np.ndarray, before: np.ndarray, lane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the contexts of orders 1 and 2."""
+    h = last * 40503
+    base = lane * SLOTS
+    return (h >> 3 & SLOTS - 1) + base, (h + before * 30011 >> 2 & SLOTS - 1) + base
 
 
 class Encoder:
-    def __init__(self, lanes: int, cap: int):
-        self.low, self.range = np.zeros(lanes, U), np.full(lanes, 2**64 - 1, U)
-        self.cap = cap
-        self.out, self.at = np.zeros(lanes * cap, np.uint16), np.arange(lanes) * cap
-
-    def put(self, lanes: np.ndarray, cum: np.ndarray, freq: np.ndarray, total: np.ndarray) -> None:
-        r = shares(self.range[lanes], total) << _CUT
-        low, rng = self.low[lanes] + r * cum, r * freq
-        live, lo, ra = None, low, rng
-        while True:
-            same = (lo ^ (lo + ra)) < _TOP
-            move = np.flatnonzero(same | (ra < _SMALL))
-            if not len(move):
+    def __init__(self, lanes: int):
+        self.low, self.range = np.zeros(lanes), np.full(lanes, _TOP)
+        self.lanes: list[np.ndarray] = []
+        self.words: list[np.ndarray] = []
+
+    def emit(self, at: np.ndarray) -> None:
+        """Words of the lanes whose range got small."""
+        while len(at):
+            low = self.low[at]
+            word = np.floor(low * (1 / _LOW))
+            self.lanes.append(at.astype(np.int32))
+            self.words.append(word)
+            self.low[at] = (low - word * _LOW) * _WORD
+            self.range[at] = ra = self.range[at] * _WORD
+            at = at[ra < _LOW]
+
+    def end(self, lanes: int) -> list[bytes]:
+        for _ in range(3):
+            word = np.floor(self.low * (1 / _LOW))
+            self.lanes.append(np.arange(lanes, dtype=np.int32))
+            self.words.append(word)
+            self.low = (self.low - word * _LOW) * _WORD
+        lane = np.concatenate(self.lanes)
+        words = np.concatenate(self.words)[np.argsort(lane.astype(np.uint32 if lanes > 65_535 else np.uint16), kind="stable")].astype(np.uint32)
+        while (over := words >> 16).any():
+            words &= 0xFFFF
+            words[:-1] += over[1:]
+        data, ends = words.astype("<u2").tobytes(), np.cumsum(np.bincount(lane, minlength=lanes)) * 2
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def _encode(columns: np.ndarray, rest: int, vocabulary: int) -> list[bytes]:
+    """columns: ids, a row a step and a column a lane; the last lane has `rest` steps."""
+    length, lanes = columns.shape
+    m, e = Model(lanes), Encoder(lanes)
+    fixed, total_fixed = fixed_shares(vocabulary)
+    counts = np.zeros(lanes * vocabulary, np.int32)  # first place << 15 | times, by lane and id; 0 has none
+    low, rng = e.low, e.range
+    counted = np.zeros(0, np.int64)
+    held = np.zeros((3, lanes), bool)  # whether a prediction was right, at the last three steps
+    starts = places(length)
+    for t0, end in zip(starts, [*starts[1:], length], strict=True):
+        m.renew(latest(columns[:, : m.n], t0))
+        counts[counted] = 0
+        lane, first = np.divmod(m.first, max(m.size, 1))
+        counted = lane * vocabulary + m.sorted.ravel()[m.first]
+        counts[counted] = (first << 15) | m.times
+        outcomes = []
+        for a, b in slabs(t0, end, rest if m.n == lanes else length):
+            if a == rest:
+                low, rng = low[: lanes - 1], rng[: lanes - 1]
+                outcomes = [x[:, : lanes - 1] for x in outcomes]
+                m.shrink(lanes - 1)
+                for k in ("escape", "base", "w2", "w1"):
+                    x = getattr(m, k)
+                    setattr(m, k, x[: m.n * (CONTEXTS if k[0] == "w" else 1)])
+                held = held[:, : m.n]
+            if not m.n:
                 break
-            live = move if live is None else live[move]
-            lo = lo[move]
-            ra = np.where(same[move], ra[move], (U(0) - lo) & _LOW)
-            ln = lanes[live]
-            at = self.at[ln]
-            self.out[at] = lo >> U(48)
-            self.at[ln] = at + 1
-            lo, ra = lo << _W, ra << _W
-            low[live], rng[live] = lo, ra
-        self.low[lanes], self.range[lanes] = low, rng
-
-    def end(self) -> list[bytes]:
-        for shift in (48, 32, 16, 0):
-            self.out[self.at] = (self.low >> U(shift)) & U(0xFFFF)
-            self.at += 1
-        return [self.out[k * self.cap : end].astype("<u2").tobytes() for k, end in enumerate(self.at)]
+            x = columns[a:b, : m.n]
+            last = np.vstack([m.last[None], x[:-1]])
+            before = np.vstack([m.before[None], last[:-1]])
+            i1, i2 = spots(last, before, m.lane)
+            c1, c2 = np.empty(x.shape, np.int32), np.empty(x.shape, np.int32)
+            for t in range(b - a):
+                one, two, ids = i1[t], i2[t], x[t]
+                m.one.take(one, out=c1[t], mode="clip")
+                m.one[one] = ids
+                m.two.take(two, out=c2[t], mode="clip")
+                m.two[two] = ids
+            m.last, m.before = x[-1], last[-1]
+            is2 = c2 == x
+            is1 = (c1 == x) & ~is2
+            right = np.vstack([held, is1 | is2]).astype(np.int8)
+            held = right[-3:].astype(bool)
+            context = ((right[2:-1] + 2 * right[1:-2] + 4 * right[:-3]) * 4 + (c1 == c2) * 2 + (c2 >= 0)) + m.lane * CONTEXTS
+            w2, w1 = m.w2.take(context), m.w1.take(context)
+            have = counts.take(x + m.lane * vocabulary)
+            both = w2 + w1
+            new = ~(is1 | is2) & (have == 0)
+            cum = np.where(is2, 0.0, np.where(is1, w2, both + np.where(new, float(m.size), have >> 15)))
+            freq = np.where(is2, w2, np.where(is1, w1, np.where(new, m.escape, have & 32_767)))
+            total = both + m.base
+            outcomes.append(context * 3 + np.where(is2, 0, np.where(is1, 1, 2)))
+            step, fresh = np.nonzero(new)
+            cuts = np.searchsorted(step, np.arange(b - a + 1))
+            ids = x[step, fresh]
+            f_cum = fixed[ids]
+            f_freq = fixed[ids + 1] - f_cum
+            r = np.empty(m.n)
+            for t in range(b - a):
+                np.divide(rng, total[t], out=r)
+                np.floor(r, out=r)
+                low += r * cum[t]
+                np.multiply(r, freq[t], out=rng)
+                e.emit((rng < _LOW).nonzero()[0])
+                i, j = cuts[t], cuts[t + 1]
+                if i < j:
+                    at = fresh[i:j]
+                    q = np.floor(rng[at] / total_fixed)
+                    low[at] += q * f_cum[i:j]
+                    rng[at] = ra = q * f_freq[i:j]
+                    e.emit(at[ra < _LOW])
+        if outcomes and m.n:
+            m.learn(np.vstack(outcomes))
+    return e.end(lanes)
+
+
+def slabs(a: int, b: int, rest: int) -> Iterator[tuple[int, int]]:
+    """Stretches of up to SLAB steps from a to b, cut at rest too."""
+    while a < b:
+        c = min(a + SLAB, b, rest if a < rest else b)
+        yield a, c
+        a = c
 
 
 class Decoder:
     def __init__(self, parts: list[bytes]):
-        n = len(parts)
-        cap = max(map(len, parts)) // 2 + 4
-        words = np.zeros((n, cap), U)
-        for k, p in enumerate(parts):
-            words[k, : len(p) // 2] = np.frombuffer(p, "<u2")
-        self.words = words.ravel()
-        self.low, self.range, self.code = np.zeros(n, U), np.full(n, 2**64 - 1, U), np.zeros(n, U)
-        for i in range(4):
-            self.code = (self.code << _W) | words[:, i]
-        self.at = np.arange(n) * cap + 4
-
-    def value(self, lanes: np.ndarray, total: np.ndarray) -> np.ndarray:
-        q = shares(self.range[lanes], total)
-        self.r = q << _CUT
-        return np.minimum(shares(self.code[lanes] - self.low[lanes], q).astype(np.int64), total - 1)
-
-    def take(self, lanes: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
-        low, rng, code = self.low[lanes] + self.r * cum, self.r * freq, self.code[lanes]
-        live, lo, ra = None, low, rng
-        while True:
-            same = (lo ^ (lo + ra)) < _TOP
-            move = np.flatnonzero(same | (ra < _SMALL))
-            if not len(move):
-                break
-            live = move if live is None else live[move]
-            lo = lo[move]
-            ra = np.where(same[move], ra[move], (U(0) - lo) & _LOW)
-            ln = lanes[live]
-            at = self.at[ln]
-            code[live] = (code[live] << _W) | self.words.take(at, mode="clip")
-            self.at[ln] = at + 1
-            lo, ra = lo << _W, ra << _W
-            low[live], rng[live] = lo, ra
-        self.low[lanes], self.range[lanes], self.code[lanes] = low, rng, code
-
+        sizes = np.array([len(p) // 2 for p in parts])
+        self.words = np.frombuffer(b"".join(p[: 2 * n] for p, n in zip(parts, sizes, strict=True)) + bytes(8), "<u2").astype(np.float64)
+        self.at = np.cumsum(sizes) - sizes
+        self.range, self.code = np.full(len(parts), _TOP), np.zeros(len(parts))
+        for _ in range(3):
+            self.code = self.code * _WORD + self.words.take(self.at, mode="clip")
+            self.at += 1
 
-def block_length(tokens: int) -> int:
-    """Short streams get shorter blocks, so that many lanes still go in step."""
-    return int(min(LONGEST, max(SHORTEST, tokens // LANES)))
+    def fill(self, at: np.ndarray) -> None:
+        """More words for the lanes whose range got small."""
+        while len(at):
+            pos = self.at[at]
+            self.code[at] = self.code[at] * _WORD + self.words.take(pos, mode="clip")
+            self.at[at] = pos + 1
+            self.range[at] = ra = self.range[at] * _WORD
+            at = at[ra < _LOW]
+
+
+def _decode(parts: list[bytes], length: int, rest: int, vocabulary: int) -> np.ndarray:
+    """The columns of _encode. Of damaged parts it gives some ids of the vocabulary."""
+    lanes = len(parts)
+    m, d = Model(lanes), Decoder(parts)
+    fixed, total_fixed = fixed_shares(vocabulary)
+    columns = np.zeros((length, lanes), np.int32)
+    starts = places(length)
+    x, spread = np.zeros(lanes, np.int32), np.zeros(lanes, np.int64)
+    for t0, end in zip(starts, [*starts[1:], length], strict=True):
+        if t0 >= rest and m.n == lanes:
+            m.shrink(lanes - 1)
+        for a, b in [(t0, min(end, rest)), (rest, end)] if t0 < rest < end else [(t0, end)]:
+            if a == t0:
+                m.renew(latest(columns[:, : m.n], t0))
+                outcomes = []
+                ids0 = m.sorted.ravel() if t0 else np.zeros(1, np.int32)
+                first = (m.first % m.size).repeat(m.times).astype(float) if t0 else np.zeros(1)
+                times = m.times.repeat(m.times).astype(float) if t0 else np.ones(1)
+            else:  # the last lane is at its end
+                m.shrink(lanes - 1)
+                outcomes = [o[:, : m.n] for o in outcomes]
+            n = m.n
+            if not n:
+                break
+            tables = m.w2, (both0 := m.w2 + m.w1), both0 + m.base.repeat(CONTEXTS)[: len(both0)]
+            rng, code, x, spread, escape = d.range[:n], d.code[:n], x[:n], spread[:n], m.escape[:n]
+            row, slots, contexts = m.lane * m.size, m.lane * SLOTS, m.lane * CONTEXTS
+            context = np.empty((b - a, n), np.int64)
+            is2, right = np.empty((b - a, n), bool), np.empty((b - a, n), bool)
+            i1, i2, h, held = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64), m.held
+            c1, c2 = np.empty(n, np.int32), np.empty(n, np.int32)
+            w2, both, total, r, v = (np.empty(n) for _ in range(5))
+            for t in range(b - a):
+                np.multiply(x, 40503, out=h)
+                np.right_shift(h, 3, out=i1)
+                i1 &= SLOTS - 1
+                i1 += slots
+                np.add(h, spread, out=i2)
+                i2 >>= 2
+                i2 &= SLOTS - 1
+                i2 += slots
+                np.multiply(x, 30011, out=spread)
+                m.one.take(i1, out=c1, mode="clip")
+                m.two.take(i2, out=c2, mode="clip")
+                k = context[t]
+                np.left_shift(held, 2, out=k)
+                agree = c1 == c2
+                k += agree
+                k += agree
+                k += c2 >= 0
+                k += contexts
+                for table, out in zip(tables, (w2, both, total), strict=True):
+                    table.take(k, out=out, mode="clip")
+                np.divide(rng, total, out=r)
+                np.floor(r, out=r)
+                np.divide(code, r, out=v)
+                past2, past = v >= w2, v >= both
+                v -= both
+                slot = v.astype(np.int64)
+                fresh = (v >= m.size).nonzero()[0]
+                slot += row
+                x = np.where(past, ids0.take(slot, mode="clip"), np.where(past2, c1, c2))
+                cum = np.where(past, both + first.take(slot, mode="clip"), np.where(past2, w2, 0.0))
+                freq = np.where(past, times.take(slot, mode="clip"), np.where(past2, both - w2, w2))
+                if len(fresh):
+                    cum[fresh] = both[fresh] + m.size
+                    freq[fresh] = escape[fresh]
+                cum *= r
+                code -= cum
+                np.multiply(r, freq, out=rng)
+                d.fill((rng < _LOW).nonzero()[0])
+                if len(fresh):
+                    q = np.floor(rng[fresh] / total_fixed)
+                    u = np.minimum(np.maximum(code[fresh] / q, 0), total_fixed - 1)
+                    ids = fixed.searchsorted(u, "right") - 1
+                    x[fresh] = ids
+                    code[fresh] -= q * fixed[ids]
+                    rng[fresh] = ra = q * (fixed[ids + 1] - fixed[ids])
+                    d.fill(fresh[ra < _LOW])
+                m.one[i1] = x
+                m.two[i2] = x
+                np.equal(c2, x, out=is2[t])
+                np.equal(c1, x, out=right[t])
+                right[t] |= is2[t]
+                held <<= 1
+                held &= 7
+                held += right[t]
+                columns[a + t, :n] = x
+            outcomes.append(context * 3 + 2 - right - is2)
+        if not m.n:
+            break
+        m.learn(np.vstack(outcomes))
+    return columns
 
 
-def encode_ids(ids: np.ndarray, vocabulary: int, length: int | None = None) -> bytes:
+def encode_ids(ids: np.ndarray, vocabulary: int, length: int = LENGTH) -> bytes:
     """MAGIC, version, vocabulary, block length, number of ids, then each block's crc32 and size, then the blocks."""
-    ids = np.asarray(ids, np.int64)
+    ids = np.asarray(ids)
     if len(ids) and (ids.min() < 0 or ids.max() >= vocabulary):
         raise ValueError("an id lies outside the vocabulary")
-    length = length or block_length(len(ids))
+    if not 0 < length <= LENGTH:
+        raise ValueError(f"a block has 1 to {LENGTH} ids")
     head = MAGIC + struct.pack("<BIIQ", VERSION, vocabulary, length, len(ids))
     if not len(ids):
         return head
     lanes = -(-len(ids) // length)
-    full = np.zeros(lanes * length, np.int64)
+    ids = ids.astype(np.int32, copy=False)
+    full = np.zeros(lanes * length, np.int32)
     full[: len(ids)] = ids
-    full, rest = full.reshape(lanes, length), len(ids) - (lanes - 1) * length
-    columns = np.ascontiguousarray(full.T)
-    m, e = Model(lanes, vocabulary), Encoder(lanes, 4 * length + 8)
-    for t in range(length):
-        if t == rest:
-            m.shrink(lanes - 1)
-        if not m.n:
-            break
-        x = columns[t, : m.n]
-        cum = m.look()
-        s = m.symbol(x)
-        at = m.rows * SYMBOLS + s
-        hi = cum.take(at)
-        lo = np.where(s > 0, cum.take(np.maximum(at - 1, 0)), 0)
-        e.put(m.rows, lo.astype(U), (hi - lo).astype(U), cum[:, -1])
-        if len(new := np.flatnonzero(s == ESCAPE)):
-            high, at = x[new] >> 8, new * m.parts + (x[new] >> 8)
-            for counts, rows, part in ((m.high, new, high), (m.low, at, x[new] & 255)):
-                total = counts.total(rows)
-                e.put(new, *counts.span(rows, part), total)
-        m.learn(x, s)
-    parts = e.end()
+    parts = _encode(np.ascontiguousarray(full.reshape(lanes, length).T), len(ids) - (lanes - 1) * length, vocabulary)
     sums = [zlib.crc32(ids[k * length : (k + 1) * length].astype("<u4").tobytes()) for k in range(lanes)]
     table = b"".join(struct.pack("<II", c, len(p)) for c, p in zip(sums, parts, strict=True))
     return head + table + b"".join(parts)
@@ -257,31 +368,8 @@ def decode_ids(data: bytes) -> np.ndarray:
     for _, b in table:
         parts.append(data[at : at + b])
         at += b
-    columns, rest = np.zeros((length, lanes), np.int64), n - (lanes - 1) * length
-    m, d = Model(lanes, vocabulary), Decoder(parts)
-    for t in range(length):
-        if t == rest:
-            m.shrink(lanes - 1)
-        if not m.n:
-            break
-        cum = m.look()
-        v = d.value(m.rows, cum[:, -1])
-        s = (cum <= v[:, None]).sum(1)
-        at = m.rows * SYMBOLS + s
-        hi = cum.take(at)
-        lo = np.where(s > 0, cum.take(np.maximum(at - 1, 0)), 0)
-        d.take(m.rows, lo.astype(U), (hi - lo).astype(U))
-        x = m.guess(s)
-        if len(new := np.flatnonzero(s == ESCAPE)):
-            part = np.zeros(len(new), np.int64)
-            for counts in (m.high, m.low):
-                high, rows = part, new if counts is m.high else new * m.parts + part
-                part = counts.find(rows, d.value(new, counts.total(rows)))
-                d.take(new, *counts.span(rows, part))
-            x[new] = high * 256 + part
-        columns[t, : m.n] = x
-        m.learn(x, s)
-    ids = columns.T.ravel()[:n]
+    with np.errstate(all="ignore"):  # of damaged parts
+        ids = _decode(parts, length, n - (lanes - 1) * length, vocabulary).T.ravel()[:n]
     for k, (c, _) in enumerate(table):
         if zlib.crc32(ids[k * length : (k + 1) * length].astype("<u4").tobytes()) != c:
             raise ValueError(f"the checksum of block {k} doesn't hold")

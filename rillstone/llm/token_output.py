@@ -7,6 +7,7 @@ documents, then range-coded blocks (see range_coder). Parts hold ascending range
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -22,7 +23,7 @@ from rillstone.llm.common import map_rows, remembered, work_dir
 from rillstone.llm.range_coder import decode_ids, encode_ids
 
 #: A chunk is closed when it has this many ids; a document is never cut.
-CHUNK_IDS = 1 << 22
+CHUNK_IDS = 1 << 23
 #: Places where the byte-level pre-tokenizer always parts tokens: before one space between two other characters than
 #: white space, around one line feed between such, and where letters or digits end before a mark (not an apostrophe).
 _PARTS = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<=[^\W_])(?=[!-&(-/:-@\[-^`{-~])")
@@ -30,6 +31,16 @@ _PARTS = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<=[^\W_])
 _LOOSE_STOP = re.compile(r"[.,](?<![^\W_].)")
 
 
+def byte_units() -> dict[int, str]:
+    """The characters by which byte-level tokenizers write bytes: printable ones stand for themselves, others from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+BYTE_UNITS = byte_units()
+
+
 def tokenizer_path(path: str | None = None) -> str:
     if path:
         return path
@@ -51,7 +62,7 @@ def pieces(text: str) -> list[str]:
 
 class Ids:
     """Ids of texts by a byte-level BPE of the tokenizers library. Pieces of texts are encoded once per worker and
-    remembered while they fit."""
+    remembered while they fit: the latest LIMIT, and those before that were asked for again."""
 
     LIMIT = 300_000
 
@@ -59,9 +70,16 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), np.array([end]).astype("<u4")
+        form = json.loads(self.tokenizer.to_str())
+        before = form["pre_tokenizer"] or {}
+        self.plain = (
+            form["normalizer"] is None and form["model"]["type"] == "BPE" and before.get("type") == "ByteLevel"
+            and not before.get("add_prefix_space") and before.get("use_regex", True)
+        )
         self.size = max(self.tokenizer.get_vocab_size(), end + 1)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def cut(self, text: str | None) -> list[str]:
         if not text:
@@ -73,13 +91,23 @@ class Ids:
         """The ids of each whole text, and the end id."""
         for i in range(0, len(texts), 64):
             each = [self.cut(t) for t in texts[i : i + 64]]
-            asked = set().union(*each)
-            if len(self.known) > self.LIMIT:
-                self.known.clear()
-            if new := [x for x in asked if x not in self.known]:
+            if len(self.known) > self.LIMIT:  # what isn't asked for again is forgotten, what is stays
+                self.known, self.old = {}, self.known
+            known, old = self.known, self.old
+            new = []
+            for x in set().union(*each).difference(known):
+                if (ids := old.get(x)) is None:
+                    new.append(x)
+                else:
+                    known[x] = ids
+            whole = [x for x in new if self.plain and (x[1:] if x[0] == " " else x).isalpha()]
+            for x in whole:  # all letters: one pre-token, which needs no more than the model
+                units = x.encode().decode("latin-1").translate(BYTE_UNITS)
+                known[x] = np.array([t.id for t in self.tokenizer.model.tokenize(units)], "<u4").tobytes()
+            if new := [x for x in new if x not in known]:
                 got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-                self.known.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(new, got, strict=True))
-            get = self.known.__getitem__
+                known.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(new, got, strict=True))
+            get = known.__getitem__
             for parts in each:
                 yield np.concatenate([np.frombuffer(b"".join(map(get, parts)), "<u4"), self.end])
 
