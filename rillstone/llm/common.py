@@ -55,9 +55,6 @@ class WordHashes(dict):
         return h
 
 
-_hashes = WordHashes()
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over 64 output bits."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -65,18 +62,90 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles_of(words: list[bytes], n: int) -> np.ndarray:
-    """64-bit hashes of all runs of n words in text order; a shorter text that has words is one run."""
-    if not words:
+_BASE = 0x9E3779B97F4A7C15
+#: Bytes that are hashed at once, unless a word is longer.
+_PIECE = 1 << 20
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of _BASE and of its inverse modulo 2^64."""
+    if len(_powers[0]) < n:
+        for k, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            p = np.full(max(n, 2 * len(_powers[0])), x, np.uint64)
+            p[0] = 1
+            _powers[k] = np.cumprod(p)
+    return _powers[0], _powers[1]
+
+
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 64-bit hashes of the words of bytes that begin and end with a space."""
+    c = np.frombuffer(data, np.uint8)
+    inside = (c != 32).view(np.int8)
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    start, end = edge[::2], edge[1::2]
+    power, inverse = _grown(len(c))
+    sums = np.cumsum(c * power[: len(c)])  # of all bytes up to a place, each times its power
+    return start, mix((sums[end - 1] - sums[start - 1]) * inverse[start])
+
+
+def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
+    """64-bit hashes of the words of each text, in text order; words as in words_of."""
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+    size = 0
+
+    def flush() -> None:
+        start, h = _hashed(b" " + b" ".join(held) + b" ")
+        ends = np.cumsum([len(x) + 1 for x in held]) + 1
+        out.extend(np.split(h, np.searchsorted(start, ends[:-1])))
+        held.clear()
+
+    for t in texts:
+        data = encode(t).translate(_WORD_BYTES)
+        if len(data) > _PIECE:  # cut at spaces
+            if held:
+                flush()
+            parts, at = [], 0
+            while at < len(data):
+                to = data.find(b" ", at + _PIECE) if at + _PIECE < len(data) else -1
+                to = len(data) if to < 0 else to
+                parts.append(_hashed(b" " + data[at:to] + b" ")[1])
+                at = to
+            out.append(np.concatenate(parts))
+            size = 0
+            continue
+        held.append(data)
+        size += len(data) + 1
+        if size > _PIECE:
+            flush()
+            size = 0
+    if held:
+        flush()
+    return out
+
+
+def shingles_of(h: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of all runs of n words, given the words' hashes; a shorter text that has words is one run."""
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    n = min(n, len(words))
-    acc = np.zeros(len(words) - n + 1, np.uint64)
+    n = min(n, len(h))
+    acc = np.zeros(len(h) - n + 1, np.uint64)
     for i in range(n):
-        acc = acc * np.uint64(0x9E3779B97F4A7C15) + h[i : len(words) - n + 1 + i]
+        acc *= np.uint64(_BASE)
+        acc += h[i : len(h) - n + 1 + i]
     return mix(acc)
 
 
+def counted(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and how often each is there."""
+    s = np.sort(s)
+    if not len(s):
+        return s, np.empty(0, np.int64)
+    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    return s[first], np.diff(first, append=len(s))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -88,7 +157,6 @@ def remembered(name: str, make: Callable[[], object]) -> object:
     """What a Python worker keeps from task to task under a name. It keeps one thing: that of another operator goes first."""
     if name not in _memory:
         _memory.clear()
-        _hashes.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
         _memory[name] = make()

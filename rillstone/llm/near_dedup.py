@@ -23,13 +23,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillstone.llm.common import map_rows, mix, shingles_of, stored, with_group_min, words_of, work_dir
+from rillstone.llm.common import SLICE, counted, map_rows, mix, shingles_of, stored, with_group_min, word_hashes, work_dir
 
 #: A shingle is frequent when at least this share of all texts holds it; others have the greatest weight.
 FREQUENT = 0.02
 #: idf runs from 1 to 1 + this. Small, so that what thousands of near copies share still outweighs their edits.
 IDF_SPAN = 0.25
-_GRAIN = 4096
+#: Steps of the idf: few weights, so that samples come from tables.
+IDF_STEPS = 16
+_GRAIN_BITS = 16
+_GRAIN = 1 << _GRAIN_BITS
 
 
 def frequent_shingles(docs: DataFrame, text_col: str, n: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -43,8 +46,8 @@ def frequent_shingles(docs: DataFrame, text_col: str, n: int) -> tuple[np.ndarra
     spark = docs.sparkSession
 
     def name(x: dict) -> Iterator[dict]:
-        sets = [np.unique(shingles_of(words_of(t), n)) for t in x["t"]]
-        keys, df = np.unique(np.concatenate(sets), return_counts=True)
+        sets = [counted(shingles_of(h, n))[0] for h in word_hashes(x["t"])]
+        keys, df = counted(np.concatenate(sets))
         hot = df >= FREQUENT / 2 * len(sets)
         yield {"s": keys[hot].view(np.int64), "n": df[hot]}
 
@@ -60,8 +63,8 @@ def frequent_shingles(docs: DataFrame, text_col: str, n: int) -> tuple[np.ndarra
     def count(x: dict) -> Iterator[dict]:
         keys = spread.value
         df = np.zeros(len(keys), np.int64)
-        for t in x["t"]:
-            s = np.unique(shingles_of(words_of(t), n))
+        for h in word_hashes(x["t"]):
+            s = counted(shingles_of(h, n))[0]
             at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
             df[at[keys[at] == s]] += 1
         yield {"s": keys[df > 0].view(np.int64), "n": df[df > 0]}
@@ -79,12 +82,17 @@ class Weights:
     def __init__(self, keys: np.ndarray, df: np.ndarray, total: int, n: int):
         self.keys, self.n = keys, n
         span = math.log(1 / FREQUENT)
-        self.idf = 1 + IDF_SPAN * np.minimum(np.log(total / np.maximum(df, 1)) / span, 1.0)
+        scaled = np.minimum(np.log(total / np.maximum(df, 1)) / span, 1.0)
+        self.idf = 1 + IDF_SPAN * np.rint(scaled * IDF_STEPS) / IDF_STEPS
 
-    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        s, tf = np.unique(shingles_of(words_of(text), self.n), return_counts=True)
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles, ascending, and their weights, of a text given by its words' hashes."""
+        s, tf = counted(shingles_of(hashes, self.n))
         return s, tf * self.idf_of(s)
 
+    def of_text(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        return self.of(word_hashes([text])[0])
+
     def idf_of(self, s: np.ndarray) -> np.ndarray:
         idf = np.full(len(s), 1 + IDF_SPAN)
         if len(self.keys) and len(s):
@@ -101,40 +109,65 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 class Sampler:
-    """Improved consistent weighted samples, bands x rows of them, and the hash of each band."""
+    """Improved consistent weighted samples, bands x rows of them, and the hash of each band.
+
+    A sample of a shingle takes its draws (r, c ~ Gamma(2, 1), b ~ U(0, 1)) from one of _GRAIN places, by a hash of the
+    shingle for that sample. Of shingles at the same place with the same level, the least hash goes first, in all texts
+    alike. Most shingles of a text have the same few weights: their places' values are tables, made once by weight.
+    """
 
-    CHUNK = 8_192
+    CHUNK = 1_024
+    TABLES = 64
 
     def __init__(self, bands: int, rows: int, seed: int):
         rng = np.random.default_rng([seed, bands, rows])
         self.bands, self.rows, k = bands, rows, bands * rows
-        self.mul = rng.integers(1, 2**63, k, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
-        self.add = rng.integers(0, 2**63, k, dtype=np.uint64)[:, None]
-        # draws of r ~ Gamma(2, 1), ln c with c ~ Gamma(2, 1), and b ~ U(0, 1), picked by bits of a shingle's hash
+        self.mul = rng.integers(0, 2**31, k, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
+        self.add = rng.integers(0, 2**32, k, dtype=np.uint32)[:, None]
         self.r = rng.gamma(2.0, 1.0, _GRAIN).astype(np.float32)
         self.inv = (1 / self.r).astype(np.float32)
         self.b = rng.random(_GRAIN, np.float32)
         self.c = np.log(rng.gamma(2.0, 1.0, _GRAIN)).astype(np.float32)
+        self.tables: dict[float, np.ndarray] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tables": {}}
+
+    def level(self, weight: float, at: np.ndarray) -> np.ndarray:
+        return np.floor(np.float32(np.log(weight)) * self.inv[at] + self.b[at])
+
+    def value(self, weight: float, at: np.ndarray) -> np.ndarray:
+        return self.c[at] - self.r[at] * (self.level(weight, at) - self.b[at] + np.float32(1))
+
+    def values(self, weight: float, at: np.ndarray) -> np.ndarray:
+        """value(), from a table for the first weights met; there are few common ones."""
+        if weight not in self.tables:
+            if len(self.tables) >= self.TABLES:
+                return self.value(weight, at)
+            self.tables[weight] = self.value(weight, np.arange(_GRAIN))
+        return self.tables[weight].take(at, mode="clip")
 
     def samples(self, keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """A 64-bit name of the sampled (shingle, level) for each of the bands x rows samples."""
-        least, name = None, None
-        for i in range(0, len(keys), self.CHUNK):
-            s, lw = keys[i : i + self.CHUNK], np.log(weights[i : i + self.CHUNK]).astype(np.float32)
-            h = (s ^ (s >> np.uint64(29))) * self.mul + self.add
-            one, two = (h >> np.uint64(52)).astype(np.int32), ((h >> np.uint64(40)) & np.uint64(_GRAIN - 1)).astype(np.int32)
-            b = self.b[one]
-            t = np.floor(lw * self.inv[one] + b)
-            a = self.c[two] - self.r[one] * (t - b + np.float32(1))
-            best = a.argmin(1)
-            row = np.arange(len(best))
-            low = a[row, best]
-            new = mix(s[best] + t[row, best].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            if least is None:
-                least, name = low, new
-            else:
-                name = np.where(low < least, new, name)
-                least = np.minimum(low, least)
+        """A 64-bit name of the sampled (shingle, level) for each of the bands x rows samples. keys ascend."""
+        least = np.full(len(self.mul), np.inf, np.float32)
+        key, name, row = np.full(len(self.mul), 2**64 - 1, np.uint64), np.zeros(len(self.mul), np.uint64), np.arange(len(self.mul))
+        kinds = counted(weights)[0].tolist()
+        short = (keys ^ (keys >> np.uint64(32))).astype(np.uint32)
+        for w in kinds:
+            some = slice(None) if len(kinds) == 1 else weights == w
+            own, own_short = keys[some], short[some]
+            for i in range(0, len(own), self.CHUNK):
+                s, h = own[i : i + self.CHUNK], own_short[i : i + self.CHUNK] * self.mul
+                h += self.add
+                h >>= np.uint32(32 - _GRAIN_BITS)
+                at = h.astype(np.int64)
+                a = self.values(w, at)
+                best = a.argmin(1)
+                low, new = a[row, best], s[best]
+                win = np.flatnonzero((low < least) | ((low == least) & (new < key)))
+                least[win], key[win] = low[win], new[win]
+                level = self.level(w, at[win, best[win]]).astype(np.int64).view(np.uint64)
+                name[win] = mix(key[win] + level * np.uint64(0x9E3779B97F4A7C15))
         return name
 
     def band_keys(self, keys: np.ndarray, weights: np.ndarray) -> list[int]:
@@ -152,15 +185,13 @@ def _signed(docs: DataFrame, weights, sampler: Sampler) -> DataFrame:
     def run(x: dict) -> Iterator[dict]:
         w, sampler = spread.value
         keys, bands = [], []
-        for t in x["t"]:
-            words = words_of(t)
-            s = w.of(t) if words else None
-            keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
-            bands.append(sampler.band_keys(*s) if words else None)
+        for h in word_hashes(x["t"]):
+            keys.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
+            bands.append(sampler.band_keys(*w.of(h)) if len(h) else None)
         yield {"doc_id": x["doc_id"], "key": keys, "bands": bands}
 
     out = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64()))])
-    return map_rows(docs, run, "doc_id long, key binary, bands array<long>", out)
+    return map_rows(docs, run, "doc_id long, key binary, bands array<long>", out, SLICE)
 
 
 def _verified(edges: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
@@ -169,7 +200,7 @@ def _verified(edges: DataFrame, texts: DataFrame, weights: Weights, threshold: f
 
     def run(x: dict) -> Iterator[dict]:
         w = spread.value
-        weigh = functools.lru_cache(256)(w.of)
+        weigh = functools.lru_cache(256)(w.of_text)
         sim = [weighted_jaccard(weigh(p), weigh(q)) for p, q in zip(x["p"], x["q"], strict=True)]
         yield {"a": x["a"], "b": x["b"], "similarity": sim, "linked": [s >= threshold for s in sim]}
 
@@ -275,7 +306,7 @@ def _block_links(members: DataFrame, texts: DataFrame, weights: Weights, thresho
         w = spread.value
         pdf = pdf.drop_duplicates(["node", "t"])
         nodes, classes = pdf["node"].tolist(), pdf["class"].tolist()
-        links = spanning_links(nodes, classes, [w.of(t) for t in pdf["t"]], w, threshold)
+        links = spanning_links(nodes, classes, [w.of(h) for h in word_hashes(pdf["t"].tolist())], w, threshold)
         return pd.DataFrame({"a": [min(x) for x in links], "b": [max(x) for x in links]}, dtype="int64")
 
     return each.groupBy("bucket", "x", "y").applyInPandas(compare, "a long, b long")
