@@ -177,7 +177,8 @@ def to_string(c: Column, kind: str = "string") -> Column:
     if kind == "boolean":
         return F.when(c, "True").when(~c, "False")
     if kind.startswith("decimal"):
-        return F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1").try_cast("string")
+        # no exponent, no zeros at the end of a fraction, no bare point
+        return F.call_function("format_number", c.cast("decimal(38,10)"), F.lit("0.##########"))
     return c.cast("string")
 
 
@@ -267,10 +268,3 @@ def title(c: Column) -> Column:
     """Words in lower case with their first letter in upper case; words end at anything but letters and apostrophes."""
     parts = F.regexp_extract_all(F.lower(c), F.lit(r"((?U)[\p{L}'\p{N}]+|[^\p{L}'\p{N}]+)"), 1)
     return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.substring(p, 2, 1 << 30))), "")
-
-
-def process_texts(c: Column, **how) -> Column:
-    """process_text for each value of a list; values that end empty go."""
-    return F.filter(F.transform(c, lambda x: process_text(x, **how)), lambda x: x.isNotNull() & (x != ""))
-
-

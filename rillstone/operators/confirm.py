@@ -87,13 +87,27 @@ def apply_changes(values: Column, changes: Column) -> Column:
     return F.aggregate(F.array_sort(given), F.coalesce(values, none), step)
 
 
-def optimistic(actual: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """key, attr, values of touched attributes after exported changes, as if the target had confirmed them.
+def optimistic_values(actual: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """key, attr, value: what touched attributes hold after exported changes, as if the target had confirmed them.
 
-    changes: key, change, attr, op, value, seq. Delete sets are left out. A set per object and attribute is folded in
-    its order; one value's update makes earlier ones moot, so only its own attribute's changes are held together.
+    changes: key, change, attr, op, value, seq. Delete sets are left out. Works value by value: of the changes of one
+    value the last decides, if it comes after the last change of the whole attribute (update, remove_all). So a list
+    of very many values, with very many changes, is spread over tasks and costs what its rows cost.
     """
-    sent = changes.filter("change <> 'delete'").groupBy(key, "attr")
-    sent = sent.agg(F.collect_list(F.struct(F.col("seq").cast("bigint").alias("seq"), "op", "value")).alias("_c"))
-    held = actual.groupBy(key, "attr").agg(F.sort_array(F.collect_set("value")).alias("_v"))
-    return sent.join(held, [key, "attr"], "left").select(key, "attr", F.sort_array(apply_changes(F.col("_v"), F.col("_c"))).alias("values"))
+    at = F.struct(F.col("seq").cast("bigint").alias("seq"), "op", F.coalesce("value", F.lit("")).alias("v"))
+    sent = changes.filter("change <> 'delete'").select(key, "attr", "value", "op", at.alias("at"))
+    whole = sent.filter(F.col("op").isin("update", "remove_all")).groupBy(key, "attr").agg(F.max("at").alias("_w"))
+    touched = sent.select(key, "attr").distinct()
+    first = F.struct(F.lit(-(1 << 63)).cast("bigint").alias("seq"), F.lit("").alias("op"), F.lit("").alias("v"))
+    held = actual.filter("value is not null").join(touched, [key, "attr"], "left_semi").select(key, "attr", "value", F.lit(True).alias("_in"), first.alias("at"))
+    moves = sent.filter(F.col("value").isNotNull() & F.col("op").isin("add", "remove", "update"))
+    rows = held.unionByName(moves.select(key, "attr", "value", (F.col("op") != "remove").alias("_in"), "at"))
+    last = rows.groupBy(key, "attr", "value").agg(F.max_by("_in", "at").alias("_in"), F.max("at").alias("at"))
+    return last.join(whole, [key, "attr"], "left").filter("_in and (_w is null or at >= _w)").select(key, "attr", "value")
+
+
+def optimistic(actual: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """key, attr, values of touched attributes as in optimistic_values, as sorted lists; empty where none is left."""
+    touched = changes.filter("change <> 'delete'").select(key, "attr").distinct()
+    lists = optimistic_values(actual, changes, key).groupBy(key, "attr").agg(F.sort_array(F.collect_list("value")).alias("values"))
+    return touched.join(lists, [key, "attr"], "left").withColumn("values", F.coalesce("values", F.array().cast("array<string>")))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import operator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +26,9 @@ def object_changes(staged: DataFrame, incoming: DataFrame, key: list[str], attri
 
     An incoming table without rows deletes nothing; detect_deletes is off for partial (delta) imports.
     """
-    detect_deletes = detect_deletes and not incoming.isEmpty()
     a = staged.select(*key, F.struct(*(x.name for x in attributes)).alias("was"))
+    if detect_deletes:
+        a = where_any(a, incoming)
     b = incoming.select(*key, F.struct(*(x.name for x in attributes)).alias("now"))
     both = a.join(b, key, "full" if detect_deletes else "right")
     names = F.array_compact(
@@ -87,7 +85,12 @@ def unchanged(incoming: DataFrame, stored: DataFrame, key: list[str], attributes
 
 def deletions(staged: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
     """Staged keys that a full import of the same scope no longer has; none if it has no rows at all."""
-    return staged.select(*key).limit(0) if incoming.isEmpty() else staged.select(*key).join(incoming.select(*key), key, "left_anti")
+    return where_any(staged.select(*key), incoming).join(incoming.select(*key), key, "left_anti")
+
+
+def where_any(df: DataFrame, other: DataFrame) -> DataFrame:
+    """df if other has a row, else none of it, found out when the plan runs."""
+    return df.join(F.broadcast(other.limit(1).select(F.lit(1).alias("_any"))), how="cross").drop("_any")  # one row
 
 
 def single(values: Column) -> tuple[Column, Column]:
@@ -96,14 +99,6 @@ def single(values: Column) -> tuple[Column, Column]:
     return F.when(F.size(distinct) == 1, distinct[0]), F.coalesce(F.size(distinct) > 1, F.lit(False))
 
 
-def rows_differ(a: DataFrame, b: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """key and the rows' difference for two versions of a wide table, null-safe."""
-    x = a.select(*key, F.struct(*columns).alias("old"))
-    y = b.select(*key, F.struct(*columns).alias("new"))
-    differs = functools.reduce(operator.or_, [~F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}")) for c in columns])
-    return x.join(y, key, "full").filter(F.col("old").isNull() | F.col("new").isNull() | differs)
-
-
 def settings_diff(old: dict, new: dict) -> list[tuple[str, object, object]]:
     """(path, old, new) of two configuration trees; they are small and stay on the driver."""
 

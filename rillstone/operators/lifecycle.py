@@ -128,3 +128,10 @@ def due(df: DataFrame, at: str, now: datetime, by: str) -> DataFrame:
 def stale(tasks: DataFrame, heartbeat: str, now: datetime, seconds: int) -> DataFrame:
     """Tasks without a sign of life for longer than so many seconds."""
     return tasks.filter(F.unix_micros(F.coalesce(heartbeat, "started_at")) < F.unix_micros(F.lit(now).cast("timestamp")) - seconds * 1_000_000)
+
+
+def next_steps(tasks: DataFrame, run: str, step: str, done: str) -> DataFrame:
+    """The tasks that may start: of each run those of its least step that isn't done, all side by side."""
+    open_ = tasks.filter(~F.col(done))
+    least = open_.groupBy(run).agg(F.min(step).alias("_least"))
+    return open_.join(least, run).filter(F.col(step) == F.col("_least")).drop("_least")

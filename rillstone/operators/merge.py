@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,18 +9,6 @@ from pyspark.sql import functions as F
 WITH_VALUE, NO_VALUE, NOT_APPLICABLE = "value", "none", "na"
 
 
-@dataclass(frozen=True)
-class Mapping:
-    """One attribute flow of a source: its priority (1 first), and whether no value asserts null."""
-
-    id: int
-    target: str
-    priority: int
-    null_is_value: bool = False
-    enabled: bool = True
-    initial_only: bool = False
-
-
 def resolve(contributions: DataFrame, key: list[str], all_keys: DataFrame | None = None) -> DataFrame:
     """key, outcome (value, asserted_null, no_contributor), value, rule and mapping_id.
 

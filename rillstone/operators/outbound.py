@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillstone.operators.diff import as_set
 from rillstone.schema import Attribute, Write, as_text
@@ -154,12 +156,36 @@ def chunked(changes: DataFrame, by: list[str], value: str, most: int = 1000) ->
     return rows.groupBy(*by, "chunk").agg(F.sort_array(F.collect_list(value)).alias("values"))
 
 
-def size_batches(operations: DataFrame, order: str, size: str, most_bytes: int, most_operations: int, by: str) -> DataFrame:
-    """operations with `batch`: within each `by` (a connection), by the running size and number."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    by_size = F.floor((F.sum(size).over(w) - 1) / most_bytes)
-    by_count = F.floor((F.count("*").over(w) - 1) / most_operations)
-    return operations.withColumn("batch", F.greatest(by_size, by_count).cast("int"))
+def size_batches(operations: DataFrame, order: str, size: str, most_bytes: int, most_operations: int, by: list[str]) -> DataFrame:
+    """operations with `batch`, packed in order within each group of `by`: a batch is closed before an operation that
+    would take it beyond most_bytes, or when it has most_operations. An operation larger than most_bytes by itself is in
+    no batch: its batch is null.
+
+    Where one lies depends on all before it, so a group is read in order by one task, a row at a time. Give a very large
+    connection's parts (ranges of `order`, say) as another column of `by`: no batch reaches over two of them.
+    """
+    names = operations.columns
+    i, keys = names.index(size), [names.index(c) for c in by]
+    spread = operations.repartition(*by).sortWithinPartitions(*by, order)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, batch, n, held = None, 0, 0, 0
+        for b in batches:
+            out: list[int | None] = []
+            for key, nbytes in zip(zip(*(b.column(k).to_pylist() for k in keys), strict=True), b.column(i).to_pylist(), strict=True):
+                if key != last:
+                    last, batch, n, held = key, 0, 0, 0
+                nbytes = nbytes or 0
+                if nbytes > most_bytes:
+                    out.append(None)
+                    continue
+                if n and (n >= most_operations or held + nbytes > most_bytes):
+                    batch, n, held = batch + 1, 0, 0
+                n, held = n + 1, held + nbytes
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=[*names, "batch"])
+
+    return spread.mapInArrow(pack, T.StructType([*operations.schema.fields, T.StructField("batch", T.IntegerType())]))
 
 
 def purge_references(changes: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -177,7 +203,3 @@ def recall_changes(references: DataFrame) -> DataFrame:
     """references (owner, attr, ref, many, held) as changes: a list's value is removed if held; one value is cleared."""
     rows = references.filter(~F.col("many") | F.col("held"))
     return rows.select("owner", "attr", F.when(F.col("many"), "remove").otherwise("update").alias("op"), F.when(F.col("many"), F.col("ref")).alias("value"))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -8,7 +8,7 @@ import re
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillstone.operators.criteria import Group, in_scope
@@ -133,14 +133,20 @@ def latest(children: DataFrame, by: list[str], at: str, tie_break: str, columns:
 
 
 def ancestors(parents: DataFrame, node: str, parent: str, depth: int = 50) -> DataFrame:
-    """(node, root): each node's topmost ancestor, at most `depth` steps up. A small table, walked by doubling."""
-    up = parents.select(F.col(node).alias("node"), F.coalesce(parent, node).alias("root"))
-    steps = 1
-    while steps < depth:
-        far = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        up = up.join(far, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-        steps *= 2
-    return up
+    """(node, root): each node's ancestor `depth` steps up, or its topmost one before that. A small table.
+
+    Walked by doubling: for each binary digit of `depth` that is set, on by as many steps from where the walk is.
+    """
+    jump = parents.select(F.col(node).alias("node"), F.coalesce(parent, node).alias("root"))
+    at, left = None, depth
+    while left:
+        far = jump.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        if left & 1:
+            at = jump if at is None else at.join(far, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+        left >>= 1
+        if left:
+            jump = jump.join(far, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return parents.select(F.col(node).alias("node"), F.col(node).alias("root")) if at is None else at
 
 
 @dataclass(frozen=True)
@@ -158,7 +164,3 @@ class Search:
         found = objects.filter(in_scope(self.groups, self.type, now)).select(*dict.fromkeys([*self.columns, tie_break]))
         found = rest_sort(found, self.sort or tie_break, self.descending, tie_break)
         return found if count is None else page_range(found, offset, count)[0]
-
-
-def numbered(df: DataFrame, by: list[str], order: list[Column | str], name: str = "n") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

@@ -60,6 +60,16 @@ def capped_samples(df: DataFrame, by: list[str], order: list[str], most: int) ->
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
 
 
+def category_counts(df: DataFrame, category: str, order: str, most: int, budget: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(exact counts by category, sample rows): at most `most` rows a category, the first by `order`, and at most `budget` in all.
+
+    The counts never depend on the caps.
+    """
+    counts = df.groupBy(category).agg(F.count("*").alias("n"))
+    samples = capped_samples(df, [category], [order], most)
+    return counts, samples if budget is None else samples.orderBy(category, order).limit(budget)
+
+
 def casing_only(old: Column, new: Column) -> Column:
     return F.when((old != new) & (F.lower(old) == F.lower(new)), "casing")
 
@@ -107,13 +117,19 @@ def throughput(n: Column, seconds: Column, remaining: Column) -> tuple[Column, C
 
 
 def causal_chain(edges: DataFrame, effects: DataFrame, depth: int = 20) -> DataFrame:
-    """(start, node, steps): causes of effects along edges (effect, cause), up to `depth` steps; stops when none is new."""
+    """(start, node, steps): causes of effects along edges (effect, cause); stops when none is new.
+
+    More than `depth` steps are an error, not a shorter chain. Each front is a checkpoint where the session has a folder
+    for them, so that lineage doesn't grow with the steps, and is let go once the next one stands.
+    """
+    keep = (lambda df: df.checkpoint()) if effects.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df)
     found = effects.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("steps"))
     front = found
-    for step in range(1, depth + 1):
+    for step in range(1, depth + 2):
         front = front.join(edges.select(F.col("effect").alias("node"), "cause"), "node").select("start", F.col("cause").alias("node"), F.lit(step).alias("steps"))
-        front = front.distinct().join(found.select("start", "node"), ["start", "node"], "left_anti").select("start", "node", "steps").persist()
+        front = front.distinct().join(found.select("start", "node"), ["start", "node"], "left_anti").select("start", "node", "steps")
+        front = keep(front)
         if front.isEmpty():
-            break
+            return found
         found = found.union(front)
-    return found
+    raise ValueError(f"a chain has more than {depth} steps")

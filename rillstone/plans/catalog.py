@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillstone.functions import scalars as S
@@ -14,6 +16,7 @@ from rillstone.operators import confirm, criteria, diff, lifecycle, match, merge
 from rillstone.operators.criteria import Criterion, Group, Relative
 from rillstone.plans import pipeline
 from rillstone.schema import Attribute, Kind, ObjectType, Write, from_eav, to_eav
+from rillstone.session import scratch
 from rillstone.sources import files, relational, synthetic
 from rillstone.streaming import changes as stream
 
@@ -321,10 +324,10 @@ def expr_language(spark, d):
     )
 
 
-@query_for("""SELECT doc_id, md5(lower(trim(regexp_replace(regexp_replace(left(text, 300), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')))) AS low,
+@query_for("""SELECT doc_id, md5(lower(trim(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')))) AS low,
     CASE WHEN doc_id % 2 = 0 THEN 'x' END AS blank FROM documents""")
 def text_processing(spark, d):
-    c = F.left("text", F.lit(300))
+    c = F.col("text")
     blank = F.when(F.col("doc_id") % 2 == 0, F.lit(" x ")).otherwise(F.lit("  "))
     return table(spark, d, "documents").select(
         "doc_id", F.md5(S.process_text(c, True, True, "lower")).alias("low"), S.process_text(blank, trim_ends=True, blank_is_null=True).alias("blank")
@@ -586,10 +589,29 @@ def chunked_changes(spark, d):
     return rows.select("l_orderkey", "chunk", F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("parts"))
 
 
-@query_for("""SELECT event_id, greatest(floor((sum(length(props)) OVER w - 1) / 500), floor((count(*) OVER w - 1) / 20))::INT AS batch FROM events
-    WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+@query_for("""WITH RECURSIVE e AS (SELECT event_id, event_type, event_id // 2000 AS part, length(props) * 10 AS n, row_number() OVER (PARTITION BY event_type, event_id // 2000 ORDER BY event_id) AS k FROM events),
+    r AS (SELECT event_id, event_type, part, k, CASE WHEN n > 500 THEN NULL ELSE 0 END AS batch, 0 AS at, CASE WHEN n > 500 THEN 0 ELSE n END AS held, CASE WHEN n > 500 THEN 0 ELSE 1 END AS many FROM e WHERE k = 1
+    UNION ALL SELECT e.event_id, e.event_type, e.part, e.k, CASE WHEN e.n > 500 THEN NULL WHEN r.many > 0 AND (r.many >= 20 OR r.held + e.n > 500) THEN r.at + 1 ELSE r.at END,
+    CASE WHEN e.n <= 500 AND r.many > 0 AND (r.many >= 20 OR r.held + e.n > 500) THEN r.at + 1 ELSE r.at END,
+    CASE WHEN e.n > 500 THEN r.held WHEN r.many > 0 AND (r.many >= 20 OR r.held + e.n > 500) THEN e.n ELSE r.held + e.n END,
+    CASE WHEN e.n > 500 THEN r.many WHEN r.many > 0 AND (r.many >= 20 OR r.held + e.n > 500) THEN 1 ELSE r.many + 1 END
+    FROM r JOIN e ON e.event_type = r.event_type AND e.part = r.part AND e.k = r.k + 1) SELECT event_id, part::BIGINT AS part, batch::INT AS batch FROM r""")
 def size_batches(spark, d):
-    return outbound.size_batches(table(spark, d, "events").withColumn("n", F.length("props")), "event_id", "n", 500, 20, "event_type").select("event_id", "batch")
+    rows = table(spark, d, "events").select("event_id", "event_type", F.floor(F.col("event_id") / 2000).alias("part"), (F.length("props") * 10).alias("n"))
+    return outbound.size_batches(rows, "event_id", "n", 500, 20, ["event_type", "part"]).select("event_id", "part", "batch")
+
+
+@query_for("""WITH c AS (SELECT o_custkey, o_orderkey AS seq, ['add', 'remove', 'add', 'update', 'remove', 'add', 'add', 'remove_all', 'add', 'add', 'add'][1 + o_orderkey % 11] AS op, o_orderpriority AS v FROM orders),
+    h AS (SELECT DISTINCT o_custkey, '3-MEDIUM' AS v FROM orders WHERE o_custkey % 2 = 0), w AS (SELECT o_custkey, max(seq) AS since FROM c WHERE op IN ('update', 'remove_all') GROUP BY 1),
+    x AS (SELECT o_custkey, v, -1 AS seq, true AS held FROM h UNION ALL SELECT o_custkey, v, seq, op <> 'remove' FROM c WHERE op <> 'remove_all'),
+    l AS (SELECT o_custkey, v, arg_max(held, seq) AS held, max(seq) AS seq FROM x GROUP BY 1, 2)
+    SELECT l.o_custkey, 'p' AS attr, v AS value FROM l LEFT JOIN w USING (o_custkey) WHERE held AND (since IS NULL OR seq >= since)""")
+def optimistic_values(spark, d):
+    o = table(spark, d, "orders")
+    ops = F.array(*map(F.lit, ("add", "remove", "add", "update", "remove", "add", "add", "remove_all", "add", "add", "add")))
+    sent = o.select("o_custkey", F.lit("update").alias("change"), F.lit("p").alias("attr"), F.get(ops, (F.col("o_orderkey") % 11).cast("int")).alias("op"), F.col("o_orderpriority").alias("value"), F.col("o_orderkey").alias("seq"))
+    held = o.filter("o_custkey % 2 = 0").select("o_custkey", F.lit("p").alias("attr"), F.lit("3-MEDIUM").alias("value"))
+    return confirm.optimistic_values(held, sent, "o_custkey")
 
 
 @query_for("""SELECT c_custkey, 1 AS system, 'segment' AS attr, c_mktsegment AS value FROM customer WHERE c_custkey % 5 = 0 OR (c_custkey % 3 = 0 AND c_mktsegment <> 'OLD')""")
@@ -871,3 +893,160 @@ def csv_columns_typed(spark, d):
     text = table(spark, d, "part").select(*(F.col(c).cast("string").alias(c.upper()) for c in ("p_partkey", "p_name", "p_size", "p_retailprice")))
     t = ObjectType("part", tuple(PART.attribute(n) for n in ("p_partkey", "p_name", "p_size", "p_retailprice")), "p_partkey")
     return files.import_file(text, t)[0].select("p_partkey", "p_name", "p_size", F.col("p_retailprice").cast("double").alias("price"))
+
+
+@query_for("""SELECT c_custkey, c_name, c_nationkey, c_acctbal::DECIMAL(38,10)::DOUBLE AS balance, c_mktsegment || '|' || c_nationkey::VARCHAR AS tags FROM customer""")
+def csv_file_import(spark, d):
+    """Writes customers as a CSV file in the shared folder, and imports that: typed columns, a many-valued one, routed by object type."""
+    at = f"{scratch(spark)}/customers.csv"
+    text = table(spark, d, "customer").select(
+        F.lit("Customer").alias("TYPE"), F.col("c_custkey").cast("string").alias("C_CUSTKEY"), F.col("c_name").alias("C_Name"), F.col("c_nationkey").cast("string").alias("c_nationkey"),
+        F.col("c_acctbal").cast("decimal(18,2)").cast("string").alias("c_acctbal"), F.concat_ws("|", "c_mktsegment", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("tags"),
+    )
+    text.write.mode("overwrite").csv(at, header=True)
+    t = ObjectType("customer", (*(CUSTOMER.attribute(n) for n in ("c_custkey", "c_name", "c_nationkey", "c_acctbal")), Attribute("tags", many=True)), "c_custkey")
+    rows = files.route_types(files.read_text(spark, at), [t], {"customer"}, "TYPE")[0]["customer"]
+    found = files.import_file(rows, t)[0]
+    return found.select("c_custkey", "c_name", "c_nationkey", F.col("c_acctbal").cast("double").alias("balance"), F.array_join("tags", "|").alias("tags"))
+
+
+# --- decisions by columns ---------------------------------------------------------------------------------------
+
+
+@query_for("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN true ELSE c_custkey % 3 <= c_custkey % 4 END AS takes_over FROM customer""")
+def incumbent_gate(spark, d):
+    k = F.col("c_custkey")
+    owner = F.when(k % 5 != 0, k % 4)
+    return table(spark, d, "customer").select("c_custkey", merge.takes_over(k % 3, F.lit(1), owner, F.lit(1)).alias("takes_over"))
+
+
+@query_for("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'skip' WHEN o_orderstatus = 'O' THEN CASE WHEN o_custkey % 2 = 0 THEN 'skip' ELSE 'merge' END ELSE 'new' END AS policy FROM orders""")
+def recall_policies(spark, d):
+    s = F.col("o_orderstatus")
+    existing = F.when(s == "F", "delete").when(s == "O", F.when(F.col("o_custkey") % 2 == 0, "create").otherwise("update"))
+    return table(spark, d, "orders").select("o_orderkey", outbound.recall_policy(existing).alias("policy"))
+
+
+@query_for("""SELECT o_orderkey AS owner, 'manager' AS attr, CASE WHEN o_custkey % 2 = 0 THEN 'remove' ELSE 'update' END AS op, CASE WHEN o_custkey % 2 = 0 THEN o_custkey END AS value
+    FROM orders WHERE o_custkey % 2 = 1 OR o_orderstatus = 'O'""")
+def recall_shapes(spark, d):
+    refs = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("owner"), F.lit("manager").alias("attr"), F.col("o_custkey").alias("ref"), (F.col("o_custkey") % 2 == 0).alias("many"), (F.col("o_orderstatus") == "O").alias("held")
+    )
+    return outbound.recall_changes(refs)
+
+
+@query_for("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN CASE WHEN c_custkey % 2 = 0 THEN c_nationkey % 2 = 0 ELSE true END WHEN 1 THEN true ELSE false END AS cancels,
+    CASE c_custkey % 3 WHEN 0 THEN 'disconnect' WHEN 1 THEN 'delete' ELSE 'nothing' END AS export, c_nationkey % 4 = 0 AND c_custkey % 5 <> 0 AND c_custkey % 3 = 1 AS marks FROM customer""")
+def connector_decisions(spark, d):
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    rule = F.when(k % 3 == 0, "authoritative").when(k % 3 == 1, "last_connector").otherwise("manual")
+    cancels = lifecycle.cancels_deletion(rule, F.when(k % 2 == 0, "all"), n % 2 == 0)
+    action = F.when(k % 3 == 0, "disconnect").when(k % 3 == 1, "delete").otherwise("keep")
+    marks = lifecycle.last_connector_marker(n % 4, F.when(k % 5 == 0, "internal").otherwise("projected"), rule)
+    return table(spark, d, "customer").select("c_custkey", cancels.alias("cancels"), lifecycle.out_of_scope_export(action).alias("export"), marks.alias("marks"))
+
+
+@query_for("""SELECT o_orderkey, o_orderstatus IN ('F', 'P') AND (o_custkey % 3 = 0 OR o_orderdate <= TIMESTAMP '1997-01-01') AND o_custkey % 7 <> 0 AS runs,
+    coalesce(o_orderdate <= o_orderdate + INTERVAL (o_custkey % 3 - 1) DAY AND (o_custkey % 2 = 0 OR TIMESTAMP '1996-06-01' <= o_orderdate + INTERVAL (o_custkey % 3 - 1) DAY), false) AS skips FROM orders""")
+def run_filters(spark, d):
+    k, at = F.col("o_custkey"), F.col("o_orderdate").cast("timestamp")
+    rows = table(spark, d, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderdate", F.when(F.col("o_orderstatus") == "F", "pending").when(F.col("o_orderstatus") == "P", "not_confirmed").otherwise("exported").alias("status"),
+        F.when(k % 3 != 0, at).alias("next_retry_at"), F.when(k % 7 == 0, True).alias("all_deferred"),
+    )
+    applied = at + F.make_dt_interval((k % 3 - 1).cast("int"))
+    config = F.when(k % 2 != 0, F.lit(datetime(1996, 6, 1)).cast("timestamp"))
+    return rows.select("o_orderkey", lifecycle.executable(F.lit(datetime(1997, 1, 1)).cast("timestamp")).alias("runs"), lifecycle.may_skip_unchanged(at, applied, config).alias("skips"))
+
+
+@query_for("""SELECT user_id, count(*) / (max(value) - 50) AS rate, CASE WHEN count(*) / (max(value) - 50) > 0 THEN 1000 / (count(*) / (max(value) - 50)) END AS to_go FROM events GROUP BY 1 HAVING max(value) > 50
+    UNION ALL SELECT user_id, NULL, NULL FROM events GROUP BY 1 HAVING max(value) <= 50""")
+def throughput_estimates(spark, d):
+    rows = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), (F.max("value") - 50).alias("s"))
+    rate, to_go = summarise.throughput(F.col("n"), F.col("s"), F.lit(1000))
+    return rows.select("user_id", rate.alias("rate"), to_go.alias("to_go"))
+
+
+@query_for("""SELECT o_orderstatus AS type, o_orderpriority AS attr, count(DISTINCT o_custkey % 13) AS contributors FROM orders GROUP BY 1, 2""")
+def contributors_by_attribute(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderstatus").alias("type"), F.col("o_orderpriority").alias("attr"), (F.col("o_custkey") % 13).alias("mapping_id"))
+    return merge.contributor_counts(rows)
+
+
+@query_for("""SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment DESC NULLS LAST, c_custkey) AS place FROM customer QUALIFY place <= 40""")
+def whitelisted_sort(spark, d):
+    keys = {"segment": F.col("c_mktsegment").desc(), "name": F.col("c_name").asc()}
+    rows = query.sort_by_key(table(spark, d, "customer"), "SEGMENT", keys, "name", "c_custkey").limit(40)
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.col("c_mktsegment").desc_nulls_last(), "c_custkey"))).select("c_custkey", F.col("place").cast("long").alias("place"))
+
+
+@query_for("""SELECT c_custkey, (SELECT count(*) FROM customer WHERE c_nationkey < 12) AS total FROM customer WHERE c_nationkey < 12 ORDER BY c_custkey LIMIT 30""")
+def page_with_total(spark, d):
+    rows, total = query.page_range(table(spark, d, "customer").filter("c_nationkey < 12").orderBy("c_custkey"), -5, 30, total=True)
+    return rows.select("c_custkey", F.lit(total).cast("long").alias("total"))
+
+
+@query_for("""SELECT c_custkey, c_nationkey::VARCHAR AS n, (c_acctbal::DECIMAL(12,2))::VARCHAR = printf('%.2f', c_acctbal) AS ok, c_nationkey AS back, 0 AS bad FROM customer""")
+def fn_conversions(spark, d):
+    cents = S.to_string(F.col("c_acctbal").cast("decimal(38,10)"), "decimal(38,10)")
+    return table(spark, d, "customer").select(
+        "c_custkey", S.to_string(F.col("c_nationkey"), "int").alias("n"), (cents.cast("decimal(12,2)") == F.col("c_acctbal").cast("decimal(12,2)")).alias("ok"),
+        S.to_int(F.col("c_nationkey").cast("string")).alias("back"), S.to_int(F.col("c_name")).alias("bad"),
+    )
+
+
+@query_for("""SELECT p_partkey, CASE WHEN p_retailprice = floor(p_retailprice) THEN printf('%d', p_retailprice::BIGINT) ELSE rtrim(rtrim((p_retailprice::DECIMAL(18,4))::VARCHAR, '0'), '.') END AS price FROM part""")
+def fn_decimal_text(spark, d):
+    return table(spark, d, "part").select("p_partkey", S.to_string(F.col("p_retailprice").cast("decimal(18,4)"), "decimal(18,4)").alias("price"))
+
+
+@query_for("""SELECT c_custkey FROM customer WHERE (c_custkey % 2 = 0) = true AND md5(c_name) <> md5('Customer#000000002') AND md5(c_mktsegment) = md5('BUILDING')""")
+def crit_bool_guid(spark, d):
+    guid = lambda c: F.regexp_replace(F.md5(c.cast("binary")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    t = ObjectType("keyed", (Attribute("c_custkey", Kind.LONG), Attribute("even", Kind.BOOLEAN), Attribute("own", Kind.GUID), Attribute("of", Kind.GUID)), "c_custkey")
+    rows = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 2 == 0).alias("even"), guid(F.col("c_name")).alias("own"), guid(F.col("c_mktsegment")).alias("of"))
+    named = lambda text: str(uuid.UUID(hashlib.md5(text.encode()).hexdigest()))
+    scope = (Group((Criterion("even", "eq", True), Criterion("own", "ne", named("Customer#000000002")), Criterion("of", "eq", named("BUILDING")))),)
+    return rows.filter(criteria.in_scope(scope, t, NOW)).select("c_custkey")
+
+
+@query_for("""SELECT o_orderkey, c_custkey AS object_id, CASE WHEN c_custkey % 2 = 0 THEN c_custkey + 900000 END AS target_id FROM orders LEFT JOIN customer ON c_custkey = o_custkey + 1""")
+def deferred_references(spark, d):
+    refs = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") + 1).cast("string").alias("ref"))
+    objects = table(spark, d, "customer").select(F.lit("customer").alias("type"), F.col("c_custkey").cast("string").alias("external_id"), F.col("c_custkey").alias("id"))
+    joins = table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") + 900000).alias("target_id"))
+    found = match.to_canonical(match.resolve_references(refs, objects, "o_orderkey", "ref", "customer"), joins)
+    return found.select("o_orderkey", "object_id", "target_id")
+
+
+@query_for("""SELECT event_id FROM events WHERE CASE WHEN event_id % 3 = 0 THEN ts ELSE ts - INTERVAL 1 HOUR END < TIMESTAMP '2024-01-20' - INTERVAL 90 SECOND""")
+def stale_tasks(spark, d):
+    ts = F.col("ts").cast("timestamp")
+    rows = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, ts).alias("beat"), (ts - F.expr("interval 1 hour")).alias("started_at"))
+    return lifecycle.stale(rows, "beat", datetime(2024, 1, 20), 90).select("event_id")
+
+
+@query_for("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'not_confirmed' END AS status, CASE WHEN o_orderstatus <> 'O' AND n < t AND o_custkey % 2 = 0 THEN 'update' WHEN o_custkey % 2 = 0 THEN 'create' ELSE 'update' END AS change,
+    CASE WHEN o_orderstatus <> 'O' AND n >= t THEN 1 ELSE 0 END AS errors FROM (SELECT *, o_custkey % 4 AS n, 3 AS t FROM orders) WHERE o_orderstatus = 'O' OR n > 0""")
+def sync_confirmed(spark, d):
+    k = F.col("o_custkey")
+    sets = table(spark, d, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderstatus") == "O", "pending").otherwise("not_confirmed").alias("status"), F.when(k % 2 == 0, "create").otherwise("update").alias("change"),
+        (k % 4).cast("int").alias("open"), F.lit(3).alias("total"), F.lit(0).alias("errors"),
+    )
+    return confirm.sync_confirmation(sets).select("o_orderkey", "status", "change", "errors")
+
+
+@query_for("""WITH c AS (SELECT event_type AS category, count(*) AS n FROM events GROUP BY 1), s AS (SELECT event_type AS category, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events)
+    SELECT c.category, n, event_id FROM c LEFT JOIN s ON s.category = c.category AND k <= 5""")
+def category_samples(spark, d):
+    counts, samples = summarise.category_counts(table(spark, d, "events").select(F.col("event_type").alias("category"), "event_id"), "category", "event_id", 5)
+    return counts.join(samples, "category", "left").select("category", "n", "event_id")
+
+
+@query_for("""SELECT o_custkey, min(o_orderkey % 9) AS step, count(*) FILTER (WHERE o_orderkey % 9 = m) AS side_by_side FROM (SELECT *, min(o_orderkey % 9) OVER (PARTITION BY o_custkey) AS m FROM orders WHERE o_orderstatus <> 'F') GROUP BY 1""")
+def next_steps(spark, d):
+    tasks = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("task"), (F.col("o_orderkey") % 9).alias("step"), (F.col("o_orderstatus") == "F").alias("done"))
+    found = lifecycle.next_steps(tasks, "o_custkey", "step", "done")
+    return found.groupBy("o_custkey").agg(F.min("step").alias("step"), F.count("*").alias("side_by_side"))

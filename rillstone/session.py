@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +22,17 @@ def session(app: str = "rillstone", master: str | None = None, shuffle_partition
         "spark.sql.adaptive.skewJoin.enabled": "true",
     } | ({"spark.sql.shuffle.partitions": str(shuffle_partitions)} if shuffle_partitions else {})
     return b.config(map=settings | conf).getOrCreate()
+
+
+@functools.cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="rillstone-")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name in spark.checkpoint.dir, the folder that driver and executors share; under a local master a
+    temporary one will do where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(root or _own_dir()).rstrip('/')}/rillstone-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillstone.functions.scalars import trim
@@ -138,18 +138,35 @@ def retained(df: DataFrame, at: str, tie_break: str, cutoff: object, most: int)
     return df.join(old, tie_break, "left_anti")
 
 
+#: Ranges of a column that are numbered side by side, and rows looked at to find their bounds.
+RANGES, LOOKED_AT = 256, 8192
+
+
+def range_of(df: DataFrame, c: str) -> Column:
+    """The number of the range of c that a row lies in, ascending. The bounds come from a hash sample of bounded size."""
+    n = df.count()
+    share = max(1, n // LOOKED_AT)
+    seen = sorted(r[0] for r in df.select(c).filter(F.col(c).isNotNull() & (F.pmod(F.xxhash64(c), F.lit(share)) == 0)).distinct().limit(4 * LOOKED_AT).collect())
+    bounds = seen[:: max(1, len(seen) // RANGES)][1:] if n > LOOKED_AT else []
+    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(c))), F.lit(0)) if bounds else F.lit(0)
+
+
 def apply_dml(table: DataFrame, changes: DataFrame, key: str, generated: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(table after inserts, updates and deletes, keys of the inserts). changes: key, op, columns.
 
-    With `generated`, inserts get keys above the greatest in the table, in the order of that column.
+    With `generated`, inserts get keys above the greatest in the table, in the order of that column: numbered within
+    ranges of it, and each range by how many rows the ones before it have, so no task sorts all inserts.
     """
     inserts = changes.filter("op = 'insert'")
     if generated is not None:
-        from pyspark.sql import Window
-
         top = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-        numbered = inserts.withColumn("_n", F.row_number().over(Window.orderBy(generated)))
-        inserts = numbered.join(F.broadcast(top)).withColumn(key, F.col("_top") + F.col("_n")).drop("_top", "_n")
+        ranged = inserts.withColumn("_range", range_of(inserts, generated))
+        sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
+        # one row a range, at most RANGES of them
+        before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = sizes.select("_range", before.alias("_before")).join(F.broadcast(top))
+        numbered = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(generated)))
+        inserts = numbered.join(F.broadcast(starts), "_range").withColumn(key, F.col("_top") + F.col("_before") + F.col("_n")).drop("_top", "_n", "_before", "_range")
     touched = changes.filter("op <> 'insert'").select(key)
     names = table.columns
     updated = merged_state(table.join(touched, key, "left_semi"), changes.filter("op = 'update'").withColumnRenamed("op", "change"), key)

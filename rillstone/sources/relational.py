@@ -69,11 +69,6 @@ class Watermarks:
         return found if found.mode == mode and found.identity == identity else None
 
 
-def capture(df: DataFrame, column: str) -> object | None:
-    """The greatest value, to be taken before rows are read and stored after all of them are."""
-    return df.agg(F.max(column)).first()[0]
-
-
 def changed_since(df: DataFrame, column: str, mark: object | None, overlap_seconds: int = 0) -> DataFrame:
     """Rows above the mark; all without one. An overlap reads again what may have come late."""
     if mark is None:

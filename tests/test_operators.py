@@ -181,3 +181,70 @@ def test_rest_filters(spark):
     assert [n(x) for x in ("NAME:eq:Ann", "name:contains:b", "n:gte:2", "on:eq:TRUE", "g:eq:0F8FAD5B-D9CB-469F-A165-70867728950E")] == [1] * 5
     assert [n(x) for x in (None, "", "x", "no:eq:1", "n:eq:z", "on:gt:true", "name:like:a", "n:contains:1")] == [2] * 8
     assert query.page_range(df.orderBy("n"), -3, 1, True)[1] == 2 and query.page_range(df, 9, 5)[0].count() == 0
+
+
+def test_batches_are_packed(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(i, r.choice("ab"), i // 150, r.choice([None, 0, 10, 90, 260, 300, 300, 499, 500, 501, 2000])) for i in range(900)] + [(900 + i, "six", 0, 300) for i in range(6)]
+    found = {x["id"]: x["batch"] for x in outbound.size_batches(frame(spark, rows, "id int, system string, part int, n int").repartition(5), "id", "n", 500, 7, ["system", "part"]).collect()}
+    assert len(found) == len(rows)
+    for key in {x[1:3] for x in rows}:
+        batch, n, held = 0, 0, 0
+        for i, *_, size in sorted(x for x in rows if x[1:3] == key):
+            if (size or 0) > 500:
+                assert found[i] is None
+                continue
+            if n and (n == 7 or held + (size or 0) > 500):
+                batch, n, held = batch + 1, 0, 0
+            n, held = n + 1, held + (size or 0)
+            assert found[i] == batch
+    assert outbound.size_batches(frame(spark, rows, "id int, system string, part int, n int").limit(0), "id", "n", 500, 7, ["system"]).count() == 0
+
+
+def test_optimistic_values_are_those_of_the_fold(spark):
+    import random
+
+    r = random.Random(5)
+    sent = [(r.randrange(6), r.choice(["update", "update", "delete"]), r.choice("pq"), r.choice(["add", "add", "remove", "update", "remove_all"]), r.choice(["a", "b", "c", None]), i) for i in range(200)]
+    held = [(k, a, v) for k in range(8) for a in "pq" for v in "ad"]
+    changes = frame(spark, sent, "id int, change string, attr string, op string, value string, seq int")
+    actual = frame(spark, held, "id int, attr string, value string")
+    folded = changes.filter("change <> 'delete'").groupBy("id", "attr").agg(F.collect_list(F.struct(F.col("seq").cast("bigint").alias("seq"), "op", "value")).alias("c"))
+    before = actual.groupBy("id", "attr").agg(F.collect_set("value").alias("v"))
+    want = folded.join(before, ["id", "attr"], "left").select("id", "attr", F.sort_array(confirm.apply_changes(F.col("v"), F.col("c"))).alias("values"))
+    assert got(confirm.optimistic(actual, changes, "id"), "id", "attr") == got(want, "id", "attr")
+
+
+def test_optimistic_values_of_a_very_large_group(spark):
+    held = spark.range(100_000).select(F.lit(1).alias("id"), F.lit("member").alias("attr"), F.concat(F.lit("m"), F.col("id")).alias("value"))
+    sent = spark.range(60_000, 160_000).select(F.lit(1).alias("id"), F.lit("update").alias("change"), F.lit("member").alias("attr"), F.when(F.col("id") < 100_000, "remove").otherwise("add").alias("op"), F.concat(F.lit("m"), F.col("id")).alias("value"), F.col("id").alias("seq"))
+    found = confirm.optimistic_values(held, sent, "id")
+    assert found.count() == 120_000 and found.filter("substr(value, 2)::int between 60000 and 99999").isEmpty()
+
+
+def test_generated_keys_over_ranges(spark, monkeypatch):
+    from rillstone.sources import files
+
+    monkeypatch.setattr(files, "LOOKED_AT", 20)
+    rows = spark.range(500).select(F.lit(None).cast("long").alias("id"), F.lit("insert").alias("op"), F.md5(F.col("id").cast("string")).alias("name"))
+    table = frame(spark, [(7, "x")], "id long, name string")
+    after, keys = files.apply_dml(table, rows, "id", generated="name")
+    new = sorted((r["name"], r["id"]) for r in keys.collect())
+    assert [k for _, k in new] == [*range(8, 508)] and after.count() == 501
+    assert rows.select(files.range_of(rows, "name").alias("r")).distinct().count() > 5
+
+
+def test_ancestors_go_no_further_than_asked(spark):
+    line = spark.range(70).select(F.col("id").alias("n"), F.when(F.col("id") > 0, F.col("id") - 1).alias("p"))
+    for depth in (0, 1, 5, 50, 64):
+        assert all(r["root"] == max(0, r["node"] - depth) for r in query.ancestors(line, "n", "p", depth).collect())
+
+
+def test_causal_chain_beyond_its_depth_is_an_error(spark):
+    line = frame(spark, [(i, i - 1) for i in range(1, 6)], "effect int, cause int")
+    start = frame(spark, [(5,)], "id int")
+    assert summarise.causal_chain(line, start, 5).count() == 6
+    with pytest.raises(ValueError, match="steps"):
+        summarise.causal_chain(line, start, 4)
