@@ -20,13 +20,16 @@ from rillstone.llm.common import ascii_lower, encode, map_rows, stored, work_dir
 
 #: Bytes of labels and members that a trie holds.
 TRIE_BYTES = 48 << 20
+#: A text of more tasks' rows than this is wide; so many wide texts' answers are broadcast (about 100 bytes each).
+MANY_TASKS, MOST_WIDE = 256, 100_000
 
 
 class Node:
-    __slots__ = ("edges", "label", "owner", "count", "members", "name")
+    __slots__ = ("edges", "label", "owner", "count", "members", "name", "tasks")
 
     def __init__(self, label: bytes):
         self.label, self.edges, self.owner, self.count, self.members, self.name = label, {}, None, 0, None, None
+        self.tasks = 0
 
 
 def shared(a: bytes, b: bytes) -> int:
@@ -154,36 +157,37 @@ def local_owners(docs: DataFrame, largest: bool) -> DataFrame:
 
 
 def owners(local: DataFrame, largest: bool) -> DataFrame:
-    """(name, keep_id, group_size) of every distinct text, from the tasks' rows.
+    """(name, keep_id, group_size, tasks) of every distinct text, from the tasks' rows; tasks: how many of these it has.
 
     Rows come sorted by length and hash, so a trie holds the texts of one length and hash at a time.
     """
-    out = pa.schema([("name", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+    out = pa.schema([("name", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("tasks", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, now = PatriciaTrie(largest), None
 
         def closed(into: list[list]) -> None:
             for _, x in trie.terminals():
-                for c, v in zip(into, (x.name, x.owner, x.count), strict=True):
+                for c, v in zip(into, (x.name, x.owner, x.count, x.tasks), strict=True):
                     c.append(v)
 
         for b in batches:
-            cols: list[list] = [[], [], []]
+            cols: list[list] = [[], [], [], []]
             for name, length, h, body, owner, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (length, h) != now:
                     closed(cols)
                     trie, now = PatriciaTrie(largest), (length, h)
-                trie.insert(body, owner, n).name = name
+                node = trie.insert(body, owner, n)
+                node.name, node.tasks = name, node.tasks + 1
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
-        closed(cols := [[], [], []])
+        closed(cols := [[], [], [], []])
         if cols[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
 
     rows = local.select("name", "length", "hash", "body", "owner", "n")
     rows = rows.repartition("length", "hash").sortWithinPartitions("length", "hash")
-    return rows.mapInArrow(run, "name string, keep_id long, group_size long")
+    return rows.mapInArrow(run, "name string, keep_id long, group_size long, tasks long")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = False) -> DataFrame:
@@ -194,9 +198,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     another row has; a text that only rows without id have keeps them, with a null keep_id.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    local = stored(local_owners(docs, largest), work_dir(docs.sparkSession), "local")
-    # a text has a row per task in `local`, however often it occurs
-    found = local.select("name", "members").join(owners(local, largest), "name")
+    at = work_dir(docs.sparkSession)
+    local = stored(local_owners(docs, largest), at, "local")
+    # a text has a row per task in `local`, however often it occurs. What the rows of one text carry are all its ids,
+    # so they don't meet under its name: the few texts that very many tasks have go out to every task instead
+    answers = stored(owners(local, largest), at, "owners")
+    wide = answers.filter(F.col("tasks") > MANY_TASKS).limit(MOST_WIDE + 1)
+    if 0 < wide.count() <= MOST_WIDE:
+        rest = answers.filter(F.col("tasks") <= MANY_TASKS)
+        own = local.select("name", "members").join(F.broadcast(wide), "name")
+        found = own.unionByName(local.select("name", "members").join(F.broadcast(wide.select("name")), "name", "left_anti").join(rest, "name"))
+    else:
+        found = local.select("name", "members").join(answers, "name")
     rows = found.select(F.explode("members").alias("doc_id"), "keep_id", "group_size", F.col("name").alias("text_sha256"))
     kept = F.when(F.col("keep_id").isNull(), True).otherwise(F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)))
     return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")

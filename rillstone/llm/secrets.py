@@ -109,15 +109,21 @@ def scan_secrets(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    repo_col: str = "source",
+    repo_col: str = "doc_id",
     owner_col: str = "source",
     live_owners: int = 2,
+    live_repos: int = 50,
 ) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live and n_examples, a row per row of docs.
-
-    A candidate is live-looking when at most live_owners distinct owners have its value and it looks random, and an
-    example when more owners have it. Base spans are reported either way; a generic one only if live-looking.
-    Null and empty texts have no spans; rows without a repository or owner count as one without name.
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, span_repos, span_owners, n_live and n_examples, a row per
+    row of docs.
+
+    Every candidate's value is counted over the whole corpus: by distinct repositories and by distinct owners (the
+    columns named; a table without repositories has each document as one). It is an example when more than live_owners
+    owners or more than live_repos repositories have it, and live-looking when it isn't and looks random. Base spans
+    are reported either way; a generic one only if live-looking. span_repos and span_owners have both counts of each
+    span, in the spans' order. Null and empty texts have no spans; long ones are read whole; repeated rows each have
+    their row and count as one repository; rows without a repository or owner count as one without name; spans that
+    start together go by kind. An empty table gives no rows. Only the columns named are read, so others may have any name.
     """
     spark = docs.sparkSession
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -129,20 +135,23 @@ def scan_secrets(
     each = each.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int"))
     counts = each.groupBy("value", "salt", "repo", "owner").agg(F.count("*").alias("n"))
     answers = counts.groupBy("value", "salt").agg(F.sum("n").alias("n")).drop("n").join(ownership(counts), "value")
-    told = each.join(answers.select("value", "salt", "n_owners"), ["value", "salt"])
-    live = (F.col("n_owners") <= live_owners) & F.col("random")
-    told = told.withColumn("live", live)
+    told = each.join(answers.select("value", "salt", "n_repos", "n_owners"), ["value", "salt"])
+    example = (F.col("n_owners") > live_owners) | (F.col("n_repos") > live_repos)
+    told = told.withColumn("example", example).withColumn("live", ~F.col("example") & F.col("random"))
     by = told.groupBy("uid").agg(
-        F.collect_list(F.when((F.col("kind") < 3) | F.col("live"), F.struct("start", "kind", "end"))).alias("shown"),
+        F.collect_list(F.when((F.col("kind") < 3) | F.col("live"), F.struct("start", "kind", "end", "n_repos", "n_owners"))).alias("shown"),
         F.count_if("live").alias("n_live"),
-        F.count_if(F.col("n_owners") > live_owners).alias("n_examples"),
-    )
+        F.count_if("example").alias("n_examples"),
+    ).withColumn("shown", F.array_sort("shown"))
     kinds = F.array(*map(F.lit, KINDS))
-    text = F.transform(F.array_sort("shown"), lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"], s["end"]))
+    text = F.transform("shown", lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"], s["end"]))
+    none = F.array().cast("array<long>")
     out = found.drop("found", "repo", "owner").join(by, "uid", "left")
     return out.select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256",
         F.coalesce(F.array_join(text, ","), F.lit("")).alias("spans"),
+        F.coalesce("shown.n_repos", none).alias("span_repos"),
+        F.coalesce("shown.n_owners", none).alias("span_owners"),
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
         F.coalesce("n_examples", F.lit(0)).cast("long").alias("n_examples"),
     )

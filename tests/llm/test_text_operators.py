@@ -82,6 +82,26 @@ def test_secrets(spark):
     assert secrets.scan_secrets(df.limit(0)).count() == 0
 
 
+def test_secret_ownership_is_counted_over_all_documents(spark):
+    rng = np.random.default_rng(2)
+    values = ["".join(rng.choice([*"ABCDEFGHJKMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789"], 26)) for _ in range(8)]
+    held = {values[0]: range(70), values[1]: range(3), values[2]: [0, 10, 20], values[3]: [5, 5, 6]} | {v: [k] for k, v in enumerate(values[4:], 30)}
+    rows = [(d, f"{' '.join(['token ' + v for v, at in held.items() for _ in range(list(at).count(d))])} end", "hot" if d < 60 else f"s{d % 3}", "mine") for d in range(80)]
+    rows += [rows[5]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, value string").withColumn("spans", F.lit("x")).repartition(3)
+    found = secrets.scan_secrets(df, live_repos=40).collect()
+    owner = {d: s for d, _, s, _ in rows}
+    repos = {v: len({d for d, t, *_ in rows if v in t}) for v in values}
+    owners = {v: len({owner[d] for d, t, *_ in rows if v in t}) for v in values}
+    assert len(found) == len(rows)
+    for r in found:
+        text = rows[r["doc_id"]][1]
+        want = sorted((m.start(), v) for v in values for m in re.finditer(v, text) if owners[v] <= 2 and repos[v] <= 40)
+        assert r["spans"] == ",".join(f"generic:{s}:{s + 26}" for s, _ in want)
+        assert r["span_repos"] == [repos[v] for _, v in want] and r["span_owners"] == [owners[v] for _, v in want]
+        assert r["n_live"] == len(want) and r["n_examples"] == sum(text.count(v) for v in values if owners[v] > 2 or repos[v] > 40)
+
+
 # --- 2 ---
 
 
@@ -364,9 +384,10 @@ def test_trie(pairs):
     assert len(spilled) <= len(want)
 
 
-@pytest.mark.parametrize("memory", [exact_dedup.TRIE_BYTES, 2_000])
-def test_exact(spark, docs, memory, monkeypatch):
+@pytest.mark.parametrize(("memory", "wide"), [(exact_dedup.TRIE_BYTES, 256), (2_000, 256), (2_000, 0), (2_000, 1)])
+def test_exact(spark, docs, memory, wide, monkeypatch):
     monkeypatch.setattr(exact_dedup, "TRIE_BYTES", memory)
+    monkeypatch.setattr(exact_dedup, "MANY_TASKS", wide)
     for largest in (True, False):
         got = exact_dedup.exact_duplicates(docs, largest=largest).collect()
         groups = defaultdict(list)
