@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillstone.llm.common import WordHashes, encode, map_rows, stored, words_of, work_dir
+from rillstone.llm.common import SALTS, SLICE, WordHashes, encode, map_rows, stored, words_of, work_dir
 
 WORDS, SHAPES, META = 60_000, 256, 1 << 11
 VIEWS = {"text": WORDS + SHAPES, "meta": META}
@@ -66,6 +66,10 @@ def meta_features(parts: list) -> np.ndarray:
     return np.unique(np.array([_hashes[x.encode()] >> 53 for x in both], np.uint16))
 
 
+#: Log-odds beyond which a view is sure enough to teach the other.
+SURE = 1.0
+
+
 @dataclass
 class Rows:
     """Feature rows of one view: concatenated indices, and where each row starts."""
@@ -161,7 +165,7 @@ class CoTrained:
 
 
 def featured(docs: DataFrame, id_col: str, text_col: str, meta_cols: list[str]) -> DataFrame:
-    """(doc_id, text, meta): little-endian 16-bit feature indices of both views."""
+    """(doc_id, text, meta, key): little-endian 16-bit feature indices of both views, and a hash of them."""
 
     def run(x: dict) -> Iterator[dict]:
         meta = zip(*(x[f"m{k}"] for k in range(len(meta_cols))), strict=True) if meta_cols else [()] * len(x["t"])
@@ -174,28 +178,42 @@ def featured(docs: DataFrame, id_col: str, text_col: str, meta_cols: list[str])
     out = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("meta", pa.binary())])
     cols = [F.col(c).alias(f"m{k}") for k, c in enumerate(meta_cols)]
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"), *cols)
-    return map_rows(source, run, "doc_id long, text binary, meta binary", out)
+    found = map_rows(source, run, "doc_id long, text binary, meta binary", out, SLICE)
+    return found.withColumn("key", F.xxhash64(*VIEWS))
 
 
-def _surest(pool: DataFrame, models: dict[str, Logistic], per_class: int) -> list:
-    """For each view and class, the per_class documents that the view is surest of: rows with text, meta, view, label."""
+def surest(scored: DataFrame, per_class: int) -> DataFrame:
+    """(key, view, label): for each view and class the per_class distinct feature rows that the view is surest of.
+
+    scored: key (a hash of both views' features), s_text, s_meta. Equal rows count as one, ties go by the key. The best
+    of each of SALTS parts come first, then the best of these, so what meets in a task doesn't grow with the corpus.
+    """
+    each = scored.select("key", F.explode(F.array(*(F.struct(F.lit(v).alias("view"), F.col(f"s_{v}").alias("s")) for v in VIEWS))).alias("x"))
+    each = each.select("key", "x.view", F.when(F.col("x.s") > 0, 1).otherwise(0).alias("label"), F.abs("x.s").alias("s"))
+    each = each.filter(F.col("s") > SURE).distinct().withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int"))
+    best = F.row_number().over(Window.partitionBy("view", "label", "salt").orderBy(F.desc("s"), "key"))
+    first = each.withColumn("n", best).filter(F.col("n") <= per_class)
+    last = F.row_number().over(Window.partitionBy("view", "label").orderBy(F.desc("s"), "key"))
+    return first.withColumn("n", last).filter(F.col("n") <= per_class).select("key", "view", "label")
+
+
+def _exchanged(pool: DataFrame, models: dict[str, Logistic], per_class: int) -> list:
+    """The rows that the views are surest of, with their features: at most 4 x per_class."""
     spread = pool.sparkSession.sparkContext.broadcast(models)
 
     def run(x: dict) -> Iterator[dict]:
-        raw = {v: m.logit(Rows.of(x[v])) for v, m in spread.value.items()}
-        yield {"doc_id": x["doc_id"], "text": x["text"], "meta": x["meta"], **{f"s_{v}": s for v, s in raw.items()}}
+        # rounded: equal rows have equal scores, wherever in a batch they stand
+        yield {"key": x["key"], **{f"s_{v}": np.round(m.logit(Rows.of(x[v])), 6) for v, m in spread.value.items()}}
 
-    out = pa.schema(
-        [("doc_id", pa.int64()), ("text", pa.binary()), ("meta", pa.binary())] + [(f"s_{v}", pa.float64()) for v in VIEWS]
-    )
-    scored = map_rows(pool, run, "doc_id long, text binary, meta binary, s_text double, s_meta double", out)
-    found = []
-    for v in VIEWS:
-        for label, order in ((1, F.col(f"s_{v}").desc()), (0, F.col(f"s_{v}").asc())):
-            sure = scored.filter(F.col(f"s_{v}") > 1.0 if label else F.col(f"s_{v}") < -1.0)
-            top = sure.orderBy(order, "doc_id").limit(per_class)
-            found += [(r["text"], r["meta"], v, label) for r in top.collect()]
-    return found
+    out = pa.schema([("key", pa.int64()), *((f"s_{v}", pa.float64()) for v in VIEWS)])
+    scored = map_rows(pool.select("key", *VIEWS), run, "key long, s_text double, s_meta double", out)
+    chosen = sorted((r["view"], r["label"], r["key"]) for r in surest(scored, per_class).collect())
+    if not chosen:
+        return []
+    keys = sorted({k for _, _, k in chosen})
+    rows = pool.filter(F.col("key").isin(keys)).groupBy("key").agg(*(F.min(v).alias(v) for v in VIEWS)).collect()
+    by = {r["key"]: r for r in rows}
+    return [(by[k]["text"], by[k]["meta"], v, label) for v, label, k in chosen]
 
 
 def co_train(labelled: list[tuple], pool: DataFrame, rounds: int, per_class: int) -> CoTrained | None:
@@ -213,7 +231,7 @@ def co_train(labelled: list[tuple], pool: DataFrame, rounds: int, per_class: int
             m.a, m.b = fit_line(m.raw(check[v])[:, None], y)
             models[v] = m
         if turn < rounds:
-            for text, meta, view, label in _surest(pool, models, per_class):
+            for text, meta, view, label in _exchanged(pool, models, per_class):
                 other = "meta" if view == "text" else "text"
                 train[other].append((meta if view == "text" else text, label))
     return CoTrained(models, fit_line(np.c_[tuple(models[v].logit(check[v]) for v in VIEWS)], y))
@@ -232,16 +250,18 @@ def classify_quality(
     """doc_id, text_score, meta_score, quality, toxicity and keep, a row per row of docs.
 
     max_labelled bounds the labelled rows that are learnt from (those with the least hash of their id); rounds and
-    per_class are those of the exchange between views, which looks at all unlabelled documents. keep: quality is
-    at least a half and toxicity below a half. A label that is missing or of one class only teaches nothing: its
-    score is null, and it rejects nothing. Null texts are empty; rows that share an id share its label.
+    per_class are those of the exchange between views, which looks at all unlabelled documents and gives each view's
+    surest per_class distinct feature rows of a class to the other. keep: quality is at least a half and toxicity below
+    a half. A label that is missing or of one class only teaches nothing: its score is null, and it rejects nothing.
+    Null texts are empty, long ones are read whole; rows that share an id share its label, equal rows have equal scores;
+    an empty table gives no rows. Columns of docs other than those named aren't read and may have any name.
     """
     meta = [c for c in meta_cols if c in docs.columns]
     named = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     named = named.agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")).withColumn("named", F.lit(True))
     # one join; what the rounds read is this table
     rows = stored(featured(docs, id_col, text_col, meta).join(named, "doc_id", "left"), work_dir(docs.sparkSession), "features")
-    pool = rows.filter("named is null").select("doc_id", "text", "meta")
+    pool = rows.filter("named is null").select("key", *VIEWS)
     share = min(1.0, max_labelled / max(named.count(), 1))
     sample = rows.filter("named").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
     sample = sample.orderBy(F.xxhash64("doc_id"), "text").limit(2 * max_labelled)

@@ -330,6 +330,48 @@ def test_quality(spark, docs):
     assert len(nothing) == len(ROWS) and all(r["keep"] and r["quality"] is None for r in nothing)
 
 
+def test_views_exchange_their_surest_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(k), float(a), float(b)) for k, a, b in zip(rng.integers(-(2**62), 2**62, 400), rng.normal(0, 2, 400).round(1), rng.normal(0, 2, 400).round(1), strict=True)]
+    rows += rows[:50] * 3  # copies count once
+    df = spark.createDataFrame(rows, "key long, s_text double, s_meta double").repartition(7)
+    want = set()
+    for view, at in (("text", 1), ("meta", 2)):
+        for label in (0, 1):
+            sure = sorted({(-abs(r[at]), r[0]) for r in rows if abs(r[at]) > quality.SURE and (r[at] > 0) == bool(label)})
+            want |= {(k, view, label) for _, k in sure[:30]}
+    assert {tuple(r) for r in quality.surest(df, 30).collect()} == want
+    assert quality.surest(df.limit(0), 30).count() == 0
+
+
+def test_calibration_and_exchange_by_brute_force(spark):
+    """The exchange adds each view's surest rows to the other's training, and the scores are those of the models so fitted."""
+    rng = np.random.default_rng(8)
+    make = lambda y: (np.unique(rng.integers(0, 40, 8) + 40 * y).astype("<u2").tobytes(), np.array([y if rng.random() < 0.9 else 1 - y, 2 + rng.integers(0, 5)], "<u2").tobytes())
+    labelled = [(*make(k % 2), k % 2) for k in range(120)]
+    pool_rows = [(k, *make(k % 2)) for k in range(300)]
+    pool = spark.createDataFrame(pool_rows, "key long, text binary, meta binary")
+    got = quality.co_train(labelled, pool, 1, 20)
+    held, seen = labelled[::5], [r for k, r in enumerate(labelled) if k % 5]
+    y = np.array([r[2] for r in held], float)
+    train = {v: [(r[k], r[2]) for r in seen] for k, v in enumerate(quality.VIEWS)}
+    for turn in (0, 1):
+        models = {}
+        for k, (v, size) in enumerate(quality.VIEWS.items()):
+            m = quality.fit_logistic(quality.Rows.of([r for r, _ in train[v]]), np.array([z for _, z in train[v]], float), size)
+            m.a, m.b = quality.fit_line(m.raw(quality.Rows.of([r[k] for r in held]))[:, None], y)
+            models[v] = m
+        if not turn:
+            for k, v in enumerate(quality.VIEWS):
+                s = np.round(models[v].logit(quality.Rows.of([r[1 + k] for r in pool_rows])), 6)
+                for label in (0, 1):
+                    sure = sorted((-abs(x), i) for i, x in enumerate(s) if abs(x) > quality.SURE and (x > 0) == bool(label))[:20]
+                    train["meta" if v == "text" else "text"] += [(pool_rows[i][2 - k], label) for _, i in sure]
+    assert len(train["meta"]) > 96 and len(train["text"]) > 96
+    for v in quality.VIEWS:
+        assert np.allclose(got.views[v].w, models[v].w, atol=1e-6) and np.isclose(got.views[v].a, models[v].a, atol=1e-6)
+
+
 # --- 7 ---
 
 
