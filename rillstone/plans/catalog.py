@@ -790,6 +790,46 @@ def reconciliation_run(spark, d):
     return run.outcomes.select(F.col("external_id").cast("long").alias("external_id"), "outcome")
 
 
+RUN = """j AS (SELECT s_suppkey, s_suppkey * 2 AS entity FROM supplier WHERE s_suppkey % 3 = 0), inc AS (SELECT * FROM supplier WHERE s_suppkey % 10 <> 1), sc AS (SELECT * FROM inc WHERE s_nationkey < 20),
+    gone AS (SELECT j.*, CASE WHEN j.s_suppkey NOT IN (SELECT s_suppkey FROM inc) THEN 'deleted' ELSE 'out_of_scope' END AS reason FROM j WHERE j.s_suppkey NOT IN (SELECT s_suppkey FROM sc)),
+    held AS (SELECT * FROM j WHERE s_suppkey NOT IN (SELECT s_suppkey FROM gone)), new AS (SELECT * FROM sc WHERE s_suppkey NOT IN (SELECT s_suppkey FROM held)),
+    m AS (SELECT s_suppkey, count(*) AS n, min(c_custkey) AS c FROM new JOIN customer ON s_nationkey * 1000 + floor(s_acctbal / 500) = c_nationkey * 1000 + floor(c_acctbal / 500) GROUP BY 1),
+    k AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY s_suppkey) AS k FROM m WHERE n = 1),
+    o AS (SELECT s_suppkey, 'kept' AS outcome, entity FROM held UNION ALL SELECT new.s_suppkey, CASE WHEN m.n IS NULL THEN 'none' WHEN m.n > 1 THEN 'ambiguous' WHEN k > 1 OR k.c IN (SELECT entity FROM held) THEN 'already_joined' ELSE 'joined' END,
+        CASE WHEN k = 1 AND k.c NOT IN (SELECT entity FROM held) THEN k.c END FROM new LEFT JOIN m USING (s_suppkey) LEFT JOIN k USING (s_suppkey))"""
+
+
+def whole_run(spark, d) -> pipeline.Run:
+    """Suppliers joined before by key, of which some left, some fell out of scope, and the others are matched."""
+    s, c = table(spark, d, "supplier"), table(spark, d, "customer")
+    s = s.withColumn("bucket", F.col("s_nationkey") * 1000 + F.floor(F.col("s_acctbal") / 500)).withColumn("mate", (F.col("s_suppkey") + 3).cast("string"))
+    canonical = c.select(F.col("c_custkey").alias("entity"), (F.col("c_nationkey") * 1000 + F.floor(F.col("c_acctbal") / 500)).alias("bucket"))
+    supplier = ObjectType("supplier", (Attribute("s_suppkey", Kind.LONG), Attribute("s_name"), Attribute("s_nationkey", Kind.NUMBER), Attribute("mate", Kind.REFERENCE)), "s_suppkey")
+    scope = (Group((Criterion("s_nationkey", "lt", 20),)),)
+    rule = pipeline.ImportRule(1, supplier, (pipeline.Flow(1, "name", "s_name"),), (match.MatchRule(1, "bucket", "bucket", Kind.LONG),), scope, project=False)
+    joins = s.filter("s_suppkey % 3 = 0").select(F.lit(1).alias("rule"), F.col("s_suppkey").cast("string").alias("external_id"), (F.col("s_suppkey") * 2).alias("entity"))
+    k = F.col("c_custkey")
+    lives = c.select(k.alias("entity"), F.when(k % 4 == 0, "internal").otherwise("projected").alias("origin"), F.lit("last_connector").alias("rule"), (k % 5).cast("int").alias("grace_days"))
+    return pipeline.full_run({1: s}, {1: s.filter("s_suppkey % 10 <> 1")}, canonical, [rule], ObjectType("party", (Attribute("name"),), "name"), NOW, joins, lives)
+
+
+@query_for(f"""WITH {RUN} SELECT s_suppkey AS external_id, outcome, entity FROM o""")
+def run_outcomes(spark, d):
+    return whole_run(spark, d).outcomes.select(F.col("external_id").cast("long").alias("external_id"), "outcome", "entity")
+
+
+@query_for(f"""WITH {RUN} SELECT g.s_suppkey AS external_id, g.entity, reason, count(o.s_suppkey) AS remaining, CASE WHEN g.entity % 4 = 0 OR count(o.s_suppkey) > 0 THEN 'keep' ELSE 'delete' END AS decision,
+    CASE WHEN g.entity % 4 = 0 OR count(o.s_suppkey) > 0 THEN 'none' WHEN g.entity % 5 = 0 THEN 'immediate' ELSE 'scheduled' END AS timing FROM gone g LEFT JOIN o ON o.entity = g.entity GROUP BY 1, 2, 3""")
+def run_disconnections(spark, d):
+    run = whole_run(spark, d)
+    return run.disconnected.join(run.deletions, "entity").select(F.col("external_id").cast("long").alias("external_id"), "entity", "reason", "remaining", "decision", "timing")
+
+
+@query_for(f"""WITH {RUN} SELECT i.s_suppkey AS external_id, CASE WHEN o.entity IS NULL THEN 'unresolved' ELSE 'resolved' END AS state, o.entity FROM inc i LEFT JOIN o ON o.s_suppkey = i.s_suppkey + 3 AND o.entity IS NOT NULL""")
+def run_references(spark, d):
+    return whole_run(spark, d).references.select(F.col("external_id").cast("long").alias("external_id"), "state", "entity")
+
+
 # --- more joins, sinks and counts -------------------------------------------------------------------------------
 
 

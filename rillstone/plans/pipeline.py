@@ -13,10 +13,11 @@ from rillstone.functions.expressions import attributes_of, coerced, compile_expr
 from rillstone.functions.scalars import process_text
 from rillstone.operators import merge
 from rillstone.operators.criteria import Group, in_scope
-from rillstone.operators.diff import object_changes
-from rillstone.operators.match import MatchRule, claim_once, match_cascade
+from rillstone.operators.diff import object_changes, where_any
+from rillstone.operators.lifecycle import deletion_decision, deletion_timing
+from rillstone.operators.match import MatchRule, claim_once, match_cascade, resolve_references
 from rillstone.operators.outbound import ExportMapping, outbound_delta
-from rillstone.schema import Attribute, ObjectType
+from rillstone.schema import Attribute, Kind, ObjectType
 
 
 @dataclass(frozen=True)
@@ -44,6 +45,7 @@ class ImportRule:
     matching: tuple[MatchRule, ...] = ()
     scope: tuple[Group, ...] = ()
     project: bool = True
+    out_of_scope: str = "disconnect"
 
 
 def flow_value(f: Flow, t: ObjectType, target: Attribute) -> tuple[Column, Column]:
@@ -80,36 +82,99 @@ def contributions(joined: DataFrame, rule: ImportRule, canonical_type: ObjectTyp
 
 @dataclass
 class Run:
+    """What a run finds; all frames are plans over its inputs.
+
+    changes: rule, external_id, change, changed. outcomes: rule, external_id, outcome (kept, joined, ambiguous,
+    already_joined, none), entity. disconnected: rule, external_id, entity, reason (deleted, out_of_scope). joins: rule,
+    external_id, entity after the run. merged: what the joined objects give each entity. references: rule, external_id,
+    attr, raw, state, entity. deletions: entity, remaining, decision, timing of entities that lost a connector.
+    """
+
     changes: DataFrame
     outcomes: DataFrame
     merged: DataFrame
     errors: DataFrame
+    disconnected: DataFrame
+    joins: DataFrame
+    references: DataFrame
+    deletions: DataFrame
 
 
 def full_run(
-    staged: dict[int, DataFrame], incoming: dict[int, DataFrame], canonical_rows: DataFrame, rules: list[ImportRule], canonical_type: ObjectType, now: datetime
+    staged: dict[int, DataFrame],
+    incoming: dict[int, DataFrame],
+    canonical_rows: DataFrame,
+    rules: list[ImportRule],
+    canonical_type: ObjectType,
+    now: datetime,
+    joins: DataFrame | None = None,
+    lifetimes: DataFrame | None = None,
 ) -> Run:
-    """staged and incoming by rule; canonical rows have `entity` and the attributes rules match on.
-
-    Objects that left are subtracted before anything is matched. New objects that match nothing are projected under an
-    id of their own, from their rule and external id.
+    """staged and incoming by rule; canonical rows have `entity` and the attributes rules match on; joins (rule,
+    external_id, entity) are those made before; lifetimes (entity, origin, rule, grace_days) say what may be deleted.
+
+    First, joined objects that left or fell out of scope are disconnected (by an import with rows only), unless the rule
+    lets those out of scope remain. Objects that stay keep their join and aren't matched again. All others are matched; an
+    entity that is still held by the same system's object can't be joined, one released in this run can. New objects that
+    match nothing are projected under an id of their own, from their rule and external id. Once all joins are made,
+    references are resolved to the objects' entities, and entities that lost a connector get their deletion decision.
     """
-    changes, outcomes, given = [], [], []
+    spark = canonical_rows.sparkSession
+    if joins is None:
+        joins = spark.createDataFrame([], "rule int, external_id string, entity long")
+    changes, outcomes, given, left, kept_all = [], [], [], [], []
     for r in rules:
         key = r.type.key
-        changes.append(object_changes(staged[r.id], incoming[r.id], [key], list(r.type.attributes)).select(F.lit(r.id).alias("rule"), F.col(key).cast("string").alias("external_id"), "change", "changed"))
+        name = F.col(key).cast("string").alias("external_id")
+        changes.append(object_changes(staged[r.id], incoming[r.id], [key], list(r.type.attributes)).select(F.lit(r.id).alias("rule"), name, "change", "changed"))
         scoped = incoming[r.id].filter(in_scope(r.scope, r.type, now))
-        found = match_cascade(scoped, canonical_rows, list(r.matching), key, "entity")
-        none = found.select(key, "entity").limit(0)
-        found = claim_once(found, none, none.select(key), key, "entity")
+        mine = joins.filter(F.col("rule") == r.id).select("external_id", "entity")
+        present = incoming[r.id].select(name, F.coalesce(in_scope(r.scope, r.type, now), F.lit(False)).alias("_in"))
+        state = mine.join(present, "external_id", "left")
+        reason = F.when(F.col("_in").isNull(), "deleted").when(~F.col("_in") & (F.lit(r.out_of_scope) == "disconnect"), "out_of_scope")
+        gone = where_any(state.select("external_id", "entity", reason.alias("reason")).filter("reason is not null"), incoming[r.id])
+        left.append(gone.select(F.lit(r.id).alias("rule"), "external_id", "entity", "reason"))
+        held = mine.join(gone.select("external_id"), "external_id", "left_anti")
+        named = scoped.withColumn("_name", name)
+        known = named.join(held.withColumnRenamed("external_id", "_name"), "_name").select(key, F.lit("kept").alias("outcome"), F.lit(None).cast("int").alias("rule"), "entity")
+        new = named.join(held.select(F.col("external_id").alias("_name")), "_name", "left_anti").drop("_name")
+        found = match_cascade(new, canonical_rows, list(r.matching), key, "entity")
+        found = claim_once(found, held.withColumnRenamed("external_id", key), held.select(F.col("external_id").alias(key)).limit(0), key, "entity")
         own = F.xxhash64(F.lit(r.id), F.col(key).cast("string"))
         found = found.withColumn("entity", F.when(F.col("outcome") == "joined", F.col("entity")).when((F.col("outcome") == "none") & F.lit(r.project), own))
-        outcomes.append(found.select(F.lit(r.id).alias("rule"), F.col(key).cast("string").alias("external_id"), "outcome", "entity"))
+        found = known.unionByName(found)
+        outcomes.append(found.select(F.lit(r.id).alias("rule"), name, "outcome", "entity"))
+        kept_all.append(found.filter("entity is not null").select(F.lit(r.id).alias("rule"), name, "entity").union(held.join(scoped.select(name), "external_id", "left_anti").select(F.lit(r.id), "external_id", "entity")))
         given.append(contributions(scoped.join(found.filter("entity is not null").select(key, "entity"), key), r, canonical_type))
     union = functools.partial(functools.reduce, DataFrame.unionByName)
-    all_given = union(given)
+    all_given, after, lost = union(given), union(kept_all), union(left)
     merged = merge.resolve(all_given, ["entity", "attr"])
-    return Run(union(changes), union(outcomes), merged, all_given.filter("error is not null").select("entity", "attr", "error"))
+    errors = all_given.filter("error is not null").select("entity", "attr", "error")
+    return Run(union(changes), union(outcomes), merged, errors, lost, after, references(incoming, rules, after), deletions(lost, after, lifetimes))
+
+
+def references(incoming: dict[int, DataFrame], rules: list[ImportRule], joins: DataFrame) -> DataFrame:
+    """The second pass: reference values of all rules' objects as entities, now that all joins are made."""
+    objects = joins.select(F.col("rule").cast("string").alias("type"), "external_id", F.col("entity").alias("id"))
+    found = []
+    for r in rules:
+        for a in r.type.attributes:
+            if a.kind is Kind.REFERENCE:
+                rows = resolve_references(incoming[r.id].select(F.col(r.type.key).cast("string").alias("external_id"), a.name), objects, "external_id", a.name, str(r.id))
+                found.append(rows.select(F.lit(r.id).alias("rule"), "external_id", F.lit(a.name).alias("attr"), "raw", "state", F.col("object_id").alias("entity")))
+    none = joins.sparkSession.createDataFrame([], "rule int, external_id string, attr string, raw string, state string, entity long")
+    return functools.reduce(DataFrame.unionByName, found) if found else none
+
+
+def deletions(lost: DataFrame, joins: DataFrame, lifetimes: DataFrame | None) -> DataFrame:
+    """entity, remaining, decision, timing: what becomes of entities that lost a connector. Without lifetimes all are kept."""
+    remaining = joins.groupBy("entity").agg(F.count("*").alias("remaining"))
+    rows = lost.select("entity").distinct().join(remaining, "entity", "left").withColumn("remaining", F.coalesce("remaining", F.lit(0)))
+    if lifetimes is None:
+        return rows.select("entity", "remaining", F.lit("keep").alias("decision"), F.lit("none").alias("timing"))
+    rows = rows.join(lifetimes.select("entity", "origin", F.col("rule").alias("_rule"), "grace_days"), "entity", "left")
+    decision = deletion_decision(F.col("origin"), F.col("_rule"), F.col("remaining"))
+    return rows.select("entity", "remaining", decision.alias("decision"), deletion_timing(decision, F.col("grace_days")).alias("timing"))
 
 
 def wide(merged: DataFrame, t: ObjectType) -> DataFrame:
