@@ -29,7 +29,8 @@ def merge_batch(table: DataFrame, batch: DataFrame, key: str, sequence: str, kin
 class VersionedTable:
     """A Parquet table in versions: a batch writes the next one, and its number names the last that is whole.
 
-    The version of a batch is its number, so a batch that is run again overwrites what it may have left half done.
+    The version of a batch is its number, so a batch that is run again overwrites what it may have left half done. The
+    last two versions stay: the one before is what a batch that is run again starts from.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
@@ -42,6 +43,12 @@ class VersionedTable:
 
     def write(self, df: DataFrame, version: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for s in fs.listStatus(at):
+            name = s.getPath().getName()
+            if name.startswith("v=") and int(name[2:]) < version - 1:
+                fs.delete(s.getPath(), True)
 
 
 def stream_changes(stream: DataFrame, table: VersionedTable, key: str, sequence: str, kind: str, checkpoint: str) -> StreamingQuery:

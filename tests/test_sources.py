@@ -124,6 +124,14 @@ def test_stream_of_changes(spark, tmp_path):
     make([(1, 4, "D", None), (2, 1, "U", "late"), (3, 5, "I", "e")], 1)
     run()
     assert sorted(map(tuple, table.read(1).collect())) == [(2, 3, "I", "c"), (3, 5, "I", "e")]
+    make([(4, 6, "I", "f")], 2)
+    run()
+    assert table.read(2).count() == 3 and sorted(p.name for p in (tmp_path / "table").iterdir()) == ["v=1", "v=2"]
+
+
+def test_schedules_that_are_due(spark):
+    rows = spark.createDataFrame([(1, True, datetime(2024, 1, 1)), (2, True, datetime(2024, 1, 3)), (3, False, datetime(2024, 1, 1)), (4, True, None)], "id int, enabled boolean, next_run timestamp")
+    assert [(r["id"], r["late"]) for r in changes.due_now(rows, datetime(2024, 1, 2)).collect()] == [(1, 86_400)]
 
 
 def test_delta_run(spark):
