@@ -651,3 +651,25 @@ def test_stages_on_odd_rows(spark, tmp_path):
     assert stages["token_output"](spark, df, d).count() == len(rows)
     for name in stages:
         assert stages[name](spark, df.limit(0), d).count() == 0
+
+
+def test_operators_ignore_other_columns(spark, docs):
+    """Columns named like the operators' own, of another type, change no answer."""
+    labels = spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(1, 13)], "doc_id long, quality int, toxic int")
+    wide = docs.select("doc_id", "text", "lang", "source")
+    for c in (*CLASHES, "named", "meta", "quality", "toxic", "held_out", "salt", "uid", "repo", "n", "h", "group_min"):
+        wide = wide.withColumn(c, F.array(F.lit(1)))
+    plain = docs.select("doc_id", "text", "lang", "source")
+    rows = lambda df: Counter(map(str, df.collect()))
+    for run in (
+        language_id.identify,
+        secrets.scan_secrets,
+        near_dedup.near_duplicates,
+        exact_dedup.exact_duplicates,
+        lambda d: line_dedup.dedup_lines(d),
+        lambda d: quality.classify_quality(d, labels),
+        lambda d: decontaminate.decontaminate(d, spark.createDataFrame([(1, LINE)], "item_id long, text string")),
+    ):
+        assert rows(run(wide)) == rows(run(plain))
+    model = language_id.fit(plain)
+    assert language_id.predict(wide, model, names=("mine", "sure")).columns == [*wide.columns, "mine", "sure"]
