@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import gc
 import re
@@ -64,7 +66,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 _BASE = 0x9E3779B97F4A7C15
 #: Bytes that are hashed at once, unless a word is longer.
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -156,13 +158,26 @@ _memory: dict[str, object] = {}
 def remembered(name: str, make: Callable[[], object]) -> object:
     """What a Python worker keeps from task to task under a name. It keeps one thing: that of another operator goes first."""
     if name not in _memory:
-        _memory.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        forget()
         _memory[name] = make()
     return _memory[name]
 
 
+def forget() -> None:
+    """Drop what a worker remembers, for operators that remember nothing: workers live on from task to task."""
+    if _memory:
+        _memory.clear()
+        release()
+
+
+def release() -> None:
+    """Give the memory that a task has freed back to the system: what idle workers hold, the executor lacks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @functools.cache
 def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="rillstone-")
@@ -192,11 +207,13 @@ def map_rows(
     """mapInArrow over whole partitions: fn takes the columns of `rows` rows and yields columns of result batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for whole in batches:
             for i in range(0, whole.num_rows, rows):
                 b = whole.slice(i, rows)
                 for out in fn({n: b.column(k).to_pylist() for k, n in enumerate(b.schema.names)}):
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        release()
 
     return df.mapInArrow(run, schema)
 

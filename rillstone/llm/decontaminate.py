@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillstone.llm.common import SLICE, encode, map_rows, stored, words_of, work_dir
+from rillstone.llm.common import SLICE, encode, forget, map_rows, release, stored, words_of, work_dir
 
 #: A segment is closed when it has this many words; a longer document is a segment by itself.
 SEGMENT_WORDS = 400_000
@@ -83,6 +83,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        forget()
         part, seq = TaskContext.get().partitionId(), 0
         ids, words, digests, size = [], [], [], 0
 
@@ -103,6 +104,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                         seq, ids, words, digests, size = seq + 1, [], [], [], 0
         if ids:
             yield closed()
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(run, _INDEX)
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillstone.llm.common import SLICE, map_rows, remembered, stored, words_of, work_dir
+from rillstone.llm.common import SLICE, map_rows, release, remembered, stored, words_of, work_dir
 
 #: What a character that is no piece counts against the floor of the seen ones.
 UNKNOWN = 1e-2
@@ -333,7 +333,7 @@ def fit(
 class WordScores:
     """Log-likelihoods of words, each computed once per worker while they fit in memory."""
 
-    LIMIT = 250_000
+    LIMIT = 200_000
 
     def __init__(self, model: LanguageModel):
         self.model = model
@@ -407,6 +407,7 @@ def predict(
                 langs, sure = judged(b.column(at).to_pylist(), scores)
                 cols = b.columns[: len(fields)] + [pa.array(langs, pa.string()), pa.array(sure, pa.float64())]
                 yield pa.RecordBatch.from_arrays(cols, names=[*(f.name for f in fields), *names])
+        release()
 
     schema = T.StructType([*fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return source.mapInArrow(run, schema)

@@ -53,7 +53,7 @@ def frequent_shingles(docs: DataFrame, text_col: str, n: int) -> tuple[np.ndarra
 
     out = pa.schema([("s", pa.int64()), ("n", pa.int64())])
     total = docs.count()
-    named = map_rows(source, name, "s long, n long", out).groupBy("s").agg(F.sum("n").alias("n"))
+    named = map_rows(source, name, "s long, n long", out, 2_000).groupBy("s").agg(F.sum("n").alias("n"))
     found = named.filter(F.col("n") >= FREQUENT / 2 * total).select("s").toPandas()
     wanted = np.sort(found["s"].to_numpy(np.int64).view(np.uint64))
     if not len(wanted):
@@ -69,7 +69,7 @@ def frequent_shingles(docs: DataFrame, text_col: str, n: int) -> tuple[np.ndarra
             df[at[keys[at] == s]] += 1
         yield {"s": keys[df > 0].view(np.int64), "n": df[df > 0]}
 
-    exact = map_rows(source, count, "s long, n long", out).groupBy("s").agg(F.sum("n").alias("n"))
+    exact = map_rows(source, count, "s long, n long", out, 2_000).groupBy("s").agg(F.sum("n").alias("n"))
     exact = exact.filter(F.col("n") >= FREQUENT * total).toPandas()
     keys = exact["s"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)

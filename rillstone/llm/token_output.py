@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.llm.common import map_rows, remembered, work_dir
+from rillstone.llm.common import SLICE, map_rows, release, remembered, work_dir
 from rillstone.llm.range_coder import decode_ids, encode_ids
 
 #: A chunk is closed when it has this many ids; a document is never cut.
-CHUNK_IDS = 1 << 23
+CHUNK_IDS = 1 << 22
 #: Places where the byte-level pre-tokenizer always parts tokens: before one space between two other characters than
 #: white space, around one line feed between such, and where letters or digits end before a mark (not an apostrophe).
 _PARTS = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<=[^\W_])(?=[!-&(-/:-@\[-^`{-~])")
@@ -64,7 +64,7 @@ class Ids:
     """Ids of texts by a byte-level BPE of the tokenizers library. Pieces of texts are encoded once per worker and
     remembered while they fit: the latest LIMIT, and those before that were asked for again."""
 
-    LIMIT = 300_000
+    LIMIT = 120_000
 
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
@@ -156,17 +156,21 @@ def write_tokens(
             row = [[part], [seq], [before], [held], [data]]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, out, strict=True)], schema=out)
 
-        for b in batches:
-            for d, x in zip(b.column(0).to_pylist(), known.of_all(b.column(1).to_pylist()), strict=True):
-                names.append(d)
-                ids.append(x)
-                held += len(x)
-                if held >= CHUNK_IDS:
-                    yield closed()
-                    seq, before = seq + 1, before + held
-                    names, ids, held = [], [], 0
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                b = whole.slice(i, SLICE)
+                for d, x in zip(b.column(0).to_pylist(), known.of_all(b.column(1).to_pylist()), strict=True):
+                    names.append(d)
+                    ids.append(x)
+                    held += len(x)
+                    if held >= CHUNK_IDS:
+                        yield closed()
+                        seq, before = seq + 1, before + held
+                        names, ids, held = [], [], 0
         if names:
             yield closed()
+        names, ids = [], []
+        release()
 
     out = pa.schema(
         [("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())]
@@ -200,7 +204,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
     schema = "doc_id long, start long, n_tokens long, ids binary"
-    return map_rows(chunks.select("part", "before", "payload"), run, schema, out)
+    return map_rows(chunks.select("part", "before", "payload"), run, schema, out, 1)
 
 
 def token_output(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
