@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillstone.llm.common import ascii_lower, encode, map_rows, stored, work_dir
+from rillstone.llm.common import ascii_lower, encode, stored, work_dir
 
 #: Bytes of labels and members that a trie holds.
 TRIE_BYTES = 48 << 20
