@@ -235,3 +235,12 @@ def with_group_min(df: DataFrame, keys: list[str], value: str, salt_by: str, lea
     )
     answers = part.select(*keys, "_salt").join(whole, keys)
     return salted.join(answers, [*keys, "_salt"]).drop("_salt")
+
+
+def joined_salted(df: DataFrame, key: str, answers: DataFrame, salt_by: str) -> DataFrame:
+    """df's rows with the columns of answers, which has a row for each key at most; rows without an answer have nulls.
+
+    A key may hold any share of df's rows: an answer goes once to each of the key's salts, and rows meet it there."""
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
+    spread = salted.select(key, "_salt").distinct().join(answers, key)
+    return salted.join(spread, [key, "_salt"], "left").drop("_salt")

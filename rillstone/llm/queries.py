@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.llm import decontaminate, exact_dedup, html_extract, language_id, line_dedup, mixing, near_dedup, quality, secrets, token_output
+from rillstone.llm import conversations, decontaminate, exact_dedup, hard_negatives, html_extract, language_id, line_dedup, mixing, near_dedup, quality, secrets, simhash, token_output
 from rillstone.llm.common import encode, map_rows, read_table
 
 
@@ -67,6 +67,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose id is divisible by 100 is an anchor; where it is divisible by 7 the label is the next one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of damaged conversations and a digest of each repaired one; those that lost all rows are empty."""
+    whole = read_table(spark, sf_dir, "conversations")
+    report, repaired = conversations.repair(conversations.damaged(whole))
+    found = report.join(conversations.text_digests(repaired).withColumnRenamed("conv", "_conv"), F.col("conv").eqNullSafe(F.col("_conv")), "left")
+    out = whole.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    empty = hashlib.sha256(b"").hexdigest()
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(empty)).alias("repaired_sha256"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,12 +101,96 @@ QUERIES = {
         op8_exact_dedup,
         op9_near_dedup,
         op10_language_id,
+        op11_hard_negatives,
+        op12_conversation_repair,
+        op13_simhash,
     )
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _edit(state: str, letter: str, cost: str) -> str:
+    """SQL of a way (cost, audit, plan) one edit longer. Letters as in conversations: a plan tells users from assistants."""
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{conversations.audit_of(letter)}', 'p': {state}.p || '{letter}'}}"
+
+
+def _least(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+#: After a row, the cheapest way to each state (nothing, system, user, assistant); 'no' is dearer than any way.
+_NO = 1_000_000
+_MORE = "(CASE WHEN cut THEN 1 ELSE 0 END)"
+_TAKES = lambda role: f"(CASE WHEN NOT gone AND ini = '{role}' THEN {_MORE} ELSE {_NO} END)"
+_REROLE = f"(CASE WHEN gone THEN {_NO} ELSE 2 + {_MORE} END)"
+_STEP = f"""
+    {_edit('a0', 'D', '3')} AS b0,
+    {_least(_edit('a1', 'D', '3'), _edit('a0', 'K', _TAKES('s')))} AS b1,
+    {_least(_edit('a2', 'D', '3'), *(_edit(x, 'K', _TAKES('u')) for x in ('a0', 'a1', 'a3')), *(_edit(x, 'U', _REROLE) for x in ('a0', 'a1', 'a3')))} AS b2,
+    {_least(_edit('a3', 'D', '3'), _edit('a2', 'K', _TAKES('a')), _edit('a2', 'A', _REROLE))} AS b3"""
+_INSERTED_USER = _least("b2", *(_edit(x, "u", "2") for x in ("b0", "b1", "b3")))
+
 ORACLE_SQL = {
+    "op11_hard_negatives": """
+        WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+                   FROM embeddings
+                   WHERE label IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same, list_inner_product(a.v, e.v)::BIGINT AS score
+              FROM e a JOIN e ON a.vec_id <> e.vec_id WHERE a.vec_id % 100 = 0),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, row_number() OVER w::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER w <= 10""",
+    "op12_conversation_repair": rf"""
+        WITH RECURSIVE k AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(
+                           coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+                       lambda c, x: xor(c >> 8, list_reduce(list_prepend(xor(c, x) & 255, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                           lambda y, z: xor(y >> 1, (y & 1) * 3988292384)))), 4294967295) % 20 AS k
+            FROM conversations),
+        d AS (SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role,
+                     CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+              FROM k, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+                     left(role, 1) AS ini, regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS mark
+              FROM d),
+        f AS (SELECT *, CASE WHEN mark = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN mark NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+                     lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS before
+              FROM o),
+        r AS (SELECT *, fault IN ('blank', 'duplicate') AS gone, fault = 'truncated' AS cut FROM f),
+        n AS (SELECT conv_id, max(i) AS last, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                     count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+                     count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+                     count(*) FILTER (WHERE i > 1 AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal
+              FROM r GROUP BY conv_id),
+        dp AS (SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 'p': ''}} AS a0, {{'c': {_NO}, 'a': '', 'p': ''}} AS a1,
+                      {{'c': 2, 'a': 'I', 'p': 'u'}} AS a2, {{'c': 4, 'a': 'II', 'p': 'ua'}} AS a3
+               FROM n
+               UNION ALL
+               SELECT conv_id, i, b0, b1, c2, {_least("b3", _edit("c2", "a", "2"))}
+               FROM (SELECT *, {_INSERTED_USER} AS c2
+                     FROM (SELECT r.conv_id, r.i, {_STEP} FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = dp.i + 1))),
+        w AS (SELECT n.*, list_min([a0, a3]) AS way FROM n JOIN dp ON n.conv_id IS NOT DISTINCT FROM dp.conv_id AND n.last = dp.i),
+        t AS (SELECT conv_id, unnest(regexp_extract_all(way.p, '[ua]*[KUAD](?:[ua]*$)?')) AS edits,
+                     generate_subscripts(regexp_extract_all(way.p, '[ua]*[KUAD](?:[ua]*$)?'), 1) AS i FROM w),
+        l AS (SELECT conv_id, i, unnest(string_split(edits, '')) AS letter, generate_subscripts(string_split(edits, ''), 1) AS j FROM t),
+        x AS (SELECT l.conv_id, sha256(string_agg(CASE letter WHEN 'K' THEN role || ':' || text WHEN 'U' THEN 'user:' || text
+                          WHEN 'A' THEN 'assistant:' || text WHEN 'u' THEN 'user:' ELSE 'assistant:' END, chr(10) ORDER BY l.i, j)) AS h
+              FROM l JOIN r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = l.i WHERE letter <> 'D' GROUP BY l.conv_id)
+        SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+               coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(way.c, 0)::BIGINT AS cost,
+               coalesce(way.a, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM c.conv_id
+        LEFT JOIN x ON x.conv_id IS NOT DISTINCT FROM c.conv_id""",
     "op3_decontamination": rf"""
         WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         i AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
