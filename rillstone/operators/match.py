@@ -5,9 +5,10 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillstone.operators.skew import with_answers
 from rillstone.schema import Kind, canonical
 
 #: Kinds that rules may match on.
@@ -16,20 +17,40 @@ MATCHABLE = (Kind.TEXT, Kind.NUMBER, Kind.LONG, Kind.DECIMAL, Kind.GUID)
 
 @dataclass(frozen=True)
 class MatchRule:
-    """source (a column of staged rows, or an expression's column) equals target (a column of canonical rows)."""
+    """source (a column of staged rows, or an expression's column) equals target (a column of canonical rows).
+
+    Of several sources the first that hits anything counts. A list, on either side, hits by any of its values.
+    """
 
     order: int
-    source: str
+    source: str | tuple[str, ...]
     target: str
     kind: Kind = Kind.TEXT
     case_sensitive: bool = False
 
+    @property
+    def sources(self) -> tuple[str, ...]:
+        return (self.source,) if isinstance(self.source, str) else self.source
+
+    @property
+    def space(self) -> str:
+        """Names what keys are comparable: of one target, compared in one way."""
+        return f"{self.target.lower()}|{self.kind.name}|{self.case_sensitive}"
+
     def key(self, c: Column) -> Column:
         if self.kind not in MATCHABLE:
             raise ValueError(f"rules don't match {self.kind.name}")
         c = canonical(c, self.kind)
         return F.lower(c) if self.kind is Kind.TEXT and not self.case_sensitive else c
 
+    def keyed(self, rows: DataFrame, column: str, *keep: str | Column) -> DataFrame:
+        """keep and _k, the column's key as text: a row for each distinct value of a list, none where there is no value."""
+        if dict(rows.dtypes)[column].startswith("array"):
+            key = F.explode(F.array_distinct(F.transform(column, lambda v: self.key(v).cast("string"))))
+        else:
+            key = self.key(F.col(column)).cast("string")
+        return rows.select(*keep, key.alias("_k")).filter("_k is not null")
+
 
 def reject_duplicates(incoming: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """(unique rows, rejected rows): a key that occurs twice in a batch has no winner, all its rows are rejected.
@@ -56,31 +77,32 @@ def match_cascade(staged: DataFrame, canonical_rows: DataFrame, rules: list[Matc
         return staged.select(source_id, F.lit("none").alias("outcome"), none.cast("int").alias("rule"), none.cast("long").alias(target_id))
     hits = []
     for r in rules:
-        a = staged.select(source_id, r.key(F.col(r.source)).alias("_k")).filter("_k is not null")
-        b = canonical_rows.select(F.col(target_id), r.key(F.col(r.target)).alias("_k")).filter("_k is not null")
-        # per key the number of targets and one of them: no product of equal keys
-        b = b.groupBy("_k").agg(F.count_distinct(target_id).alias("_n"), F.min(target_id).alias(target_id))
-        hits.append(a.join(b, "_k").select(source_id, F.lit(r.order).alias("rule"), "_n", target_id))
-    found = functools.reduce(DataFrame.union, hits)
+        # per key the least and greatest target: no product of equal keys
+        b = r.keyed(canonical_rows, r.target, F.col(target_id).alias("_t")).groupBy("_k").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
+        for n, source in enumerate(r.sources):
+            a = r.keyed(staged, source, source_id)
+            hits.append(a.join(b, "_k").select(source_id, F.lit(r.order).alias("rule"), F.lit(n).alias("_n"), "_lo", "_hi"))
+    found = functools.reduce(DataFrame.union, hits).groupBy(source_id, "rule", "_n").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
     if not stop_at_ambiguity:
-        found = found.filter("_n = 1")
-    first = found.groupBy(source_id).agg(F.min_by(F.struct("rule", "_n", target_id), F.struct("rule", target_id)).alias("_f"))
+        found = found.filter("_lo = _hi")
+    first = found.groupBy(source_id).agg(F.min_by(F.struct("rule", "_lo", "_hi"), F.struct("rule", "_n")).alias("_f"))
     out = staged.select(source_id).join(first, source_id, "left")
-    outcome = F.when(F.col("_f").isNull(), "none").when(F.col("_f._n") > 1, "ambiguous").otherwise("joined")
-    return out.select(source_id, outcome.alias("outcome"), F.col("_f.rule").alias("rule"), F.when(outcome == "joined", F.col(f"_f.{target_id}")).alias(target_id))
+    outcome = F.when(F.col("_f").isNull(), "none").when(F.col("_f._lo") != F.col("_f._hi"), "ambiguous").otherwise("joined")
+    return out.select(source_id, outcome.alias("outcome"), F.col("_f.rule").alias("rule"), F.when(outcome == "joined", F.col("_f._lo")).alias(target_id))
 
 
 def claim_once(matches: DataFrame, existing: DataFrame, disconnecting: DataFrame, source_id: str, target_id: str) -> DataFrame:
     """`outcome` already_joined for rows whose target has a row of the same system, or that a lesser row has claimed.
 
-    Existing joins that this run takes apart don't count.
+    Existing joins that this run takes apart don't count. A target's claimants meet by their least only, so a target that
+    very many claim is no one task's.
     """
     held = existing.join(disconnecting, source_id, "left_anti").select(target_id).distinct().withColumn("_held", F.lit(True))
-    w = Window.partitionBy(target_id).orderBy(source_id)
-    joined = matches.filter("outcome = 'joined'").withColumn("_n", F.row_number().over(w)).join(held, target_id, "left")
-    late = (F.col("_n") > 1) | F.coalesce("_held", F.lit(False))
-    joined = joined.withColumn("outcome", F.when(late, "already_joined").otherwise("joined")).select(*matches.columns)
-    return joined.union(matches.filter("outcome <> 'joined'").select(*matches.columns))
+    joined = matches.filter("outcome = 'joined'")
+    claims = joined.groupBy(target_id).agg(F.min(source_id).alias("_first")).join(held, target_id, "left")
+    late = (F.col(source_id) > F.col("_first")) | F.coalesce("_held", F.lit(False))
+    joined = with_answers(joined, [target_id], claims, source_id).withColumn("outcome", F.when(late, "already_joined").otherwise("joined"))
+    return joined.select(*matches.columns).union(matches.filter("outcome <> 'joined'").select(*matches.columns))
 
 
 def resolve_references(rows: DataFrame, objects: DataFrame, key: str, reference: str, target_type: str | None = None) -> DataFrame:

@@ -15,9 +15,12 @@ from rillstone.operators import merge
 from rillstone.operators.criteria import Group, in_scope
 from rillstone.operators.diff import object_changes, where_any
 from rillstone.operators.lifecycle import deletion_decision, deletion_timing
-from rillstone.operators.match import MatchRule, claim_once, match_cascade, resolve_references
+from rillstone.operators.match import MatchRule, claim_once, resolve_references
 from rillstone.operators.outbound import ExportMapping, outbound_delta
+from rillstone.operators.run_match import gives, known_keys, new_ids, run_matches, seeks
+from rillstone.operators.skew import with_answers
 from rillstone.schema import Attribute, Kind, ObjectType
+from rillstone.session import scratch, stored
 
 
 @dataclass(frozen=True)
@@ -114,20 +117,24 @@ def full_run(
     external_id, entity) are those made before; lifetimes (entity, origin, rule, grace_days) say what may be deleted.
 
     First, joined objects that left or fell out of scope are disconnected (by an import with rows only), unless the rule
-    lets those out of scope remain. Objects that stay keep their join and aren't matched again. All others are matched; an
-    entity that is still held by the same system's object can't be joined, one released in this run can. New objects that
-    match nothing are projected under an id of their own, from their rule and external id. Once all joins are made,
-    references are resolved to the objects' entities, and entities that lost a connector get their deletion decision.
+    lets those out of scope remain. Objects that stay keep their join and aren't matched again. All others are matched in
+    the order of rules and external ids, with the entities from before and with those that earlier objects project: an
+    entity is found by the values it had before the run, or by those its projecting object gives it. An entity that is held
+    by another object of the same rule can't be joined, one released in this run can. New objects that match nothing are
+    projected under an id of their own, from their rule and external id. Outcomes are written to the shared folder once.
+    Once all joins are made, references are resolved to the objects' entities, and entities that lost a connector get their
+    deletion decision.
     """
-    spark = canonical_rows.sparkSession
+    spark, at = canonical_rows.sparkSession, scratch(canonical_rows.sparkSession)
     if joins is None:
         joins = spark.createDataFrame([], "rule int, external_id string, entity long")
-    changes, outcomes, given, left, kept_all = [], [], [], [], []
+    every = [m for r in rules for m in r.matching]
+    changes, left, kept, new, scoped = [], [], [], {}, {}
     for r in rules:
         key = r.type.key
         name = F.col(key).cast("string").alias("external_id")
         changes.append(object_changes(staged[r.id], incoming[r.id], [key], list(r.type.attributes)).select(F.lit(r.id).alias("rule"), name, "change", "changed"))
-        scoped = incoming[r.id].filter(in_scope(r.scope, r.type, now))
+        scoped[r.id] = incoming[r.id].filter(in_scope(r.scope, r.type, now))
         mine = joins.filter(F.col("rule") == r.id).select("external_id", "entity")
         present = incoming[r.id].select(name, F.coalesce(in_scope(r.scope, r.type, now), F.lit(False)).alias("_in"))
         state = mine.join(present, "external_id", "left")
@@ -135,22 +142,72 @@ def full_run(
         gone = where_any(state.select("external_id", "entity", reason.alias("reason")).filter("reason is not null"), incoming[r.id])
         left.append(gone.select(F.lit(r.id).alias("rule"), "external_id", "entity", "reason"))
         held = mine.join(gone.select("external_id"), "external_id", "left_anti")
-        named = scoped.withColumn("_name", name)
-        known = named.join(held.withColumnRenamed("external_id", "_name"), "_name").select(key, F.lit("kept").alias("outcome"), F.lit(None).cast("int").alias("rule"), "entity")
-        new = named.join(held.select(F.col("external_id").alias("_name")), "_name", "left_anti").drop("_name")
-        found = match_cascade(new, canonical_rows, list(r.matching), key, "entity")
-        found = claim_once(found, held.withColumnRenamed("external_id", key), held.select(F.col("external_id").alias(key)).limit(0), key, "entity")
-        own = F.xxhash64(F.lit(r.id), F.col(key).cast("string"))
-        found = found.withColumn("entity", F.when(F.col("outcome") == "joined", F.col("entity")).when((F.col("outcome") == "none") & F.lit(r.project), own))
-        found = known.unionByName(found)
-        outcomes.append(found.select(F.lit(r.id).alias("rule"), name, "outcome", "entity"))
-        kept_all.append(found.filter("entity is not null").select(F.lit(r.id).alias("rule"), name, "entity").union(held.join(scoped.select(name), "external_id", "left_anti").select(F.lit(r.id), "external_id", "entity")))
-        given.append(contributions(scoped.join(found.filter("entity is not null").select(key, "entity"), key), r, canonical_type))
+        kept.append(held.select(F.lit(r.id).alias("rule"), "external_id", "entity"))
+        new[r.id] = scoped[r.id].withColumn("_name", name).join(held.select(F.col("external_id").alias("_name")), "_name", "left_anti")
     union = functools.partial(functools.reduce, DataFrame.unionByName)
-    all_given, after, lost = union(given), union(kept_all), union(left)
+    lost, kept_all = union(left), stored(union(kept), at, "kept")
+    found = _matched(new, rules, every, canonical_rows, canonical_type, kept_all, at)
+    names = union([scoped[r.id].select(F.lit(r.id).alias("rule"), F.col(r.type.key).cast("string").alias("external_id")) for r in rules])
+    known = names.join(kept_all, ["rule", "external_id"]).select("rule", "external_id", F.lit("kept").alias("outcome"), "entity")
+    outcomes = stored(known.unionByName(found), at, "outcomes")
+    after = kept_all.unionByName(found.filter("entity is not null").select("rule", "external_id", "entity"))
+    given = []
+    for r in rules:
+        own = outcomes.filter((F.col("rule") == r.id) & F.col("entity").isNotNull()).select(F.col("external_id").alias("_name"), "entity")
+        given.append(contributions(scoped[r.id].withColumn("_name", F.col(r.type.key).cast("string")).join(own, "_name").drop("_name"), r, canonical_type))
+    all_given = union(given)
     merged = merge.resolve(all_given, ["entity", "attr"])
     errors = all_given.filter("error is not null").select("entity", "attr", "error")
-    return Run(union(changes), union(outcomes), merged, errors, lost, after, references(incoming, rules, after), deletions(lost, after, lifetimes))
+    return Run(union(changes), outcomes, merged, errors, lost, after, references(incoming, rules, after), deletions(lost, after, lifetimes))
+
+
+def _place(n: int, r: ImportRule) -> Column:
+    """Orders the objects of a run: by rule, then external id, whole numbers by value."""
+    number = F.col(r.type.key).cast("decimal(38,0)") if r.type.attribute(r.type.key).kind in (Kind.NUMBER, Kind.LONG) else F.lit(None).cast("decimal(38,0)")
+    return F.struct(F.lit(n).alias("n"), number.alias("number"), F.col("_name").alias("name"))
+
+
+def _given_values(rows: DataFrame, r: ImportRule, t: ObjectType, targets: set[str]) -> tuple[DataFrame, dict[str, str]]:
+    """rows with a column for each target that flows give a value, by priority and then id; and the columns' names."""
+    columns: dict[str, list[Column]] = {}
+    for f in sorted(r.flows, key=lambda f: (f.priority, f.id)):
+        if f.enabled and f.target in targets:
+            value, error = flow_value(f, r.type, t.attribute(f.target))
+            columns.setdefault(f.target, []).append(F.when(error.isNull(), value))
+    names = {target: f"_to_{n}" for n, target in enumerate(columns)}
+    return rows.withColumns({names[target]: F.coalesce(*values) for target, values in columns.items()}), names
+
+
+def _matched(new: dict[int, DataFrame], rules: list[ImportRule], every: list[MatchRule], canonical_rows: DataFrame, t: ObjectType, held: DataFrame, at: str) -> DataFrame:
+    """rule, external_id, outcome, entity of new objects."""
+    objects, looks, offers = [], [], []
+    for n, r in enumerate(rules):
+        place = _place(n, r)
+        objects.append(new[r.id].select(place.alias("ord"), F.lit(r.id).alias("rule"), F.col("_name").alias("external_id"), F.lit(r.project).alias("projects")))
+        if r.matching:
+            looks.append(seeks(new[r.id], list(r.matching), place))
+        if r.project and every:
+            rows, names = _given_values(new[r.id], r, t, {m.target for m in every})
+            if (offer := gives(rows, every, names, place)) is not None:
+                offers.append(offer)
+    union = functools.partial(functools.reduce, DataFrame.union)
+    whole = stored(union(objects), at, "objects")
+    if looks:
+        seek = stored(union(looks), at, "seeks")
+        found = run_matches(whole, seek, stored(union(offers), at, "gives") if offers else None, known_keys(canonical_rows, every, "entity"), at)
+    else:
+        none = F.lit(None)
+        found = whole.select("ord", F.lit("none").alias("outcome"), none.cast("int").alias("rule"), none.cast("long").alias("entity"), F.when(F.col("projects"), F.col("ord")).alias("via"))
+    found = stored(found.select("ord", "outcome", "entity", "via").join(whole.select("ord", "rule", "external_id"), "ord"), at, "found")
+    made = found.filter("outcome = 'none' and via is not null").select("rule", "external_id", "ord")
+    made = new_ids(made, ["rule", "external_id"], canonical_rows, f"{at}/ids").select(F.col("ord").alias("via"), F.col("entity").alias("_made"))
+    found = with_answers(found, ["via"], made, "ord").withColumn("entity", F.coalesce("_made", "entity")).withColumn("_target", F.struct("rule", "entity"))
+    nobody = F.lit(None).cast(whole.schema["ord"].dataType)
+    held = held.select(nobody.alias("ord"), F.struct("rule", "entity").alias("_target"))
+    owners = found.filter("outcome = 'none' and entity is not null").select("ord", "_target")
+    found = claim_once(found, held.union(owners), held.limit(0), "ord", "_target")
+    entity = F.when(F.col("outcome").isin("joined", "none"), F.col("entity"))
+    return stored(found.select("rule", "external_id", "outcome", entity.alias("entity")), at, "matched")
 
 
 def references(incoming: dict[int, DataFrame], rules: list[ImportRule], joins: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "rillstone", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -36,3 +36,9 @@ def scratch(spark: SparkSession) -> str:
     if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(root or _own_dir()).rstrip('/')}/rillstone-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, at: str, name: str) -> DataFrame:
+    """df written as a table in the folder `at` and read back: it is computed once, and lineage ends there."""
+    df.write.mode("overwrite").parquet(f"{at}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{at}/{name}")
