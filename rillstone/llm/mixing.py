@@ -16,6 +16,8 @@ from rillstone.llm.common import SALTS
 LARGEST_MEAN = 32.0
 #: Up to this many sources, their rates are broadcast.
 BROADCAST_SOURCES = 50_000
+#: Up to this many ids that several rows share, they are broadcast.
+BROADCAST_IDS = 500_000
 
 
 def uniform(*parts: Column) -> Column:
@@ -58,6 +60,23 @@ def source_rates(
     return rates.select("_source", "_pieces", F.aggregate(F.sequence(F.lit(1), last), begin, grow)["c"].alias("_cdf"), "_mean")
 
 
+def _named(rows: DataFrame, own: Column) -> DataFrame:
+    """rows with `_name`: the id where it is the row's own, else the id and the row's place in the table."""
+    place = F.concat_ws("@", F.coalesce(own.cast("string"), F.lit("null")), F.monotonically_increasing_id())
+    ids = rows.select(own.alias("_shared")).filter("_shared is not null")
+    shared = ids.groupBy("_shared").agg(F.count("*").alias("_n")).filter("_n > 1").select("_shared")
+    rows = rows.withColumn("_place", place)
+    if not (n := shared.count()):
+        return rows.withColumn("_name", F.coalesce(own.cast("string"), F.col("_place"))).drop("_place")
+    if n <= BROADCAST_IDS:
+        marked = rows.join(F.broadcast(shared), own == F.col("_shared"), "left")
+    else:  # an id may have any share of the rows: it goes once to each of its salts
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_place"), F.lit(SALTS)).cast("int"))
+        spread = shared.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        marked = salted.join(spread, (own == F.col("_shared")) & (F.col("_salt") == F.col("_at")), "left").drop("_salt", "_at")
+    return marked.withColumn("_name", F.when(F.col("_shared").isNull() & own.isNotNull(), own.cast("string")).otherwise(F.col("_place"))).drop("_place", "_shared")
+
+
 def mix_sources(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
@@ -69,31 +88,33 @@ def mix_sources(
 ) -> DataFrame:
     """docs' rows, each as often as its Poisson number says, with copy_no (from 1) and shuffle_key, in random order.
 
-    Partitions hold random shares of the copies, ascending by shuffle_key (an md5). Rows with equal ids have equal
-    numbers; a null id counts as one id. Columns of docs named copy_no or shuffle_key are replaced; all others stay as
-    they are, whatever their names. An empty table, or weights that name no source of it, give no rows. Texts are not
-    looked at, so null, empty and long ones are rows like any others.
+    Partitions hold random shares of the copies, ascending by shuffle_key (an md5). A row with an id of its own has the
+    same number in every run. Rows without an id, or that share one, each have a number by their place in the table, so
+    that their source meets its share and their copies lie in all partitions too. Columns of docs named copy_no or
+    shuffle_key are replaced; all others stay as they are, whatever their names. An empty table, or weights that name no
+    source of it, give no rows. Texts are not looked at, so null, empty and long ones are rows like any others.
     """
     # docs' own columns go by number meanwhile, so that no name of theirs meets one used here
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     own, source = F.col(f"c{docs.columns.index(id_col)}"), F.col(f"c{docs.columns.index(source_col)}")
     columns = [f"c{i}" for i, c in enumerate(docs.columns) if c not in ("copy_no", "shuffle_key")]
+    plain = _named(plain, own)
     rates = source_rates(docs, weights, temperature, epochs, source_col)
     if rates.count() <= BROADCAST_SOURCES:
         rows = plain.join(F.broadcast(rates), source.eqNullSafe(F.col("_source")))
     else:  # a source may hold any share of the rows: spread each over salts
-        salt = F.pmod(F.xxhash64(own), F.lit(SALTS)).cast("int")
+        salt = F.pmod(F.xxhash64("_name"), F.lit(SALTS)).cast("int")
         spread = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rows = plain.withColumn("_at", salt).join(spread, source.eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("_salt")))
 
     def drawn(k: Column) -> Column:
-        u = uniform(F.lit(seed), own, k)
+        u = uniform(F.lit(seed), F.col("_name"), k)
         return F.size(F.filter("_cdf", lambda c: c <= u))
 
     copies = F.aggregate(F.sequence(F.lit(1), F.col("_pieces")), F.lit(0), lambda acc, k: acc + drawn(k))
     rows = rows.withColumn("_copies", copies).filter(F.col("_copies") > 0)
-    rows = rows.select(*columns, own.alias("_id"), F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy_no"))
-    key = F.concat_ws("|", F.lit("order"), F.lit(seed), F.coalesce(F.col("_id").cast("string"), F.lit("null")), "copy_no")
-    rows = rows.withColumn("shuffle_key", F.md5(key.cast("binary"))).drop("_id")
+    rows = rows.select(*columns, "_name", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy_no"))
+    key = F.concat_ws("|", F.lit("order"), F.lit(seed), "_name", "copy_no")
+    rows = rows.withColumn("shuffle_key", F.md5(key.cast("binary"))).drop("_name")
     rows = rows.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
     return rows.toDF(*(docs.columns[int(c[1:])] for c in columns), "copy_no", "shuffle_key")

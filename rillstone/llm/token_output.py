@@ -141,7 +141,9 @@ def write_tokens(
     tokenizer: str | None = None,
     end_id: int = 2,
 ) -> None:
-    """Write docs' ids to the folder `path`, in ascending order of document ids (null first)."""
+    """Write docs' ids to the folder `path`, in ascending order of document ids (null first).
+
+    Rows of one id are in the order of a hash of their texts, equal ones of their places, so that ranges can part them."""
     at = tokenizer_path(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +178,9 @@ def write_tokens(
         [("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())]
     )
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "t")
+    order = ["doc_id", "h", "place"]
+    rows = rows.withColumns({"h": F.xxhash64("t"), "place": F.monotonically_increasing_id()})
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "t")
     schema = "part int, seq int, before long, n_ids long, payload binary"
     ordered.mapInArrow(run, schema).write.mode("overwrite").parquet(path)
 
@@ -211,8 +215,9 @@ def token_output(docs: DataFrame, path: str | None = None, **options) -> DataFra
     """Write docs' tokens to path (a new folder in the shared one by default), read them back, and return per
     document doc_id, start, n_tokens and ids_crc32.
 
-    Null and empty texts are the end id alone; rows with equal ids follow each other, in the order of their
-    texts, each with its own start; an empty table gives no rows.
+    Null and empty texts are the end id alone; rows with equal ids, and those without, follow each other in
+    the order of a hash of their texts, each with its own start. Texts of any length are encoded whole. Other columns, of
+    any name, are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     path = path or f"{work_dir(spark)}/tokens"

@@ -200,6 +200,20 @@ def brute_hits(texts, items):
         yield d, len(w), len(hit), sorted(found)
 
 
+def test_rows_without_ids_are_written_in_several_parts(spark, tmp_path):
+    df = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 50).cast("string")).alias("text")).repartition(4)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        token_output.write_tokens(df, str(tmp_path / "t"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert spark.read.parquet(str(tmp_path / "t")).select("part").distinct().count() == 4
+    got = token_output.read_tokens(spark, str(tmp_path / "t")).orderBy("start").collect()
+    ends = [r["start"] + r["n_tokens"] for r in got]
+    assert len(got) == 400 and [r["start"] for r in got] == [0, *ends[:-1]]
+
+
 def test_decontamination(spark, docs, monkeypatch):
     rng = np.random.default_rng(1)
     words = [f"w{k}" for k in range(12)]
@@ -248,6 +262,24 @@ def test_mixing(spark, docs, none, monkeypatch):
     assert mixing.mix_sources(docs, {None: 1.0}).select("doc_id").distinct().collect() in ([], [(6,)])
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_mixing_of_rows_without_an_id_of_their_own(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "BROADCAST_IDS", most)
+    n = F.col("id")
+    df = spark.range(4000).select(F.when(n < 2000, F.lit(None)).when(n < 3000, F.lit(7)).otherwise(n).cast("long").alias("doc_id"), F.when(n < 1000, "a").when(n < 2000, "b").when(n < 3000, "c").otherwise("d").alias("source"), F.lit("same").alias("text"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        mixed = mixing.mix_sources(df, {"a": 1, "b": 3, "c": 2, "d": 2})
+        rows = mixed.withColumn("p", F.spark_partition_id()).toPandas()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    for source, want in {"a": 500, "b": 1500, "c": 1000, "d": 1000}.items():
+        own = rows[rows.source == source]
+        assert abs(len(own) - want) < 6 * want**0.5  # six standard deviations
+        assert own.groupby("p").size().max() < 0.5 * len(own) and own.shuffle_key.is_unique
+
+
 # --- 5 ---
 
 PAGES = [
@@ -583,7 +615,7 @@ def test_same_rows_as_sql(spark, name):
     if not os.path.isdir(data):
         pytest.skip("no test tables")
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     found = con.execute(queries.ORACLE_SQL[name])
     at = [d[0] for d in found.description]
