@@ -5,13 +5,17 @@
 
 `+` with a text operand joins texts, and null is the empty text there. `/` of whole numbers drops the rest.
 Types come from the schema, when the text is compiled; branches of one result must agree.
+
+What can't be computed for a row (a number out of range, a division by zero) is an error of that row: its result is null,
+and a second column says why. && || and ? : look only at what they need; the arguments of calls are all computed.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,6 +45,7 @@ class Typed:
     column: Column
     kind: str  # string, int, bigint, decimal(38,10), boolean, timestamp, binary, array or null
     constant: object = None  # the value of a literal
+    error: Column | None = None  # null where it could be computed
 
 
 @dataclass
@@ -48,11 +53,30 @@ class Compiled:
     column: Column
     kind: str
     inputs: list[tuple[str, str]]  # (mv or cs, attribute), as written, without repeats
+    error: Column | None = None
+
+    @property
+    def errors(self) -> Column:
+        return F.lit(None).cast("string") if self.error is None else self.error
 
 
 NUMBERS = {"int": 0, "bigint": 1, DECIMAL: 2}
 
 
+def _first(*errors: Column | None) -> Column | None:
+    some = [e for e in errors if e is not None]
+    return F.coalesce(*some) if len(some) > 1 else some[0] if some else None
+
+
+def _where(test: Column, error: Column | None) -> Column | None:
+    return None if error is None else F.when(test, error)
+
+
+def _lost(made: Column, *of: Column) -> Column:
+    """An error where all operands have values and the result has none."""
+    return F.when(functools.reduce(lambda p, q: p & q, [c.isNotNull() for c in of]) & made.isNull(), F.lit("out of range"))
+
+
 def _text(x: Typed) -> Column:
     return F.coalesce(S.to_string(x.column, x.kind), F.lit(""))
 
@@ -99,7 +123,8 @@ class Parser:
 
     def pick(self, test: Typed, a: Typed, b: Typed, at: int) -> Typed:
         a, b, kind = self.unified(a, b, at)
-        return Typed(F.when(self.boolean(test, at), a.column).otherwise(b.column), kind)
+        yes = self.boolean(test, at)
+        return Typed(F.when(yes, a.column).otherwise(b.column), kind, error=_first(test.error, _where(yes, a.error), _where(~yes, b.error)))
 
     def unified(self, a: Typed, b: Typed, at: int) -> tuple[Typed, Typed, str]:
         if a.kind == "null" or b.kind == "null":
@@ -112,7 +137,7 @@ class Parser:
             raise ExpressionError(f"{a.kind} and {b.kind} don't agree", at)
         if kind in ("null", "array"):
             return a, b, kind
-        return Typed(a.column.cast(kind), kind), Typed(b.column.cast(kind), kind), kind
+        return Typed(a.column.cast(kind), kind, error=a.error), Typed(b.column.cast(kind), kind, error=b.error), kind
 
     def boolean(self, x: Typed, at: int) -> Column:
         if x.kind not in ("boolean", "null"):
@@ -133,36 +158,49 @@ class Parser:
     def apply(self, op: str, a: Typed, b: Typed, at: int) -> Typed:
         if op in ("||", "&&"):
             p, q = self.boolean(a, at), self.boolean(b, at)
-            return Typed(p | q if op == "||" else p & q, "boolean")
+            return Typed(p | q if op == "||" else p & q, "boolean", error=_first(a.error, _where(~p if op == "||" else p, b.error)))
+        errors = _first(a.error, b.error)
         if op in ("==", "!="):
             same = S.eq(a.column, b.column, a.kind, b.kind) if "null" not in (a.kind, b.kind) else a.column.isNull() & b.column.isNull()
-            return Typed(same if op == "==" else ~same, "boolean")
+            return Typed(same if op == "==" else ~same, "boolean", error=errors)
         if op == "+" and "string" in (a.kind, b.kind):
-            return Typed(F.concat(_text(a), _text(b)), "string")
+            return Typed(F.concat(_text(a), _text(b)), "string", error=errors)
         a, b, kind = self.unified(a, b, at)
         if op in ("<", "<=", ">", ">="):
             x, y = a.column, b.column
             found = x < y if op == "<" else x <= y if op == "<=" else x > y if op == ">" else x >= y
-            return Typed(F.coalesce(found, F.lit(False)), "boolean")
+            return Typed(F.coalesce(found, F.lit(False)), "boolean", error=errors)
         if kind not in NUMBERS:
             raise ExpressionError(f"{op} isn't for {kind}", at)
-        x, y = a.column, b.column
-        if op == "/" and kind != DECIMAL:
-            none = F.lit(None).cast(kind)
-            return Typed(F.when(y == 0, none).otherwise(((x - x % F.nullif(y, F.lit(0))) / F.nullif(y, F.lit(0))).cast(kind)), kind)
-        out = {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: x / F.nullif(y, F.lit(0).cast(kind)), "%": lambda: x % F.nullif(y, F.lit(0).cast(kind))}
-        return Typed(out[op]().cast(kind), kind)
+        return self.arithmetic(op, a.column, b.column, kind, errors)
+
+    def arithmetic(self, op: str, x: Column, y: Column, kind: str, errors: Column | None) -> Typed:
+        if op in ("/", "%"):
+            zero, safe = y == 0, F.nullif(y, F.lit(0).cast(kind))
+            if op == "%":
+                made = x % safe
+            elif kind == DECIMAL:
+                made = F.try_divide(x, safe)
+            else:  # whole numbers: what is left after the rest divides evenly, which decimals give exactly
+                made = F.try_divide((x - x % safe).cast("decimal(20,0)"), safe.cast("decimal(20,0)"))
+            made = made.try_cast(kind)
+            return Typed(made, kind, error=_first(errors, F.when(x.isNotNull() & zero, F.lit("division by zero")), _lost(made, x, safe)))
+        made = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](x, y).try_cast(kind)
+        return Typed(made, kind, error=_first(errors, _lost(made, x, y)))
 
     def unary(self) -> Typed:
         if self.peek("!"):
             at = self.take()[2]
-            return Typed(~self.boolean(self.unary(), at), "boolean")
+            x = self.unary()
+            return Typed(~self.boolean(x, at), "boolean", error=x.error)
         if self.peek("-"):
             at = self.take()[2]
             x = self.unary()
             if x.kind not in NUMBERS:
                 raise ExpressionError(f"- isn't for {x.kind}", at)
-            return Typed(-x.column, x.kind, -x.constant if x.constant is not None else None)
+            if x.constant is not None:
+                return Typed(-x.column, x.kind, -x.constant)
+            return self.arithmetic("-", F.lit(0).cast(x.kind), x.column, x.kind, x.error)
         return self.primary()
 
     def primary(self) -> Typed:
@@ -213,7 +251,8 @@ class Parser:
         if not least <= len(args) <= most:
             raise ExpressionError(f"{name} takes {least} to {most} arguments", at)
         try:
-            return make(self, args, at)
+            made = make(self, args, at)
+            return replace(made, error=_first(*(a.error for a in args)) if name not in ("IIF", "Eq") else _first(made.error, *(a.error for a in args)))
         except ExpressionError:
             raise
         except ValueError as e:
@@ -307,7 +346,7 @@ def compile_expression(text: str, mv: dict | None = None, cs: dict | None = None
     """The text as a Column; an ExpressionError names the place of a mistake. mv and cs come from attributes_of."""
     p = Parser(text, {"mv": mv or {}, "cs": cs or {}}, F.current_timestamp() if now is None else now)
     x = p.whole()
-    return Compiled(x.column, x.kind, p.inputs)
+    return Compiled(x.column if x.error is None else F.when(x.error.isNull(), x.column), x.kind, p.inputs, x.error)
 
 
 def check_expression(text: str, mv: dict | None = None, cs: dict | None = None) -> tuple[bool, str | None, int | None]:
@@ -320,7 +359,13 @@ def check_expression(text: str, mv: dict | None = None, cs: dict | None = None)
 
 
 def coerced(x: Compiled, target: Kind) -> tuple[Column, Column]:
-    """(value, error) of a result for an attribute: whole numbers widen, text is read, a long that is no int is an error."""
+    """(value, error) of a result for an attribute: whole numbers widen, text is read, a long that is no int is an error,
+    as is what could not be computed."""
+    value, error = _coerced(x, target)
+    return value, error if x.error is None else F.coalesce(x.error, error)
+
+
+def _coerced(x: Compiled, target: Kind) -> tuple[Column, Column]:
     none = F.lit(None).cast("string")
     c, to = x.column, target.spark
     if x.kind == "null":
@@ -345,7 +390,8 @@ def coerced(x: Compiled, target: Kind) -> tuple[Column, Column]:
 def with_missing_inputs(x: Compiled, mv: dict, cs: dict, direction: str, behaviour: str) -> tuple[Column, Column]:
     """(value, error) when an input attribute of the direction's accessor is null or empty.
 
-    behaviour: evaluate (anyway), no_value, fail_mapping or fail_object (the error says so).
+    behaviour: evaluate (anyway), no_value, fail_mapping or fail_object (the error says so). What isn't evaluated has no
+    errors of its own: x.error is masked.
     """
     none = F.lit(None).cast("string")
     known = mv if direction == "mv" else cs
@@ -359,4 +405,5 @@ def with_missing_inputs(x: Compiled, mv: dict, cs: dict, direction: str, behavio
     error = {"no_value": none, "fail_mapping": F.when(missing, F.lit("mapping: missing input")), "fail_object": F.when(missing, F.lit("object: missing input"))}
     if behaviour not in error:
         raise ValueError(f"no behaviour {behaviour}")
+    x.error = _where(~missing, x.error)
     return F.when(~missing, x.column), error[behaviour]

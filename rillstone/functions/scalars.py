@@ -35,7 +35,7 @@ def right(c: Column, n: Column) -> Column:
 
 def substring(c: Column, start: Column, n: Column) -> Column:
     """From a 0-based place, which counts as 0 if negative; empty beyond the end or for no length."""
-    return F.substr(c, F.greatest(start, F.lit(0)) + 1, F.greatest(n, F.lit(0)))
+    return F.substr(c, F.least(F.greatest(start, F.lit(0)), F.lit((1 << 31) - 2)) + 1, F.greatest(n, F.lit(0)))
 
 
 def replace(c: Column, old: Column, new: Column) -> Column:

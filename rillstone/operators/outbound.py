@@ -115,15 +115,19 @@ def merge_changes(changes: DataFrame, target: str) -> DataFrame:
     """One change a target and merge key, the newest (greatest seq). changes: target, attr, many, op, value, reference,
     seq, drift.
 
-    A change of a whole attribute (replace, remove_all) supersedes what came before it for that attribute; current
-    evaluation goes before drift correction whatever its age.
+    A change of a whole attribute (replace, remove_all) supersedes what came before it for that attribute. Current
+    evaluation goes before drift correction whatever its age, so a whole change by drift supersedes drift's alone, and a
+    current one all of drift's.
     """
     keyed = changes.withColumn("_k", merge_key(F.col("many")))
     row = F.struct(*[c for c in changes.columns if c != target])
     best = keyed.groupBy(target, "_k").agg(F.max_by(row, F.struct(~F.col("drift"), "seq")).alias("r")).select(target, "_k", "r.*")
-    whole = changes.filter(F.col("op").isin("replace", "remove_all")).groupBy(target, "attr").agg(F.max("seq").alias("_from"))
-    best = best.join(whole, [target, "attr"], "left").filter("_from is null or seq >= _from")
-    return best.select(*changes.columns)
+    last = lambda of: F.max(F.when(of, F.col("seq")))
+    whole = changes.filter(F.col("op").isin("replace", "remove_all")).groupBy(target, "attr").agg(last(~F.col("drift")).alias("_current"), last(F.col("drift")).alias("_drift"))
+    best = best.join(whole, [target, "attr"], "left")
+    behind = lambda c: F.coalesce(F.col("seq") < F.col(c), F.lit(False))
+    gone = F.when(F.col("drift"), F.col("_current").isNotNull() | behind("_drift")).otherwise(behind("_current"))
+    return best.filter(~gone).select(*changes.columns)
 
 
 def cancelled_pairs(pending: DataFrame, by: str) -> DataFrame:

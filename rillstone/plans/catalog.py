@@ -525,13 +525,20 @@ def no_net_change(spark, d):
     return outbound.without_no_ops(changes.withColumn("op", F.lit("update")), held, "c_custkey")[1]
 
 
-@query_for("""SELECT user_id, event_type AS attr, max(event_id) AS seq FROM events GROUP BY 1, 2""")
+@query_for("""WITH c AS (SELECT user_id, event_type AS attr, event_type < 'm' AS many, event_id AS seq, event_id % 4 = 0 AS drift, CASE WHEN event_id % 3 > 0 THEN 'v' || event_id % 3 END AS value, CASE WHEN event_id % 10 = 0 THEN 'r' || event_id % 20 END AS reference,
+        CASE WHEN event_id % 11 = 0 THEN 'replace' WHEN event_id % 13 = 0 THEN 'remove_all' WHEN event_type >= 'm' THEN 'update' WHEN event_id % 2 = 0 THEN 'add' ELSE 'remove' END AS op FROM events),
+    best AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY user_id, attr, CASE WHEN many THEN coalesce(reference, value, '') END ORDER BY drift, seq DESC) = 1)
+    SELECT user_id, attr, op, coalesce(reference, value, '') AS value, seq, drift FROM best b WHERE NOT EXISTS (SELECT 1 FROM c w WHERE w.user_id = b.user_id AND w.attr = b.attr AND w.op IN ('replace', 'remove_all')
+        AND ((NOT w.drift AND (b.drift OR w.seq > b.seq)) OR (w.drift AND b.drift AND w.seq > b.seq)))""")
 def change_merge(spark, d):
-    none = F.lit(None).cast("string")
+    """Single values and lists, with references, by current evaluation and by drift, among them whole replacements."""
+    i, many = F.col("event_id"), F.col("event_type") < "m"
+    op = F.when(i % 11 == 0, "replace").when(i % 13 == 0, "remove_all").when(~many, "update").when(i % 2 == 0, "add").otherwise("remove")
     c = table(spark, d, "events").select(
-        "user_id", F.col("event_type").alias("attr"), F.lit(False).alias("many"), F.lit("update").alias("op"), F.col("props").alias("value"), none.alias("reference"), F.col("event_id").alias("seq"), F.lit(False).alias("drift")
+        "user_id", F.col("event_type").alias("attr"), many.alias("many"), op.alias("op"), F.when(i % 3 > 0, F.concat(F.lit("v"), i % 3)).alias("value"),
+        F.when(i % 10 == 0, F.concat(F.lit("r"), i % 20)).alias("reference"), i.alias("seq"), (i % 4 == 0).alias("drift"),
     )
-    return outbound.merge_changes(c, "user_id").select("user_id", "attr", "seq")
+    return outbound.merge_changes(c, "user_id").select("user_id", "attr", "op", F.coalesce("reference", "value", F.lit("")).alias("value"), "seq", "drift")
 
 
 @query_for("""WITH p AS (SELECT event_id, user_id, CASE event_id % 3 WHEN 0 THEN 'create' WHEN 1 THEN 'update' ELSE 'delete' END AS change, CASE WHEN event_id % 4 = 0 THEN 'exported' ELSE 'pending' END AS status FROM events),
@@ -710,6 +717,18 @@ def full_state_export(spark, d):
     return files.merged_state(a.select("c_custkey", "c_name", "c_mktsegment"), changes, "c_custkey").select("c_custkey", "c_name", "c_mktsegment")
 
 
+@query_for("""SELECT c_custkey, c_name AS name, CASE WHEN c_custkey % 7 > 0 THEN c_mktsegment END AS segment, array_to_string(list_sort(list_distinct(['t' || c_custkey % 3, 't' || c_custkey % 5])), ',') AS tags FROM customer""")
+def cleared_state_export(spark, d):
+    """A file of full state brought to the merged rows by their delta: new objects, values cleared, lists changed."""
+    k = F.col("c_custkey")
+    want = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name"), F.when(k % 7 > 0, F.col("c_mktsegment")).alias("segment"), F.array_distinct(F.array(F.concat(F.lit("t"), k % 3), F.concat(F.lit("t"), k % 5))).alias("tags"))
+    have = target_rows(spark, d).select("c_custkey", "name", "segment", F.array(F.concat(F.lit("t"), k % 2)).alias("tags"))
+    attributes = [Attribute("name"), Attribute("segment"), Attribute("tags", many=True)]
+    delta = outbound.outbound_delta(want, have, "c_custkey", [outbound.ExportMapping(a.name, a, a.many) for a in attributes])
+    after = files.merged_state(have, files.as_state_changes(delta, have, "c_custkey", attributes), "c_custkey")
+    return after.select("c_custkey", "name", "segment", F.array_join(F.array_sort("tags"), ",").alias("tags"))
+
+
 # --- statistics -------------------------------------------------------------------------------------------------
 
 

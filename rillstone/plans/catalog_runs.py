@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rillstone.functions.expressions import attributes_of, coerced, compile_expression
 from rillstone.operators import match
 from rillstone.plans import pipeline
 from rillstone.plans.catalog import NOW, QUERIES, SQL, query_for, table
@@ -46,3 +47,23 @@ def twins_in_run(spark, d):
     owner = found.filter("outcome = 'none'").select("entity", F.concat_ws(":", "rule", "external_id").alias("target"))
     owner = owner.union(known.select("entity", F.concat(F.lit("part "), "entity")))
     return found.join(owner, "entity", "left").select("rule", "external_id", "outcome", "target")
+
+
+# --- expressions ------------------------------------------------------------------------------------------------
+
+
+@query_for("""SELECT p_partkey, CASE WHEN p_partkey < 2 THEN p_partkey * 4611686018427387904 END AS big, CASE WHEN p_partkey >= 2 THEN 'out of range' END AS big_error,
+    trunc(1000.0 / nullif(p_size - 10, 0))::INT AS share, CASE WHEN p_size = 10 THEN 'division by zero' END AS share_error,
+    9007199254740993 + p_partkey AS exact, CASE WHEN p_size = 10 THEN 0 ELSE 100 % (p_size - 10) END AS lazy, '' AS tail,
+    CASE WHEN p_partkey * 2000000 <= 2147483647 THEN (p_partkey * 2000000)::INT END AS narrow, CASE WHEN p_partkey * 2000000 > 2147483647 THEN 'out of range for NUMBER' END AS narrow_error FROM part""")
+def expr_errors(spark, d):
+    """What can't be computed is an error of its row, with the reason, and stops nothing; whole numbers divide exactly."""
+    known = attributes_of({"p_partkey": Kind.LONG, "p_size": Kind.NUMBER, "p_name": Kind.TEXT})
+    make = lambda text: compile_expression(text, cs=known)
+    big, share, exact = make('cs["p_partkey"] * 4611686018427387904'), make('1000 / (cs["p_size"] - 10)'), make('(9007199254740993 + cs["p_partkey"]) / 1')
+    lazy, tail = make('cs["p_size"] == 10 ? 0 : 100 % (cs["p_size"] - 10)'), make('Substring(cs["p_name"], 2147483647, 2147483647)')
+    narrow, error = coerced(make('cs["p_partkey"] * 2000000'), Kind.NUMBER)
+    return table(spark, d, "part").select(
+        "p_partkey", big.column.alias("big"), big.errors.alias("big_error"), share.column.alias("share"), share.errors.alias("share_error"), exact.column.alias("exact"),
+        lazy.column.alias("lazy"), tail.column.alias("tail"), narrow.alias("narrow"), error.alias("narrow_error"),
+    )

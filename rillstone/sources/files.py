@@ -108,25 +108,69 @@ def infer(df: DataFrame) -> list[Attribute]:
 
 def write_full_state(existing: DataFrame | None, changes: DataFrame, key: str, path: str, delimiter: str = "|", separator: str = ",") -> None:
     """Rewrite a file of full state: `merged_state` of what it holds and the changes, lists joined, header columns of both."""
-    merged = changes.filter("change <> 'delete'").drop("change") if existing is None else merged_state(existing, changes, key)
+    merged = changes.filter("change <> 'delete'").drop("change", "changed") if existing is None else merged_state(existing, changes, key)
     flat = [F.array_join(c, delimiter).alias(c) if k.startswith("array") else F.col(c).cast("string") for c, k in merged.dtypes]
     merged.select(*flat).write.mode("overwrite").csv(path, header=True, sep=separator)
 
 
 def merged_state(existing: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """existing after changes (key, change, columns): creates and updates by key, where an update's null keeps what was
-    there, and deletes. Columns of both."""
+    """existing after changes (key, change, columns): creates and updates by key, and deletes. Columns of both.
+
+    With a column `changed`, a list of columns, an update sets these, to null too, and no others. Without it an update's
+    null keeps what was there.
+    """
     a = existing.select(F.col(key), F.struct(*existing.columns).alias("a"))
     b = changes.select(F.col(key), F.struct(*changes.columns).alias("b"))
-    names = [*existing.columns, *(c for c in changes.columns if c not in existing.columns and c != "change")]
+    marked = "changed" in changes.columns
+    names = [*existing.columns, *(c for c in changes.columns if c not in existing.columns and c not in ("change", "changed"))]
     both = a.join(b, key, "full").filter("b is null or b.change <> 'delete'")
     cols = []
     for n in names:
         own = [F.col(f"{s}.{n}") for s, f in (("b", changes), ("a", existing)) if n in f.columns]
-        cols.append((F.col(key) if n == key else functools.reduce(lambda x, y: F.coalesce(x, y), own)).alias(n))
+        if n == key:
+            value = F.col(key)
+        elif marked and len(own) == 2:
+            value = F.when(F.col("a").isNull() | F.array_contains("b.changed", n), own[0]).otherwise(own[1])
+        else:
+            value = functools.reduce(lambda x, y: F.coalesce(x, y), own)
+        cols.append(value.alias(n))
     return both.select(*cols)
 
 
+def as_state_changes(delta: DataFrame, existing: DataFrame, key: str, attributes: list[Attribute]) -> DataFrame:
+    """An outbound delta (key, change, attr, op, value) as `merged_state` takes it: a row an object, with `changed`.
+
+    A value is set, or cleared by null; a list gets what is added and loses what is removed. Errors and deletes of single
+    values change nothing; an object whose change is a delete goes.
+    """
+    cols = []
+    for a in attributes:
+        own = F.col("attr") == a.name
+        if a.many:
+            picked = lambda op, own=own: F.collect_set(F.when(own & (F.col("op") == op), F.col("value")))
+            all_gone = F.bool_or(own & (F.col("op") == "remove_all"))
+            cols += [picked("add").alias(f"+{a.name}"), picked("remove").alias(f"-{a.name}"), F.coalesce(all_gone, F.lit(False)).alias(f"0{a.name}")]
+        else:
+            cols.append(F.max(F.when(own & (F.col("op") == "update"), F.struct(F.lit(1), F.col("value").alias("v")))).alias(f"={a.name}"))
+    change = F.max_by("change", F.when(F.col("change") == "delete", 2).when(F.col("change") == "create", 1).otherwise(0)).alias("change")
+    rows = delta.filter("op is null or op <> 'error'").groupBy(key).agg(change, *cols)
+    held = existing.select(key, *(F.col(a.name).alias(f"@{a.name}") for a in attributes if a.many and a.name in existing.columns))
+    rows = rows.join(held, key, "left")
+    out, marks = [], []
+    for a in attributes:
+        if a.many:
+            none = F.array().cast("array<string>")
+            had = F.coalesce(F.col(f"`@{a.name}`"), none) if a.name in existing.columns else none
+            after = F.array_except(F.when(F.col(f"`0{a.name}`"), none).otherwise(had), F.col(f"`-{a.name}`"))
+            out.append(F.array_sort(F.array_union(after, F.col(f"`+{a.name}`"))).alias(a.name))
+            moved = F.col(f"`0{a.name}`") | (F.size(F.col(f"`+{a.name}`")) > 0) | (F.size(F.col(f"`-{a.name}`")) > 0)
+        else:
+            out.append(F.col(f"`={a.name}`")["v"].alias(a.name))
+            moved = F.col(f"`={a.name}`").isNotNull()
+        marks.append(F.when(moved, F.lit(a.name)))
+    return rows.select(key, "change", F.array_compact(F.array(*marks)).alias("changed"), *out)
+
+
 def upsert(stored: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """stored with new's rows in the place of those with equal keys."""
     return stored.join(new.select(*key), key, "left_anti").unionByName(new)
