@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillstone.functions.expressions import attributes_of, coerced, compile_expression
-from rillstone.operators import match
+from rillstone.operators import match, outbound
 from rillstone.plans import pipeline
-from rillstone.plans.catalog import NOW, QUERIES, SQL, query_for, table
+from rillstone.plans.catalog import CHANGED, CUSTOMER, MAPPINGS, NOW, QUERIES, SQL, query_for, snapshots, table, target_rows
 from rillstone.schema import Attribute, Kind, ObjectType
+from rillstone.session import scratch
+from rillstone.sources import staging
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -67,3 +69,57 @@ def expr_errors(spark, d):
         "p_partkey", big.column.alias("big"), big.errors.alias("big_error"), share.column.alias("share"), share.errors.alias("share_error"), exact.column.alias("exact"),
         lazy.column.alias("lazy"), tail.column.alias("tail"), narrow.alias("narrow"), error.alias("narrow_error"),
     )
+
+
+# --- staged tables ----------------------------------------------------------------------------------------------
+
+
+def staged_customers(spark, d, buckets: int = 16) -> staging.Staging:
+    """Customers as a bucketed table of their own, with the ids that they are staged under."""
+    at, rows = scratch(spark), snapshots(spark, d)[0].withColumn("id", F.col("c_custkey") * 10)
+    return staging.stage(rows, f"staged_{at[-32:]}", f"{at}/staged", ["c_custkey"], buckets)
+
+
+@query_for(f"""WITH {CHANGED} SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, a.c_custkey * 10 AS staged_id, CASE WHEN a.c_custkey IS NULL THEN 'add' WHEN b.c_custkey IS NULL THEN 'delete'
+    WHEN a.c_nationkey <> b.c_nationkey OR a.c_mktsegment <> b.c_mktsegment THEN 'update' ELSE 'none' END AS change FROM a FULL JOIN b ON a.c_custkey = b.c_custkey""")
+def staged_import(spark, d):
+    """Matches, changes and deletions of an import over a bucketed table."""
+    s = staged_customers(spark, d)
+    run = staging.imported(spark, s, snapshots(spark, d)[1], list(CUSTOMER.attributes[1:]), "id")
+    gone = run.changes.filter("change = 'delete'").join(s.frame(spark).select("c_custkey", F.col("id").alias("staged_id")), "c_custkey")
+    came = run.changes.filter("change <> 'delete'").join(run.matched.select("c_custkey", "staged_id"), "c_custkey")
+    return came.unionByName(gone).select("c_custkey", "staged_id", "change")
+
+
+@query_for(f"""WITH {CHANGED}, f AS (SELECT b.*, a.c_custkey * 10 AS id FROM b LEFT JOIN a USING (c_custkey))
+    SELECT c_custkey, id, c_name, c_nationkey, CASE WHEN c_custkey % 13 = 0 THEN 'LATE' ELSE c_mktsegment END AS c_mktsegment FROM f WHERE c_custkey % 17 <> 0
+    UNION ALL SELECT c_custkey + 5000000, NULL, 'new', 1, 'NEW' FROM f WHERE c_custkey % 19 = 0""")
+def staged_generations(spark, d):
+    """A full import, then a delta with changes, deletions and new objects: the third generation of a bucketed table."""
+    s = staged_customers(spark, d)
+    attributes = list(CUSTOMER.attributes[1:])
+    full = s.following(1)
+    full.write(staging.imported(spark, s, snapshots(spark, d)[1], attributes, "id").after)
+    k, now = F.col("c_custkey"), full.frame(spark).drop("id")
+    changed = now.filter(k % 13 == 0).withColumn("c_mktsegment", F.lit("LATE")).withColumn("deleted", F.lit(False))
+    new = now.filter(k % 19 == 0).withColumns({"c_custkey": k + 5_000_000, "c_name": F.lit("new"), "c_nationkey": F.lit(1), "c_mktsegment": F.lit("NEW"), "deleted": F.lit(False)})
+    gone = now.filter(k % 17 == 0).withColumn("deleted", F.lit(True))
+    unknown = gone.withColumn("c_custkey", k + 9_000_000)
+    delta = changed.filter(k % 17 != 0).unionByName(new).unionByName(gone).unionByName(unknown)
+    last = full.following(2)
+    last.write(staging.imported(spark, full, delta, attributes, "id", full=False).after)
+    return last.frame(spark).select("c_custkey", "id", "c_name", "c_nationkey", "c_mktsegment")
+
+
+@query_for("""WITH d AS (SELECT c_custkey, 'create' AS change, attr, value FROM (SELECT c_custkey, 'name' AS attr, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'segment', c_mktsegment FROM customer UNION ALL SELECT c_custkey, 'nation', c_nationkey::VARCHAR FROM customer) WHERE c_custkey % 5 = 0
+    UNION ALL SELECT c_custkey, 'update', 'segment', c_mktsegment FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 3 = 0 AND c_mktsegment <> 'OLD'),
+    p AS (SELECT user_id, max(event_id) AS pending_id FROM events WHERE event_id % 3 = 0 GROUP BY 1)
+    SELECT d.*, pending_id FROM d LEFT JOIN p ON user_id = c_custkey""")
+def staged_outbound(spark, d):
+    """Outbound changes of all entities against a bucketed target, with what is pending for them in a bucketed queue."""
+    at = scratch(spark)
+    target = staging.stage(target_rows(spark, d), f"target_{at[-32:]}", f"{at}/target", ["c_custkey"], 16)
+    e = table(spark, d, "events").filter("event_id % 3 = 0").groupBy(F.col("user_id").alias("c_custkey")).agg(F.max("event_id").alias("pending_id"))
+    pending = staging.stage(e, f"pending_{at[-32:]}", f"{at}/pending", ["c_custkey"], 16)
+    delta = outbound.outbound_delta(table(spark, d, "customer"), target.frame(spark), "c_custkey", MAPPINGS)
+    return delta.join(pending.frame(spark), "c_custkey", "left").select("c_custkey", "change", "attr", "value", "pending_id")
