@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillstone.functions.expressions import attributes_of, coerced, compile_expression
@@ -11,6 +12,7 @@ from rillstone.plans.catalog import CHANGED, CUSTOMER, MAPPINGS, NOW, QUERIES, S
 from rillstone.schema import Attribute, Kind, ObjectType
 from rillstone.session import scratch
 from rillstone.sources import staging
+from rillstone.streaming import confirmation
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -123,3 +125,57 @@ def staged_outbound(spark, d):
     pending = staging.stage(e, f"pending_{at[-32:]}", f"{at}/pending", ["c_custkey"], 16)
     delta = outbound.outbound_delta(table(spark, d, "customer"), target.frame(spark), "c_custkey", MAPPINGS)
     return delta.join(pending.frame(spark), "c_custkey", "left").select("c_custkey", "change", "attr", "value", "pending_id")
+
+
+# --- confirmation over time -------------------------------------------------------------------------------------
+
+POLICY = confirmation.Policy(most_attempts=3, most_errors=2, base_seconds=7200, cap_seconds=86_400, keep_seconds=4 * 86_400)
+
+
+def export_events(spark, d) -> DataFrame:
+    kind = F.when(F.col("event_type") == "signup", "request").when(F.col("event_type") == "click", "sent").when(F.col("event_type") == "error", "error").otherwise("import")
+    at = F.timestamp_millis(F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")))
+    return table(spark, d, "events").select(F.col("user_id").alias("object"), F.col("event_id").alias("seq"), at.alias("at"), kind.alias("kind"), F.concat(F.lit("v"), F.col("event_id") % 3).alias("value"))
+
+
+CONFIRMED = """WITH RECURSIVE e AS (SELECT user_id AS object, event_id AS seq, epoch_us(ts) // 1000 AS ms, CASE event_type WHEN 'signup' THEN 'request' WHEN 'click' THEN 'sent' WHEN 'error' THEN 'error' ELSE 'import' END AS kind,
+        'v' || event_id % 3 AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+    r AS (SELECT object, 0::BIGINT AS k, NULL::VARCHAR AS status, NULL::VARCHAR AS expected, 0 AS attempts, 0 AS errors, false AS sent, NULL::BIGINT AS retry, NULL::BIGINT AS expires,
+            []::STRUCT(seq BIGINT, ms BIGINT, kind VARCHAR, status VARCHAR, attempts INT, errors INT)[] AS made FROM e GROUP BY object
+        UNION ALL SELECT object, k, CASE WHEN new = 'confirmed' THEN NULL ELSE coalesce(new, status) END, CASE WHEN kind = 'request' THEN value ELSE expected END, attempts, errors, sent,
+            CASE WHEN kind = 'error' AND new = 'not_confirmed' THEN ms + least(86400, 7200 * 2 ** (errors - 1))::BIGINT * 1000 WHEN new IS NULL THEN retry END,
+            CASE WHEN kind = 'request' THEN ms + 345600000 ELSE expires END,
+            CASE WHEN new IS NULL THEN made ELSE list_append(made, {'seq': seq, 'ms': ms, 'kind': kind, 'status': new, 'attempts': attempts, 'errors': errors}) END FROM (
+            SELECT * REPLACE (CASE WHEN kind = 'request' THEN 0 WHEN tried THEN attempts + 1 ELSE attempts END AS attempts, CASE WHEN kind = 'request' THEN 0 WHEN tried AND kind = 'error' THEN errors + 1 ELSE errors END AS errors,
+                    kind <> 'request' AND (sent OR (tried AND kind = 'sent')) AS sent),
+                CASE WHEN kind = 'request' THEN 'pending' WHEN looked THEN CASE WHEN value = expected THEN 'confirmed' WHEN attempts >= 3 THEN 'failed' ELSE 'not_confirmed' END
+                    WHEN tried THEN CASE WHEN kind = 'sent' THEN 'exported' WHEN errors + 1 >= 2 THEN 'failed' ELSE 'not_confirmed' END END AS new FROM (
+                SELECT *, coalesce(status <> 'failed', false) AND kind = 'import' AND sent AS looked, coalesce(status NOT IN ('failed', 'exported'), false) AND kind IN ('sent', 'error') AS tried FROM (
+                    SELECT * REPLACE (CASE WHEN status IS NOT NULL AND expires <= ms THEN NULL ELSE status END AS status,
+                        CASE WHEN status IS NOT NULL AND expires <= ms THEN list_append(made, {'seq': NULL, 'ms': expires, 'kind': 'expired', 'status': 'expired', 'attempts': attempts, 'errors': errors}) ELSE made END AS made) FROM (
+                        SELECT * REPLACE (CASE WHEN again THEN 'pending' ELSE status END AS status, CASE WHEN again THEN NULL ELSE retry END AS retry,
+                            CASE WHEN again THEN list_append(made, {'seq': NULL, 'ms': retry, 'kind': 'retry', 'status': 'pending', 'attempts': attempts, 'errors': errors}) ELSE made END AS made) FROM (
+                            SELECT r.object, e.k, r.* EXCLUDE (object, k), e.seq, e.ms, e.kind, e.value, coalesce(r.status IS NOT NULL AND r.retry <= e.ms AND r.retry < r.expires, false) AS again FROM r JOIN e ON e.object = r.object AND e.k = r.k + 1)))))),
+    z AS (SELECT r.*, coalesce(status IS NOT NULL AND retry <= w AND retry < expires, false) AS again, coalesce(status IS NOT NULL AND expires <= w, false) AS ended FROM r, (SELECT max(ms) - 3600000 AS w FROM e) QUALIFY row_number() OVER (PARTITION BY object ORDER BY k DESC) = 1),
+    x AS (SELECT object, unnest(made, recursive := true) FROM z UNION ALL SELECT object, NULL, retry, 'retry', 'pending', attempts, errors FROM z WHERE again UNION ALL SELECT object, NULL, expires, 'expired', 'expired', attempts, errors FROM z WHERE ended)
+    SELECT object, seq, ms, kind, status, attempts, errors FROM x"""
+
+
+@query_for(CONFIRMED)
+def confirmation_batch(spark, d):
+    """Transitions of change sets over time, from the whole table of events."""
+    e = export_events(spark, d)
+    top = e.agg(F.unix_millis(F.max("at")).alias("top")).first()["top"] or 0
+    return confirmation.confirmations_of(e, F.lit(top - 3_600_000), POLICY).select("object", "seq", F.unix_millis("at").alias("ms"), "kind", "status", "attempts", "errors")
+
+
+@query_for(CONFIRMED)
+def confirmation_stream(spark, d):
+    """The same by keyed state: events come in three parts, each read by a run that goes on from the last one's checkpoint."""
+    at, e = scratch(spark), export_events(spark, d)
+    third = (e.agg(F.max("seq")).first()[0] or 0) // 3 + 1
+    for n in range(3):
+        e.filter(F.floor(F.col("seq") / third) == n).write.mode("append").parquet(f"{at}/events")
+        confirmation.run_confirmations(spark, f"{at}/events", f"{at}/transitions", f"{at}/checkpoint", POLICY)
+    found = spark.read.schema(confirmation.TRANSITION).parquet(f"{at}/transitions")
+    return found.select("object", "seq", F.unix_millis("at").alias("ms"), "kind", "status", "attempts", "errors")
