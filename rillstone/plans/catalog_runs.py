@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from datetime import datetime, timedelta, timezone
+
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +16,8 @@ from rillstone.plans import pipeline
 from rillstone.plans.catalog import CHANGED, CUSTOMER, MAPPINGS, NOW, QUERIES, SQL, query_for, snapshots, table, target_rows
 from rillstone.schema import Attribute, Kind, ObjectType
 from rillstone.session import scratch
-from rillstone.sources import staging
-from rillstone.streaming import confirmation
+from rillstone.sources import rest, staging
+from rillstone.streaming import confirmation, hints
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -179,3 +184,91 @@ def confirmation_stream(spark, d):
         confirmation.run_confirmations(spark, f"{at}/events", f"{at}/transitions", f"{at}/checkpoint", POLICY)
     found = spark.read.schema(confirmation.TRANSITION).parquet(f"{at}/transitions")
     return found.select("object", "seq", F.unix_millis("at").alias("ms"), "kind", "status", "attempts", "errors")
+
+
+# --- hints, pages and requests ----------------------------------------------------------------------------------
+
+
+def rows_of(path: str, columns: list[str], lo: int, hi: int) -> list[dict]:
+    """Rows of a Parquet table whose first column lies in [lo, hi], in its order: what a transport serves."""
+    import pyarrow.dataset as ds
+
+    found = ds.dataset(path).to_table(columns=columns, filter=(ds.field(columns[0]) >= lo) & (ds.field(columns[0]) <= hi))
+    return found.sort_by(columns[0]).to_pylist()
+
+
+class EventHints:
+    """Hints of users with an event, up to a number: every seventh is lost, every fifth comes twice."""
+
+    def __init__(self, path: str, upto: int):
+        self.path, self.upto = path, upto
+
+    def latest(self) -> int:
+        return self.upto
+
+    def ids(self, first: int, last: int):
+        for r in rows_of(self.path, ["event_id", "user_id"], first - 1, last - 1):
+            n = r["event_id"] + 1
+            if n % 7:
+                yield from [(n, r["user_id"])] * (2 if n % 5 == 0 else 1)
+
+
+@query_for("""SELECT user_id, event_id AS version, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND event_type <> 'error'""")
+def hinted_rows(spark, d):
+    """Users' latest events, where an error takes a user away, followed by hints of which some get lost and some repeat."""
+    at, e = scratch(spark), table(spark, d, "events")
+    top = e.agg(F.max("event_id")).first()[0] or 0
+    looked = hints.Looked(spark, f"{at}/looked", "user_id long, version long, event_type string")
+    mark = None
+    for number, upto in enumerate((top // 2, top)):
+        last = e.filter(F.col("event_id") <= upto).groupBy("user_id").agg(F.max("event_id").alias("version"), F.max_by("event_type", "event_id").alias("event_type"))
+        now = last.filter("event_type <> 'error'")
+        stream = hints.hint_stream(spark, EventHints(f"{d}/events.parquet", upto + 1), partition_hints="2000")
+        hints.follow(stream, lambda now=now: now, "user_id", looked, f"{at}/checkpoint", number)
+        mark = hints.sweep(now, "user_id", "version", mark, looked, number)
+    return looked.state("user_id").select("user_id", "version", "event_type")
+
+
+@query_for("""SELECT 'customers' AS kind, c_custkey::VARCHAR AS id, c_name AS name, c_nationkey AS nation FROM customer WHERE c_custkey > 500""")
+def paged_customers(spark, d):
+    """Customers from a paged service, several ranges of pages side by side, with the filter in the requests."""
+    keys = table(spark, d, "customer").agg(F.min("c_custkey").alias("lo"), F.max("c_custkey").alias("hi"), F.count("*").alias("n")).first()
+    path, lo, hi = f"{d}/customer.parquet", keys["lo"] or 0, keys["hi"] or 0
+
+    def time(key: int) -> str:
+        return (SERVED_FROM + timedelta(seconds=key)).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+    def fetch(kind: str, q: dict) -> dict:
+        since = datetime.strptime(q["filter"].split('"')[1], "%Y-%m-%dT%H:%M:%SZ") if "filter" in q else SERVED_FROM
+        first = max(lo, int((since - SERVED_FROM).total_seconds())) + int(q["startIndex"]) - 1  # keys leave none out
+        rows = rows_of(path, ["c_custkey", "c_name", "c_nationkey"], first, first + int(q["count"]) - 1)
+        served = [{"id": r["c_custkey"], "name": r["c_name"], "nation": r["c_nationkey"], "meta": {"lastModified": time(r["c_custkey"])}} for r in rows]
+        return {"rows": served, "total": max(0, hi - max(lo, int((since - SERVED_FROM).total_seconds())) + 1)}
+
+    form = rest.paged_source(spark, fetch=fetch)
+    rows = spark.read.format(form).schema("kind string, id string, last_modified timestamp, name string, nation int")
+    rows = rows.options(kinds="customers,groups", count="250", partition_rows="500", supports_filter="true").load()
+    late = F.lit((SERVED_FROM + timedelta(seconds=500)).replace(tzinfo=timezone.utc))
+    return rows.filter((F.col("kind") == "customers") & (F.col("last_modified") > late)).select("kind", "id", "name", "nation")
+
+
+SERVED_FROM = datetime(2024, 1, 1)
+
+
+@query_for("""SELECT 'orders' AS kind, o_orderkey::VARCHAR AS id, o_orderpriority || ' ' || o_orderstatus AS body FROM orders WHERE o_orderkey % 50 <> 0""")
+def sent_requests(spark, d):
+    """What a service gets from two runs of one name, of which the second finds all of it sent: operations once each."""
+    at = scratch(spark)
+    box = f"{at}/box"
+
+    def send(key: str, operations: list) -> None:
+        system, path = fs.FileSystem.from_uri(box)
+        system.create_dir(path)
+        with system.open_output_stream(f"{path}/{uuid.uuid4().hex}.json") as f:
+            f.write("".join(json.dumps({"key": key, "kind": k, "id": i, "body": b}) + "\n" for k, i, b in operations).encode())
+
+    form = rest.paged_source(spark, send=send)
+    o = table(spark, d, "orders").select(F.lit("orders").alias("kind"), F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderkey") % 50 == 0, F.repeat(F.lit("too large "), 500)).otherwise(F.concat_ws(" ", "o_orderpriority", "o_orderstatus")).alias("body"))
+    for _ in range(2):
+        rest.send_all(o, form, "orders", f"{at}/ledger", 8, max_operations="200", max_bytes="4000")
+    return spark.read.schema("kind string, id string, body string").json(box)
