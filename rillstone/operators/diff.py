@@ -99,15 +99,29 @@ def single(values: Column) -> tuple[Column, Column]:
     return F.when(F.size(distinct) == 1, distinct[0]), F.coalesce(F.size(distinct) > 1, F.lit(False))
 
 
-def settings_diff(old: dict, new: dict) -> list[tuple[str, object, object]]:
-    """(path, old, new) of two configuration trees; they are small and stay on the driver."""
-
-    def flat(x: object, path: str = "") -> dict[str, object]:
-        if isinstance(x, dict):
-            return {k: v for n, y in x.items() for k, v in flat(y, f"{path}/{n}").items()}
-        if isinstance(x, list | tuple):
-            return {k: v for n, y in enumerate(x) for k, v in flat(y, f"{path}/{n}").items()}
-        return {path: x}
-
-    a, b = flat(old), flat(new)
-    return [(k, a.get(k), b.get(k)) for k in sorted({*a, *b}) if a.get(k) != b.get(k)]
+def flattened(versions: DataFrame, by: list[str], json: str) -> DataFrame:
+    """by, path, value (JSON): a row for each value of a tree that is no object or list with something in it.
+
+    Trees are read as variants, level by level in one recursive query; a path has the names and places on the way, each
+    after a slash. A text that is no JSON has no rows. No tree may be deeper than Spark's limit for levels.
+    """
+    keys = ", ".join(f"`{k}`" for k in by)
+    walk = f"""
+        WITH RECURSIVE tree AS (
+            SELECT {keys}, '' AS path, v FROM {{trees}}
+            UNION ALL
+            SELECT {", ".join(f"t.`{k}`" for k in by)}, concat(t.path, '/', coalesce(x.key, cast(x.pos AS string))), x.value
+            FROM tree t, LATERAL variant_explode(t.v) x)
+        SELECT {keys}, path, to_json(v) AS value FROM tree
+        WHERE schema_of_variant(v) NOT LIKE 'OBJECT<_%>' AND (schema_of_variant(v) NOT LIKE 'ARRAY<%' OR to_json(v) = '[]')"""
+    trees = versions.select(*by, F.try_parse_json(json).alias("v")).filter("v is not null")
+    return versions.sparkSession.sql(walk, trees=trees)
+
+
+def settings_changes(old: DataFrame, new: DataFrame, by: list[str], json: str) -> DataFrame:
+    """by, path, change (added, removed, changed), old, new: how configuration trees differ, one full outer join."""
+    a = flattened(old, by, json).withColumnRenamed("value", "old")
+    b = flattened(new, by, json).withColumnRenamed("value", "new")
+    both = a.join(b, [*by, "path"], "full").filter(~F.col("old").eqNullSafe(F.col("new")))
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed")
+    return both.select(*by, "path", change.alias("change"), "old", "new")

@@ -8,6 +8,9 @@ import operator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillstone.operators.recall import settings
+from rillstone.session import scratch, stored
+
 
 def conditional_counts(df: DataFrame, by: list[str], measures: dict[str, Column]) -> DataFrame:
     """One pass: each measure counts the rows where its condition holds."""
@@ -117,19 +120,21 @@ def throughput(n: Column, seconds: Column, remaining: Column) -> tuple[Column, C
 
 
 def causal_chain(edges: DataFrame, effects: DataFrame, depth: int = 20) -> DataFrame:
-    """(start, node, steps): causes of effects along edges (effect, cause); stops when none is new.
+    """(start, node, steps): causes of effects along edges (effect, cause), by the fewest steps; a table.
 
-    More than `depth` steps are an error, not a shorter chain. Each front is a checkpoint where the session has a folder
-    for them, so that lineage doesn't grow with the steps, and is let go once the next one stands.
+    One recursive query: a level's nodes are told apart before the next, so that paths that meet go on as one, and cycles
+    end with the depth. A node that takes more than `depth` steps is an error, not a shorter chain.
     """
-    keep = (lambda df: df.checkpoint()) if effects.sparkSession.sparkContext.getCheckpointDir() else (lambda df: df)
-    found = effects.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("steps"))
-    front = found
-    for step in range(1, depth + 2):
-        front = front.join(edges.select(F.col("effect").alias("node"), "cause"), "node").select("start", F.col("cause").alias("node"), F.lit(step).alias("steps"))
-        front = front.distinct().join(found.select("start", "node"), ["start", "node"], "left_anti").select("start", "node", "steps")
-        front = keep(front)
-        if front.isEmpty():
-            return found
-        found = found.union(front)
-    raise ValueError(f"a chain has more than {depth} steps")
+    spark = effects.sparkSession
+    walk = """
+        WITH RECURSIVE chain(start, node, steps) AS (
+            SELECT id, id, 0 FROM (SELECT DISTINCT id FROM {effects} WHERE id IS NOT NULL)
+            UNION ALL
+            SELECT DISTINCT c.start, e.cause, c.steps + 1 FROM chain c JOIN {edges} e ON e.effect = c.node
+            WHERE c.steps <= {depth} AND e.cause IS NOT NULL)
+        SELECT start, node, min(steps) AS steps FROM chain GROUP BY start, node"""
+    with settings(spark, spark__sql__cteRecursionLevelLimit=str(depth + 3), spark__sql__cteRecursionRowLimit="-1"):
+        found = stored(spark.sql(walk, edges=edges.select("effect", "cause"), effects=effects.select("id"), depth=depth), scratch(spark), "chain")
+    if not found.filter(F.col("steps") > depth).isEmpty():
+        raise ValueError(f"a chain has more than {depth} steps")
+    return found

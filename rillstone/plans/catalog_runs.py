@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillstone.functions.expressions import attributes_of, coerced, compile_expression
-from rillstone.operators import match, outbound
+from rillstone.operators import diff, match, outbound, page_index, recall, summarise, ticks
+from rillstone.operators.criteria import Criterion, Group, Relative
 from rillstone.plans import pipeline
-from rillstone.plans.catalog import CHANGED, CUSTOMER, MAPPINGS, NOW, QUERIES, SQL, query_for, snapshots, table, target_rows
+from rillstone.plans.catalog import CHANGED, CUSTOMER, MAPPINGS, NOW, ORDER, QUERIES, SQL, query_for, snapshots, table, target_rows
 from rillstone.schema import Attribute, Kind, ObjectType
 from rillstone.session import scratch
 from rillstone.sources import rest, staging
@@ -272,3 +273,86 @@ def sent_requests(spark, d):
     for _ in range(2):
         rest.send_all(o, form, "orders", f"{at}/ledger", 8, max_operations="200", max_bytes="4000")
     return spark.read.schema("kind string, id string, body string").json(box)
+
+
+# --- pages of a stored order, ticks, recalls, chains, settings --------------------------------------------------
+
+
+def line_index(spark, d, keys) -> page_index.PageIndex:
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.max("l_extendedprice").alias("price"))
+    return page_index.build(rows, keys, f"{scratch(spark)}/index", 10_000)
+
+
+LINES = "(SELECT l_orderkey, l_linenumber, count(*) AS n, max(l_extendedprice) AS price FROM lineitem GROUP BY 1, 2)"
+
+
+@query_for(f"""SELECT * FROM {LINES} ORDER BY price DESC, l_orderkey, l_linenumber LIMIT 50 OFFSET (SELECT count(*) * 9 // 10 FROM {LINES})""")
+def deep_range_page(spark, d):
+    """A page nine tenths down an order of all lines, from the parts it lies in."""
+    index = line_index(spark, d, [("price", True), ("l_orderkey", False), ("l_linenumber", False)])
+    return index.range(spark, index.total(spark) * 9 // 10, 50)
+
+
+@query_for(f"""SELECT * FROM {LINES} WHERE l_orderkey > (SELECT max(l_orderkey) * 3 // 4 FROM lineitem) ORDER BY l_orderkey, l_linenumber LIMIT 500""")
+def deep_keyset_page(spark, d):
+    """The lines after a key three quarters down, from the parts they lie in."""
+    index = line_index(spark, d, [("l_orderkey", False), ("l_linenumber", False)])
+    last = table(spark, d, "lineitem").agg(F.max("l_orderkey")).first()[0] * 3 // 4
+    return index.after(spark, (last, 1 << 30), 500)
+
+
+@query_for("""WITH w(rule, lo, hi) AS (VALUES (1, TIMESTAMP '1997-10-21', TIMESTAMP '1997-12-01'), (2, TIMESTAMP '1997-11-07', TIMESTAMP '1997-12-18'), (2, TIMESTAMP '1994-11-21', TIMESTAMP '1995-01-01'), (3, TIMESTAMP '1997-11-18 08:00:00', TIMESTAMP '1997-12-29 12:30:00')),
+    c AS (SELECT DISTINCT rule, o_orderkey, o_orderdate, o_orderstatus FROM orders JOIN w ON o_orderdate > lo AND o_orderdate <= hi)
+    SELECT rule, o_orderkey AS key, s AS in_scope FROM (SELECT *, CASE rule WHEN 1 THEN o_orderdate <= TIMESTAMP '1997-12-01' WHEN 2 THEN o_orderdate <= TIMESTAMP '1997-12-18' AND o_orderdate > TIMESTAMP '1995-01-01' ELSE o_orderdate > TIMESTAMP '1997-12-29 12:30:00' END AS s FROM c) WHERE s <> (o_orderstatus = 'F')""")
+def tick_drift(spark, d):
+    """Orders whose scope a tick finds changed, from the days of its windows."""
+    at = scratch(spark)
+    rules = {
+        1: (Group((Criterion("o_orderdate", "le", Relative(-1, "months")),)),),
+        2: (Group((Criterion("o_orderdate", "le", Relative(-2, "weeks")), Criterion("o_orderdate", "gt", Relative(-3, "years")))),),
+        3: (Group((Criterion("o_orderdate", "gt", Relative(-72, "hours")),)),),
+    }
+    orders = table(spark, d, "orders")
+    ticks.write_values(orders, ORDER, ["o_orderdate"], f"{at}/values")
+    passed = ticks.windows(spark, rules, ORDER, datetime(1997, 11, 21, 8), NOW, at)
+    found = ticks.candidates(spark.read.parquet(f"{at}/values"), passed)
+    return ticks.drifted(orders.withColumn("_on", F.col("o_orderstatus") == "F"), ORDER, found, rules, "_on", NOW)
+
+
+@query_for("""SELECT o_orderkey AS owner, o_custkey AS ref, o_orderkey % 2 = 0 AS held FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""")
+def bloom_recall(spark, d):
+    """Orders' references to customers that a run deletes, filtered where they are read."""
+    refs = table(spark, d, "orders").select(F.col("o_orderkey").alias("owner"), F.lit("customer").alias("attr"), F.col("o_custkey").alias("ref"))
+    changes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") < 0, "delete").otherwise("none").alias("change"))
+    return recall.recalled(changes, refs, refs.filter("owner % 2 = 0"), scratch(spark)).select("owner", "ref", "held")
+
+
+@query_for("""WITH RECURSIVE e AS (SELECT o_orderkey AS effect, o_orderkey // 2 AS cause FROM orders UNION ALL SELECT o_orderkey, o_orderkey // 5 FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT 1, 3),
+    t AS (SELECT o_orderkey AS start, o_orderkey AS node, 0 AS steps FROM orders WHERE o_orderstatus = 'P' UNION SELECT start, cause, steps + 1 FROM t JOIN e ON effect = node WHERE steps <= 40)
+    SELECT start, node, min(steps)::INT AS steps FROM t GROUP BY 1, 2""")
+def causal_chain(spark, d):
+    """What led to every open order, along two kinds of causes and a cycle."""
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    edges = o.select(k.alias("effect"), F.floor(k / 2).alias("cause")).union(o.filter(k % 5 == 0).select(k, F.floor(k / 5))).union(spark.range(1, 2).select("id", F.lit(3).cast("long")))
+    return summarise.causal_chain(edges, o.filter("o_orderstatus = 'P'").select(k.alias("id")), 40)
+
+
+def settings_of(spark, d, last: bool) -> DataFrame:
+    e = table(spark, d, "events")
+    pick = F.max_by if last else F.min_by
+    tree = F.concat(
+        F.lit('{"event": {"type": "'), "event_type", F.lit('", "id": '), F.col("event_id") % 7, F.lit('}, "props": '), "props", F.lit(', "list": ['), F.col("event_id") % 3, F.lit(", {"),
+        F.when(F.col("event_id") % 2 == 0, F.lit('"even": true')).otherwise(F.lit("")), F.lit("}]"), F.when(F.col("event_id") % 4 == 0, F.lit(', "extra": null')).otherwise(F.lit("")), F.lit("}"),
+    )
+    return e.groupBy("user_id").agg(pick(tree, "event_id").alias("tree"))
+
+
+@query_for("""WITH j AS (SELECT user_id, event_id, '{"event": {"type": "' || event_type || '", "id": ' || event_id % 7 || '}, "props": ' || props || ', "list": [' || event_id % 3 || ', {' || CASE WHEN event_id % 2 = 0 THEN '"even": true' ELSE '' END || '}]' || CASE WHEN event_id % 4 = 0 THEN ', "extra": null' ELSE '' END || '}' AS tree FROM events),
+    v AS (SELECT user_id, arg_min(tree, event_id) AS a, arg_max(tree, event_id) AS b FROM j GROUP BY 1),
+    x AS (SELECT user_id, s, replace(replace(replace(replace(fullkey, '$', ''), '.', '/'), '[', '/'), ']', '') AS path, t.value::VARCHAR AS value FROM (SELECT user_id, 'a' AS s, a::JSON AS t FROM v UNION ALL SELECT user_id, 'b', b::JSON FROM v) w, json_tree(w.t) t WHERE t.type NOT IN ('OBJECT', 'ARRAY') OR t.value::VARCHAR IN ('{}', '[]'))
+    SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.path, b.path) AS path, CASE WHEN a.value IS NULL THEN 'added' WHEN b.value IS NULL THEN 'removed' ELSE 'changed' END AS change, a.value AS old, b.value AS new
+    FROM (SELECT * FROM x WHERE s = 'a') a FULL JOIN (SELECT * FROM x WHERE s = 'b') b ON a.user_id = b.user_id AND a.path = b.path WHERE a.value IS DISTINCT FROM b.value""")
+def settings_changes(spark, d):
+    """How the trees of users' first and last events differ, path by path."""
+    return diff.settings_changes(settings_of(spark, d, False), settings_of(spark, d, True), ["user_id"], "tree")
