@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -135,3 +136,38 @@ def next_steps(tasks: DataFrame, run: str, step: str, done: str) -> DataFrame:
     open_ = tasks.filter(~F.col(done))
     least = open_.groupBy(run).agg(F.min(step).alias("_least"))
     return open_.join(least, run).filter(F.col(step) == F.col("_least")).drop("_least")
+
+
+def last_full_syncs(activities: DataFrame) -> DataFrame:
+    """system, started: the start of each system's latest full synchronisation that completed; none for one that has none.
+
+    activities: system, kind, status, started. Runs that failed or were cancelled say nothing.
+    """
+    done = activities.filter("kind = 'full synchronisation' and status = 'complete'")
+    return done.groupBy("system").agg(F.max("started").alias("started"))
+
+
+#: Worst last.
+OUTCOMES = ("complete", "complete with warning", "in progress", "complete with error", "failed", "cancelled")
+
+
+def step_outcomes(activities: DataFrame) -> DataFrame:
+    """execution, step, outcome, runs: how each step of a schedule's execution went: as its worst run did.
+
+    activities: execution, step, status. A status that isn't known counts as worse than all.
+    """
+    place = functools.reduce(lambda c, x: c.when(F.col("status") == x[1], F.lit(x[0])), enumerate(OUTCOMES), F).otherwise(F.lit(len(OUTCOMES)))
+    steps = activities.groupBy("execution", "step").agg(F.max_by("status", place).alias("outcome"), F.count("*").alias("runs"))
+    return steps.select("execution", "step", "outcome", "runs")
+
+
+def add_failed_logins(held: DataFrame, failures: DataFrame, window_seconds: int = 3600) -> DataFrame:
+    """held (prefix, address, reason, window_start, attempts, last_seen) after more failures (prefix, address, reason, at).
+
+    A row counts the failures of one kind in one window of time; missing prefixes and addresses count as empty, so that
+    they meet.
+    """
+    start = F.timestamp_seconds(F.floor(F.unix_seconds("at") / window_seconds) * window_seconds)
+    new = failures.select(F.coalesce("prefix", F.lit("")).alias("prefix"), F.coalesce("address", F.lit("")).alias("address"), "reason", start.alias("window_start"), F.lit(1).cast("long").alias("attempts"), F.col("at").alias("last_seen"))
+    rows = held.unionByName(new)
+    return rows.groupBy("prefix", "address", "reason", "window_start").agg(F.sum("attempts").alias("attempts"), F.max("last_seen").alias("last_seen"))

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillstone.operators.diff import as_set
+from rillstone.operators.skew import numbered
 from rillstone.schema import Attribute, Write, as_text
 
 
@@ -153,9 +154,10 @@ def drift(expected: DataFrame, actual: DataFrame, contributors: DataFrame, key:
 
 
 def chunked(changes: DataFrame, by: list[str], value: str, most: int = 1000) -> DataFrame:
-    """by, chunk, values: the distinct values of a modification in chunks of at most `most`."""
-    w = Window.partitionBy(*by).orderBy(value)
-    rows = changes.select(*by, value).distinct().withColumn("_n", F.row_number().over(w))
+    """by, chunk, values: the distinct values of a modification in chunks of at most `most`.
+
+    A modification of very many values is numbered in several tasks; only a chunk is one row."""
+    rows = numbered(changes.select(*by, value).distinct(), by, [value])
     rows = rows.withColumn("chunk", F.floor((F.col("_n") - 1) / most).cast("int"))
     return rows.groupBy(*by, "chunk").agg(F.sort_array(F.collect_list(value)).alias("values"))
 

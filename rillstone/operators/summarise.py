@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import operator
+import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,6 +65,21 @@ def capped_samples(df: DataFrame, by: list[str], order: list[str], most: int) ->
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
 
 
+def within_budget(df: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], seconds: float, at: str, slices: int = 16, clock: Callable[[], float] = time.monotonic) -> tuple[DataFrame, int]:
+    """(what `work` gives for hash slices of df's objects, one after the other until the time is up; how many slices it did).
+
+    The first slice is always done. What a slice gives is written once, so a preview that ran out of time keeps what it has;
+    it is of a random share (slices done of all) of the objects. Objects with one key are never parted.
+    """
+    if not 0 < slices:
+        raise ValueError("no slices")
+    end, done = clock() + seconds, 0
+    while done < slices and (not done or clock() < end):
+        work(df.filter(F.pmod(F.xxhash64(key), F.lit(slices)) == done)).write.parquet(f"{at}/slice={done}")
+        done += 1
+    return df.sparkSession.read.option("basePath", at).parquet(*(f"{at}/slice={n}" for n in range(done))).drop("slice"), done
+
+
 def category_counts(df: DataFrame, category: str, order: str, most: int, budget: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(exact counts by category, sample rows): at most `most` rows a category, the first by `order`, and at most `budget` in all.
 

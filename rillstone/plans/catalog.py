@@ -230,11 +230,12 @@ def latest_child(spark, d):
     return query.latest(table(spark, d, "orders"), ["o_custkey"], "o_orderdate", "o_orderkey", ["o_orderkey", "o_orderdate"])
 
 
-@query_for("""WITH RECURSIVE t AS (SELECT n_nationkey AS node, n_nationkey AS root FROM nation WHERE n_nationkey = 0
-    UNION ALL SELECT n_nationkey, 0 FROM nation WHERE n_nationkey > 0) SELECT * FROM t""")
+@query_for("""WITH RECURSIVE p AS (SELECT n_nationkey AS node, CASE WHEN n_nationkey > 0 THEN n_nationkey // 2 END AS parent FROM nation),
+    t AS (SELECT node, node AS top, 0 AS steps FROM p UNION ALL SELECT t.node, p.parent, steps + 1 FROM t JOIN p ON p.node = t.top WHERE p.parent IS NOT NULL AND steps < 3)
+    SELECT node, arg_max(top, steps) AS root FROM t GROUP BY node""")
 def ancestor_walk(spark, d):
     n = table(spark, d, "nation").select("n_nationkey", F.when(F.col("n_nationkey") > 0, F.floor(F.col("n_nationkey") / 2).cast("int")).alias("parent"))
-    return query.ancestors(n, "n_nationkey", "parent")
+    return query.ancestors(n, "n_nationkey", "parent", 3)
 
 
 @query_for("""SELECT c_custkey, c_name, c_acctbal FROM customer WHERE starts_with(c_name, 'Customer#') AND (c_mktsegment = 'BUILDING'
@@ -1046,12 +1047,14 @@ def page_with_total(spark, d):
     return rows.select("c_custkey", F.lit(total).cast("long").alias("total"))
 
 
-@query_for("""SELECT c_custkey, c_nationkey::VARCHAR AS n, (c_acctbal::DECIMAL(12,2))::VARCHAR = printf('%.2f', c_acctbal) AS ok, c_nationkey AS back, 0 AS bad FROM customer""")
+@query_for("""SELECT c_custkey, c_nationkey::VARCHAR AS n, rtrim(rtrim((c_acctbal::DECIMAL(12,2))::VARCHAR, '0'), '.') AS cents, coalesce(try_cast(right(c_name, c_custkey % 12) AS INT), 0) AS back,
+    coalesce(try_cast(c_custkey::VARCHAR || '000000' AS INT), 0) AS wide, coalesce(try_cast(replace(c_name, 'Customer#', '') AS DECIMAL(38,10)), 0)::DOUBLE AS number FROM customer""")
 def fn_conversions(spark, d):
-    cents = S.to_string(F.col("c_acctbal").cast("decimal(38,10)"), "decimal(38,10)")
+    k = F.col("c_custkey")
     return table(spark, d, "customer").select(
-        "c_custkey", S.to_string(F.col("c_nationkey"), "int").alias("n"), (cents.cast("decimal(12,2)") == F.col("c_acctbal").cast("decimal(12,2)")).alias("ok"),
-        S.to_int(F.col("c_nationkey").cast("string")).alias("back"), S.to_int(F.col("c_name")).alias("bad"),
+        "c_custkey", S.to_string(F.col("c_nationkey"), "int").alias("n"), S.to_string(F.col("c_acctbal").cast("decimal(12,2)"), "decimal(12,2)").alias("cents"),
+        S.to_int(F.right("c_name", (k % 12).cast("int"))).alias("back"), S.to_int(F.concat(k.cast("string"), F.lit("000000"))).alias("wide"),
+        S.to_decimal(F.replace("c_name", F.lit("Customer#"), F.lit(""))).cast("double").alias("number"),
     )
 
 

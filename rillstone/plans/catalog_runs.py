@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillstone.functions.expressions import attributes_of, coerced, compile_expression
-from rillstone.operators import diff, match, outbound, page_index, recall, summarise, ticks
+from rillstone.operators import diff, lifecycle, match, outbound, page_index, recall, summarise, ticks
 from rillstone.operators.criteria import Criterion, Group, Relative
 from rillstone.plans import pipeline
 from rillstone.plans.catalog import CHANGED, CUSTOMER, MAPPINGS, NOW, ORDER, QUERIES, SQL, query_for, snapshots, table, target_rows
 from rillstone.schema import Attribute, Kind, ObjectType
-from rillstone.session import scratch
-from rillstone.sources import rest, staging
+from rillstone.session import scratch, stored
+from rillstone.sources import files, relational, rest, staging
 from rillstone.streaming import confirmation, hints
 
 __all__ = ["QUERIES", "SQL"]
@@ -356,3 +356,123 @@ def settings_of(spark, d, last: bool) -> DataFrame:
 def settings_changes(spark, d):
     """How the trees of users' first and last events differ, path by path."""
     return diff.settings_changes(settings_of(spark, d, False), settings_of(spark, d, True), ["user_id"], "tree")
+
+
+# --- databases, inference, queues, reports ----------------------------------------------------------------------
+
+
+def derby(spark, d) -> str:
+    """Customers as a table of the database that comes with Spark, in the driver's memory; its address."""
+    url = f"jdbc:derby:memory:db{uuid.uuid4().hex};create=true"
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    c.coalesce(1).write.jdbc(url, "customers", properties={"createTableColumnTypes": "c_name VARCHAR(100), c_mktsegment VARCHAR(20)"})
+    return url
+
+
+@query_for("""SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer WHERE c_nationkey >= 5 AND c_mktsegment <> 'BUILDING'""")
+def jdbc_scan(spark, d):
+    """A table of a database in ranges of its key, filtered there."""
+    rows = relational.scan(spark, derby(spark, d), "customers", "c_custkey", partitions=4)
+    return rows.filter("c_nationkey >= 5 and c_mktsegment <> 'BUILDING'").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+
+
+@query_for("""SELECT c_custkey, c_name FROM customer WHERE c_custkey > (SELECT max(c_custkey) // 2 FROM customer) ORDER BY c_custkey LIMIT 100""")
+def jdbc_page(spark, d):
+    half = table(spark, d, "customer").agg(F.max("c_custkey")).first()[0] // 2
+    return relational.scan_page(spark, derby(spark, d), "customers", ["c_custkey"], (half,), 100).select("c_custkey", "c_name")
+
+
+INFER = "CASE WHEN count(x) = 0 THEN 'TEXT' WHEN bool_and(regexp_full_match(x, '[+-]?[0-9]+') AND try_cast(x AS INT) IS NOT NULL) THEN 'NUMBER' WHEN bool_and(regexp_full_match(x, '[+-]?[0-9]+') AND try_cast(x AS BIGINT) IS NOT NULL) THEN 'LONG' WHEN bool_and(try_cast(x AS DECIMAL(38,10)) IS NOT NULL) THEN 'DECIMAL' WHEN bool_and(lower(x) IN ('true', 'false')) THEN 'BOOLEAN' WHEN bool_and(try_cast(x AS UUID) IS NOT NULL) THEN 'GUID' WHEN bool_and(try_cast(x AS TIMESTAMP) IS NOT NULL) THEN 'DATETIME' ELSE 'TEXT' END"
+INFERRED = {
+    "key": "o_orderkey", "wide": "o_orderkey * 3000000000", "price": "round(o_totalprice * 100)::BIGINT / 100.0", "status": "o_orderstatus", "flag": "o_orderkey % 2 = 0", "day": "o_orderdate",
+    "mixed": "CASE WHEN o_orderkey % 50 = 0 THEN 'none' ELSE o_orderkey::VARCHAR END", "blank": "NULL", "some": "CASE WHEN o_orderkey % 7 = 0 THEN o_custkey END",
+}
+
+
+@query_for(" UNION ALL ".join(f"SELECT '{n}' AS name, {INFER} AS kind FROM (SELECT ({x})::VARCHAR AS x FROM orders) WHERE x IS NOT NULL" for n, x in INFERRED.items()))
+def inferred_types(spark, d):
+    """Types of a file's columns, from all of their values."""
+    k, at = F.col("o_orderkey"), scratch(spark)
+    o = table(spark, d, "orders").select(
+        k.alias("key"), (k * 3_000_000_000).alias("wide"), F.round("o_totalprice", 2).cast("decimal(12,2)").alias("price"), F.col("o_orderstatus").alias("status"), (k % 2 == 0).alias("flag"), F.col("o_orderdate").cast("string").alias("day"),
+        F.when(k % 50 == 0, "none").otherwise(k.cast("string")).alias("mixed"), F.lit(None).cast("string").alias("blank"), F.when(k % 7 == 0, F.col("o_custkey")).alias("some"),
+    )
+    o.select(*(F.col(c).cast("string") for c in o.columns)).write.csv(f"{at}/orders", header=True)
+    found = files.infer(files.read_text(spark, f"{at}/orders"))
+    return spark.createDataFrame([(a.name, a.kind.name) for a in found], "name string, kind string")
+
+
+@query_for("""SELECT event_id, CASE WHEN event_type = 'error' OR event_id % 8 > 5 THEN 'parked' ELSE 'pending' END AS status,
+    CASE WHEN event_type <> 'error' AND event_id % 8 <= 5 THEN least(ts + INTERVAL 90 SECOND, ts + INTERVAL 1 SECOND * (event_id % 200)) END AS next_retry FROM events""")
+def password_retries(spark, d):
+    ts, i = F.col("ts").cast("timestamp"), F.col("event_id")
+    expiry = F.timestamp_micros(F.unix_micros(ts) + (i % 200) * 1_000_000)
+    status, later = lifecycle.retry_password(F.col("event_type") != "error", i % 8, ts, expiry, 5, 90)
+    return table(spark, d, "events").select("event_id", status.alias("status"), later.alias("next_retry"))
+
+
+@query_for("""SELECT user_id AS system, max(ts) AS started FROM events WHERE event_type IN ('click', 'view') AND event_id % 3 > 0 GROUP BY 1""")
+def last_full_syncs(spark, d):
+    i = F.col("event_id") % 3
+    kind = F.when(F.col("event_type").isin("click", "view"), "full synchronisation").otherwise("delta synchronisation")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("system"), kind.alias("kind"), F.when(i == 0, "failed").otherwise("complete").alias("status"), F.col("ts").alias("started"))
+    return lifecycle.last_full_syncs(rows)
+
+
+@query_for("""WITH a AS (SELECT user_id AS execution, event_id % 4 AS step, ['complete', 'complete with warning', 'in progress', 'complete with error', 'failed', 'cancelled'][1 + (event_id // 7 % 6)] AS status, event_id // 7 % 6 AS place FROM events)
+    SELECT execution, step, arg_max(status, place) AS outcome, count(*) AS runs FROM a GROUP BY 1, 2""")
+def step_outcomes(spark, d):
+    i = F.col("event_id")
+    status = F.get(F.array(*map(F.lit, lifecycle.OUTCOMES)), (F.floor(i / 7) % 6).cast("int"))
+    return lifecycle.step_outcomes(table(spark, d, "events").select(F.col("user_id").alias("execution"), (i % 4).alias("step"), status.alias("status")))
+
+
+@query_for("""SELECT CASE WHEN user_id % 5 = 0 THEN '' ELSE 'k' || user_id % 5 END AS prefix, CASE WHEN user_id % 3 = 0 THEN '' ELSE 'a' || user_id % 3 END AS address, event_type AS reason,
+    time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, count(*) AS attempts, max(ts) AS last_seen FROM events GROUP BY 1, 2, 3, 4""")
+def failed_logins(spark, d):
+    """Failures counted by kind and window, in two batches, the second added to what the first left."""
+    u, at = F.col("user_id"), scratch(spark)
+    rows = table(spark, d, "events").select(F.when(u % 5 > 0, F.concat(F.lit("k"), u % 5)).alias("prefix"), F.when(u % 3 > 0, F.concat(F.lit("a"), u % 3)).alias("address"), F.col("event_type").alias("reason"), F.col("ts").cast("timestamp").alias("at"), "event_id")
+    held = spark.createDataFrame([], "prefix string, address string, reason string, window_start timestamp, attempts long, last_seen timestamp")
+    for n in range(2):
+        held = stored(lifecycle.add_failed_logins(held, rows.filter(F.col("event_id") % 2 == n).drop("event_id"), 6 * 3600), at, f"held-{n}")
+    return held
+
+
+@query_for("""SELECT 'root/' || CASE WHEN p_size % 2 = 0 THEN 'even/10' ELSE 'odd' END AS container, count(*) AS n FROM part WHERE p_size % 2 = 1 OR p_size = 10 GROUP BY 1""")
+def discarded_by_container(spark, d):
+    path = F.concat_ws("/", F.lit("root"), F.when(F.col("p_size") % 2 == 0, "even").otherwise("odd"), F.col("p_size").cast("string"), "p_partkey")
+    rules = spark.createDataFrame([("root/even", True, True), ("root/even/10", False, True), ("root/odd", False, True)], "path string, include boolean, subtree boolean")
+    return match.discarded(match.container_scope(table(spark, d, "part").select("p_partkey", path.alias("path")), rules, "path"))
+
+
+@query_for("""SELECT o_orderkey, (o_custkey + 1)::VARCHAR AS raw, 'unresolved' AS state, 'warning' AS level FROM orders WHERE o_custkey + 1 NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 > 0)""")
+def reference_warnings(spark, d):
+    refs = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") + 1).cast("string").alias("ref"))
+    objects = table(spark, d, "customer").filter("c_custkey % 4 > 0").select(F.lit("customer").alias("type"), F.col("c_custkey").cast("string").alias("external_id"), F.col("c_custkey").alias("id"))
+    found = match.resolve_references(refs, objects, "o_orderkey", "ref", "customer")
+    return match.reference_report(found, "warn").select("o_orderkey", "raw", "state", "level")
+
+
+@query_for(f"""WITH {CHANGED} SELECT b.c_custkey, a.c_mktsegment <> b.c_mktsegment AS mapped, a.c_nationkey <> b.c_nationkey OR a.c_mktsegment <> b.c_mktsegment AS either FROM a JOIN b USING (c_custkey)""")
+def relevant_changes(spark, d):
+    """Whether what changed of a customer matters to exports of the segment, or of the segment and the nation."""
+    found = diff.object_changes(*snapshots(spark, d), ["c_custkey"], list(CUSTOMER.attributes[1:])).filter("change in ('update', 'none')")
+    one, two = ([outbound.ExportMapping(n, Attribute(n)) for n in names] for names in (("c_mktsegment",), ("c_mktsegment", "c_nationkey")))
+    return found.select("c_custkey", outbound.relevant(F.col("changed"), one).alias("mapped"), outbound.relevant(F.col("changed"), two).alias("either"))
+
+
+@query_for("""SELECT event_type AS category, count(*) AS n FROM events GROUP BY 1""")
+def preview_within_budget(spark, d):
+    """Categories counted slice by slice; the time is enough for all slices."""
+    count = lambda df: df.groupBy(F.col("event_type").alias("category")).agg(F.count("*").alias("n"))
+    parts, done = summarise.within_budget(table(spark, d, "events"), "user_id", count, 3600, f"{scratch(spark)}/preview", 4)
+    return parts.groupBy("category").agg(F.sum("n").alias("n"))
+
+
+@query_for("""SELECT o_custkey, array_to_string(list_sort(list_distinct(list_concat(list_filter(list(DISTINCT o_orderpriority), lambda x: x[1] <> '1'), ['0-NEW', '5-LOW']))), ',') AS values FROM orders GROUP BY 1""")
+def applied_adds(spark, d):
+    """Lists after removes and adds, some of which are there already."""
+    rows = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("p"))
+    after = diff.applied(F.col("p"), F.filter("p", lambda x: x.startswith("1")), F.array(F.lit("0-NEW"), F.lit("5-LOW")))
+    return rows.select("o_custkey", F.array_join(F.array_sort(after), ",").alias("values"))

@@ -5,16 +5,21 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillstone.functions.scalars import trim
+from rillstone.operators.skew import numbered
 from rillstone.schema import Attribute, Kind, ObjectType, each_value, parsed
 
 
+class Unsupported(ValueError):
+    """An operation that a source or target has no capability for."""
+
+
 @dataclass(frozen=True)
 class Capabilities:
-    """What a source or target can do; operators that need more aren't planned for it."""
+    """What a source or target can do; operators that need more aren't planned for it: `check` stops them."""
 
     full_import: bool = True
     delta_import: bool = False
@@ -32,13 +37,37 @@ class Capabilities:
     change_log: bool = False
     passwords: bool = False
 
+    def check(self, *operations: str) -> None:
+        """An Unsupported error that names the first operation for which a capability lacks."""
+        for operation in operations:
+            if operation not in NEEDS:
+                raise ValueError(f"no operation {operation}")
+            if lacking := [n for n in NEEDS[operation] if not getattr(self, n)]:
+                raise Unsupported(f"{operation} needs {', '.join(lacking)}")
+
+
+#: What operations need.
+NEEDS = {
+    "full import": ("full_import",),
+    "delta import by watermark": ("delta_import", "watermark"),
+    "delta import by change log": ("delta_import", "change_log"),
+    "paged import": ("full_import", "paging"),
+    "import by partition": ("full_import", "partitions"),
+    "import by container": ("full_import", "partitions", "partition_containers"),
+    "export": ("export",),
+    "parallel export": ("export", "parallel_export"),
+    "export with generated keys": ("export", "generated_keys"),
+    "rename": ("export", "key_rename"),
+    "password export": ("export", "passwords"),
+}
 
 FILE = Capabilities(export=True, auto_confirm=True)
 
 
-def read_text(spark: SparkSession, path: str, separator: str = ",", columns: list[str] | None = None) -> DataFrame:
-    """A file with a header, all columns as text; quoted fields may hold line feeds."""
-    df = spark.read.csv(path, header=True, sep=separator, multiLine=True, escape='"', quote='"', enforceSchema=False)
+def read_text(spark: SparkSession, path: str, separator: str = ",", columns: list[str] | None = None, multi_line: bool = False) -> DataFrame:
+    """Files with a header, all columns as text, read in pieces by several tasks. multi_line: quoted fields may hold line
+    feeds; a file is then one task's."""
+    df = spark.read.csv(path, header=True, sep=separator, multiLine=multi_line, escape='"', quote='"', enforceSchema=False)
     return df if columns is None else df.select(*columns)
 
 
@@ -108,6 +137,7 @@ def infer(df: DataFrame) -> list[Attribute]:
 
 def write_full_state(existing: DataFrame | None, changes: DataFrame, key: str, path: str, delimiter: str = "|", separator: str = ",") -> None:
     """Rewrite a file of full state: `merged_state` of what it holds and the changes, lists joined, header columns of both."""
+    FILE.check("export")
     merged = changes.filter("change <> 'delete'").drop("change", "changed") if existing is None else merged_state(existing, changes, key)
     flat = [F.array_join(c, delimiter).alias(c) if k.startswith("array") else F.col(c).cast("string") for c, k in merged.dtypes]
     merged.select(*flat).write.mode("overwrite").csv(path, header=True, sep=separator)
@@ -182,35 +212,16 @@ def retained(df: DataFrame, at: str, tie_break: str, cutoff: object, most: int)
     return df.join(old, tie_break, "left_anti")
 
 
-#: Ranges of a column that are numbered side by side, and rows looked at to find their bounds.
-RANGES, LOOKED_AT = 256, 8192
-
-
-def range_of(df: DataFrame, c: str) -> Column:
-    """The number of the range of c that a row lies in, ascending. The bounds come from a hash sample of bounded size."""
-    n = df.count()
-    share = max(1, n // LOOKED_AT)
-    seen = sorted(r[0] for r in df.select(c).filter(F.col(c).isNotNull() & (F.pmod(F.xxhash64(c), F.lit(share)) == 0)).distinct().limit(4 * LOOKED_AT).collect())
-    bounds = seen[:: max(1, len(seen) // RANGES)][1:] if n > LOOKED_AT else []
-    return F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(c))), F.lit(0)) if bounds else F.lit(0)
-
-
 def apply_dml(table: DataFrame, changes: DataFrame, key: str, generated: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(table after inserts, updates and deletes, keys of the inserts). changes: key, op, columns.
 
-    With `generated`, inserts get keys above the greatest in the table, in the order of that column: numbered within
-    ranges of it, and each range by how many rows the ones before it have, so no task sorts all inserts.
+    With `generated`, inserts get keys above the greatest in the table, in the order of that column (equal ones by a hash of
+    the row), numbered range by range, so no task sorts all inserts.
     """
     inserts = changes.filter("op = 'insert'")
     if generated is not None:
-        top = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-        ranged = inserts.withColumn("_range", range_of(inserts, generated))
-        sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
-        # one row a range, at most RANGES of them
-        before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        starts = sizes.select("_range", before.alias("_before")).join(F.broadcast(top))
-        numbered = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(generated)))
-        inserts = numbered.join(F.broadcast(starts), "_range").withColumn(key, F.col("_top") + F.col("_before") + F.col("_n")).drop("_top", "_n", "_before", "_range")
+        top = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))  # one row
+        inserts = numbered(inserts, [], [generated]).join(F.broadcast(top)).withColumn(key, F.col("_top") + F.col("_n")).drop("_top", "_n")
     touched = changes.filter("op <> 'insert'").select(key)
     names = table.columns
     updated = merged_state(table.join(touched, key, "left_semi"), changes.filter("op = 'update'").withColumnRenamed("op", "change"), key)

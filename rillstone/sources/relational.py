@@ -10,15 +10,46 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillstone.operators.query import keyset_page
+from rillstone.sources.files import Capabilities
 
-def scan(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 16, **options: str) -> DataFrame:
-    """A table, view or `(statement) alias` over JDBC, read in parallel ranges of a numeric key; filters and columns are pushed down."""
+
+#: What a database can do: it reads by pages and partitions, has watermarks and change logs, and makes keys.
+DATABASE = Capabilities(delta_import=True, export=True, partitions=True, paging=True, parallel_export=True, generated_keys=True, watermark=True, change_log=True)
+
+
+def scan(
+    spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 16, capabilities: Capabilities = DATABASE, **options: str
+) -> DataFrame:
+    """A table, view or `(statement) alias` over JDBC, read in parallel ranges of a numeric key; filters and columns are
+    pushed down. Without bounds they are asked for: the least and the greatest key."""
+    capabilities.check("full import")
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
-    if key and bounds:
-        reader = reader.options(partitionColumn=key, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions)
+    if key:
+        capabilities.check("import by partition")
+        if bounds is None:
+            quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+            statement = f"(SELECT MIN({quoted}) AS lo, MAX({quoted}) AS hi FROM {table}) bounds_of"
+            r = spark.read.format("jdbc").options(url=url, dbtable=statement, **options).load().first()
+            bounds = (r[0], r[1])
+        if bounds[0] is not None:  # a table without rows has no bounds
+            reader = reader.options(partitionColumn=key, lowerBound=bounds[0], upperBound=bounds[1] + 1, numPartitions=partitions)
     return reader.load()
 
 
+def scan_since(spark: SparkSession, url: str, table: str, column: str, mark: object | None, key: str | None = None, capabilities: Capabilities = DATABASE, **options: str) -> DataFrame:
+    """The rows above a mark; the database filters them. All without one."""
+    if mark is not None:
+        capabilities.check("delta import by watermark")
+    return changed_since(scan(spark, url, table, key, capabilities=capabilities, **options), column, mark)
+
+
+def scan_page(spark: SparkSession, url: str, table: str, keys: list[str], last: tuple | None, size: int, capabilities: Capabilities = DATABASE, **options: str) -> DataFrame:
+    """The `size` rows after `last` in the order of keys: filter, order and limit go to the database."""
+    capabilities.check("paged import")
+    return keyset_page(scan(spark, url, table, capabilities=capabilities, **options), keys, last, size)
+
+
 #: Types that order, by the name they are stored under.
 _ORDERED = {"int": int, "long": int, "decimal": Decimal, "timestamp": datetime.fromisoformat, "string": str, "binary": bytes.fromhex}
 

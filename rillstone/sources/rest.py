@@ -2,7 +2,7 @@
 
 Reading: `fetch(kind, query)` returns {"rows": [...], "total": n or None, "next": cursor or None}. Where pages go by index
 and a total is reported, every range of `partition_rows` rows is a partition; else a kind is one, read until an empty page
-or the last cursor. Filters on `kind` and `last_modified` are pushed to the requests.
+or the last cursor. Filters on `kind` and `last_modified` are pushed to the requests of sources that `paged_source` makes.
 
 Writing: `send(operations)` or `send(key, operations)` takes one request of (kind, id, body); key names it and its content.
 With a ledger, a folder that driver and executors share, what a lost or repeated task has sent isn't sent again.
@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType, TimestampType
 
+from rillstone.sources.files import Capabilities
+
 MOST_PAGES = 100_000
 OVERLAP = timedelta(seconds=60)
 #: Rows of a partition where the total is known.
@@ -92,17 +94,6 @@ class PagedReader(DataSourceReader):
         self.only = () if "body" in schema.names else tuple(n for n in schema.names if n not in own)
         self.since: list[tuple[datetime, bool]] = []  # lower bounds of last_modified, and whether the bound itself counts
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Kinds are picked here. Of times, requests ask for all since the second of the latest bound; read looks closer."""
-        for f in filters:
-            if isinstance(f, (EqualTo, In)) and f.attribute == ("kind",):
-                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.kinds = [k for k in self.kinds if k in wanted]
-            elif self.filters and isinstance(f, (GreaterThan, GreaterThanOrEqual)) and f.attribute == ("last_modified",) and isinstance(f.value, datetime):
-                self.since.append((f.value.astimezone(timezone.utc), isinstance(f, GreaterThanOrEqual)))
-            else:
-                yield f
-
     def filter_text(self) -> str | None:
         since = f'meta.lastModified ge "{max(t for t, _ in self.since):%Y-%m-%dT%H:%M:%SZ}"' if self.since else None
         return " and ".join(filter(None, (self.given, since))) or None
@@ -151,6 +142,21 @@ class PagedReader(DataSourceReader):
         return tuple(map(value, self.schema))
 
 
+class PushedReader(PagedReader):
+    """A reader that takes filters; Spark allows it only with spark.sql.python.filterPushdown.enabled."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Kinds are picked here. Of times, requests ask for all since the second of the latest bound; read looks closer."""
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("kind",):
+                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.kinds = [k for k in self.kinds if k in wanted]
+            elif self.filters and isinstance(f, (GreaterThan, GreaterThanOrEqual)) and f.attribute == ("last_modified",) and isinstance(f.value, datetime):
+                self.since.append((f.value.astimezone(timezone.utc), isinstance(f, GreaterThanOrEqual)))
+            else:
+                yield f
+
+
 class Ledger:
     """What has been sent, in a shared folder (any address pyarrow knows): a file a request, written after it went out."""
 
@@ -248,6 +254,7 @@ class PagedSource(DataSource):
     #: Closed over by paged_source; else the options name them.
     fetch: Callable | None = None
     send: Callable | None = None
+    read_by: type = PagedReader
 
     @classmethod
     def name(cls) -> str:
@@ -257,7 +264,7 @@ class PagedSource(DataSource):
         return "kind string, id string, body string"
 
     def reader(self, schema) -> PagedReader:
-        return PagedReader(type(self).fetch or self.options["fetch"], self.options, schema)
+        return type(self).read_by(type(self).fetch or self.options["fetch"], self.options, schema)
 
     def writer(self, schema, overwrite: bool) -> BatchWriter:
         return BatchWriter(type(self).send or self.options["send"], self.options)
@@ -269,12 +276,17 @@ def paged_source(spark: SparkSession, fetch: Callable | None = None, send: Calla
         cloudpickle.register_pickle_by_value(sys.modules[module])  # workers may lack these modules
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     own = f"paged_{uuid.uuid4().hex}"
-    parts = {"fetch": staticmethod(fetch) if fetch else None, "send": staticmethod(send) if send else None, "name": classmethod(lambda cls: own)}
+    parts = {"read_by": PushedReader, "fetch": staticmethod(fetch) if fetch else None, "send": staticmethod(send) if send else None, "name": classmethod(lambda cls: own)}
     spark.dataSource.register(type("OwnSource", (PagedSource,), parts))
     return own
 
 
-def send_all(operations: DataFrame, form: str, run: str, ledger: str, parts: int, **options: str) -> None:
+#: What a paged service can do, unless it says otherwise.
+SERVICE = Capabilities(delta_import=True, export=True, paging=True, parallel_export=True, watermark=True)
+
+
+def send_all(operations: DataFrame, form: str, run: str, ledger: str, parts: int, capabilities: Capabilities = SERVICE, **options: str) -> None:
     """Send operations (kind, id, body), dealt and ordered by what they are: a run of the same name makes the same requests."""
+    capabilities.check("export" if parts == 1 else "parallel export")
     rows = operations.select("kind", "id", "body").repartition(parts, "kind", "id").sortWithinPartitions("kind", "id", "body")
     rows.write.format(form).options(run=run, ledger=ledger, **options).mode("append").save()

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from rillstone.plans import catalog
+from rillstone.plans import catalog, catalog_runs  # noqa: F401  registers its queries too
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
