@@ -2,8 +2,9 @@
 
 Every task first owns what it reads: it inserts whole normalised byte strings into a compressed radix trie
 whose terminal nodes keep the text's owner and members. Only one row per distinct text of a task goes on, to
-the partition of its length and content hash, where a trie of that partition settles the owners. A trie that
-outgrows its memory gives up its largest subtree, whose terminals are passed on and forgotten.
+the partition of its length and content hash, where one trie holds all texts of that partition and settles their
+owners. A trie that outgrows its memory gives up its largest subtree, whose terminals are passed on and forgotten; a
+text that comes again after that has several answers, which are put together by its name.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ class PatriciaTrie:
         if self.root.count:
             yield b"", self.root
             self.bytes -= 40 * len(self.root.members or ())
-            self.root.owner, self.root.count, self.root.members = None, 0, None
+            self.root.owner, self.root.count, self.root.members, self.root.tasks = None, 0, None, 0
         if self.root.edges:
             sizes = {k: weight(c) for k, c in self.root.edges.items()}
             k = max(sizes, key=sizes.get)
@@ -156,38 +157,36 @@ def local_owners(docs: DataFrame, largest: bool) -> DataFrame:
     return docs.select("doc_id", "t").mapInArrow(run, _LOCAL)
 
 
+_OWNERS = pa.schema([("name", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("tasks", pa.int64())])
+
+
 def owners(local: DataFrame, largest: bool) -> DataFrame:
     """(name, keep_id, group_size, tasks) of every distinct text, from the tasks' rows; tasks: how many of these it has.
 
-    Rows come sorted by length and hash, so a trie holds the texts of one length and hash at a time.
+    Equal texts meet in the partition of their length and hash, in its one trie, as whole byte strings. What is spilled is
+    an answer for the rows so far, so answers of one name are summed up: a row each, without texts.
     """
-    out = pa.schema([("name", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("tasks", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, now = PatriciaTrie(largest), None
+        trie = PatriciaTrie(largest)
 
-        def closed(into: list[list]) -> None:
-            for _, x in trie.terminals():
-                for c, v in zip(into, (x.name, x.owner, x.count, x.tasks), strict=True):
-                    c.append(v)
+        def batch(found: Iterator[tuple[bytes, Node]]) -> pa.RecordBatch:
+            rows = [(x.name, x.owner, x.count, x.tasks) for _, x in found]
+            cols = zip(*rows, strict=True) if rows else [()] * len(_OWNERS)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _OWNERS, strict=True)], schema=_OWNERS)
 
         for b in batches:
-            cols: list[list] = [[], [], [], []]
-            for name, length, h, body, owner, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (length, h) != now:
-                    closed(cols)
-                    trie, now = PatriciaTrie(largest), (length, h)
+            for name, body, owner, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 node = trie.insert(body, owner, n)
                 node.name, node.tasks = name, node.tasks + 1
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
-        closed(cols := [[], [], [], []])
-        if cols[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
+                while trie.bytes > TRIE_BYTES and (trie.root.edges or trie.root.count):
+                    yield batch(trie.spill())
+        yield batch(trie.terminals())
 
-    rows = local.select("name", "length", "hash", "body", "owner", "n")
-    rows = rows.repartition("length", "hash").sortWithinPartitions("length", "hash")
-    return rows.mapInArrow(run, "name string, keep_id long, group_size long, tasks long")
+    rows = local.repartition("length", "hash").select("name", "body", "owner", "n")
+    found = rows.mapInArrow(run, "name string, keep_id long, group_size long, tasks long")
+    best = F.max("keep_id") if largest else F.min("keep_id")
+    return found.groupBy("name").agg(best.alias("keep_id"), F.sum("group_size").alias("group_size"), F.sum("tasks").alias("tasks"))
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = False) -> DataFrame:
@@ -195,7 +194,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts are equal when the same after lower-casing A-Z; null is empty. Of equal texts the row with the least id
     stays, or the greatest if `largest`; rows that repeat that id stay together. Null ids never own a text that
-    another row has; a text that only rows without id have keeps them, with a null keep_id.
+    another row has; a text that only rows without id have keeps them, with a null keep_id. Texts of any length are held
+    whole, in tries of bounded size. Other columns, of any name, are not read; an empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
     at = work_dir(docs.sparkSession)

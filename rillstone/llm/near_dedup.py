@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillstone.llm.common import SLICE, counted, map_rows, mix, shingles_of, stored, with_group_min, word_hashes, work_dir
+from rillstone.llm.common import SLICE, counted, joined_salted, map_rows, mix, shingles_of, stored, with_group_min, word_hashes, work_dir
 
 #: A shingle is frequent when at least this share of all texts holds it; others have the greatest weight.
 FREQUENT = 0.02
@@ -205,7 +205,8 @@ def _verified(edges: DataFrame, texts: DataFrame, weights: Weights, threshold: f
         yield {"a": x["a"], "b": x["b"], "similarity": sim, "linked": [s >= threshold for s in sim]}
 
     sides = edges.join(texts.select(F.col("doc_id").alias("b"), F.col("t").alias("q")), "b")
-    sides = sides.join(texts.select(F.col("doc_id").alias("a"), F.col("t").alias("p")), "a")
+    # the least of a large group is in very many edges: its text goes once to each of its salts
+    sides = joined_salted(sides, "a", texts.select(F.col("doc_id").alias("a"), F.col("t").alias("p")), "b").filter("p is not null")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64()), ("linked", pa.bool_())])
     schema = "a long, b long, similarity double, linked boolean"
     return map_rows(sides.select("a", "b", "p", "q"), run, schema, out)

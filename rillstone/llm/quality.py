@@ -185,10 +185,13 @@ def featured(docs: DataFrame, id_col: str, text_col: str, meta_cols: list[str])
 def surest(scored: DataFrame, per_class: int) -> DataFrame:
     """(key, view, label): for each view and class the per_class distinct feature rows that the view is surest of.
 
-    scored: key (a hash of both views' features), s_text, s_meta. Equal rows count as one, ties go by the key. The best
-    of each of SALTS parts come first, then the best of these, so what meets in a task doesn't grow with the corpus.
+    scored: key (a hash of both views' features), s_text, s_meta. A row that the views are both sure of, with different
+    labels, teaches nothing. Equal rows count as one, ties go by the key. The best of each of SALTS parts come first, then
+    the best of these, so what meets in a task doesn't grow with the corpus.
     """
-    each = scored.select("key", F.explode(F.array(*(F.struct(F.lit(v).alias("view"), F.col(f"s_{v}").alias("s")) for v in VIEWS))).alias("x"))
+    sure = {v: F.abs(f"s_{v}") > SURE for v in VIEWS}
+    agreed = scored.filter(~(sure["text"] & sure["meta"] & ((F.col("s_text") > 0) != (F.col("s_meta") > 0))))
+    each = agreed.select("key", F.explode(F.array(*(F.struct(F.lit(v).alias("view"), F.col(f"s_{v}").alias("s")) for v in VIEWS))).alias("x"))
     each = each.select("key", "x.view", F.when(F.col("x.s") > 0, 1).otherwise(0).alias("label"), F.abs("x.s").alias("s"))
     each = each.filter(F.col("s") > SURE).distinct().withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int"))
     best = F.row_number().over(Window.partitionBy("view", "label", "salt").orderBy(F.desc("s"), "key"))
@@ -197,13 +200,18 @@ def surest(scored: DataFrame, per_class: int) -> DataFrame:
     return first.withColumn("n", last).filter(F.col("n") <= per_class).select("key", "view", "label")
 
 
-def _exchanged(pool: DataFrame, models: dict[str, Logistic], per_class: int) -> list:
-    """The rows that the views are surest of, with their features: at most 4 x per_class."""
-    spread = pool.sparkSession.sparkContext.broadcast(models)
+def _exchanged(pool: DataFrame, models: dict[str, Logistic], per_class: int, taught: set[int]) -> list:
+    """The rows that the views are surest of and that weren't taught before, with their features: at most 4 x per_class.
+
+    Their keys are added to taught: a row leaves the pool with the first round that takes it."""
+    spread = pool.sparkSession.sparkContext.broadcast((models, np.array(sorted(taught), np.int64)))
 
     def run(x: dict) -> Iterator[dict]:
+        models, gone = spread.value
+        key = np.array(x["key"], np.int64)
+        left = ~np.isin(key, gone)
         # rounded: equal rows have equal scores, wherever in a batch they stand
-        yield {"key": x["key"], **{f"s_{v}": np.round(m.logit(Rows.of(x[v])), 6) for v, m in spread.value.items()}}
+        yield {"key": key[left], **{f"s_{v}": np.round(m.logit(Rows.of(x[v])), 6)[left] for v, m in models.items()}}
 
     out = pa.schema([("key", pa.int64()), *((f"s_{v}", pa.float64()) for v in VIEWS)])
     scored = map_rows(pool.select("key", *VIEWS), run, "key long, s_text double, s_meta double", out)
@@ -211,6 +219,7 @@ def _exchanged(pool: DataFrame, models: dict[str, Logistic], per_class: int) ->
     if not chosen:
         return []
     keys = sorted({k for _, _, k in chosen})
+    taught.update(keys)
     rows = pool.filter(F.col("key").isin(keys)).groupBy("key").agg(*(F.min(v).alias(v) for v in VIEWS)).collect()
     by = {r["key"]: r for r in rows}
     return [(by[k]["text"], by[k]["meta"], v, label) for v, label, k in chosen]
@@ -223,7 +232,7 @@ def co_train(labelled: list[tuple], pool: DataFrame, rounds: int, per_class: int
         return None
     train = {v: [(r[k], r[2]) for r in seen] for k, v in enumerate(VIEWS)}
     check = {v: Rows.of([r[k] for r in held]) for k, v in enumerate(VIEWS)}
-    y = np.array([r[2] for r in held], float)
+    y, taught = np.array([r[2] for r in held], float), set()
     for turn in range(rounds + 1):
         models = {}
         for v, size in VIEWS.items():
@@ -231,7 +240,7 @@ def co_train(labelled: list[tuple], pool: DataFrame, rounds: int, per_class: int
             m.a, m.b = fit_line(m.raw(check[v])[:, None], y)
             models[v] = m
         if turn < rounds:
-            for text, meta, view, label in _exchanged(pool, models, per_class):
+            for text, meta, view, label in _exchanged(pool, models, per_class, taught):
                 other = "meta" if view == "text" else "text"
                 train[other].append((meta if view == "text" else text, label))
     return CoTrained(models, fit_line(np.c_[tuple(models[v].logit(check[v]) for v in VIEWS)], y))
@@ -246,13 +255,15 @@ def classify_quality(
     max_labelled: int = 6_000,
     rounds: int = 2,
     per_class: int = 200,
+    share: float = 0.01,
+    most_taught: int = 1_000,
 ) -> DataFrame:
     """doc_id, text_score, meta_score, quality, toxicity and keep, a row per row of docs.
 
-    max_labelled bounds the labelled rows that are learnt from (those with the least hash of their id); rounds and
-    per_class are those of the exchange between views, which looks at all unlabelled documents and gives each view's
-    surest per_class distinct feature rows of a class to the other. keep: quality is at least a half and toxicity below
-    a half. A label that is missing or of one class only teaches nothing: its score is null, and it rejects nothing.
+    max_labelled bounds the labelled rows that are learnt from (those with the least hash of their id). In each of the
+    rounds all unlabelled documents are scored, and each view's surest distinct feature rows of a class are given to the
+    other: `share` of the unlabelled rows, but per_class at least and most_taught at most, a bound on what is fitted. A row
+    is taken once. keep: quality is at least a half and toxicity below a half. A label that is missing or of one class only teaches nothing: its score is null, and it rejects nothing.
     Null texts are empty, long ones are read whole; rows that share an id share its label, equal rows have equal scores;
     an empty table gives no rows. Columns of docs other than those named aren't read and may have any name.
     """
@@ -266,10 +277,10 @@ def classify_quality(
     sample = rows.filter("named").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
     sample = sample.orderBy(F.xxhash64("doc_id"), "text").limit(2 * max_labelled)
     sample = sample.select("text", "meta", "quality", "toxic").collect()
-    models = {}
+    models, taught = {}, max(per_class, min(most_taught, math.ceil(share * pool.count())))
     for target in ("quality", "toxic"):
         known = [(r["text"], r["meta"], int(r[target] > 0)) for r in sample if r[target] is not None]
-        models[target] = co_train(known, pool, rounds, per_class)
+        models[target] = co_train(known, pool, rounds, taught)
     spread = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(x: dict) -> Iterator[dict]:

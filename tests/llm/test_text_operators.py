@@ -358,6 +358,7 @@ def test_quality(spark, docs):
     got = quality.classify_quality(df.drop("quality", "toxic"), labels, per_class=30).join(df.select("doc_id", F.col("quality").alias("q"), F.col("toxic").alias("t")), "doc_id").toPandas()
     assert len(got) == 600 and ((got["quality"] >= 0.5) == (got["q"] == 1)).mean() > 0.97 and ((got["toxicity"] >= 0.5) == (got["t"] == 1)).mean() > 0.9
     assert ((got["meta_score"] >= 0.5) == (got["q"] == 1)).mean() > 0.85
+    assert quality.classify_quality(df.limit(0).drop("quality", "toxic"), labels).collect() == []
     nothing = quality.classify_quality(docs, labels.limit(0)).collect()
     assert len(nothing) == len(ROWS) and all(r["keep"] and r["quality"] is None for r in nothing)
 
@@ -370,7 +371,8 @@ def test_views_exchange_their_surest_rows(spark):
     want = set()
     for view, at in (("text", 1), ("meta", 2)):
         for label in (0, 1):
-            sure = sorted({(-abs(r[at]), r[0]) for r in rows if abs(r[at]) > quality.SURE and (r[at] > 0) == bool(label)})
+            agree = [r for r in rows if not (min(abs(r[1]), abs(r[2])) > quality.SURE and (r[1] > 0) != (r[2] > 0))]
+            sure = sorted({(-abs(r[at]), r[0]) for r in agree if abs(r[at]) > quality.SURE and (r[at] > 0) == bool(label)})
             want |= {(k, view, label) for _, k in sure[:30]}
     assert {tuple(r) for r in quality.surest(df, 30).collect()} == want
     assert quality.surest(df.limit(0), 30).count() == 0
@@ -383,23 +385,27 @@ def test_calibration_and_exchange_by_brute_force(spark):
     labelled = [(*make(k % 2), k % 2) for k in range(120)]
     pool_rows = [(k, *make(k % 2)) for k in range(300)]
     pool = spark.createDataFrame(pool_rows, "key long, text binary, meta binary")
-    got = quality.co_train(labelled, pool, 1, 20)
+    got = quality.co_train(labelled, pool, 2, 20)
     held, seen = labelled[::5], [r for k, r in enumerate(labelled) if k % 5]
     y = np.array([r[2] for r in held], float)
     train = {v: [(r[k], r[2]) for r in seen] for k, v in enumerate(quality.VIEWS)}
-    for turn in (0, 1):
+    taught = set()
+    for turn in (0, 1, 2):
         models = {}
         for k, (v, size) in enumerate(quality.VIEWS.items()):
             m = quality.fit_logistic(quality.Rows.of([r for r, _ in train[v]]), np.array([z for _, z in train[v]], float), size)
             m.a, m.b = quality.fit_line(m.raw(quality.Rows.of([r[k] for r in held]))[:, None], y)
             models[v] = m
-        if not turn:
-            for k, v in enumerate(quality.VIEWS):
-                s = np.round(models[v].logit(quality.Rows.of([r[1 + k] for r in pool_rows])), 6)
+        if turn < 2:
+            scores = [np.round(models[v].logit(quality.Rows.of([r[1 + k] for r in pool_rows])), 6) for k, v in enumerate(quality.VIEWS)]
+            split = {i for i, (p, q) in enumerate(zip(*scores, strict=True)) if min(abs(p), abs(q)) > quality.SURE and (p > 0) != (q > 0)}
+            gone = split | taught  # what was taught has left the pool, what the views disagree on teaches nothing
+            for k, (v, s) in enumerate(zip(quality.VIEWS, scores, strict=True)):
                 for label in (0, 1):
-                    sure = sorted((-abs(x), i) for i, x in enumerate(s) if abs(x) > quality.SURE and (x > 0) == bool(label))[:20]
+                    sure = sorted((-abs(x), i) for i, x in enumerate(s) if abs(x) > quality.SURE and (x > 0) == bool(label) and i not in gone)[:20]
                     train["meta" if v == "text" else "text"] += [(pool_rows[i][2 - k], label) for _, i in sure]
-    assert len(train["meta"]) > 96 and len(train["text"]) > 96
+                    taught |= {i for _, i in sure}
+    assert len(train["meta"]) > 116 and len(train["text"]) > 116 and len(taught) > 80
     for v in quality.VIEWS:
         assert np.allclose(got.views[v].w, models[v].w, atol=1e-6) and np.isclose(got.views[v].a, models[v].a, atol=1e-6)
 
@@ -474,6 +480,18 @@ def test_exact(spark, docs, memory, wide, monkeypatch):
     assert exact_dedup.exact_duplicates(docs.limit(0)).count() == 0
 
 
+def test_a_trie_holds_a_partitions_texts(spark, monkeypatch):
+    """Texts of one partition share the nodes of one trie; what is spilled in the middle of a text's rows is put together."""
+    base = "common beginning of many texts " * 5
+    rows = [(i, base + f"{i % 40:03d}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = {(i, i % 40 + 360, 10) for i in range(400)}
+    for memory in (exact_dedup.TRIE_BYTES, 3_000):
+        monkeypatch.setattr(exact_dedup, "TRIE_BYTES", memory)
+        got = exact_dedup.exact_duplicates(df, largest=True).collect()
+        assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in got} == want and len(got) == 400
+
+
 # --- 9 ---
 
 
