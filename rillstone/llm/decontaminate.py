@@ -281,13 +281,16 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], far[np.r_[new[1:], True]]
 
 
-def matches(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = 10) -> DataFrame:
+def matches(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = 10, kept: bool = False) -> DataFrame:
     """Exact phrase matches, a row per indexed document: its words, merged spans (starts, ends in words), and item ids.
 
+    kept: the index is a table already; else it is written first.
+
     The items are the query set: they are streamed through the driver in blocks of BLOCK_WORDS words, each block
     meets all segments, and the blocks' spans and items are united per document.
     """
-    index = stored(index, at := work_dir(index.sparkSession), "index")
+    if not kept:
+        index = stored(index, work_dir(index.sparkSession), "index")
     rows = items.select(F.col(id_col).cast("long"), text_col).toLocalIterator()
     found, many = None, False
     for k, block in enumerate(blocks_of(rows, window)):
@@ -320,22 +323,23 @@ def matches(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_co
     return map_rows(by, unite, _MATCH, _MATCH_ARROW)
 
 
-def proximity(index: DataFrame, queries: list[tuple[str, list[str]]], within: int) -> DataFrame:
-    """(query, doc_id, start, end): least spans of at most `within` words that hold all words of a query, in any order.
+def proximity(index: DataFrame, queries: list[tuple[str, list[str]]] | list[tuple[str, list[str], int]], within: int = 0) -> DataFrame:
+    """(query, doc_id, start, end, segment, ord): least spans of at most `within` words that hold all words of a query, in
+    any order; segment and ord name the document's row.
 
-    queries: (name, words), broadcast. A span is least when no shorter span inside it holds all the words. A word that
+    queries: (name, words) or (name, words, within), broadcast. A span is least when no shorter span inside it holds all the words. A word that
     repeats counts once; a query without words finds nothing; documents without words, repeated ones and null ids are
     treated like all others; an empty index gives no rows.
     """
-    asked = [(name, sorted({w for t in words for w in words_of(t)})) for name, words in queries]
+    asked = [(name, sorted({w for t in words for w in words_of(t)}), *(own or [within])) for name, words, *own in queries]
     spread = index.sparkSession.sparkContext.broadcast(asked)
 
     def run(x: dict) -> Iterator[dict]:
-        vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws in spread.value for w in ws}))}
-        for row in zip(*(x[k] for k in ("ids", "sizes", "terms", "counts", "postings")), strict=True):
+        vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws, _ in spread.value for w in ws}))}
+        for segment, *row in zip(*(x[k] for k in ("segment", "ids", "sizes", "terms", "counts", "postings")), strict=True):
             seg = Segment(*row, vocabulary)
-            out: dict[str, list] = {k: [] for k in ("query", "doc_id", "start", "end")}
-            for name, words in spread.value:
+            out: dict[str, list] = {k: [] for k in ("query", "doc_id", "start", "end", "segment", "ord")}
+            for name, words, within in spread.value:
                 lists = []
                 for w in words:
                     lo, hi = np.searchsorted(seg.keys, [vocabulary[w] << 40, (vocabulary[w] + 1) << 40])
@@ -359,22 +363,50 @@ def proximity(index: DataFrame, queries: list[tuple[str, list[str]]], within: in
                             spans.append((first, p))
                 for first, p in spans:
                     d = int(seg.doc_of(np.array([first]))[0])
-                    for c, v in zip(out, (name, seg.ids[d], first - int(seg.base[d]), p + 1 - int(seg.base[d])), strict=True):
+                    for c, v in zip(out, (name, seg.ids[d], first - int(seg.base[d]), p + 1 - int(seg.base[d]), segment, d), strict=True):
                         out[c].append(v)
             yield out
 
-    out = pa.schema([("query", pa.string()), ("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
-    return map_rows(index, run, "query string, doc_id long, start long, end long", out)
+    out = pa.schema([("query", pa.string()), ("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("segment", pa.string()), ("ord", pa.int32())])
+    return map_rows(index, run, "query string, doc_id long, start long, end long, segment string, ord int", out)
+
+
+def scattered_items(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(segment, ord, n_near): documents that hold all words of an item, in any order, within twice as many words as the
+    item has, and how many items they hold so. Items are asked for in blocks of BLOCK_WORDS words."""
+    found, block, held = None, [], 0
+
+    def asked() -> DataFrame:
+        part = proximity(index, block).select("segment", "ord", "query").distinct()
+        return part if found is None else found.union(part)
+
+    for name, text in items.select(F.col(id_col).cast("string"), text_col).filter(F.col(id_col).isNotNull()).toLocalIterator():
+        if n := len(words_of(text)):
+            block.append((name, [text], 2 * n))
+            held += n
+        if held >= BLOCK_WORDS:
+            found, block, held = asked(), [], 0
+    if block:
+        found = asked()
+    if found is None:
+        return index.sparkSession.createDataFrame([], "segment string, ord int, n_near long")
+    return found.distinct().groupBy("segment", "ord").agg(F.count("*").alias("n_near"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, near: bool = False) -> DataFrame:
     """A row per document: doc_id, digest, n_words, n_hit (words inside an occurrence of a window), n_items, items, contaminated.
 
     digest is the text's md5, by which a verdict finds its rows also where ids are null or shared. Null, empty and
     wordless texts have no words and are clean; a benchmark item without words or id names nothing. Repeated rows
     each get their row, however many blocks the benchmark takes; items of equal text are all named. Texts are indexed
-    whole; an empty table gives no rows, an empty benchmark no hits. Only the id and the text of docs are read.
+    whole; an empty table gives no rows, an empty benchmark no hits. Only the id and the text of docs are read. With `near`
+    there is n_near too: the items whose words all lie close together in the document (see scattered_items).
     """
-    found = matches(build_index(docs), benchmark, window=window)
+    index = stored(build_index(docs), work_dir(docs.sparkSession), "index")
+    found = matches(index, benchmark, window=window, kept=True)
     hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
-    return found.select("doc_id", "digest", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", (hit > 0).alias("contaminated"))
+    out = ["doc_id", "digest", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", (hit > 0).alias("contaminated")]
+    if near:
+        found = found.join(scattered_items(index, benchmark), ["segment", "ord"], "left")
+        out.append(F.coalesce("n_near", F.lit(0)).alias("n_near"))
+    return found.select(*out)

@@ -23,10 +23,10 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
-    found = decontaminate.decontaminate(docs, items)
+    found = decontaminate.decontaminate(docs, items, near=True)
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return found.select(
-        "doc_id", "n_words", "n_hit", "n_items", F.sha2(names.cast("binary"), 256).alias("items_sha256"), "contaminated"
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(names.cast("binary"), 256).alias("items_sha256"), "contaminated", "n_near"
     )
 
 
@@ -201,10 +201,20 @@ ORACLE_SQL = {
         hit AS (SELECT doc_id, item_id, s, n FROM dw JOIN iw USING (n, k)),
         places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(s, s + n)) AS t(p) GROUP BY doc_id),
         items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
-                  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+                  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id),
+        iu AS (SELECT DISTINCT item_id, len(w) AS size, unnest(w) AS word FROM i),
+        sizes AS (SELECT item_id, size, count(*) AS n FROM iu GROUP BY ALL),
+        du AS (SELECT DISTINCT doc_id, unnest(w) AS word FROM d),
+        holds AS (SELECT doc_id, item_id, any_value(iu.size) AS size FROM du JOIN iu USING (word) JOIN sizes USING (item_id)
+                  GROUP BY doc_id, item_id, sizes.n HAVING count(*) = sizes.n),
+        spot AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d WHERE doc_id IN (SELECT doc_id FROM holds)),
+        mine AS (SELECT h.doc_id, h.item_id, h.size, spot.word, spot.p FROM holds h JOIN iu ON iu.item_id = h.item_id JOIN spot ON spot.doc_id = h.doc_id AND spot.word = iu.word),
+        near AS (SELECT DISTINCT a.doc_id, a.item_id FROM mine a JOIN mine b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.p >= a.p AND b.p < a.p + 2 * a.size
+                 JOIN sizes s ON s.item_id = a.item_id GROUP BY a.doc_id, a.item_id, a.p, s.n HAVING count(DISTINCT b.word) = s.n),
+        nears AS (SELECT doc_id, count(*) AS n_near FROM near GROUP BY doc_id)
         SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-               sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)""",
+               sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+        FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN nears USING (doc_id)""",
     "op4_mixing": """
         WITH RECURSIVE n AS (SELECT source, count(*)::DOUBLE AS n, sqrt(count(*)::DOUBLE) AS w FROM documents GROUP BY source),
         t AS (SELECT sum(n) AS a, sum(w) AS w FROM n),

@@ -242,6 +242,27 @@ def test_proximity(spark):
     assert sorted((r["query"], r["doc_id"], r["start"], r["end"]) for r in rows) == [("q", 1, 0, 3), ("q", 2, 1, 3), ("r", 2, 0, 3)]
 
 
+@pytest.mark.parametrize("block", [1_000_000, 5])
+def test_items_whose_words_lie_close_together(spark, monkeypatch, block):
+    """Items as their words in another order, with others between, too far apart, or repeated; against brute force."""
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    rng = np.random.default_rng(2)
+    words = [f"w{k}" for k in range(12)]
+    items = [(i, " ".join(rng.choice(words, n))) for i, n in enumerate([1, 2, 3, 5, 5, 8])] + [(90, None), (91, " !"), (None, "w1 w2")]
+    docs = [(i if i % 9 else None, " ".join(rng.choice(words, rng.integers(0, 40)))) for i in range(60)] + [(70, None), (71, ""), (1, docs_text := "w1 w2 w3"), (1, docs_text)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+
+    def near(text, item):
+        have, want = words_of(text), set(words_of(item))
+        size = 2 * len(words_of(item))
+        return bool(want) and any(want <= set(have[p : p + size]) for p in range(len(have)))
+
+    want = Counter((i, sum(near(t, x) for n, x in items if n is not None)) for i, t in docs)
+    got = decontaminate.decontaminate(d, b, near=True).select("doc_id", "n_near").collect()
+    assert Counter(map(tuple, got)) == want and max(n for _, n in want) > 3
+    assert {r["n_near"] for r in decontaminate.decontaminate(d, b.limit(0), near=True).collect()} == {0}
+
+
 # --- 4 ---
 
 
