@@ -3,8 +3,9 @@
 A page is a sequence of words and tags. A word scores by the features of its block: the elements around it, words of
 their classes, ids and roles, links, length and punctuation, and whether the page has its main text marked elsewhere.
 Tags score negative by their names. All weights are learnt from labelled pages (html_templates): those of features by
-logistic regression, those of tags by counts. One linear scan finds the contiguous run with the greatest sum: it is
-the main text, less the elements in it that score negative as a whole.
+logistic regression, those of tags by counts. A linear scan finds the contiguous run with the greatest sum. Elements that
+then score negative as a whole are taken out of the page, which leaves a gap that costs a little, and the same scan over
+what is left finds the run that is the main text.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ BLOCK = frozenset(
     " thead tr ul".split()
 )
 CLOSES_P = BLOCK - {"body", "html", "head"}
+#: What a run loses by a block inside it that is left out.
+APART = -0.5
 #: Elements whose text is a block of its own; the features of classes of these and of other block elements are apart.
 LEAVES = frozenset("address blockquote caption center dd dt figcaption h1 h2 h3 h4 h5 h6 legend li p pre summary td th".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -189,10 +192,6 @@ def parts(page: str) -> list[str | tuple[Block, list[Element]]]:
     return out
 
 
-#: Inside the run, and next to its ends, words count as something else when they score below minus this.
-CLEAR = 0.0
-
-
 @dataclass
 class Weights:
     """What a word scores by its block's features, and a tag by its name."""
@@ -272,32 +271,50 @@ def main_text(page: str | None, w: Weights | None = None, scan: bool = True) ->
     seen = parts(page)
     marked = any(isinstance(x, Block) and x.at.main for x in seen)
     each = [w.of(x, marked) if isinstance(x, Block) else w.tag.get(x, w.other_tag) for x in seen]
-    # a word counts from -1 to 1, so that a long advert doesn't outweigh what follows it; a tag a tenth of its odds
-    start, end = best_run([math.tanh(s / 2) * x.n if isinstance(x, Block) else s / 10 for x, s in zip(seen, each, strict=True)]) if scan else (0, len(each))
-    blocks = [(x, score * x.n) for x, score in zip(seen, each, strict=True) if isinstance(x, Block)]
-    first = sum(isinstance(x, Block) for x in seen[:start])
-    last = first + sum(isinstance(x, Block) for x in seen[start:end])
-    if first == last:
+    start, end = best_run([counted(x, s) for x, s in zip(seen, each, strict=True)])
+    around = holding([x for x in seen[start:end] if isinstance(x, Block)])
+    if around is None:
         return ""
-    # the run's ends take in what is next to them in the same element and not clearly something else
-    while first and beside(blocks[first][0], *blocks[first - 1]):
-        first -= 1
-    while last < len(blocks) and beside(blocks[last - 1][0], *blocks[last]):
-        last += 1
-    run = [x for x, _ in blocks[first:last]]
-    # elements whose words are clearly something else are no part of it, unless they hold all of the run
-    total: dict[Element, float] = defaultdict(float)
-    for x, score in blocks:
-        for at in x.at.line():
-            total[at] += score + CLEAR * x.n
-    whole = set(run[0].at.line())
-    for x in run:
-        whole.intersection_update(x.at.line())
-    return "\n".join(x.text for x in run if all(total[at] >= 0 or at in whole for at in x.at.line()))
+    own, apart = folded(seen, each, around)
+    start, end = best_run(own) if scan else (0, len(own))
+    return "\n".join(x.text for k, x in enumerate(seen[start:end], start) if isinstance(x, Block) and k not in apart)
+
+
+def counted(x: Block | str, score: float) -> float:
+    """What a block or a tag adds to a run: a word counts from -1 to 1, so that a long advert doesn't outweigh what follows
+    it; a tag a tenth of its odds."""
+    return math.tanh(score / 2) * x.n if isinstance(x, Block) else score / 10
 
 
-def beside(edge: Block, x: Block, score: float) -> bool:
-    return x.at.parent is edge.at.parent and x.at.parent is not None and score > -CLEAR * x.n
+def holding(blocks: list[Block]) -> set[Element] | None:
+    """The block elements that hold all of some blocks; None without blocks."""
+    return set.intersection(*(set(x.at.line()) for x in blocks)) if blocks else None
+
+
+def folded(seen: list[Block | str], each: list[float], around: set[Element]) -> tuple[list[float], set[int]]:
+    """(what everything adds to the run once elements are seen as a whole, places of blocks that no run takes in).
+
+    The words of an element that scores negative in all, unless it is one `around`, are left out of a run that goes on behind
+    them; each block of them counts APART, so that a run doesn't go on behind many for little. Words next to others count
+    as their element where that is better."""
+    total: dict[Element, float] = defaultdict(float)
+    words: dict[Element, int] = defaultdict(int)
+    for x, s in zip(seen, each, strict=True):
+        if isinstance(x, Block):
+            for at in x.at.line():
+                total[at] += s * x.n
+                words[at] += x.n
+
+    out, apart = [], set()
+    for k, (x, s) in enumerate(zip(seen, each, strict=True)):
+        if isinstance(x, Block):
+            worst = min((total[at] / words[at] for at in x.at.line() if at not in around), default=0.0)
+            if worst < 0:
+                apart.add(k)
+            elif s < 0 and words.get(x.at.parent):
+                s = max(s, total[x.at.parent] / words[x.at.parent])
+        out.append(APART if k in apart else counted(x, s))
+    return out, apart
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

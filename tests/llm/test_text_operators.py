@@ -349,6 +349,66 @@ def token_f1(seed, scan=True):
     return 2 * hit / (2 * hit + extra + missed)
 
 
+MENU = "".join(f"<li><a href={i}>Day {i}</a>" for i in range(12))
+
+
+@pytest.mark.parametrize("tail", ["<div><p>Set in small type.</p></div>", "<p>Made by hand in the hills.</p>", "<div>Kept since then.</div>", "<div><p>Printed on paper, every day.</p></div>"])
+def test_the_scan_decides(tail):
+    """What reads like main text but lies behind menus is no part of the run; nothing else would tell it apart."""
+    page = f"<body><div class=content><h1>High water</h1>{STORY}</div><ul class=menu>{MENU}</ul><ul class=related>{MENU}</ul>{tail}</body>"
+    assert html_extract.main_text(page) == f"High water\n{TOLD}"
+    assert html_extract.main_text(page, scan=False) != f"High water\n{TOLD}"
+
+
+def test_an_advert_in_the_middle_is_left_out_of_the_run():
+    advert = "<div class=advert>Buy our boats now <a href=x>and save a lot</a></div>" * 3
+    page = f"<body><nav><ul>{MENU}</ul></nav><article><h1>High water</h1>{STORY}{advert}{STORY}</article></body>"
+    assert html_extract.main_text(page) == f"High water\n{TOLD}\n{TOLD}"
+
+
+def test_main_text_by_brute_force():
+    """The run is the best of all runs, tried one by one, of a page without the elements that score negative."""
+    w, tried = html_extract.weights(), 0
+
+    def best(scores):
+        sums = np.r_[0.0, np.cumsum(scores)]
+        found = max(((sums[j] - sums[i], -i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=(0, 0, 0))
+        return (-found[1], found[2]) if found[0] > 1e-9 else (0, 0)
+
+    for page, _ in html_templates.labelled_pages(60, 5):
+        seen = html_extract.parts(page)
+        blocks = [isinstance(x, html_extract.Block) for x in seen]
+        marked = any(x.at.main for x, b in zip(seen, blocks, strict=True) if b)
+        each = [w.of(x, marked) if b else w.tag.get(x, w.other_tag) for x, b in zip(seen, blocks, strict=True)]
+        i, j = best([html_extract.counted(x, s) for x, s in zip(seen, each, strict=True)])
+        run = [x for x, b in zip(seen[i:j], blocks[i:j], strict=True) if b]
+        around = {e for x in run for e in x.at.line() if all(e in y.at.line() for y in run)}
+        own, apart = [], set()
+        for k, x in enumerate(seen):
+            s = each[k]
+            if blocks[k]:
+                mean = {}
+                for e in {*x.at.line(), x.at.parent} - {None}:
+                    inside = [(each[m], y.n) for m, y in enumerate(seen) if blocks[m] and e in y.at.line()]
+                    mean[e] = sum(a * n for a, n in inside) / sum(n for _, n in inside) if inside else None
+                if min([mean[e] for e in x.at.line() if e not in around], default=0) < 0:
+                    apart.add(k)
+                elif s < 0 and mean.get(x.at.parent) is not None:
+                    s = max(s, mean[x.at.parent])
+            own.append(html_extract.APART if k in apart else html_extract.counted(x, s))
+        i, j = best(own)
+        want = "\n".join(x.text for k, x in enumerate(seen[i:j], i) if blocks[k] and k not in apart)
+        assert html_extract.main_text(page) == want
+        tried += bool(want)
+    assert tried > 50
+
+
+def test_a_page_of_megabytes():
+    story = "".join(f"<p>In year {i} the river rose by a foot before the evening came, and people moved their cattle.</p>" for i in range(20_000))
+    text = html_extract.main_text(f"<body><nav><ul>{MENU}</ul></nav><article>{story}</article><footer>f</footer></body>")
+    assert text.count("\n") == 19_999 and text.startswith("In year 0 ") and text.endswith("cattle.")
+
+
 def test_html_on_held_out_pages_needs_the_scan():
     assert (found := token_f1(99)) > 0.96 and found > token_f1(99, scan=False)
     pages = [p for p, _ in html_templates.labelled_pages(200, 99)]
