@@ -1,11 +1,13 @@
 """Adaptive context-mixing range coder for blocks of token ids.
 
-Every block is coded from fresh state, an id in one step. Its probability mixes three predictions: the id that
+Every block is coded from fresh state, an id in one step. Its probability is a mixture of three predictions: the id that
 followed the last two ids here before (order 2), the id that followed the last one (order 1), and the counts of the
-block's ids so far (order 0). How much each weighs is counted by context: whether the latest predictions held, whether
-both orders agree, and whether order 2 knows its context. An id that the counts don't have yet follows by a fixed
-distribution over the vocabulary. Predictions of orders 1 and 2 change with every id; counts and weights are taken
-anew at places whose distance grows with the block, so that they are plain sorted tables in between.
+block's ids so far (order 0); an id's share is the sum of what all three give it. How much each weighs is counted by
+context: whether the latest predictions held, whether both orders agree, and whether order 2 knows its context. An id that
+none of them names follows by a fixed distribution over the vocabulary. Predictions of orders 1 and 2 change with every
+id; counts and weights are taken anew at places whose distance grows with the block, so that they are plain sorted tables
+in between. Shares lie in the order of the counted ids, each with the weights of the predictions that name it; then come
+predicted ids that aren't counted, order 1 before order 2, and then all others.
 
 The blocks of a chunk are coded in step, one numpy lane per block, by a range coder with 48-bit low and range in
 floats, whose whole numbers are exact, that emits 16-bit words; carries are added to the words at the end.
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 
 MAGIC = b"RSTK"
-VERSION = 3
+VERSION = 4
 #: Ids of a block.
 LENGTH = 1 << 14
 SLOTS = 1 << 12
@@ -174,17 +176,24 @@ def _encode(columns: np.ndarray, rest: int, vocabulary: int) -> list[bytes]:
                 m.two.take(two, out=c2[t], mode="clip")
                 m.two[two] = ids
             m.last, m.before = x[-1], last[-1]
-            is2 = c2 == x
-            is1 = (c1 == x) & ~is2
-            right = np.vstack([held, is1 | is2]).astype(np.int8)
+            is2, is1 = c2 == x, c1 == x
+            named = is1 | is2
+            right = np.vstack([held, named]).astype(np.int8)
             held = right[-3:].astype(bool)
             context = ((right[2:-1] + 2 * right[1:-2] + 4 * right[:-3]) * 4 + (c1 == c2) * 2 + (c2 >= 0)) + m.lane * CONTEXTS
             w2, w1 = m.w2.take(context), m.w1.take(context)
-            have = counts.take(x + m.lane * vocabulary)
+            w2[c2 < 0] = 0
+            w1[c1 < 0] = 0
+            words = m.lane * vocabulary
+            have = counts.take(x + words)
+            uncounted = have == 0
+            k1 = np.where(counts.take(c1 + words, mode="clip") > 0, c1, vocabulary)
+            k2 = np.where(counts.take(c2 + words, mode="clip") > 0, c2, vocabulary + 1)
+            at = np.where(uncounted, np.where(is1, vocabulary, vocabulary + 1), x)
+            new = uncounted & ~named
             both = w2 + w1
-            new = ~(is1 | is2) & (have == 0)
-            cum = np.where(is2, 0.0, np.where(is1, w2, both + np.where(new, float(m.size), have >> 15)))
-            freq = np.where(is2, w2, np.where(is1, w1, np.where(new, m.escape, have & 32_767)))
+            cum = np.where(new, both + m.size, np.where(uncounted, m.size, have >> 15) + w2 * (k2 < at) + w1 * (k1 < at))
+            freq = np.where(new, m.escape, (have & 32_767) + w2 * is2 + w1 * is1)
             total = both + m.base
             outcomes.append(context * 3 + np.where(is2, 0, np.where(is1, 1, 2)))
             step, fresh = np.nonzero(new)
@@ -245,6 +254,8 @@ def _decode(parts: list[bytes], length: int, rest: int, vocabulary: int) -> np.n
     m, d = Model(lanes), Decoder(parts)
     fixed, total_fixed = fixed_shares(vocabulary)
     columns = np.zeros((length, lanes), np.int32)
+    counts = np.zeros(lanes * vocabulary, np.int32)  # as in _encode
+    counted = np.zeros(0, np.int64)
     starts = places(length)
     x, spread = np.zeros(lanes, np.int32), np.zeros(lanes, np.int64)
     for t0, end in zip(starts, [*starts[1:], length], strict=True):
@@ -254,8 +265,12 @@ def _decode(parts: list[bytes], length: int, rest: int, vocabulary: int) -> np.n
             if a == t0:
                 m.renew(latest(columns[:, : m.n], t0))
                 outcomes = []
+                counts[counted] = 0
+                lane, first = np.divmod(m.first, max(m.size, 1))
+                counted = lane * vocabulary + m.sorted.ravel()[m.first]
+                counts[counted] = (first << 15) | m.times
                 ids0 = m.sorted.ravel() if t0 else np.zeros(1, np.int32)
-                first = (m.first % m.size).repeat(m.times).astype(float) if t0 else np.zeros(1)
+                first = first.repeat(m.times).astype(float) if t0 else np.zeros(1)
                 times = m.times.repeat(m.times).astype(float) if t0 else np.ones(1)
             else:  # the last lane is at its end
                 m.shrink(lanes - 1)
@@ -263,14 +278,21 @@ def _decode(parts: list[bytes], length: int, rest: int, vocabulary: int) -> np.n
             n = m.n
             if not n:
                 break
-            tables = m.w2, (both0 := m.w2 + m.w1), both0 + m.base.repeat(CONTEXTS)[: len(both0)]
-            rng, code, x, spread, escape = d.range[:n], d.code[:n], x[:n], spread[:n], m.escape[:n]
-            row, slots, contexts = m.lane * m.size, m.lane * SLOTS, m.lane * CONTEXTS
+            rng, code, x, spread, escape, base = d.range[:n], d.code[:n], x[:n], spread[:n], m.escape[:n], m.base[:n]
+            row, slots, contexts, words = m.lane * m.size, m.lane * SLOTS, m.lane * CONTEXTS, m.lane * vocabulary
             context = np.empty((b - a, n), np.int64)
             is2, right = np.empty((b - a, n), bool), np.empty((b - a, n), bool)
             i1, i2, h, held = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64), m.held
             c1, c2 = np.empty(n, np.int32), np.empty(n, np.int32)
-            w2, both, total, r, v = (np.empty(n) for _ in range(5))
+            w2, w1, total, r, v = (np.empty(n) for _ in range(5))
+
+            def counts_of(c: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                """Of predicted ids: what orders them, how many counted ids lie before, and how many are they."""
+                have = counts.take(words + c, mode="clip")
+                have[c < 0] = 0
+                some = have > 0
+                return np.where(some, c, place), np.where(some, have >> 15, float(m.size)), (have & 32_767).astype(np.float64)
+
             for t in range(b - a):
                 np.multiply(x, 40503, out=h)
                 np.right_shift(h, 3, out=i1)
@@ -290,19 +312,38 @@ def _decode(parts: list[bytes], length: int, rest: int, vocabulary: int) -> np.n
                 k += agree
                 k += c2 >= 0
                 k += contexts
-                for table, out in zip(tables, (w2, both, total), strict=True):
-                    table.take(k, out=out, mode="clip")
+                m.w2.take(k, out=w2, mode="clip")
+                m.w1.take(k, out=w1, mode="clip")
+                w2[c2 < 0] = 0
+                w1[c1 < 0] = 0
+                (k1, f1, n1), (k2, f2, n2) = counts_of(c1, vocabulary), counts_of(c2, vocabulary + 1)
+                np.add(w1, w2, out=total)
+                both = total.copy()
+                total += base
                 np.divide(rng, total, out=r)
                 np.floor(r, out=r)
                 np.divide(code, r, out=v)
-                past2, past = v >= w2, v >= both
-                v -= both
+                # where both orders name one id, its weights are one
+                one = np.where(agree, both, w1)
+                two, n2 = np.where(agree, 0.0, w2), np.where(agree, 0.0, n2)
+                turn = k1 > k2
+                fa, wa, ga, ca = np.where(turn, f2, f1), np.where(turn, two, one), np.where(turn, two + n2, one + n1), np.where(turn, c2, c1)
+                fb, wb, gb, cb = np.where(turn, f1, f2), np.where(turn, one, two), np.where(turn, one + n1, two + n2), np.where(turn, c1, c2)
+                fb += wa
+                ga += fa
+                gb += fb
+                past_a, past_b = v >= ga, v >= gb
+                in_a, in_b = (v >= fa) & ~past_a, (v >= fb) & ~past_b
+                in_b &= ~in_a
+                shift = np.where(past_a, wa, 0.0) + np.where(past_b & past_a, wb, 0.0)
+                v -= shift
                 slot = v.astype(np.int64)
-                fresh = (v >= m.size).nonzero()[0]
+                fresh = ((v >= m.size) & ~in_a & ~in_b).nonzero()[0]
+                np.minimum(slot, max(m.size - 1, 0), out=slot)
                 slot += row
-                x = np.where(past, ids0.take(slot, mode="clip"), np.where(past2, c1, c2))
-                cum = np.where(past, both + first.take(slot, mode="clip"), np.where(past2, w2, 0.0))
-                freq = np.where(past, times.take(slot, mode="clip"), np.where(past2, both - w2, w2))
+                x = np.where(in_a, ca, np.where(in_b, cb, ids0.take(slot, mode="clip")))
+                cum = np.where(in_a, fa, np.where(in_b, fb, shift + first.take(slot, mode="clip")))
+                freq = np.where(in_a, ga - fa, np.where(in_b, gb - fb, times.take(slot, mode="clip")))
                 if len(fresh):
                     cum[fresh] = both[fresh] + m.size
                     freq[fresh] = escape[fresh]
