@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -167,8 +168,9 @@ def size_batches(operations: DataFrame, order: str, size: str, most_bytes: int,
     would take it beyond most_bytes, or when it has most_operations. An operation larger than most_bytes by itself is in
     no batch: its batch is null.
 
-    Where one lies depends on all before it, so a group is read in order by one task, a row at a time. Give a very large
-    connection's parts (ranges of `order`, say) as another column of `by`: no batch reaches over two of them.
+    Where one lies depends on all before it, so a group is read in order by one task, batch after batch: each one's end is
+    looked up in running sums. Give a very large connection's parts (ranges of `order`, say) as another column of `by`: no
+    batch reaches over two of them.
     """
     names = operations.columns
     i, keys = names.index(size), [names.index(c) for c in by]
@@ -177,23 +179,38 @@ def size_batches(operations: DataFrame, order: str, size: str, most_bytes: int,
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, batch, n, held = None, 0, 0, 0
         for b in batches:
-            out: list[int | None] = []
-            for key, nbytes in zip(zip(*(b.column(k).to_pylist() for k in keys), strict=True), b.column(i).to_pylist(), strict=True):
+            nbytes = b.column(i).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            out, lost = np.zeros(b.num_rows, np.int64), nbytes > most_bytes
+            for first, end in groups_of([b.column(k) for k in keys], b.num_rows):
+                key = tuple(b.column(k)[first].as_py() for k in keys)
                 if key != last:
                     last, batch, n, held = key, 0, 0, 0
-                nbytes = nbytes or 0
-                if nbytes > most_bytes:
-                    out.append(None)
-                    continue
-                if n and (n >= most_operations or held + nbytes > most_bytes):
-                    batch, n, held = batch + 1, 0, 0
-                n, held = n + 1, held + nbytes
-                out.append(batch)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=[*names, "batch"])
+                rows = np.flatnonzero(~lost[first:end]) + first
+                sums, at = np.cumsum(nbytes[rows]), 0
+                while at < len(rows):
+                    before = int(sums[at - 1]) if at else 0
+                    fit = min(int(np.searchsorted(sums, before + most_bytes - held, "right")) - at, most_operations - n)
+                    if fit <= 0:  # what is open is closed; an empty batch takes any row that is in one at all
+                        batch, n, held = batch + 1, 0, 0
+                        continue
+                    out[rows[at : at + fit]] = batch
+                    held, n, at = held + int(sums[at + fit - 1]) - before, n + fit, at + fit
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32(), mask=lost)], names=[*names, "batch"])
 
     return spread.mapInArrow(pack, T.StructType([*operations.schema.fields, T.StructField("batch", T.IntegerType())]))
 
 
+def groups_of(columns: list[pa.Array], n: int) -> Iterator[tuple[int, int]]:
+    """Start and end of the runs of equal values in all columns."""
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in columns:
+        codes = c.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    edges = [*np.flatnonzero(new).tolist(), n]
+    yield from zip(edges[:-1], edges[1:], strict=True)
+
+
 def purge_references(changes: DataFrame, deleted: DataFrame) -> DataFrame:
     """Changes whose unresolved reference isn't a deleted object's, without regard to case."""
     gone = deleted.select(F.lower("external_id").alias("_r")).distinct()

@@ -18,7 +18,7 @@ from rillstone.plans.catalog import CHANGED, CUSTOMER, MAPPINGS, NOW, ORDER, QUE
 from rillstone.schema import Attribute, Kind, ObjectType
 from rillstone.session import scratch, stored
 from rillstone.sources import files, relational, rest, staging
-from rillstone.streaming import confirmation, hints
+from rillstone.streaming import changes, confirmation, hints
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -323,8 +323,8 @@ def tick_drift(spark, d):
 def bloom_recall(spark, d):
     """Orders' references to customers that a run deletes, filtered where they are read."""
     refs = table(spark, d, "orders").select(F.col("o_orderkey").alias("owner"), F.lit("customer").alias("attr"), F.col("o_custkey").alias("ref"))
-    changes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") < 0, "delete").otherwise("none").alias("change"))
-    return recall.recalled(changes, refs, refs.filter("owner % 2 = 0"), scratch(spark)).select("owner", "ref", "held")
+    deleted = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") < 0, "delete").otherwise("none").alias("change"))
+    return recall.recalled(deleted, refs, refs.filter("owner % 2 = 0"), scratch(spark)).select("owner", "ref", "held")
 
 
 @query_for("""WITH RECURSIVE e AS (SELECT o_orderkey AS effect, o_orderkey // 2 AS cause FROM orders UNION ALL SELECT o_orderkey, o_orderkey // 5 FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT 1, 3),
@@ -476,3 +476,15 @@ def applied_adds(spark, d):
     rows = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("p"))
     after = diff.applied(F.col("p"), F.filter("p", lambda x: x.startswith("1")), F.array(F.lit("0-NEW"), F.lit("5-LOW")))
     return rows.select("o_custkey", F.array_join(F.array_sort(after), ",").alias("values"))
+
+
+@query_for("""SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND event_id % 5 <> 0""")
+def cdc_stream(spark, d):
+    """A change log read in two runs, of which the second brings some older changes too; the rows that it amounts to."""
+    at, schema = scratch(spark), "event_id long, user_id long, event_type string, kind string"
+    kind = F.when(F.col("event_id") % 5 == 0, "D").otherwise("U")
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", kind.alias("kind"))
+    for part in (e.filter("event_id % 4 < 3"), e.filter("event_id % 4 = 3")):
+        part.write.mode("append").parquet(f"{at}/log")
+        changes.append_changes(spark.readStream.schema(schema).parquet(f"{at}/log"), f"{at}/rows", "user_id", "event_id", f"{at}/checkpoint").awaitTermination()
+    return changes.current_rows(spark, f"{at}/rows", schema, "user_id", "event_id", "kind").select("event_id", "user_id", "event_type")

@@ -60,6 +60,28 @@ def stream_changes(stream: DataFrame, table: VersionedTable, key: str, sequence:
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def append_changes(stream: DataFrame, path: str, key: str, sequence: str, checkpoint: str) -> StreamingQuery:
+    """Write each batch's last change of every key to a folder of its own, whole or again: a batch writes what it brings and
+    reads nothing. Runs until all there is has been read."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        latest_per_key(batch, key, sequence).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_rows(spark: SparkSession, path: str, schema: str, key: str, sequence: str, kind: str) -> DataFrame:
+    """What the changes of `append_changes` amount to: each key's last row, unless that deletes it (kind D)."""
+    rows = spark.read.schema(f"{schema}, batch long").option("basePath", path).parquet(path).drop("batch")
+    return latest_per_key(rows, key, sequence).filter(F.col(kind) != "D")
+
+
+def compact(spark: SparkSession, path: str, into: str, schema: str, key: str, sequence: str) -> None:
+    """Each key's last change, deletions too (later batches may bring older ones), as the one batch of another folder."""
+    rows = spark.read.schema(f"{schema}, batch long").option("basePath", path).parquet(path).drop("batch")
+    latest_per_key(rows, key, sequence).write.parquet(f"{into.rstrip('/')}/batch=-1")
+
+
 def windowed_counts(stream: DataFrame, at: str, by: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts per window of event time and `by`, for streams and tables. An addition, for event data."""
     return stream.withWatermark(at, late).groupBy(F.window(at, window).alias("w"), by).agg(F.count("*").alias("n"))

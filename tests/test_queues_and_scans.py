@@ -198,3 +198,52 @@ def test_a_preview_stops_when_its_time_is_up(spark, tmp_path, seconds, want):
 def test_a_budget_needs_slices(spark):
     with pytest.raises(ValueError):
         summarise.within_budget(spark.range(1), "id", lambda x: x, 1, scratch(spark), 0)
+
+
+# --- batches and change logs ---
+
+
+@pytest.mark.parametrize("rows_a_batch", [3, 10_000])
+def test_batches_by_running_sums(spark, rows_a_batch):
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([0, 5, 40, 99, 100, 101, None])) for i in range(600)]
+    want, state = {}, {}
+    for g, i, n in sorted(rows, key=lambda r: r[1]):
+        batch, count, held = state.get(g, (0, 0, 0))
+        size = n or 0
+        if size > 100:
+            want[i] = None
+            continue
+        if count and (count >= 6 or held + size > 100):
+            batch, count, held = batch + 1, 0, 0
+        state[g], want[i] = (batch, count + 1, held + size), batch
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+    try:
+        got = outbound.size_batches(spark.createDataFrame(rows, "g string, i int, n int").repartition(5), "i", "n", 100, 6, ["g"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r["i"]: r["batch"] for r in got} == want
+
+
+def test_a_change_log_that_is_only_appended(spark, tmp_path):
+    from rillstone.streaming import changes
+
+    schema = "k int, seq int, kind string, n string"
+    src, at, cp = (str(tmp_path / x) for x in ("in", "rows", "cp"))
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        changes.append_changes(spark.readStream.schema(schema).parquet(src), at, "k", "seq", cp).awaitTermination()
+        return sorted(map(tuple, changes.current_rows(spark, at, schema, "k", "seq", "kind").collect()))
+
+    assert run([(1, 1, "I", "a"), (1, 2, "U", "b"), (2, 3, "I", "c"), (3, 4, "I", "d")]) == [(1, 2, "U", "b"), (2, 3, "I", "c"), (3, 4, "I", "d")]
+    assert run([(1, 5, "D", None), (2, 1, "U", "late"), (4, 6, "I", "e")]) == [(2, 3, "I", "c"), (3, 4, "I", "d"), (4, 6, "I", "e")]
+    changes.compact(spark, at, str(tmp_path / "small"), schema, "k", "seq")
+    small = changes.current_rows(spark, str(tmp_path / "small"), schema, "k", "seq", "kind")
+    assert sorted(map(tuple, small.collect())) == [(2, 3, "I", "c"), (3, 4, "I", "d"), (4, 6, "I", "e")]
+    spark.createDataFrame([(1, 3, "U", "older than its deletion")], schema).write.parquet(str(tmp_path / "small" / "batch=7"))
+    assert small.sparkSession.read.parquet(str(tmp_path / "small")).count() == 5
+    assert sorted(r["k"] for r in changes.current_rows(spark, str(tmp_path / "small"), schema, "k", "seq", "kind").collect()) == [2, 3, 4]
