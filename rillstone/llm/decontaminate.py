@@ -121,25 +121,27 @@ def digest_of(text_col: str) -> Column:
 
 @dataclass
 class Block:
-    """Query windows: `terms` (a row per window, -1 beyond its size), the `item` each is of, and the vocabulary."""
+    """Query windows: `terms` (a row per window, -1 beyond its size), the `item` each is of, the vocabulary, and `whole`:
+    each item's distinct terms and its number of words."""
 
     items: list
     vocabulary: dict[bytes, int]
     terms: np.ndarray
     item: np.ndarray
     size: np.ndarray
+    whole: list[tuple[np.ndarray, int]]
     rank: np.ndarray | None = None
 
 
 def blocks_of(items: Iterable[tuple], window: int) -> Iterator[Block]:
     """Blocks of the windows of (item_id, text); a text of fewer words, but not none, is one window."""
-    names, vocabulary, rows, owner, total = [], {}, [], [], 0
+    names, vocabulary, rows, owner, whole, total = [], {}, [], [], [], 0
 
     def closed() -> Block:
         terms = np.full((len(rows), window), -1, np.int64)
         for k, r in enumerate(rows):
             terms[k, : len(r)] = r
-        return Block(names, vocabulary, terms, np.array(owner, np.int64), (terms >= 0).sum(1))
+        return Block(names, vocabulary, terms, np.array(owner, np.int64), (terms >= 0).sum(1), whole)
 
     for item, text in items:
         ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)]
@@ -149,10 +151,11 @@ def blocks_of(items: Iterable[tuple], window: int) -> Iterator[Block]:
             rows.append(ids[s : s + window])
             owner.append(len(names))
         names.append(item)
+        whole.append((np.unique(ids), len(ids)))
         total += len(ids)
         if total >= BLOCK_WORDS:
             yield closed()
-            names, vocabulary, rows, owner, total = [], {}, [], [], 0
+            names, vocabulary, rows, owner, whole, total = [], {}, [], [], [], 0
     if rows:
         yield closed()
 
@@ -228,8 +231,43 @@ class Segment:
     def doc_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.base, at, "right") - 1
 
+    def spans(self, terms: np.ndarray, within: int) -> list[tuple[int, int]]:
+        """First and last place of the least spans of at most `within` words of one document that hold all terms: lists are
+        cut to what lies near the rarest term's places, then walked once."""
+        lo, hi = np.searchsorted(self.keys, terms << 40), np.searchsorted(self.keys, (terms + 1) << 40)
+        if not len(terms) or (lo == hi).any():
+            return []
+        lists = [self.keys[i:j] & ((1 << 40) - 1) for i, j in zip(lo, hi, strict=True)]
+        rare, near = min(lists, key=len), []
+        for at in sorted(lists, key=len):  # rarest first: an empty one ends it
+            i = np.minimum(np.searchsorted(rare, at), len(rare) - 1)
+            gap = np.minimum(abs(rare[i] - at), abs(rare[np.maximum(i - 1, 0)] - at))
+            near.append(at[gap < within])
+            if not len(near[-1]):
+                return []
+        places = np.concatenate(near)
+        owner = np.repeat(np.arange(len(near)), [len(x) for x in near])
+        order = np.argsort(places, kind="stable")
+        last, found = [-(1 << 41)] * len(near), []
+        for p, k in zip(places[order].tolist(), owner[order].tolist(), strict=True):
+            last[k] = p
+            first = min(last)
+            if p - first < within:
+                d = self.doc_of(np.array([first, p]))
+                if d[0] == d[1] and (not found or first > found[-1][0]):
+                    found.append((first, p))
+        return found
+
+    def scattered(self, b: Block) -> np.ndarray:
+        """For each document, of how many items it holds all words, in any order, within twice as many words."""
+        n = np.zeros(len(self.ids), np.int64)
+        for terms, size in b.whole:
+            if spans := self.spans(terms, 2 * size):
+                n[np.unique(self.doc_of(np.array([first for first, _ in spans])))] += 1
+        return n
 
-_MATCH = "segment string, ord int, doc_id long, digest binary, n_words long, starts array<long>, ends array<long>, items array<long>"
+
+_MATCH = "segment string, ord int, doc_id long, digest binary, n_words long, starts array<long>, ends array<long>, items array<long>, near long"
 _MATCH_ARROW = pa.schema(
     [
         ("segment", pa.string()),
@@ -240,11 +278,12 @@ _MATCH_ARROW = pa.schema(
         ("starts", pa.list_(pa.int64())),
         ("ends", pa.list_(pa.int64())),
         ("items", pa.list_(pa.int64())),
+        ("near", pa.int64()),
     ]
 )
 
 
-def _match_block(index: DataFrame, block: Block) -> DataFrame:
+def _match_block(index: DataFrame, block: Block, near: bool) -> DataFrame:
     n = term_counts(index, block.vocabulary)
     frequency = np.where(block.terms >= 0, n[block.terms], np.iinfo(np.int64).max)
     block.rank = np.argsort(frequency, axis=1, kind="stable")
@@ -267,6 +306,7 @@ def _match_block(index: DataFrame, block: Block) -> DataFrame:
                 out["ends"].append(last)
                 out["items"].append(sorted({b.items[i] for i in np.unique(b.item[w])}))
             ords = [*range(len(seg.ids))]
+            out["near"] = seg.scattered(b) if near else [0] * len(ords)
             yield {"segment": [row[0]] * len(ords), "ord": ords, "doc_id": seg.ids, "digest": row[1], "n_words": seg.sizes} | out
 
     return map_rows(index, run, _MATCH, _MATCH_ARROW)
@@ -281,20 +321,19 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], far[np.r_[new[1:], True]]
 
 
-def matches(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = 10, kept: bool = False) -> DataFrame:
-    """Exact phrase matches, a row per indexed document: its words, merged spans (starts, ends in words), and item ids.
+def matches(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = 10, near: bool = False) -> DataFrame:
+    """Exact phrase matches, a row per indexed document: its words, merged spans (starts, ends in words), and item ids; and
+    with `near`, of how many items the words lie close together, in any order (within twice as many words).
 
-    kept: the index is a table already; else it is written first.
 
     The items are the query set: they are streamed through the driver in blocks of BLOCK_WORDS words, each block
     meets all segments, and the blocks' spans and items are united per document.
     """
-    if not kept:
-        index = stored(index, work_dir(index.sparkSession), "index")
+    index = stored(index, work_dir(index.sparkSession), "index")
     rows = items.select(F.col(id_col).cast("long"), text_col).toLocalIterator()
     found, many = None, False
     for k, block in enumerate(blocks_of(rows, window)):
-        part = _match_block(index, block)
+        part = _match_block(index, block, near)
         found = part if found is None else found.union(part)
         many = k > 0
     if found is None:
@@ -302,7 +341,7 @@ def matches(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_co
         docs = index.select("segment", F.posexplode(F.arrays_zip("ids", "digests", "sizes")).alias("ord", "d"))
         return docs.select(
             "segment", "ord", F.col("d.ids").alias("doc_id"), F.col("d.digests").alias("digest"), F.col("d.sizes").alias("n_words"),
-            none.alias("starts"), none.alias("ends"), none.alias("items"),
+            none.alias("starts"), none.alias("ends"), none.alias("items"), F.lit(0).cast("long").alias("near"),
         )
     if not many:
         return found
@@ -316,16 +355,16 @@ def matches(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_co
             out["starts"].append(first)
             out["ends"].append(last)
             out["items"].append(sorted({y for z in i for y in z}))
-        yield {k: x[k] for k in keys} | out
+        yield {k: x[k] for k in (*keys, "near")} | out
 
     keys = ["segment", "ord", "doc_id", "digest", "n_words"]
-    by = found.groupBy(*keys).agg(*(F.collect_list(c).alias(c) for c in ("starts", "ends", "items")))
+    # an item is in one block, so what blocks have found is added up
+    by = found.groupBy(*keys).agg(*(F.collect_list(c).alias(c) for c in ("starts", "ends", "items")), F.sum("near").alias("near"))
     return map_rows(by, unite, _MATCH, _MATCH_ARROW)
 
 
 def proximity(index: DataFrame, queries: list[tuple[str, list[str]]] | list[tuple[str, list[str], int]], within: int = 0) -> DataFrame:
-    """(query, doc_id, start, end, segment, ord): least spans of at most `within` words that hold all words of a query, in
-    any order; segment and ord name the document's row.
+    """(query, doc_id, start, end): least spans of at most `within` words that hold all words of a query, in any order.
 
     queries: (name, words) or (name, words, within), broadcast. A span is least when no shorter span inside it holds all the words. A word that
     repeats counts once; a query without words finds nothing; documents without words, repeated ones and null ids are
@@ -336,61 +375,18 @@ def proximity(index: DataFrame, queries: list[tuple[str, list[str]]] | list[tupl
 
     def run(x: dict) -> Iterator[dict]:
         vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws, _ in spread.value for w in ws}))}
-        for segment, *row in zip(*(x[k] for k in ("segment", "ids", "sizes", "terms", "counts", "postings")), strict=True):
+        for row in zip(*(x[k] for k in ("ids", "sizes", "terms", "counts", "postings")), strict=True):
             seg = Segment(*row, vocabulary)
-            out: dict[str, list] = {k: [] for k in ("query", "doc_id", "start", "end", "segment", "ord")}
+            out: dict[str, list] = {k: [] for k in ("query", "doc_id", "start", "end")}
             for name, words, within in spread.value:
-                lists = []
-                for w in words:
-                    lo, hi = np.searchsorted(seg.keys, [vocabulary[w] << 40, (vocabulary[w] + 1) << 40])
-                    lists.append(seg.keys[lo:hi] & ((1 << 40) - 1))
-                if not lists or not all(map(len, lists)):
-                    continue
-                rare = min(lists, key=len)
-                near = []
-                for k, at in enumerate(lists):  # only what lies near the rarest word
-                    i = np.minimum(np.searchsorted(rare, at), len(rare) - 1)
-                    gap = np.minimum(abs(rare[i] - at), abs(rare[np.maximum(i - 1, 0)] - at))
-                    near += [(p, k) for p in at[gap < within].tolist()]
-                last = dict.fromkeys(range(len(lists)), -(1 << 41))
-                spans: list[tuple[int, int]] = []
-                for p, k in sorted(near):
-                    last[k] = p
-                    first = min(last.values())
-                    if p - first < within:
-                        d = seg.doc_of(np.array([first, p]))
-                        if d[0] == d[1] and (not spans or first > spans[-1][0]):
-                            spans.append((first, p))
-                for first, p in spans:
+                for first, p in seg.spans(np.array([vocabulary[w] for w in words], np.int64), within):
                     d = int(seg.doc_of(np.array([first]))[0])
-                    for c, v in zip(out, (name, seg.ids[d], first - int(seg.base[d]), p + 1 - int(seg.base[d]), segment, d), strict=True):
+                    for c, v in zip(out, (name, seg.ids[d], first - int(seg.base[d]), p + 1 - int(seg.base[d])), strict=True):
                         out[c].append(v)
             yield out
 
-    out = pa.schema([("query", pa.string()), ("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("segment", pa.string()), ("ord", pa.int32())])
-    return map_rows(index, run, "query string, doc_id long, start long, end long, segment string, ord int", out)
-
-
-def scattered_items(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(segment, ord, n_near): documents that hold all words of an item, in any order, within twice as many words as the
-    item has, and how many items they hold so. Items are asked for in blocks of BLOCK_WORDS words."""
-    found, block, held = None, [], 0
-
-    def asked() -> DataFrame:
-        part = proximity(index, block).select("segment", "ord", "query").distinct()
-        return part if found is None else found.union(part)
-
-    for name, text in items.select(F.col(id_col).cast("string"), text_col).filter(F.col(id_col).isNotNull()).toLocalIterator():
-        if n := len(words_of(text)):
-            block.append((name, [text], 2 * n))
-            held += n
-        if held >= BLOCK_WORDS:
-            found, block, held = asked(), [], 0
-    if block:
-        found = asked()
-    if found is None:
-        return index.sparkSession.createDataFrame([], "segment string, ord int, n_near long")
-    return found.distinct().groupBy("segment", "ord").agg(F.count("*").alias("n_near"))
+    out = pa.schema([("query", pa.string()), ("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+    return map_rows(index, run, "query string, doc_id long, start long, end long", out)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, near: bool = False) -> DataFrame:
@@ -400,13 +396,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, near:
     wordless texts have no words and are clean; a benchmark item without words or id names nothing. Repeated rows
     each get their row, however many blocks the benchmark takes; items of equal text are all named. Texts are indexed
     whole; an empty table gives no rows, an empty benchmark no hits. Only the id and the text of docs are read. With `near`
-    there is n_near too: the items whose words all lie close together in the document (see scattered_items).
+    there is n_near too: the items whose words all lie close together in the document (see matches).
     """
-    index = stored(build_index(docs), work_dir(docs.sparkSession), "index")
-    found = matches(index, benchmark, window=window, kept=True)
+    found = matches(build_index(docs), benchmark, window=window, near=near)
     hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
     out = ["doc_id", "digest", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", (hit > 0).alias("contaminated")]
-    if near:
-        found = found.join(scattered_items(index, benchmark), ["segment", "ord"], "left")
-        out.append(F.coalesce("n_near", F.lit(0)).alias("n_near"))
-    return found.select(*out)
+    return found.select(*out, *([F.col("near").alias("n_near")] if near else []))
