@@ -119,7 +119,8 @@ def dedup_lines(
     A line's key is the line without ASCII white space at its ends, A-Z in lower case. Keys of at least min_chars
     code points in at least min_docs documents lose all their lines but those in the greatest document that holds
     them. Null and empty texts are one empty line. Rows that share an id are one document in the counts; rows with
-    a null id are not counted and keep all lines. with_text adds the text, for reading the bitmap.
+    a null id are not counted and keep all lines. Texts and lines of any length are read whole; an empty table gives no
+    rows; other columns, of any name, are not read. with_text adds the text, for reading the bitmap.
     """
     at = work_dir(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("t"))

@@ -329,7 +329,8 @@ def near_duplicates(
     At similarity 0.8 a pair of different texts shares a band with probability 1 - (1 - 0.8^rows)^bands =
     0.9998. n_links counts the verified links of a document's text to other texts, as far as they were
     needed to join the class. Equal word sequences are one node. A document without words (null, empty,
-    only punctuation) is a class of its own; a null id has a null class; rows that share an id are one document.
+    only punctuation) is a class of its own; a null id has a null class; rows that share an id are one document. Texts of
+    any length are read whole; an empty table gives no rows; other columns, of any name, are not read.
     """
     at = work_dir(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))

@@ -264,7 +264,8 @@ def classify_quality(
     rounds all unlabelled documents are scored, and each view's surest distinct feature rows of a class are given to the
     other: `share` of the unlabelled rows, but per_class at least and most_taught at most, a bound on what is fitted. A row
     is taken once. keep: quality is at least a half and toxicity below a half. A label that is missing or of one class only teaches nothing: its score is null, and it rejects nothing.
-    Null texts are empty, long ones are read whole; rows that share an id share its label, equal rows have equal scores;
+    Null texts are empty, long ones are read whole; rows that share an id share its label, equal rows have equal scores,
+    and among equally sure rows the one with the least hash of its features teaches first;
     an empty table gives no rows. Columns of docs other than those named aren't read and may have any name.
     """
     meta = [c for c in meta_cols if c in docs.columns]

@@ -14,14 +14,17 @@ from rillstone.llm.common import encode, map_rows, read_table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text scanned; a document is its own repository, its source the owner."""
     return secrets.scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts to ids, written in the range-coded format in order of ids and read back from it."""
     return token_output.token_output(read_table(spark, sf_dir, "documents"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark items: words hit by windows, items named, and items whose words lie close together."""
     docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     found = decontaminate.decontaminate(docs, items, near=True)
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -31,18 +34,22 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of all documents towards the square root of their sources' sizes."""
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html_extract.extract(read_table(spark, sf_dir, "pages"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learnt from the labels table and the unlabelled documents."""
     return quality.classify_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines dropped from every document, with a digest of what its bitmap keeps."""
     found = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), with_text=True)
 
     def digest(x: dict) -> Iterator[dict]:
@@ -56,14 +63,17 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The owner of every text; of equal ones the greatest id stays."""
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"), largest=True)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of every document."""
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learnt from the labelled rows of the fold."""
     return language_id.identify(read_table(spark, sf_dir, "documents"))
 
 
@@ -85,6 +95,7 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
