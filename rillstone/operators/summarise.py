@@ -80,6 +80,11 @@ def within_budget(df: DataFrame, key: str, work: Callable[[DataFrame], DataFrame
     return df.sparkSession.read.option("basePath", at).parquet(*(f"{at}/slice={n}" for n in range(done))).drop("slice"), done
 
 
+def ranges(df: DataFrame, by: list[str], columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """The least and greatest value of each column by group, under the two names it is given."""
+    return df.groupBy(*by).agg(*(f(c).alias(n) for c, names in columns.items() for f, n in zip((F.min, F.max), names, strict=True)))
+
+
 def category_counts(df: DataFrame, category: str, order: str, most: int, budget: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(exact counts by category, sample rows): at most `most` rows a category, the first by `order`, and at most `budget` in all.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillstone.functions.expressions import attributes_of, coerced, compile_expression
-from rillstone.operators import diff, lifecycle, match, outbound, page_index, recall, summarise, ticks
+from rillstone.operators import criteria, diff, lifecycle, match, outbound, page_index, recall, summarise, ticks
 from rillstone.operators.criteria import Criterion, Group, Relative
 from rillstone.plans import pipeline
 from rillstone.plans.catalog import CHANGED, CUSTOMER, MAPPINGS, NOW, ORDER, QUERIES, SQL, query_for, snapshots, table, target_rows
@@ -488,3 +488,44 @@ def cdc_stream(spark, d):
         part.write.mode("append").parquet(f"{at}/log")
         changes.append_changes(spark.readStream.schema(schema).parquet(f"{at}/log"), f"{at}/rows", "user_id", "event_id", f"{at}/checkpoint").awaitTermination()
     return changes.current_rows(spark, f"{at}/rows", schema, "user_id", "event_id", "kind").select("event_id", "user_id", "event_type")
+
+
+@query_for("""SELECT event_id, user_id, event_type FROM events""")
+def delta_cycle(spark, d):
+    """Three delta runs over a log that grows, each from the stored watermark of the last: rows that came late lie within the
+    overlap and are read again, and an upsert takes them once."""
+    at = scratch(spark)
+    micros = F.unix_micros(F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))))
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", micros.alias("at"))
+    ends = e.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
+    lo, hi = ends["lo"] or 0, ends["hi"] or 0
+    marks, held, late = None, None, 3_600_000_000
+    for n in range(3):
+        upto = lo + (hi - lo) * (n + 1) // 3
+        # a row with an id divisible by seven is seen half an hour after its time
+        seen = e.filter(F.col("at") + F.when(F.col("event_id") % 7 == 0, late // 2).otherwise(0) <= (upto if n < 2 else hi + late))
+        known = relational.Watermarks.loads(marks, "column")
+        mark = relational.watermark_value(*known.own["events"]) if known else None
+        top = seen.agg(F.max("at")).first()[0] or 0  # when the run begins
+        new = relational.changed_since(seen, "at", None if mark is None else mark - late)
+        held = stored(new if held is None else files.upsert(held, new, ["event_id"]), at, f"run-{n}")
+        marks = relational.Watermarks("column", {"events": relational.watermark_text(top)}).dumps()
+    return held.select("event_id", "user_id", "event_type")
+
+
+@query_for("""SELECT o_orderstatus AS type, min(o_orderkey) AS low, max(o_orderkey) AS high, min(o_orderdate) AS first, max(o_orderdate) AS last FROM orders GROUP BY 1""")
+def value_ranges(spark, d):
+    """The least and greatest key and date of each type: bounds of a parallel scan and marks of the next delta."""
+    return summarise.ranges(table(spark, d, "orders").withColumnRenamed("o_orderstatus", "type"), ["type"], {"o_orderkey": ("low", "high"), "o_orderdate": ("first", "last")})
+
+
+@query_for("""SELECT o_custkey, list_contains(list(o_orderpriority), '1-URGENT') AS urgent, min(o_orderpriority) = '1-URGENT' AS first_is, min(o_orderpriority) >= '2' AS later, count(DISTINCT o_orderpriority) AS n FROM orders GROUP BY 1""")
+def list_values(spark, d):
+    """Lists in expressions, and in criteria, where their least value counts."""
+    t = ObjectType("customer", (Attribute("o_custkey", Kind.LONG), Attribute("priorities", many=True)), "o_custkey")
+    rows = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("priorities"))
+    known = attributes_of({"priorities": Kind.TEXT}, frozenset({"priorities"}))
+    holds = compile_expression('CollectionContains(cs["priorities"], "1-URGENT")', cs=known).column
+    first = criteria.criterion(Criterion("priorities", "eq", "1-URGENT"), t, NOW)
+    later = ~criteria.criterion(Criterion("priorities", "starts", "1"), t, NOW)
+    return rows.select("o_custkey", holds.alias("urgent"), first.alias("first_is"), later.alias("later"), F.size("priorities").cast("long").alias("n"))
