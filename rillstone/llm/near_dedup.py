@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillstone.llm.common import SLICE, counted, joined_salted, map_rows, mix, shingles_of, stored, with_group_min, word_hashes, work_dir
+from rillstone.llm.common import SLICE, counted, map_rows, mix, shingles_of, stored, with_group_min, word_hashes, work_dir
 
 #: A shingle is frequent when at least this share of all texts holds it; others have the greatest weight.
 FREQUENT = 0.02
@@ -204,9 +204,11 @@ def _verified(edges: DataFrame, texts: DataFrame, weights: Weights, threshold: f
         sim = [weighted_jaccard(weigh(p), weigh(q)) for p, q in zip(x["p"], x["q"], strict=True)]
         yield {"a": x["a"], "b": x["b"], "similarity": sim, "linked": [s >= threshold for s in sim]}
 
-    sides = edges.join(texts.select(F.col("doc_id").alias("b"), F.col("t").alias("q")), "b")
-    # the least of a large group is in very many edges: its text goes once to each of its salts
-    sides = joined_salted(sides, "a", texts.select(F.col("doc_id").alias("a"), F.col("t").alias("p")), "b").filter("p is not null")
+    # the least of a large group is in very many edges: its text goes out once for every HUB of them, and they meet there
+    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("group_rows") / HUB)).alias("salt")
+    edges = with_group_min(edges, ["a"], "b", "b").select("a", "b", salt)
+    hubs = edges.select("a", "salt").distinct().join(texts.select(F.col("doc_id").alias("a"), F.col("t").alias("p")), "a")
+    sides = edges.join(texts.select(F.col("doc_id").alias("b"), F.col("t").alias("q")), "b").join(hubs, ["a", "salt"])
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64()), ("linked", pa.bool_())])
     schema = "a long, b long, similarity double, linked boolean"
     return map_rows(sides.select("a", "b", "p", "q"), run, schema, out)
@@ -235,6 +237,8 @@ def components(links: DataFrame, at: str) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("class_id")).union(roots)
 
 
+#: Edges of one document that are compared in one place.
+HUB = 512
 #: Documents of a block in the comparison of a group whose members are of several classes.
 BLOCK = 256
 _COLUMNS = 4_096
