@@ -628,6 +628,17 @@ def test_near_duplicates(spark, docs, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_a_hub_of_very_many_edges(spark, monkeypatch):
+    """The text of a large group's least document meets its edges in several places, each edge in one."""
+    base = " ".join(f"w{k}" for k in range(120))
+    rows = [(i, base + f" tail{i} end{i}") for i in range(90)] + [(i, f"other words of document {i} that nothing shares") for i in range(100, 110)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for hub in (near_dedup.HUB, 7, 1):
+        monkeypatch.setattr(near_dedup, "HUB", hub)
+        got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()}
+        assert got == {i: 0 if i < 90 else i for i, _ in rows}
+
+
 def test_weighted_samples_agree_as_jaccard():
     rng = np.random.default_rng(5)
     keys = np.sort(rng.integers(0, 2**63, 400, dtype=np.uint64))
