@@ -112,14 +112,14 @@ def new_ids(rows: DataFrame, keys: list[str], taken: DataFrame, at: str, name=F.
 
     taken: entity. What a row gets depends on its keys and on what is taken only, so a run that is done again gives it again.
     """
-    made, turn = stored(rows.withColumn("entity", name(*keys)), at, "ids-0"), 0
+    made, turn = rows.withColumn("entity", name(*keys)), 0
+    used = taken.select("entity").distinct().withColumn("_taken", F.lit(True))
     while True:
         own = F.struct(*keys)
-        used = taken.select("entity").distinct().withColumn("_taken", F.lit(True))
         clash = made.groupBy("entity").agg(F.min(own).alias("_first"), F.count("*").alias("_n")).join(used, "entity", "left").filter("_n > 1 or _taken")
-        if (clash := stored(clash, at, f"clashes-{turn}")).isEmpty():
+        if clash.isEmpty():  # as nearly always: nothing is written
             return made
         turn += 1
         late = F.col("_taken") | (own > F.col("_first"))
-        made = made.join(clash, "entity", "left").withColumn("entity", F.when(late, name(*keys, F.lit(turn))).otherwise(F.col("entity")))
+        made = made.join(stored(clash, at, f"clashes-{turn}"), "entity", "left").withColumn("entity", F.when(late, name(*keys, F.lit(turn))).otherwise(F.col("entity")))
         made = stored(made.drop("_first", "_n", "_taken"), at, f"ids-{turn}")

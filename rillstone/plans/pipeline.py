@@ -126,7 +126,8 @@ def full_run(
     deletion decision.
     """
     spark, at = canonical_rows.sparkSession, scratch(canonical_rows.sparkSession)
-    if joins is None:
+    first = joins is None
+    if first:
         joins = spark.createDataFrame([], "rule int, external_id string, entity long")
     every = [m for r in rules for m in r.matching]
     changes, left, kept, new, scoped = [], [], [], {}, {}
@@ -145,12 +146,12 @@ def full_run(
         kept.append(held.select(F.lit(r.id).alias("rule"), "external_id", "entity"))
         new[r.id] = scoped[r.id].withColumn("_name", name).join(held.select(F.col("external_id").alias("_name")), "_name", "left_anti")
     union = functools.partial(functools.reduce, DataFrame.unionByName)
-    lost, kept_all = union(left), stored(union(kept), at, "kept")
+    lost, kept_all = union(left), joins if first else stored(union(kept), at, "kept")
     found = _matched(new, rules, every, canonical_rows, canonical_type, kept_all, at)
     names = union([scoped[r.id].select(F.lit(r.id).alias("rule"), F.col(r.type.key).cast("string").alias("external_id")) for r in rules])
     known = names.join(kept_all, ["rule", "external_id"]).select("rule", "external_id", F.lit("kept").alias("outcome"), "entity")
     outcomes = stored(known.unionByName(found), at, "outcomes")
-    after = kept_all.unionByName(found.filter("entity is not null").select("rule", "external_id", "entity"))
+    after = kept_all.unionByName(outcomes.filter("outcome <> 'kept' and entity is not null").select("rule", "external_id", "entity"))
     given = []
     for r in rules:
         own = outcomes.filter((F.col("rule") == r.id) & F.col("entity").isNotNull()).select(F.col("external_id").alias("_name"), "entity")
@@ -193,8 +194,10 @@ def _matched(new: dict[int, DataFrame], rules: list[ImportRule], every: list[Mat
     union = functools.partial(functools.reduce, DataFrame.union)
     whole = stored(union(objects), at, "objects")
     if looks:
-        seek = stored(union(looks), at, "seeks")
-        found = run_matches(whole, seek, stored(union(offers), at, "gives") if offers else None, known_keys(canonical_rows, every, "entity"), at)
+        seek, give = union(looks), None
+        if offers:  # they meet several times
+            seek, give = stored(seek, at, "seeks"), stored(union(offers), at, "gives")
+        found = run_matches(whole, seek, give, known_keys(canonical_rows, every, "entity"), at)
     else:
         none = F.lit(None)
         found = whole.select("ord", F.lit("none").alias("outcome"), none.cast("int").alias("rule"), none.cast("long").alias("entity"), F.when(F.col("projects"), F.col("ord")).alias("via"))
@@ -207,7 +210,7 @@ def _matched(new: dict[int, DataFrame], rules: list[ImportRule], every: list[Mat
     owners = found.filter("outcome = 'none' and entity is not null").select("ord", "_target")
     found = claim_once(found, held.union(owners), held.limit(0), "ord", "_target")
     entity = F.when(F.col("outcome").isin("joined", "none"), F.col("entity"))
-    return stored(found.select("rule", "external_id", "outcome", entity.alias("entity")), at, "matched")
+    return found.select("rule", "external_id", "outcome", entity.alias("entity"))
 
 
 def references(incoming: dict[int, DataFrame], rules: list[ImportRule], joins: DataFrame) -> DataFrame:
