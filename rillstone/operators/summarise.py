@@ -10,7 +10,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillstone.operators.recall import settings
 from rillstone.session import scratch, stored
 
 
@@ -144,19 +143,31 @@ def throughput(n: Column, seconds: Column, remaining: Column) -> tuple[Column, C
 def causal_chain(edges: DataFrame, effects: DataFrame, depth: int = 20) -> DataFrame:
     """(start, node, steps): causes of effects along edges (effect, cause), by the fewest steps; a table.
 
-    One recursive query: a level's nodes are told apart before the next, so that paths that meet go on as one, and cycles
-    end with the depth. A node that takes more than `depth` steps is an error, not a shorter chain.
+    Walked by doubling: from what is up to k steps away, on from the nodes that are k away by up to k more. A node that was
+    met before keeps its fewer steps, so paths that meet go on as one and cycles end. A node that takes more than `depth`
+    steps is an error, not a shorter chain.
     """
-    spark = effects.sparkSession
-    walk = """
-        WITH RECURSIVE chain(start, node, steps) AS (
-            SELECT id, id, 0 FROM (SELECT DISTINCT id FROM {effects} WHERE id IS NOT NULL)
-            UNION ALL
-            SELECT DISTINCT c.start, e.cause, c.steps + 1 FROM chain c JOIN {edges} e ON e.effect = c.node
-            WHERE c.steps <= {depth} AND e.cause IS NOT NULL)
-        SELECT start, node, min(steps) AS steps FROM chain GROUP BY start, node"""
-    with settings(spark, spark__sql__cteRecursionLevelLimit=str(depth + 3), spark__sql__cteRecursionRowLimit="-1"):
-        found = stored(spark.sql(walk, edges=edges.select("effect", "cause"), effects=effects.select("id"), depth=depth), scratch(spark), "chain")
+    at, k = scratch(effects.sparkSession), 1
+    starts = effects.select(F.col("id").alias("start")).filter("start is not null").distinct()
+    kind = starts.schema["start"].dataType
+    hops = edges.select(F.col("effect").cast(kind).alias("start"), F.col("cause").cast(kind).alias("node")).filter("start <> node").distinct()
+    hops = stored(hops.withColumn("steps", F.lit(1)), at, "hops-1")
+    own = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("steps"))
+    found = stored(own.union(hops.join(starts, "start", "left_semi")), at, "chain-1")
+    while k <= depth and not found.filter(F.col("steps") == k).isEmpty():
+        longer = stored(_twice_as_far(found, hops, k), at, f"chain-{2 * k}")
+        # from here on walks go on only from nodes that are 2 k away from something, and these are k away from another such
+        on = hops.filter(F.col("steps") == k).select(F.col("node").alias("start")).distinct()
+        hops = stored(_twice_as_far(hops.join(on, "start", "left_semi"), hops, k), at, f"hops-{2 * k}")
+        found, k = longer, 2 * k
     if not found.filter(F.col("steps") > depth).isEmpty():
         raise ValueError(f"a chain has more than {depth} steps")
     return found
+
+
+def _twice_as_far(walk: DataFrame, hops: DataFrame, k: int) -> DataFrame:
+    """walk (start, node, steps up to k) with all that is up to k hops from the nodes k steps away."""
+    far = walk.filter(F.col("steps") == k).select("start", F.col("node").alias("via"))
+    more = far.join(hops.select(F.col("start").alias("via"), "node", F.col("steps").alias("on")), "via")
+    more = more.filter("start <> node").select("start", "node", (F.col("on") + k).alias("steps"))
+    return walk.union(more).groupBy("start", "node").agg(F.min("steps").alias("steps"))
