@@ -124,15 +124,38 @@ def route_types(df: DataFrame, types: list[ObjectType], selected: set[str], colu
 INFERRED = (Kind.NUMBER, Kind.LONG, Kind.DECIMAL, Kind.BOOLEAN, Kind.GUID, Kind.DATETIME)
 
 
+#: Rows of the first look. It settles nothing but which types are out, as one value is enough for that.
+FIRST_LOOK = 1_000
+#: What all texts of decimals are made of. Casts of other texts would find out by an error each.
+_DECIMAL = r"^[\p{Nd}+\-.eE\x00-\x20]+$"
+
+
 def infer(df: DataFrame) -> list[Attribute]:
-    """Each text column's narrowest type that fits all its values, in one aggregation. Columns without a value are text."""
+    """Each text column's narrowest type that fits all its values, in one aggregation. Columns without a value are text.
+
+    Types that a value of the first rows rules out aren't tried on the others.
+    """
+    first = _fitting(df.sparkSession.createDataFrame(df.head(FIRST_LOOK), df.schema), [INFERRED] * len(df.columns))
+    found = _fitting(df, [kinds for _, kinds in first])
+    return [Attribute(c, kinds[0] if n and kinds else Kind.TEXT) for c, (n, kinds) in zip(df.columns, found, strict=True)]
+
+
+def _fitting(df: DataFrame, tried: list[tuple[Kind, ...]]) -> list[tuple[int, tuple[Kind, ...]]]:
+    """For each column how many values it has, and those of the types tried that fit all of them."""
     checks = []
-    for i, c in enumerate(df.columns):
+    for i, (c, kinds) in enumerate(zip(df.columns, tried, strict=True)):
         raw = F.nullif(trim(F.col(f"`{c}`")), F.lit(""))
         checks.append(F.count(raw).alias(f"n{i}"))
-        checks += [F.bool_and(F.when(raw.isNotNull(), parsed(raw, k).isNotNull())).alias(f"c{i}_{k.name}") for k in INFERRED]
+        fits, narrower = {}, F.lit(False)
+        for k in kinds:
+            fits[k] = parsed(raw, k).isNotNull()
+            if k is Kind.DECIMAL:
+                fits[k] = raw.rlike(_DECIMAL) & fits[k]
+            if k in (Kind.NUMBER, Kind.LONG, Kind.DECIMAL):  # what fits one of them fits those after it
+                fits[k] = narrower = narrower | fits[k]
+        checks += [F.bool_and(F.when(raw.isNotNull(), ok)).alias(f"c{i}_{k.name}") for k, ok in fits.items()]
     r = df.agg(*checks).first()
-    return [Attribute(c, next((k for k in INFERRED if r[f"n{i}"] and r[f"c{i}_{k.name}"]), Kind.TEXT)) for i, c in enumerate(df.columns)]
+    return [(r[f"n{i}"], tuple(k for k in kinds if r[f"c{i}_{k.name}"] is not False)) for i, kinds in enumerate(tried)]
 
 
 def write_full_state(existing: DataFrame | None, changes: DataFrame, key: str, path: str, delimiter: str = "|", separator: str = ",") -> None:
