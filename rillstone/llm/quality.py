@@ -8,7 +8,9 @@ from, and the combined score is given for every document. Toxicity is learnt in
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -200,21 +202,29 @@ def surest(scored: DataFrame, per_class: int) -> DataFrame:
     return first.withColumn("n", last).filter(F.col("n") <= per_class).select("key", "view", "label")
 
 
-def _exchanged(pool: DataFrame, models: dict[str, Logistic], per_class: int, taught: set[int]) -> list:
+def _exchanged(pool: DataFrame, models: dict[str, Logistic], per_class: int, taught: set[int], named: DataFrame | None = None) -> list:
     """The rows that the views are surest of and that weren't taught before, with their features: at most 4 x per_class.
 
-    Their keys are added to taught: a row leaves the pool with the first round that takes it."""
+    Rows whose doc_id is in named aren't of the pool: scores, not features, are joined to find them. The keys of those taken
+    are added to taught: a row leaves the pool with the first round that takes it."""
     spread = pool.sparkSession.sparkContext.broadcast((models, np.array(sorted(taught), np.int64)))
 
+    ids = [] if named is None else ["doc_id"]
+
     def run(x: dict) -> Iterator[dict]:
         models, gone = spread.value
         key = np.array(x["key"], np.int64)
         left = ~np.isin(key, gone)
         # rounded: equal rows have equal scores, wherever in a batch they stand
-        yield {"key": key[left], **{f"s_{v}": np.round(m.logit(Rows.of(x[v])), 6)[left] for v, m in models.items()}}
-
-    out = pa.schema([("key", pa.int64()), *((f"s_{v}", pa.float64()) for v in VIEWS)])
-    scored = map_rows(pool.select("key", *VIEWS), run, "key long, s_text double, s_meta double", out)
+        scores = {f"s_{v}": np.round(m.logit(Rows.of(x[v])), 6)[left] for v, m in models.items()}
+        yield {**{c: [i for i, ok in zip(x[c], left, strict=True) if ok] for c in ids}, "key": key[left], **scores}
+
+    out = pa.schema([*((c, pa.int64()) for c in [*ids, "key"]), *((f"s_{v}", pa.float64()) for v in VIEWS)])
+    schema = ", ".join([*(f"{c} long" for c in [*ids, "key"]), *(f"s_{v} double" for v in VIEWS)])
+    scored = map_rows(pool.select(*ids, "key", *VIEWS), run, schema, out)
+    if named is not None:
+        sure = functools.reduce(operator.or_, (F.abs(f"s_{v}") > SURE for v in VIEWS))
+        scored = scored.filter(sure).join(named.select("doc_id"), "doc_id", "left_anti")
     chosen = sorted((r["view"], r["label"], r["key"]) for r in surest(scored, per_class).collect())
     if not chosen:
         return []
@@ -225,8 +235,9 @@ def _exchanged(pool: DataFrame, models: dict[str, Logistic], per_class: int, tau
     return [(by[k]["text"], by[k]["meta"], v, label) for v, label, k in chosen]
 
 
-def co_train(labelled: list[tuple], pool: DataFrame, rounds: int, per_class: int) -> CoTrained | None:
-    """labelled: (text, meta, label). A fifth of them is kept for calibration. None without both classes."""
+def co_train(labelled: list[tuple], pool: DataFrame, rounds: int, per_class: int, named: DataFrame | None = None) -> CoTrained | None:
+    """labelled: (text, meta, label). A fifth of them is kept for calibration. The pool's rows with a doc_id in named are left
+    out. None without both classes."""
     held, seen = labelled[::5], [r for k, r in enumerate(labelled) if k % 5]
     if len({r[2] for r in seen}) < 2 or len({r[2] for r in held}) < 2:
         return None
@@ -240,7 +251,7 @@ def co_train(labelled: list[tuple], pool: DataFrame, rounds: int, per_class: int
             m.a, m.b = fit_line(m.raw(check[v])[:, None], y)
             models[v] = m
         if turn < rounds:
-            for text, meta, view, label in _exchanged(pool, models, per_class, taught):
+            for text, meta, view, label in _exchanged(pool, models, per_class, taught, named):
                 other = "meta" if view == "text" else "text"
                 train[other].append((meta if view == "text" else text, label))
     return CoTrained(models, fit_line(np.c_[tuple(models[v].logit(check[v]) for v in VIEWS)], y))
@@ -270,18 +281,20 @@ def classify_quality(
     """
     meta = [c for c in meta_cols if c in docs.columns]
     named = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-    named = named.agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")).withColumn("named", F.lit(True))
-    # one join; what the rounds read is this table
-    rows = stored(featured(docs, id_col, text_col, meta).join(named, "doc_id", "left"), work_dir(docs.sparkSession), "features")
-    pool = rows.filter("named is null").select("key", *VIEWS)
+    named = named.agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    # features stay where they are made: labels are joined to ids and scores, and the few labels learnt from go to all tasks
+    at = work_dir(docs.sparkSession)
+    named, rows = stored(named, at, "named"), stored(featured(docs, id_col, text_col, meta), at, "features")
+    unlabelled = rows.select("doc_id").join(named, "doc_id", "left_anti")
     share = min(1.0, max_labelled / max(named.count(), 1))
-    sample = rows.filter("named").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    few = named.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    sample = rows.join(F.broadcast(few), "doc_id")
     sample = sample.orderBy(F.xxhash64("doc_id"), "text").limit(2 * max_labelled)
     sample = sample.select("text", "meta", "quality", "toxic").collect()
-    models, taught = {}, max(per_class, min(most_taught, math.ceil(share * pool.count())))
+    models, taught = {}, max(per_class, min(most_taught, math.ceil(share * unlabelled.count())))
     for target in ("quality", "toxic"):
         known = [(r["text"], r["meta"], int(r[target] > 0)) for r in sample if r[target] is not None]
-        models[target] = co_train(known, pool, rounds, taught)
+        models[target] = co_train(known, rows, rounds, taught, named)
     spread = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(x: dict) -> Iterator[dict]:
