@@ -389,7 +389,8 @@ def encode_ids(ids: np.ndarray, vocabulary: int, length: int = LENGTH) -> bytes:
     ids = ids.astype(np.int32, copy=False)
     full = np.zeros(lanes * length, np.int32)
     full[: len(ids)] = ids
-    parts = _encode(np.ascontiguousarray(full.reshape(lanes, length).T), len(ids) - (lanes - 1) * length, vocabulary)
+    full = np.ascontiguousarray(full.reshape(lanes, length).T)
+    parts = _encode(full, len(ids) - (lanes - 1) * length, vocabulary)
     sums = [zlib.crc32(ids[k * length : (k + 1) * length].astype("<u4").tobytes()) for k in range(lanes)]
     table = b"".join(struct.pack("<II", c, len(p)) for c, p in zip(sums, parts, strict=True))
     return head + table + b"".join(parts)

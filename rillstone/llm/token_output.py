@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from rillstone.llm.common import SLICE, map_rows, release, remembered, work_dir
 from rillstone.llm.range_coder import decode_ids, encode_ids
 
-#: A chunk is closed when it has this many ids; a document is never cut.
-CHUNK_IDS = 1 << 22
+#: A chunk is closed when it has this many ids; a document is never cut. Its blocks are coded in step, so that the more there
+#: are, the less a step costs each.
+CHUNK_IDS = 1 << 23
 #: Places where the byte-level pre-tokenizer always parts tokens: before one space between two other characters than
 #: white space, around one line feed between such, and where letters or digits end before a mark (not an apostrophe).
 _PARTS = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<=[^\W_])(?=[!-&(-/:-@\[-^`{-~])")
@@ -64,7 +65,7 @@ class Ids:
     """Ids of texts by a byte-level BPE of the tokenizers library. Pieces of texts are encoded once per worker and
     remembered while they fit: the latest LIMIT, and those before that were asked for again."""
 
-    LIMIT = 120_000
+    LIMIT = 300_000
 
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
@@ -154,7 +155,9 @@ def write_tokens(
         names, ids, held = [], [], 0
 
         def closed() -> pa.RecordBatch:
-            data = chunk_bytes(names, [len(x) for x in ids], np.concatenate(ids), known.size)
+            sizes, whole = [len(x) for x in ids], np.concatenate(ids)
+            ids.clear()
+            data = chunk_bytes(names, sizes, whole, known.size)
             row = [[part], [seq], [before], [held], [data]]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, out, strict=True)], schema=out)
 
