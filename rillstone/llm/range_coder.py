@@ -3,14 +3,15 @@
 Every block is coded from fresh state, an id in one step. Its probability is a mixture of three predictions: the id that
 followed the last two ids here before (order 2), the id that followed the last one (order 1), and the counts of the
 block's ids so far (order 0); an id's share is the sum of what all three give it. How much each weighs is counted by
-context: whether the latest predictions held, whether both orders agree, and whether order 2 knows its context. An id that
+context: whether the latest predictions held, whether both orders agree, and whether they know their contexts. An id that
 none of them names follows by a fixed distribution over the vocabulary. Predictions of orders 1 and 2 change with every
-id; counts and weights are taken anew at places whose distance grows with the block, so that they are plain sorted tables
-in between. Shares lie in the order of the counted ids, each with the weights of the predictions that name it; then come
-predicted ids that aren't counted, order 1 before order 2, and then all others.
+step; counts and weights are taken anew at places whose distance grows with the block, so that they are plain tables in
+between. The id of order 2 has the first shares, that of order 1 the next, and all others follow in ascending order.
 
-The blocks of a chunk are coded in step, one numpy lane per block, by a range coder with 48-bit low and range in
-floats, whose whole numbers are exact, that emits 16-bit words; carries are added to the words at the end.
+A block is cut into lanes, stretches of equal length that are coded in step by numpy. They share the block's model, which
+learns from the ids of all lanes after each step, and one stream of words, in the order in which the decoder asks for them.
+The range coder has 48-bit low and range in floats, whose whole numbers are exact, and emits 16-bit words; carries are added to
+the words at the end.
 """
 
 from __future__ import annotations
@@ -18,38 +19,28 @@ from __future__ import annotations
 import functools
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 
 MAGIC = b"RSTK"
-VERSION = 4
-#: Ids of a block.
-LENGTH = 1 << 14
-SLOTS = 1 << 12
-CONTEXTS = 32
-#: Steps whose predictions the encoder makes at once.
-SLAB = 64
-#: Order 0 counts the latest WINDOW ids, the latest STEP of them twice, and is taken anew after STEP ids at most.
-WINDOW, STEP = 1 << 11, 1 << 9
+VERSION = 5
+#: Ids of a block, its most lanes, and the ids that a lane has at least where there are several.
+LENGTH, LANES, STRETCH = 1 << 21, 1 << 12, 1 << 9
+#: Slots of order 2, contexts of the weights.
+SLOTS = 1 << 16
+CONTEXTS = 64
+#: Shares that the counts of order 0 have together, but for rounding up; steps after which they are taken anew at least.
+SHARES, STEPS = 1 << 16, 1 << 6
 _TOP, _LOW, _WORD = float(1 << 48), float(1 << 32), float(1 << 16)
 #: Counts of how often order 2, order 1 and neither were right, before any id is seen.
 _PRIOR = (0.4, 0.2, 2.0)
 _MOST = float(1 << 20)
+#: Shares before an id's own stand above its number of shares.
+_CUM = 20
 
 
-def places(length: int) -> list[int]:
-    """Where counts and weights are taken anew: 0, 16, and then half as much further each time, up to STEP ids."""
-    at, n = [0], 16
-    while n < length:
-        at.append(n)
-        n += min(n // 2, STEP)
-    return at
-
-
-def latest(columns: np.ndarray, t: int) -> np.ndarray:
-    """The ids that order 0 counts at step t, a row a lane."""
-    return np.ascontiguousarray(np.vstack([columns[max(0, t - WINDOW) : t], columns[max(0, t - STEP) : t]]).T, np.int32)
+def lanes_of(n: int) -> int:
+    return min(LANES, -(-n // STRETCH))
 
 
 @functools.cache
@@ -61,317 +52,209 @@ def fixed_shares(vocabulary: int) -> tuple[np.ndarray, float]:
 
 
 class Model:
-    """Adaptive state of some lanes; what it predicts depends only on the ids it was told."""
-
-    def __init__(self, lanes: int):
-        self.n = lanes
-        self.one, self.two = (np.full(lanes * SLOTS, -1, np.int32) for _ in range(2))
-        self.tally = np.tile(np.array(_PRIOR), (lanes * CONTEXTS, 1))
-        self.last, self.before, self.held = (np.zeros(lanes, np.int64) for _ in range(3))
-        self.lane = np.arange(lanes)
-
-    def shrink(self, lanes: int) -> None:
-        """Only the first lanes go on."""
-        self.n = lanes
-        self.lane, self.last, self.before, self.held = (x[:lanes].copy() for x in (self.lane, self.last, self.before, self.held))
-
-    def renew(self, seen: np.ndarray) -> None:
-        """Counts of the ids seen (a row a lane), sorted so that a place in a row is a cumulative frequency; weights."""
-        n = self.size = seen.shape[1]
-        self.sorted = np.sort(seen, axis=1)
-        new = np.ones(self.sorted.shape, bool)
-        new[:, 1:] = self.sorted[:, 1:] != self.sorted[:, :-1]
-        self.first = np.flatnonzero(new)
-        self.times = np.diff(self.first, append=new.size)
-        distinct = new.sum(1) if n else np.zeros(self.n)
-        self.escape = distinct + 1.0
-        base = self.base = n + self.escape
-        hit = self.tally[: self.n * CONTEXTS].reshape(self.n, CONTEXTS, 3)
-        scale = base[:, None, None] / hit[:, :, 2:]
-        weights = np.minimum(np.floor(hit[:, :, :2] * scale) + 1, _MOST)
-        self.w2, self.w1 = np.ascontiguousarray(weights[:, :, 0]).ravel(), np.ascontiguousarray(weights[:, :, 1]).ravel()
-
-    def learn(self, outcomes: np.ndarray) -> None:
-        """outcomes: (lane x CONTEXTS + context) x 3 + what was right."""
-        lanes = self.n * CONTEXTS
-        self.tally[:lanes] += np.bincount(outcomes.ravel(), minlength=lanes * 3).reshape(-1, 3)
-
-
-def spots(last: np.ndarray, before: np.ndarray, lane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the contexts of orders 1 and 2."""
-    h = last * 40503
-    base = lane * SLOTS
-    return (h >> 3 & SLOTS - 1) + base, (h + before * 30011 >> 2 & SLOTS - 1) + base
-
-
-class Encoder:
-    def __init__(self, lanes: int):
-        self.low, self.range = np.zeros(lanes), np.full(lanes, _TOP)
-        self.lanes: list[np.ndarray] = []
-        self.words: list[np.ndarray] = []
+    """Adaptive state of a block; what it predicts depends only on the ids it was told. Beyond the vocabulary are the number
+    that stands for no prediction, and the one for ids that aren't counted yet."""
+
+    def __init__(self, lanes: int, vocabulary: int):
+        self.none, self.fresh = vocabulary, vocabulary + 1
+        self.one, self.two = np.full(vocabulary, self.none, np.int32), np.full(SLOTS, self.none, np.int32)
+        self.seen = np.zeros(vocabulary, np.int64)
+        self.tally = np.tile(np.array(_PRIOR), (CONTEXTS, 1))
+        self.last, self.spread = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.held = np.zeros(lanes, np.uint8)
+        self.told: list[np.ndarray] = []
+        self.outcomes: list[np.ndarray] = []
+        self.steps, self.n_fresh, self.until = 0, 0, 1
+        self.renew()
+
+    def renew(self) -> None:
+        """Shares of order 0 and weights, of what was told so far."""
+        rate = 1.0
+        if self.told:
+            ids = np.concatenate(self.told)
+            rate = (self.n_fresh + 0.5) / (len(ids) + 1)
+            self.seen += np.bincount(ids, minlength=len(self.seen))
+            self.tally += np.bincount(np.concatenate(self.outcomes), minlength=CONTEXTS * 3).reshape(-1, 3)
+            self.until += max(1, min(self.steps // 2, STEPS) if len(self.last) > 1 else max(self.steps // 2, 15))
+        self.told, self.outcomes, self.n_fresh = [], [], 0
+        share = np.ceil(self.seen * min(1.0, SHARES / max(int(self.seen.sum()), 1))).astype(np.int64)
+        size = int(share.sum())
+        escape = int(min(max(size, 1) * rate / (1 - min(rate, 0.5)), SHARES)) + 1
+        share = np.r_[share, 0, escape]  # none, fresh
+        before = np.cumsum(share) - share
+        self.shares = before << _CUM | share
+        self.table = np.repeat(np.arange(len(share), dtype=np.int32), share)
+        self.whole = float(size + escape)
+        hit = self.tally
+        w2, w1 = np.minimum(np.floor(hit[:, :2] * (self.whole / hit[:, 2:])) + 1, _MOST).T
+        k = np.arange(CONTEXTS)
+        w1[(k & 1 > 0) | (k & 4 == 0)] = 0  # named by order 2 already, or no prediction
+        w2[k & 2 == 0] = 0
+        self.w2, self.w1 = w2.copy(), w1.copy()
+        # a little less than 1 / total, so that shares never exceed the range
+        self.part = (1 - 2.0**-50) / (w2 + w1 + self.whole)
+
+    def predict(self) -> None:
+        """The next ids that orders 2 and 1 name, and where all shares lie."""
+        last = self.last
+        self.slot = ((last * 40503 + self.spread) >> 2) & (SLOTS - 1)
+        c1, c2 = self.one.take(last), self.two.take(self.slot)
+        agree = c1 == c2
+        self.context = k = (self.held << 3) | (c1 != self.none).view(np.uint8) << 2 | (c2 != self.none).view(np.uint8) << 1 | agree.view(np.uint8)
+        c1[agree] = self.none
+        self.c1, self.c2 = c1, c2
+        p1, p2 = self.shares.take(c1), self.shares.take(c2)
+        self.ends2 = self.w2.take(k) + (p2 & (1 << _CUM) - 1)
+        self.ends1 = self.ends2 + (self.w1.take(k) + (p1 & (1 << _CUM) - 1))
+        self.lower, self.upper = np.minimum(p1, p2), np.maximum(p1, p2)
+
+    def tell(self, x: np.ndarray) -> None:
+        """x: the ids that came, a lane each."""
+        is2, is1 = self.c2 == x, self.c1 == x
+        right = (is1 | is2).view(np.uint8)
+        self.outcomes.append(self.context * np.uint8(3) + (2 - right - is2.view(np.uint8)))
+        self.told.append(x)
+        self.one[self.last] = x
+        self.two[self.slot] = x
+        self.spread = self.last * 30011
+        self.last = x
+        self.held = (self.held << 1 & 7) | right
+        self.steps += 1
+        if self.steps >= self.until:
+            self.renew()
+
+
+def _encode(columns: np.ndarray, vocabulary: int) -> bytes:
+    """columns: ids, a row a step and a column a lane."""
+    lanes = columns.shape[1]
+    m = Model(lanes, vocabulary)
+    fixed, total_fixed = fixed_shares(vocabulary)
+    low, rng = np.zeros(lanes), np.full(lanes, _TOP)
+    all_lanes = np.arange(lanes, dtype=np.uint16)
+    at_lanes: list[np.ndarray] = []
+    words: list[np.ndarray] = []
 
-    def emit(self, at: np.ndarray) -> None:
+    def emit(at: np.ndarray) -> None:
         """Words of the lanes whose range got small."""
         while len(at):
-            low = self.low[at]
-            word = np.floor(low * (1 / _LOW))
-            self.lanes.append(at.astype(np.int32))
-            self.words.append(word)
-            self.low[at] = (low - word * _LOW) * _WORD
-            self.range[at] = ra = self.range[at] * _WORD
+            now = low.take(at)
+            word = np.floor(now * (1 / _LOW))
+            at_lanes.append(at.astype(np.uint16))
+            words.append(word.astype(np.uint32))
+            low[at] = (now - word * _LOW) * _WORD
+            rng[at] = ra = rng.take(at) * _WORD
             at = at[ra < _LOW]
 
-    def end(self, lanes: int) -> list[bytes]:
-        for _ in range(3):
-            word = np.floor(self.low * (1 / _LOW))
-            self.lanes.append(np.arange(lanes, dtype=np.int32))
-            self.words.append(word)
-            self.low = (self.low - word * _LOW) * _WORD
-        lane = np.concatenate(self.lanes)
-        words = np.concatenate(self.words)[np.argsort(lane.astype(np.uint32 if lanes > 65_535 else np.uint16), kind="stable")].astype(np.uint32)
-        while (over := words >> 16).any():
-            words &= 0xFFFF
-            words[:-1] += over[1:]
-        data, ends = words.astype("<u2").tobytes(), np.cumsum(np.bincount(lane, minlength=lanes)) * 2
-        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-
-
-def _encode(columns: np.ndarray, rest: int, vocabulary: int) -> list[bytes]:
-    """columns: ids, a row a step and a column a lane; the last lane has `rest` steps."""
-    length, lanes = columns.shape
-    m, e = Model(lanes), Encoder(lanes)
+    low_bits = (1 << _CUM) - 1
+    for x in columns:
+        m.predict()
+        is2, is1 = x == m.c2, x == m.c1
+        p = m.shares.take(x)
+        new = ((p & low_bits) == 0) & ~is1 & ~is2
+        fresh = new.nonzero()[0]
+        if len(fresh):
+            p[fresh] = m.shares[m.fresh]
+        freq = (p & low_bits).astype(float)
+        cum = m.ends1 + (p >> _CUM)
+        cum -= (m.lower & low_bits) * (m.lower < p)
+        cum -= (m.upper & low_bits) * (m.upper < p)
+        cum[is1] = m.ends2[is1]
+        freq[is1] = (m.ends1 - m.ends2)[is1]
+        cum[is2] = 0
+        freq[is2] = m.ends2[is2]
+        r = np.floor(rng * m.part.take(m.context))
+        low += r * cum
+        np.multiply(r, freq, out=rng)
+        emit((rng < _LOW).nonzero()[0])
+        if len(fresh):
+            m.n_fresh += len(fresh)
+            ids = x[fresh]
+            q = np.floor(rng[fresh] / total_fixed)
+            low[fresh] += q * fixed[ids]
+            rng[fresh] = ra = q * (fixed[ids + 1] - fixed[ids])
+            emit(fresh[ra < _LOW])
+        m.tell(x)
+    n = sum(map(len, words))
+    for _ in range(3):
+        word = np.floor(low * (1 / _LOW))
+        at_lanes.append(all_lanes)
+        words.append(word.astype(np.uint32))
+        low = (low - word * _LOW) * _WORD
+    order = np.argsort(np.concatenate(at_lanes), kind="stable")  # by lane, each in its order
+    w = np.concatenate(words)[order]
+    while (over := w >> 16).any():
+        w &= 0xFFFF
+        w[:-1] += over[1:]
+    # the decoder begins with three words of each lane, and where the encoder emits one it asks for the third after it
+    out = np.empty(len(w), "<u2")
+    emitted = order < n
+    out[order[emitted] + 3 * lanes] = w[3:][emitted[:-3]]
+    ends = np.searchsorted(np.concatenate(at_lanes)[order], all_lanes)
+    out[: 3 * lanes] = w[ends + np.arange(3)[:, None]].ravel()
+    return out.tobytes()
+
+
+def _decode(data: bytes, length: int, lanes: int, vocabulary: int) -> np.ndarray:
+    """The columns of _encode. Of damaged data it gives some ids of the vocabulary, or a ValueError."""
+    m = Model(lanes, vocabulary)
     fixed, total_fixed = fixed_shares(vocabulary)
-    counts = np.zeros(lanes * vocabulary, np.int32)  # first place << 15 | times, by lane and id; 0 has none
-    low, rng = e.low, e.range
-    counted = np.zeros(0, np.int64)
-    held = np.zeros((3, lanes), bool)  # whether a prediction was right, at the last three steps
-    starts = places(length)
-    for t0, end in zip(starts, [*starts[1:], length], strict=True):
-        m.renew(latest(columns[:, : m.n], t0))
-        counts[counted] = 0
-        lane, first = np.divmod(m.first, max(m.size, 1))
-        counted = lane * vocabulary + m.sorted.ravel()[m.first]
-        counts[counted] = (first << 15) | m.times
-        outcomes = []
-        for a, b in slabs(t0, end, rest if m.n == lanes else length):
-            if a == rest:
-                low, rng = low[: lanes - 1], rng[: lanes - 1]
-                outcomes = [x[:, : lanes - 1] for x in outcomes]
-                m.shrink(lanes - 1)
-                for k in ("escape", "base", "w2", "w1"):
-                    x = getattr(m, k)
-                    setattr(m, k, x[: m.n * (CONTEXTS if k[0] == "w" else 1)])
-                held = held[:, : m.n]
-            if not m.n:
-                break
-            x = columns[a:b, : m.n]
-            last = np.vstack([m.last[None], x[:-1]])
-            before = np.vstack([m.before[None], last[:-1]])
-            i1, i2 = spots(last, before, m.lane)
-            c1, c2 = np.empty(x.shape, np.int32), np.empty(x.shape, np.int32)
-            for t in range(b - a):
-                one, two, ids = i1[t], i2[t], x[t]
-                m.one.take(one, out=c1[t], mode="clip")
-                m.one[one] = ids
-                m.two.take(two, out=c2[t], mode="clip")
-                m.two[two] = ids
-            m.last, m.before = x[-1], last[-1]
-            is2, is1 = c2 == x, c1 == x
-            named = is1 | is2
-            right = np.vstack([held, named]).astype(np.int8)
-            held = right[-3:].astype(bool)
-            context = ((right[2:-1] + 2 * right[1:-2] + 4 * right[:-3]) * 4 + (c1 == c2) * 2 + (c2 >= 0)) + m.lane * CONTEXTS
-            w2, w1 = m.w2.take(context), m.w1.take(context)
-            w2[c2 < 0] = 0
-            w1[c1 < 0] = 0
-            words = m.lane * vocabulary
-            have = counts.take(x + words)
-            uncounted = have == 0
-            k1 = np.where(counts.take(c1 + words, mode="clip") > 0, c1, vocabulary)
-            k2 = np.where(counts.take(c2 + words, mode="clip") > 0, c2, vocabulary + 1)
-            at = np.where(uncounted, np.where(is1, vocabulary, vocabulary + 1), x)
-            new = uncounted & ~named
-            both = w2 + w1
-            cum = np.where(new, both + m.size, np.where(uncounted, m.size, have >> 15) + w2 * (k2 < at) + w1 * (k1 < at))
-            freq = np.where(new, m.escape, (have & 32_767) + w2 * is2 + w1 * is1)
-            total = both + m.base
-            outcomes.append(context * 3 + np.where(is2, 0, np.where(is1, 1, 2)))
-            step, fresh = np.nonzero(new)
-            cuts = np.searchsorted(step, np.arange(b - a + 1))
-            ids = x[step, fresh]
-            f_cum = fixed[ids]
-            f_freq = fixed[ids + 1] - f_cum
-            r = np.empty(m.n)
-            for t in range(b - a):
-                np.divide(rng, total[t], out=r)
-                np.floor(r, out=r)
-                low += r * cum[t]
-                np.multiply(r, freq[t], out=rng)
-                e.emit((rng < _LOW).nonzero()[0])
-                i, j = cuts[t], cuts[t + 1]
-                if i < j:
-                    at = fresh[i:j]
-                    q = np.floor(rng[at] / total_fixed)
-                    low[at] += q * f_cum[i:j]
-                    rng[at] = ra = q * f_freq[i:j]
-                    e.emit(at[ra < _LOW])
-        if outcomes and m.n:
-            m.learn(np.vstack(outcomes))
-    return e.end(lanes)
-
-
-def slabs(a: int, b: int, rest: int) -> Iterator[tuple[int, int]]:
-    """Stretches of up to SLAB steps from a to b, cut at rest too."""
-    while a < b:
-        c = min(a + SLAB, b, rest if a < rest else b)
-        yield a, c
-        a = c
-
-
-class Decoder:
-    def __init__(self, parts: list[bytes]):
-        sizes = np.array([len(p) // 2 for p in parts])
-        self.words = np.frombuffer(b"".join(p[: 2 * n] for p, n in zip(parts, sizes, strict=True)) + bytes(8), "<u2").astype(np.float64)
-        self.at = np.cumsum(sizes) - sizes
-        self.range, self.code = np.full(len(parts), _TOP), np.zeros(len(parts))
-        for _ in range(3):
-            self.code = self.code * _WORD + self.words.take(self.at, mode="clip")
-            self.at += 1
-
-    def fill(self, at: np.ndarray) -> None:
+    stream = np.frombuffer(data, "<u2").astype(float)
+    pos = 3 * lanes
+    if len(stream) < pos:
+        raise ValueError("words are missing")
+    rng = np.full(lanes, _TOP)
+    code = (stream[:lanes] * _WORD + stream[lanes : 2 * lanes]) * _WORD + stream[2 * lanes : pos]
+
+    def fill(at: np.ndarray) -> None:
         """More words for the lanes whose range got small."""
+        nonlocal pos
         while len(at):
-            pos = self.at[at]
-            self.code[at] = self.code[at] * _WORD + self.words.take(pos, mode="clip")
-            self.at[at] = pos + 1
-            self.range[at] = ra = self.range[at] * _WORD
+            if pos + len(at) > len(stream):
+                raise ValueError("words are missing")
+            code[at] = code.take(at) * _WORD + stream[pos : pos + len(at)]
+            pos += len(at)
+            rng[at] = ra = rng.take(at) * _WORD
             at = at[ra < _LOW]
 
-
-def _decode(parts: list[bytes], length: int, rest: int, vocabulary: int) -> np.ndarray:
-    """The columns of _encode. Of damaged parts it gives some ids of the vocabulary."""
-    lanes = len(parts)
-    m, d = Model(lanes), Decoder(parts)
-    fixed, total_fixed = fixed_shares(vocabulary)
+    low_bits = (1 << _CUM) - 1
     columns = np.zeros((length, lanes), np.int32)
-    counts = np.zeros(lanes * vocabulary, np.int32)  # as in _encode
-    counted = np.zeros(0, np.int64)
-    starts = places(length)
-    x, spread = np.zeros(lanes, np.int32), np.zeros(lanes, np.int64)
-    for t0, end in zip(starts, [*starts[1:], length], strict=True):
-        if t0 >= rest and m.n == lanes:
-            m.shrink(lanes - 1)
-        for a, b in [(t0, min(end, rest)), (rest, end)] if t0 < rest < end else [(t0, end)]:
-            if a == t0:
-                m.renew(latest(columns[:, : m.n], t0))
-                outcomes = []
-                counts[counted] = 0
-                lane, first = np.divmod(m.first, max(m.size, 1))
-                counted = lane * vocabulary + m.sorted.ravel()[m.first]
-                counts[counted] = (first << 15) | m.times
-                ids0 = m.sorted.ravel() if t0 else np.zeros(1, np.int32)
-                first = first.repeat(m.times).astype(float) if t0 else np.zeros(1)
-                times = m.times.repeat(m.times).astype(float) if t0 else np.ones(1)
-            else:  # the last lane is at its end
-                m.shrink(lanes - 1)
-                outcomes = [o[:, : m.n] for o in outcomes]
-            n = m.n
-            if not n:
-                break
-            rng, code, x, spread, escape, base = d.range[:n], d.code[:n], x[:n], spread[:n], m.escape[:n], m.base[:n]
-            row, slots, contexts, words = m.lane * m.size, m.lane * SLOTS, m.lane * CONTEXTS, m.lane * vocabulary
-            context = np.empty((b - a, n), np.int64)
-            is2, right = np.empty((b - a, n), bool), np.empty((b - a, n), bool)
-            i1, i2, h, held = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n, np.int64), m.held
-            c1, c2 = np.empty(n, np.int32), np.empty(n, np.int32)
-            w2, w1, total, r, v = (np.empty(n) for _ in range(5))
-
-            def counts_of(c: np.ndarray, place: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-                """Of predicted ids: what orders them, how many counted ids lie before, and how many are they."""
-                have = counts.take(words + c, mode="clip")
-                have[c < 0] = 0
-                some = have > 0
-                return np.where(some, c, place), np.where(some, have >> 15, float(m.size)), (have & 32_767).astype(np.float64)
-
-            for t in range(b - a):
-                np.multiply(x, 40503, out=h)
-                np.right_shift(h, 3, out=i1)
-                i1 &= SLOTS - 1
-                i1 += slots
-                np.add(h, spread, out=i2)
-                i2 >>= 2
-                i2 &= SLOTS - 1
-                i2 += slots
-                np.multiply(x, 30011, out=spread)
-                m.one.take(i1, out=c1, mode="clip")
-                m.two.take(i2, out=c2, mode="clip")
-                k = context[t]
-                np.left_shift(held, 2, out=k)
-                agree = c1 == c2
-                k += agree
-                k += agree
-                k += c2 >= 0
-                k += contexts
-                m.w2.take(k, out=w2, mode="clip")
-                m.w1.take(k, out=w1, mode="clip")
-                w2[c2 < 0] = 0
-                w1[c1 < 0] = 0
-                (k1, f1, n1), (k2, f2, n2) = counts_of(c1, vocabulary), counts_of(c2, vocabulary + 1)
-                np.add(w1, w2, out=total)
-                both = total.copy()
-                total += base
-                np.divide(rng, total, out=r)
-                np.floor(r, out=r)
-                np.divide(code, r, out=v)
-                # where both orders name one id, its weights are one
-                one = np.where(agree, both, w1)
-                two, n2 = np.where(agree, 0.0, w2), np.where(agree, 0.0, n2)
-                turn = k1 > k2
-                fa, wa, ga, ca = np.where(turn, f2, f1), np.where(turn, two, one), np.where(turn, two + n2, one + n1), np.where(turn, c2, c1)
-                fb, wb, gb, cb = np.where(turn, f1, f2), np.where(turn, one, two), np.where(turn, one + n1, two + n2), np.where(turn, c1, c2)
-                fb += wa
-                ga += fa
-                gb += fb
-                past_a, past_b = v >= ga, v >= gb
-                in_a, in_b = (v >= fa) & ~past_a, (v >= fb) & ~past_b
-                in_b &= ~in_a
-                shift = np.where(past_a, wa, 0.0) + np.where(past_b & past_a, wb, 0.0)
-                v -= shift
-                slot = v.astype(np.int64)
-                fresh = ((v >= m.size) & ~in_a & ~in_b).nonzero()[0]
-                np.minimum(slot, max(m.size - 1, 0), out=slot)
-                slot += row
-                x = np.where(in_a, ca, np.where(in_b, cb, ids0.take(slot, mode="clip")))
-                cum = np.where(in_a, fa, np.where(in_b, fb, shift + first.take(slot, mode="clip")))
-                freq = np.where(in_a, ga - fa, np.where(in_b, gb - fb, times.take(slot, mode="clip")))
-                if len(fresh):
-                    cum[fresh] = both[fresh] + m.size
-                    freq[fresh] = escape[fresh]
-                cum *= r
-                code -= cum
-                np.multiply(r, freq, out=rng)
-                d.fill((rng < _LOW).nonzero()[0])
-                if len(fresh):
-                    q = np.floor(rng[fresh] / total_fixed)
-                    u = np.minimum(np.maximum(code[fresh] / q, 0), total_fixed - 1)
-                    ids = fixed.searchsorted(u, "right") - 1
-                    x[fresh] = ids
-                    code[fresh] -= q * fixed[ids]
-                    rng[fresh] = ra = q * (fixed[ids + 1] - fixed[ids])
-                    d.fill(fresh[ra < _LOW])
-                m.one[i1] = x
-                m.two[i2] = x
-                np.equal(c2, x, out=is2[t])
-                np.equal(c1, x, out=right[t])
-                right[t] |= is2[t]
-                held <<= 1
-                held &= 7
-                held += right[t]
-                columns[a + t, :n] = x
-            outcomes.append(context * 3 + 2 - right - is2)
-        if not m.n:
-            break
-        m.learn(np.vstack(outcomes))
+    for x in columns:
+        m.predict()
+        r = np.floor(rng * m.part.take(m.context))
+        v = np.floor(code / r)
+        is2, below = v < m.ends2, v < m.ends1
+        is1 = below & ~is2
+        u = (v - m.ends1).astype(np.int64)
+        n = m.lower & low_bits
+        shift = n * (u >= m.lower >> _CUM)
+        n = m.upper & low_bits
+        shift += n * (u + shift >= m.upper >> _CUM)
+        u += shift
+        m.table.take(u, out=x, mode="clip")
+        p = m.shares.take(x)
+        freq = (p & low_bits).astype(float)
+        cum = m.ends1 + ((p >> _CUM) - shift)
+        i = is1.nonzero()[0]
+        x[i] = m.c1[i]
+        cum[i] = m.ends2[i]
+        freq[i] = m.ends1[i] - m.ends2[i]
+        i = is2.nonzero()[0]
+        x[i] = m.c2[i]
+        cum[i] = 0
+        freq[i] = m.ends2[i]
+        code -= r * cum
+        np.multiply(r, freq, out=rng)
+        fill((rng < _LOW).nonzero()[0])
+        fresh = (x > m.none).nonzero()[0]
+        if len(fresh):
+            m.n_fresh += len(fresh)
+            q = np.floor(rng[fresh] / total_fixed)
+            u = np.minimum(np.maximum(code[fresh] / q, 0), total_fixed - 1)
+            x[fresh] = ids = fixed.searchsorted(u, "right") - 1
+            code[fresh] -= q * fixed[ids]
+            rng[fresh] = ra = q * (fixed[ids + 1] - fixed[ids])
+            fill(fresh[ra < _LOW])
+        m.tell(x)
     return columns
 
 
@@ -382,18 +265,16 @@ def encode_ids(ids: np.ndarray, vocabulary: int, length: int = LENGTH) -> bytes:
         raise ValueError("an id lies outside the vocabulary")
     if not 0 < length <= LENGTH:
         raise ValueError(f"a block has 1 to {LENGTH} ids")
-    head = MAGIC + struct.pack("<BIIQ", VERSION, vocabulary, length, len(ids))
-    if not len(ids):
-        return head
-    lanes = -(-len(ids) // length)
-    ids = ids.astype(np.int32, copy=False)
-    full = np.zeros(lanes * length, np.int32)
-    full[: len(ids)] = ids
-    full = np.ascontiguousarray(full.reshape(lanes, length).T)
-    parts = _encode(full, len(ids) - (lanes - 1) * length, vocabulary)
-    sums = [zlib.crc32(ids[k * length : (k + 1) * length].astype("<u4").tobytes()) for k in range(lanes)]
-    table = b"".join(struct.pack("<II", c, len(p)) for c, p in zip(sums, parts, strict=True))
-    return head + table + b"".join(parts)
+    table, parts = [], []
+    for a in range(0, len(ids), length):
+        block = ids[a : a + length].astype("<i4")
+        lanes = lanes_of(len(block))
+        steps = -(-len(block) // lanes)
+        full = np.zeros(lanes * steps, np.int32)
+        full[: len(block)] = block
+        parts.append(_encode(np.ascontiguousarray(full.reshape(lanes, steps).T), vocabulary))
+        table.append(struct.pack("<II", zlib.crc32(block), len(parts[-1])))
+    return b"".join([MAGIC, struct.pack("<BIIQ", VERSION, vocabulary, length, len(ids)), *table, *parts])
 
 
 def decode_ids(data: bytes) -> np.ndarray:
@@ -402,17 +283,19 @@ def decode_ids(data: bytes) -> np.ndarray:
     version, vocabulary, length, n = struct.unpack("<BIIQ", data[len(MAGIC) : size])
     if data[: len(MAGIC)] != MAGIC or version != VERSION:
         raise ValueError("not a token file of this version")
-    if not n:
-        return np.empty(0, np.int64)
-    lanes = -(-n // length)
-    table = [struct.unpack_from("<II", data, size + 8 * k) for k in range(lanes)]
-    at, parts = size + 8 * lanes, []
-    for _, b in table:
-        parts.append(data[at : at + b])
-        at += b
-    with np.errstate(all="ignore"):  # of damaged parts
-        ids = _decode(parts, length, n - (lanes - 1) * length, vocabulary).T.ravel()[:n]
-    for k, (c, _) in enumerate(table):
-        if zlib.crc32(ids[k * length : (k + 1) * length].astype("<u4").tobytes()) != c:
+    out = np.empty(n, np.int32)
+    blocks = -(-n // length)
+    at = size + 8 * blocks
+    for k in range(blocks):
+        crc, held = struct.unpack_from("<II", data, size + 8 * k)
+        block = out[k * length : (k + 1) * length]
+        lanes = lanes_of(len(block))
+        try:
+            with np.errstate(all="ignore"):  # of damaged parts
+                block[:] = _decode(data[at : at + held], -(-len(block) // lanes), lanes, vocabulary).T.ravel()[: len(block)]
+        except (ValueError, IndexError) as e:
+            raise ValueError(f"the checksum of block {k} doesn't hold: {e}") from e
+        if zlib.crc32(block.astype("<u4", copy=False)) != crc:
             raise ValueError(f"the checksum of block {k} doesn't hold")
-    return ids
+        at += held
+    return out

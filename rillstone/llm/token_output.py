@@ -11,8 +11,10 @@ import json
 import os
 import re
 import struct
+import sys
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +24,15 @@ from pyspark.sql import functions as F
 from rillstone.llm.common import SLICE, map_rows, release, remembered, work_dir
 from rillstone.llm.range_coder import decode_ids, encode_ids
 
-#: A chunk is closed when it has this many ids; a document is never cut. Its blocks are coded in step, so that the more there
-#: are, the less a step costs each.
-CHUNK_IDS = 1 << 23
+#: A chunk is closed when it has this many ids; a document is never cut.
+CHUNK_IDS = 1 << 22
 #: Places where the byte-level pre-tokenizer always parts tokens: before one space between two other characters than
 #: white space, around one line feed between such, and where letters or digits end before a mark (not an apostrophe).
 _PARTS = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<=[^\W_])(?=[!-&(-/:-@\[-^`{-~])")
 #: A stop or comma that doesn't follow a letter or digit.
 _LOOSE_STOP = re.compile(r"[.,](?<![^\W_].)")
+#: White space other than the space and the line feed.
+_ODD_SPACE = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
 
 
 def byte_units() -> dict[int, str]:
@@ -53,24 +56,36 @@ def tokenizer_path(path: str | None = None) -> str:
 def pieces(text: str) -> list[str]:
     """The text cut at places where tokens always part."""
     flat = text.replace("\n", " ")
-    even = "  " not in flat and flat[0] != " " and flat[-1] != " " and len(flat.split()) == flat.count(" ") + 1
-    if not even or "\0" in text or _LOOSE_STOP.search(text):
+    even = "  " not in flat and flat[0] != " " and flat[-1] != " "
+    if not even or "\0" in text or any(c in text for c in _ODD_SPACE) or _LOOSE_STOP.search(text):
         return _PARTS.split(text)  # white space meets white space, or is of another kind, or stops stand apart
     for mark in (" ", ".", ","):
         text = text.replace(mark, "\0" + mark)
     return text.replace("\n", "\0\n\0").split("\0")
 
 
+class Known(dict):
+    """Ids of pieces, as bytes; one that isn't there is taken from the old ones, or encoded."""
+
+    def __init__(self, old: dict[str, bytes], encode: Callable[[str], bytes]):
+        super().__init__()
+        self.old, self.encode = old, encode
+
+    def __missing__(self, piece: str) -> bytes:
+        self[piece] = ids = self.old.pop(piece, b"") or self.encode(piece)
+        return ids
+
+
 class Ids:
     """Ids of texts by a byte-level BPE of the tokenizers library. Pieces of texts are encoded once per worker and
     remembered while they fit: the latest LIMIT, and those before that were asked for again."""
 
-    LIMIT = 300_000
+    LIMIT = 600_000
 
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end = Tokenizer.from_file(path), np.array([end]).astype("<u4")
+        self.tokenizer, self.end = Tokenizer.from_file(path), np.array([end]).astype("<u4").tobytes()
         form = json.loads(self.tokenizer.to_str())
         before = form["pre_tokenizer"] or {}
         self.plain = (
@@ -79,8 +94,11 @@ class Ids:
         )
         self.size = max(self.tokenizer.get_vocab_size(), end + 1)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known = Known({}, self.encode)
+
+    @property
+    def old(self) -> dict[str, bytes]:
+        return self.known.old
 
     def cut(self, text: str | None) -> list[str]:
         if not text:
@@ -88,29 +106,25 @@ class Ids:
         # tokens that the tokenizer finds before all else aren't to be cut
         return [text] if any(t in text for t in self.added) else pieces(text)
 
+    def encode(self, piece: str) -> bytes:
+        if self.plain and (piece[1:] if piece[0] == " " else piece).isalpha():
+            # all letters: one pre-token, which needs no more than the model
+            if piece.isascii():
+                units = piece.replace(" ", BYTE_UNITS[32])
+            else:
+                units = piece.encode().decode("latin-1").translate(BYTE_UNITS)
+            ids = [t.id for t in self.tokenizer.model.tokenize(units)]
+        else:
+            ids = self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids
+        return array("I", ids).tobytes()
+
     def of_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each whole text, and the end id."""
-        for i in range(0, len(texts), 64):
-            each = [self.cut(t) for t in texts[i : i + 64]]
+        for t in texts:
             if len(self.known) > self.LIMIT:  # what isn't asked for again is forgotten, what is stays
-                self.known, self.old = {}, self.known
-            known, old = self.known, self.old
-            new = []
-            for x in set().union(*each).difference(known):
-                if (ids := old.get(x)) is None:
-                    new.append(x)
-                else:
-                    known[x] = ids
-            whole = [x for x in new if self.plain and (x[1:] if x[0] == " " else x).isalpha()]
-            for x in whole:  # all letters: one pre-token, which needs no more than the model
-                units = x.encode().decode("latin-1").translate(BYTE_UNITS)
-                known[x] = np.array([t.id for t in self.tokenizer.model.tokenize(units)], "<u4").tobytes()
-            if new := [x for x in new if x not in known]:
-                got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-                known.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(new, got, strict=True))
-            get = known.__getitem__
-            for parts in each:
-                yield np.concatenate([np.frombuffer(b"".join(map(get, parts)), "<u4"), self.end])
+                self.known.old = {}
+                self.known = Known(self.known, self.encode)
+            yield np.frombuffer(b"".join([*map(self.known.__getitem__, self.cut(t)), self.end]), "<u4")
 
 
 def worker_ids(path: str, end: int) -> Ids:
