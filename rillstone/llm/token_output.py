@@ -18,19 +18,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstone.llm.common import SLICE, map_rows, release, remembered, work_dir
+from rillstone.llm.common import forget, release, remembered, work_dir
 from rillstone.llm.range_coder import decode_ids, encode_ids
 
 #: A chunk is closed when it has this many ids; a document is never cut.
 CHUNK_IDS = 1 << 22
+#: Texts of about this size are cut and looked up at once.
+TEXT_BYTES = 1 << 22
 #: Places where the byte-level pre-tokenizer always parts tokens: before one space between two other characters than
 #: white space, around one line feed between such, and where letters or digits end before a mark (not an apostrophe).
 _PARTS = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<=[^\W_])(?=[!-&(-/:-@\[-^`{-~])")
-#: A stop or comma that doesn't follow a letter or digit.
-_LOOSE_STOP = re.compile(r"[.,](?<![^\W_].)")
 #: White space other than the space and the line feed.
 _ODD_SPACE = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
 
@@ -53,15 +54,10 @@ def tokenizer_path(path: str | None = None) -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def pieces(text: str) -> list[str]:
-    """The text cut at places where tokens always part."""
+def even(text: str) -> bool:
+    """White space is single spaces and line feeds between other characters."""
     flat = text.replace("\n", " ")
-    even = "  " not in flat and flat[0] != " " and flat[-1] != " "
-    if not even or "\0" in text or any(c in text for c in _ODD_SPACE) or _LOOSE_STOP.search(text):
-        return _PARTS.split(text)  # white space meets white space, or is of another kind, or stops stand apart
-    for mark in (" ", ".", ","):
-        text = text.replace(mark, "\0" + mark)
-    return text.replace("\n", "\0\n\0").split("\0")
+    return "  " not in flat and flat[0] != " " and flat[-1] != " " and "\0" not in text and not any(c in text for c in _ODD_SPACE)
 
 
 class Known(dict):
@@ -101,12 +97,15 @@ class Ids:
         return self.known.old
 
     def cut(self, text: str | None) -> list[str]:
+        """The text cut at places where tokens always part."""
         if not text:
             return []
         # tokens that the tokenizer finds before all else aren't to be cut
-        return [text] if any(t in text for t in self.added) else pieces(text)
+        return [text] if any(t in text for t in self.added) else _PARTS.split(text)
 
     def encode(self, piece: str) -> bytes:
+        if not piece:
+            return b""
         if self.plain and (piece[1:] if piece[0] == " " else piece).isalpha():
             # all letters: one pre-token, which needs no more than the model
             if piece.isascii():
@@ -120,11 +119,45 @@ class Ids:
 
     def of_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each whole text, and the end id."""
-        for t in texts:
-            if len(self.known) > self.LIMIT:  # what isn't asked for again is forgotten, what is stays
-                self.known.old = {}
-                self.known = Known(self.known, self.encode)
-            yield np.frombuffer(b"".join([*map(self.known.__getitem__, self.cut(t)), self.end]), "<u4")
+        if len(self.known) > self.LIMIT:  # what isn't asked for again is forgotten, what is stays
+            self.known.old = {}
+            self.known = Known(self.known, self.encode)
+        plain = [k for k, t in enumerate(texts) if t and even(t) and not any(a in t for a in self.added)]
+        found = dict(zip(plain, self.of_even([texts[k] for k in plain]), strict=True))
+        for k, t in enumerate(texts):
+            if (ids := found.pop(k, None)) is None:
+                ids = np.frombuffer(b"".join([*map(self.known.__getitem__, self.cut(t)), self.end]), "<u4")
+            yield ids
+
+    def of_even(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Of even texts, all at once: each distinct piece is looked up once. None for a text in which stops stand apart,
+        where it can't be cut before them."""
+        if not texts:
+            return []
+        marked = pa.array(texts, pa.large_string())
+        for mark in (" ", ".", ","):
+            marked = pc.replace_substring(marked, mark, "\0" + mark)
+        lists = pc.split_pattern(pc.replace_substring(marked, "\n", "\0\n\0"), "\0")
+        cut = lists.values.dictionary_encode()
+        pieces, codes, ends = cut.dictionary.to_numpy(zero_copy_only=False).tolist(), cut.indices.to_numpy(), lists.offsets.to_numpy()[1:]
+        stops = pc.or_(pc.starts_with(cut.dictionary, "."), pc.starts_with(cut.dictionary, ",")).to_numpy(zero_copy_only=False)
+        at = stops[codes[1:]].nonzero()[0]  # pieces before stops; of a text that begins with one, an empty piece
+        open_ = np.zeros(len(pieces), bool)
+        open_[codes[at]] = True
+        for k in open_.nonzero()[0]:
+            open_[k] = not pieces[k][-1:].isalnum()
+        loose = at[open_[codes[at]]]
+        ids = [*map(self.known.__getitem__, pieces), self.end]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        codes = np.insert(codes, ends, len(pieces))
+        each, first = sizes[codes], (np.cumsum(sizes) - sizes)[codes]
+        upto = np.cumsum(each)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        out = flat[np.arange(upto[-1]) + np.repeat(first - upto + each, each)]
+        found = np.split(out, upto[ends + np.arange(len(ends))][:-1])
+        for k in np.unique(np.searchsorted(ends, loose, "right")):
+            found[k] = None
+        return found
 
 
 def worker_ids(path: str, end: int) -> Ids:
@@ -176,8 +209,10 @@ def write_tokens(
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, out, strict=True)], schema=out)
 
         for whole in batches:
-            for i in range(0, whole.num_rows, SLICE):
-                b = whole.slice(i, SLICE)
+            bytes_to = np.cumsum(pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            starts = np.flatnonzero(np.diff(bytes_to // TEXT_BYTES, prepend=-1))
+            for i, j in zip(starts, [*starts[1:], whole.num_rows], strict=True):
+                b = whole.slice(i, j - i)
                 for d, x in zip(b.column(0).to_pylist(), known.of_all(b.column(1).to_pylist()), strict=True):
                     names.append(d)
                     ids.append(x)
@@ -215,17 +250,22 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         total += sums[part]
     spread = spark.sparkContext.broadcast(offsets)
 
-    def run(x: dict) -> Iterator[dict]:
-        for part, before, payload in zip(x["part"], x["before"], x["payload"], strict=True):
-            docs, sizes, ids = read_chunk(payload)
-            ends = np.cumsum(sizes)
-            start = ends - sizes + before + spread.value[part]
-            data = [i.astype("<u4").tobytes() for i in np.split(ids, ends[:-1])] if docs else []
-            yield {"doc_id": docs, "start": start, "n_tokens": sizes, "ids": data}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for b in batches:
+            for i in range(b.num_rows):
+                part, before, payload = (c[i].as_py() for c in b.columns)
+                docs, sizes, ids = read_chunk(payload)
+                ends = np.cumsum(sizes, dtype=np.int64)
+                start = ends - sizes + before + spread.value[part]
+                bounds = pa.array(np.r_[0, 4 * ends], pa.int32()).buffers()[1]  # an error beyond 2 GB
+                data = pa.Array.from_buffers(pa.binary(), len(docs), [None, bounds, pa.py_buffer(ids.astype("<u4"))])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start), pa.array(sizes, pa.int64()), data], schema=out)
+        release()
 
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
     schema = "doc_id long, start long, n_tokens long, ids binary"
-    return map_rows(chunks.select("part", "before", "payload"), run, schema, out, 1)
+    return chunks.select("part", "before", "payload").mapInArrow(run, schema)
 
 
 def token_output(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
