@@ -211,7 +211,7 @@ def write_tokens(
         for whole in batches:
             bytes_to = np.cumsum(pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
             starts = np.flatnonzero(np.diff(bytes_to // TEXT_BYTES, prepend=-1))
-            for i, j in zip(starts, [*starts[1:], whole.num_rows], strict=True):
+            for i, j in zip(starts, np.r_[starts, whole.num_rows][1:], strict=True):  # no rows, no slices
                 b = whole.slice(i, j - i)
                 for d, x in zip(b.column(0).to_pylist(), known.of_all(b.column(1).to_pylist()), strict=True):
                     names.append(d)
